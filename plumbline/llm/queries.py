@@ -15,6 +15,17 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, then all documents; each row has the id of its own table."""
+    from pyspark.sql import functions as F
+
+    from .langid import identify_documents, identify_pages
+
+    docs = table(spark, sf_dir, "documents")
+    pages = identify_pages(table(spark, sf_dir, "pages"), docs)
+    return pages.withColumn("doc_id", F.lit(None).cast("long")).unionByName(identify_documents(docs, docs).withColumn("page_id", F.lit(None).cast("long")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -33,6 +44,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece import encode
+
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 

@@ -31,33 +31,33 @@ def encoder(path: str, kind: str) -> "Encoder":
     return _ENCODERS[path, kind]
 
 
-class Encoder:
-    """kind: "byte" where a word's space belongs to it, "word" where white space is dropped."""
-
-    MOST = 250_000  # pieces held
+class PieceCache:
+    """Ids of texts from those of their pieces; the latter are held, up to MOST."""
 
-    def __init__(self, path: str, kind: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    MOST = 250_000
 
-        if kind not in ("byte", "word"):
-            raise ValueError(f"unknown kind {kind!r}")
-        self.library, self.kind = Tokenizer.from_file(path), kind
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+    def __init__(self):
         self.clear()
 
+    def whole(self, texts: list[str]) -> list:
+        """Ids of each text or piece."""
+        raise NotImplementedError
+
+    def split(self, text: str) -> list[str] | None:
+        """Keys of a text's pieces, None where it must be encoded whole."""
+        raise NotImplementedError
+
+    def shown(self, key: str) -> str:
+        """What a key stands for."""
+        raise NotImplementedError
+
     def clear(self) -> None:
         self.cache: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
     def _add(self, keys: list[str]) -> None:
-        # "\0" marks a text's first piece, "\n" a line's; others follow a space.
-        shown = [k[1:] if k[:1] == "\0" else k if k[:1] == "\n" or self.kind == "word" else " " + k for k in keys]
-        for key, ids in zip(keys, self.whole(shown)):
+        for key, ids in zip(keys, self.whole([self.shown(k) for k in keys])):
             k = len(self.cache)
             if k == len(self.starts):
                 self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
@@ -74,9 +74,7 @@ class Encoder:
         ends = np.zeros(len(texts) + 1, np.int64)
         odd: dict[int, list[int]] = {}
         for k, text in enumerate(texts):
-            own = text.replace("\n", " \n").split(" ")
-            if len(text.split()) == len(own) and "\n" not in (text[0], text[-1]) and "\0" not in text and "\n\n" not in text:
-                own[0] = "\0" + own[0]
+            if (own := self.split(text)) is not None:
                 pieces += own
             else:
                 odd[k] = []
@@ -103,6 +101,34 @@ class Encoder:
         return ids, counts
 
 
+class Encoder(PieceCache):
+    """kind: "byte" where a word's space belongs to it, "word" where white space is dropped."""
+
+    def __init__(self, path: str, kind: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        if kind not in ("byte", "word"):
+            raise ValueError(f"unknown kind {kind!r}")
+        self.library, self.kind = Tokenizer.from_file(path), kind
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        super().__init__()
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def split(self, text: str) -> list[str] | None:
+        own = text.replace("\n", " \n").split(" ")
+        if len(text.split()) == len(own) and "\n" not in (text[0], text[-1]) and "\0" not in text and "\n\n" not in text:
+            own[0] = "\0" + own[0]
+            return own
+        return None
+
+    def shown(self, key: str) -> str:
+        # "\0" marks a text's first piece, "\n" a line's; others follow a space.
+        return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" or self.kind == "word" else " " + key
+
+
 def text_runs(texts: list[str], most: int = 1 << 20):
     """Ranges of texts that hold about ``most`` characters together, a text at least."""
     i = size = 0
