@@ -15,13 +15,15 @@ these. The order puts the corpus's most frequent shingles last.
 Equal sets are one class before all this. A first round compares each class
 with one other that it shares most keys with, so that a large group of near
 copies becomes one component; the trees then look only for links between
-different components, over all blocks. A block of many rows is split into
-parts, and every pair of parts is joined.
+different components, over all blocks. In large blocks each set is first
+compared with the one of another component that may share most with it, round
+after round while that finds links; what is left is compared with all. A block
+of many rows is split into parts, and every pair of parts is joined.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 from hashlib import blake2b
 
 import numpy as np
@@ -36,11 +38,19 @@ from .graph import components
 PART_ROWS = 4096
 #: The list of frequent shingles: at most so many, of documents whose id hashes to one residue of SAMPLE.
 FREQUENT, SAMPLE = 65_536, 64
+#: Rounds over large blocks at most, before all that is left is compared.
+ROUNDS = 6
+#: Blocks of up to so many rows need no tree.
+SMALL = 32
+
+
+def levels_of(sizes: np.ndarray) -> np.ndarray:
+    """log2 of the number of groups for sets of these sizes."""
+    return np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / 8)), 4, 12).astype(np.int64)
 
 
 def level_of(n: int) -> int:
-    """log2 of the number of groups for sets of n shingles."""
-    return max(4, min(12, math.ceil(math.log2(max(n, 1) / 8))))
+    return int(levels_of(np.array([n]))[0])
 
 
 def count_vector(hashes: np.ndarray) -> bytes:
@@ -78,7 +88,7 @@ class CountTree:
             self.levels.append((np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
     def pairs(self):
-        """Yield index arrays (i, j) of points of different labels whose bound lets them link."""
+        """Yield arrays (i, j, bound) of points of different labels whose bound lets them link."""
         n = len(self.levels[-1][0])
         i, j = np.triu_indices(n, 1 if len(self.levels) == 1 else 0)
         stack = [(len(self.levels) - 1, i, j)]
@@ -93,12 +103,13 @@ class CountTree:
             if not depth:
                 near &= self.labels[i] != self.labels[j]
             i, j = i[near], j[near]
-            near = may_link(np.minimum(top[i], top[j]).sum(1), low[i], low[j])
+            bound = np.minimum(top[i], top[j]).sum(1)
+            near = may_link(bound, low[i], low[j])
             i, j = i[near], j[near]
             if not len(i):
                 continue
             if not depth:
-                yield self.order[i], self.order[j]
+                yield self.order[i], self.order[j], bound[near]
                 continue
             size = len(self.levels[depth - 1][0])
             a, b = np.divmod(np.arange(self.FAN**2), self.FAN)
@@ -107,23 +118,79 @@ class CountTree:
             stack.append((depth - 1, i[fits], j[fits]))
 
 
-def block_pairs(ids, sizes, labels, parts, blobs, crossed: bool):
-    """Pairs of one block that the trees leave, each once. crossed: only between parts."""
-    levels = np.array([level_of(n) for n in sizes])
-    points = [read_vector(b, n) for b, n in zip(blobs, sizes)]
-    for level in np.unique(levels):
-        own = levels == level
-        above = (levels == level + 1) & (3 * sizes <= 4 * sizes[own].max())
-        at = np.flatnonzero(own | above)
-        if len(at) < 2:
-            continue
-        stack = np.stack([fold(points[k]) if above[k] else points[k] for k in at])
-        for i, j in CountTree(sizes[at], stack, labels[at]).pairs():
-            i, j = at[i], at[j]
-            keep = own[i] | own[j]
-            if crossed:
-                keep &= parts[i] != parts[j]
-            yield np.minimum(ids[i], ids[j])[keep], np.maximum(ids[i], ids[j])[keep]
+class Rows:
+    """Rows of blocks: ids, sizes, labels, parts, and points in one buffer."""
+
+    def __init__(self, table: pa.Table):
+        self.ids, self.sizes, self.labels, self.parts = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "part"))
+        self.levels = levels_of(self.sizes)
+        self.data, self.at = text_buffers(table.column("point"))
+
+    def points(self, rows: np.ndarray, level: int) -> np.ndarray:
+        """Counts of rows of one level."""
+        kind = np.dtype("<u4" if level == 12 else "<u2")
+        blobs = self.data[self.at[rows][:, None] + np.arange(kind.itemsize << level)]
+        return blobs.view(kind).astype(np.int32)
+
+    def bounded(self, i: np.ndarray, j: np.ndarray):
+        """Of pairs of rows: those of different labels that sizes and points let link."""
+        a, b = self.sizes[i], self.sizes[j]
+        near = (self.labels[i] != self.labels[j]) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b))
+        i, j = i[near], j[near]
+        swap = self.levels[i] > self.levels[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        for level in np.unique(self.levels[i]):
+            for above in (0, 1):
+                own = np.flatnonzero((self.levels[i] == level) & (self.levels[j] == level + above))
+                step = max(1, CountTree.CHUNK >> int(level))
+                for k in range(0, len(own), step):
+                    x, y = i[own[k : k + step]], j[own[k : k + step]]
+                    q = self.points(y, int(level) + above)
+                    fits = may_link(np.minimum(self.points(x, int(level)), fold(q) if above else q).sum(1), self.sizes[x], self.sizes[y])
+                    yield x[fits], y[fits]
+
+    def small_blocks(self, starts: np.ndarray, lengths: np.ndarray, crossed: np.ndarray):
+        """All pairs of many small blocks that may link."""
+        for m in np.unique(lengths):
+            own = lengths == m
+            x, y = np.triu_indices(int(m), 1)
+            i, j = (starts[own][:, None] + x).ravel(), (starts[own][:, None] + y).ravel()
+            keep = ~np.repeat(crossed[own], len(x)) | (self.parts[i] != self.parts[j])
+            yield from self.bounded(i[keep], j[keep])
+
+    def block(self, begin: int, end: int, crossed: bool, best: bool):
+        """Pairs of one block that the trees leave, each once. crossed: only between parts. best: of each row only one, of the largest bound."""
+        sizes, levels = self.sizes[begin:end], self.levels[begin:end]
+        top, mate = np.full(end - begin, -1.0), np.full(end - begin, -1)
+        for level in np.unique(levels).tolist():
+            own = levels == level
+            above = (levels == level + 1) & (3 * sizes <= 4 * sizes[own].max())
+            at = np.concatenate([np.flatnonzero(own), np.flatnonzero(above)])
+            if len(at) < 2:
+                continue
+            points = self.points(begin + np.flatnonzero(own), level)
+            if above.any():
+                points = np.concatenate([points, fold(self.points(begin + np.flatnonzero(above), level + 1))])
+            for i, j, bound in CountTree(sizes[at], points, self.labels[begin + at]).pairs():
+                i, j = at[i], at[j]
+                keep = own[i] | own[j]
+                if crossed:
+                    keep &= self.parts[begin + i] != self.parts[begin + j]
+                i, j = i[keep], j[keep]
+                if not best:
+                    yield begin + i, begin + j
+                    continue
+                share = bound[keep] / (sizes[i] + sizes[j])
+                for x, y in ((i, j), (j, i)):
+                    order = np.lexsort((y, -share, x))
+                    x, y, z = x[order], y[order], share[order]
+                    first = np.flatnonzero(np.diff(x, prepend=-1))
+                    x, y, z = x[first], y[first], z[first]
+                    more = z > top[x]
+                    top[x[more]], mate[x[more]] = z[more], y[more]
+        if best:
+            x = np.flatnonzero(mate >= 0)
+            yield begin + x, begin + mate[x]
 
 
 def _sets(frequent: np.ndarray):
@@ -210,29 +277,44 @@ def _pair_bound(x: bytes, m: int, y: bytes, n: int) -> bool:
     return 7 * int(np.minimum(x, y).sum()) >= 3 * (m + n)
 
 
-def _blocks(batches):
+def _blocks(best: bool):
     """Joins blocks that arrive in order of (key, x, y)."""
-    names, held, last = ["rep", "n", "comp", "part"], [], None
 
-    def joined():
-        cols = [np.concatenate([h[c].to_numpy() for h in held]) for c in names]
-        blobs = [b for h in held for b in h["point"].to_pylist()]
-        for a, b in block_pairs(*cols, blobs, last[1] != last[2]):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def joined(table: pa.Table, cuts: np.ndarray):
+        rows, x, y = Rows(table), table.column("x").to_numpy(), table.column("y").to_numpy()
+        starts, lengths = cuts[:-1], np.diff(cuts)
+        crossed = x[starts] != y[starts]
+        small = (lengths <= SMALL) & (lengths > 1)
+        found = [] if best else list(rows.small_blocks(starts[small], lengths[small], crossed[small]))
+        for k in np.flatnonzero(lengths > SMALL).tolist():
+            found += rows.block(int(starts[k]), int(starts[k] + lengths[k]), bool(crossed[k]), best)
+        for i, j in found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rows.ids[i], rows.ids[j])), pa.array(np.maximum(rows.ids[i], rows.ids[j]))], ["a", "b"])
 
-    for batch in batches:
-        ident = np.stack([batch[c].to_numpy() for c in ("key", "x", "y")])
-        cuts = [0, *(np.flatnonzero((ident[:, 1:] != ident[:, :-1]).any(0)) + 1), batch.num_rows]
-        for i, j in zip(cuts, cuts[1:]):
-            if i == j:
+    def run(batches):
+        held: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ident = np.stack([batch[c].to_numpy() for c in ("key", "x", "y")])
+            cuts = np.flatnonzero((ident[:, 1:] != ident[:, :-1]).any(0)) + 1
+            if last is not None and tuple(ident[:, 0]) != last:
+                cuts = np.concatenate([[0], cuts])
+            last = tuple(ident[:, -1])
+            table = pa.Table.from_batches([batch])
+            if not len(cuts):
+                held.append(table)
                 continue
-            if last is not None and last != tuple(ident[:, i]):
-                yield from joined()
-                held = []
-            last = tuple(ident[:, i])
-            held.append(batch.slice(i, j - i))
-    if held:
-        yield from joined()
+            before = sum(t.num_rows for t in held)
+            done = pa.concat_tables([*held, table.slice(0, cuts[-1])])
+            yield from joined(done, np.unique(np.concatenate([[0], cuts + before])))
+            held = [table.slice(cuts[-1])]
+        if held:
+            done = pa.concat_tables(held)
+            yield from joined(done, np.array([0, done.num_rows]))
+
+    return run
 
 
 def _full_sets(batches):
@@ -311,24 +393,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = scratch.keep(_verify(first, classes, docs), "links")
     found = scratch.keep(components(links, scratch, "round-1"), "found")
 
-    # Second round: between the components of each block.
-    place = scratch.keep(points.select("rep", "n").join(found.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "n", F.coalesce("comp", "rep").alias("comp")), "place")
-    block = shared.select("key", "uid").join(ident, "uid").select("key", "rep").join(place, "rep").repartition(width, "key").groupBy("key", "rep").agg(F.first("comp").alias("comp"), F.first("n").alias("n"))
-    mixed = block.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("key", F.ceil(F.col("rows") / PART_ROWS).cast("long").alias("parts"))
-    block = block.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    block = block.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    block = block.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rep", "n", "comp").join(points.select("rep", "point"), "rep")
-    second = block.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep").mapInArrow(_blocks, "a long, b long")
-    second = scratch.keep(second.distinct(), "second")
-    more = scratch.keep(_verify(second, classes, docs).union(found.where("v <> comp").select("v", "comp")), "more")
-    comp = components(more, scratch, "round-2")
+    def compared(found: DataFrame, best: bool) -> DataFrame:
+        """Pairs of classes of different components that blocks and points let link."""
+        place = scratch.keep(points.select("rep", "n").join(found.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "n", F.coalesce("comp", "rep").alias("comp")), f"place-{next(number)}")
+        block = shared.select("key", "uid").join(ident, "uid").select("key", "rep").join(place, "rep").repartition(width, "key").groupBy("key", "rep").agg(F.first("comp").alias("comp"), F.first("n").alias("n"))
+        mixed = block.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").where(F.col("rows") > (SMALL if best else 1))
+        mixed = mixed.select("key", F.ceil(F.col("rows") / PART_ROWS).cast("long").alias("parts"))
+        block = block.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+        block = block.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        block = block.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rep", "n", "comp").join(points.select("rep", "point"), "rep")
+        pairs = block.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep").mapInArrow(_blocks(best), "a long, b long")
+        return scratch.keep(pairs.distinct(), f"pairs-{next(number)}")
+
+    # Then between the components of each block: large blocks in rounds, then all.
+    number = itertools.count()
+    for _ in range(ROUNDS):
+        links = scratch.keep(_verify(compared(found, True), classes, docs), f"links-{next(number)}")
+        if links.isEmpty():
+            break
+        found = scratch.keep(components(links.union(found.where("v <> comp").select("v", "comp")), scratch, f"large-{next(number)}"), f"found-{next(number)}")
+    links = scratch.keep(_verify(compared(found, False), classes, docs).union(found.where("v <> comp").select("v", "comp")), "all-links")
+    comp = components(links, scratch, "all")
 
     named = full.select("uid", "doc_id", "n").join(ident, "uid").join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("uid", "doc_id", "n", F.coalesce("comp", "rep").alias("comp"))
     named = scratch.keep(named, "named")
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "uid")
     out = scratch.keep(out.union(rows.where("n = 0").select("doc_id", "n", "doc_id", "uid")), "out")
-    scratch.drop("rows", "ident", "points", "shared", "first", "links", "found", "place", "second", "more", "named")
+    scratch.drop("rows", "ident", "points", "shared", "first", "links", "found", "all-links", "named")
     return out
 
 
