@@ -1,18 +1,50 @@
-"""A training-corpus pipeline over ``documents``, in stages that are each written and read again."""
+"""A training-corpus pipeline over ``documents``: five stages, each written and read again.
+
+Each stage takes (spark, docs, sf_dir) and gives the columns of documents, but
+for the last, which gives the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import ngram_join
+from plumbline.llm import langid, ngram_join, packing, quality, secrets
 from plumbline.llm.common import Scratch
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the threshold table rejects go."""
+    return quality.keep_good(docs)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identified language go."""
+    return langid.keep_identified(docs, docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
     return ngram_join.keep_one(docs)
 
 
-STAGES = [("ngram_join", near_duplicates)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Credentials that look live are masked in the text."""
+    return secrets.mask_live(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as pieces of sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("ngram_join", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("packing", pack),
+]
+#: No SQL: links of near copies and packing can't be said in it.
 ORACLE_SQL = None
 
 
@@ -20,4 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = scratch.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
