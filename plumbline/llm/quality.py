@@ -105,4 +105,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{names.index('text')}"
     judged = assess(inner.withColumnRenamed(text, "text"), [c if c != text else "text" for c in inner.columns])
+    # A column that isn't deterministic keeps the filter above the projection; pushed down, it would compute the measures over and over.
+    judged = judged.withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
     return judged.where("kept").select(*[F.col(c if c != text else "text").alias(n) for c, n in zip(inner.columns, names)])
