@@ -1,9 +1,431 @@
-"""Queries over the driver's tables, one for each operator, and their SQL."""
+"""Queries over the driver's tables, one for each operator, and the same in DuckDB's SQL.
 
+``documents.text`` stands in for responses, and turns of ``conversations`` for
+prompts and their responses. Where the tables lack what a check looks for, the
+query edits the text first, and the SQL does the same.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import checkers as C
+from ..operators import evaluate as E
+from ..operators import metrics as M
+from ..operators import synth as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+
+def T() -> Column:
+    return F.col("text")
+
+
+def ID() -> Column:
+    return F.col("doc_id")
+
+
+
+def literal(x) -> Column:
+    return F.array(*map(F.lit, x)) if isinstance(x, (list, tuple)) else F.lit(x)
+
+
+def check(name: str, instruction_id: str, kwargs: dict, response: Callable[[], Column] | None = None, sql_text: str = "text", sql: str = "", function=None) -> None:
+    """doc_id, ok of one check with fixed arguments. ``sql`` is a condition on ``t``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = table(spark, sf_dir, "documents").select("doc_id", (response() if response else T()).alias("t"))
+        done = (function or C.REGISTRY[instruction_id])(F.col("t"), **{k: literal(v) for k, v in kwargs.items()})
+        return docs.select("doc_id", done.alias("ok"))
+
+    query(f"check_{name}", f"select doc_id, coalesce({sql}, false) as ok from (select doc_id, {sql_text} as t from documents)" if sql else None)(run)
+
+
+W = r"[\p{L}\p{N}_]"
+NW = r"[^\p{L}\p{N}_]"
+
+
+def has_word(word: str, t: str = "t") -> str:
+    return f"regexp_matches({t}, '(?i)(^|{NW}){word}({NW}|$)')"
+
+
+def count_word(word: str, t: str = "t") -> str:
+    return f"len(regexp_extract_all(' ' || regexp_replace({t}, '{NW}+', '  ', 'g') || ' ', '(?i) {word} '))"
+
+
+TRIM = r"regexp_replace(t, '^\s+|\s+$', '', 'g')"
+UPPER = r"(regexp_matches({0}, '\p{{Lu}}') and not regexp_matches({0}, '[\p{{Ll}}\p{{Lt}}]'))"
+LOWER = r"(regexp_matches({0}, '\p{{Ll}}') and not regexp_matches({0}, '[\p{{Lu}}\p{{Lt}}]'))"
+
+
+def language_sql(t: str) -> str:
+    words = f"list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: x <> '')"
+    votes = [f"{{'n': len(list_filter({words}, lambda x: x in ({', '.join(repr(w) for w in dict.fromkeys(own.split()))}))), 'lang': '{lang}'}}" for lang, own in X.STOP_WORDS.items()]
+    return f"(list_sort([{', '.join(votes)}], 'DESC')[1])"
+
+
+LANG = language_sql("t")
+IS_ENGLISH = f"case when {LANG}.n > 0 then {LANG}.lang = 'en' else true end"
+
+check("existence", "keywords:existence", {"keywords": ["the", "of"]}, sql=f"{has_word('the')} and {has_word('of')}")
+check("frequency", "keywords:frequency", {"keyword": " the ", "frequency": 5, "relation": "at least"}, sql=f"{count_word('the')} >= 5")
+check("frequency_around", "keywords:frequency", {"keyword": "of", "frequency": 10, "relation": "around"}, sql=f"abs({count_word('of')} - 10) <= 5")
+check("forbidden_words", "keywords:forbidden_words", {"forbidden_words": ["that", "this", "that"]}, sql=f"not {has_word('that')} and not {has_word('this')}")
+check("forbidden_patterns", "keywords:forbidden_words", {"forbidden_words": ["th[ai]t", "this"]}, sql=f"not {has_word('th[ai]t')} and not {has_word('this')}")
+check("letter_frequency", "keywords:letter_frequency", {"letter": "E", "let_frequency": 120, "let_relation": "less than"}, sql="length(lower(t)) - length(replace(lower(t), 'e', '')) < 120")
+check("response_language", "language:response_language", {"language": "fr"}, sql=f"{LANG}.n > 0 and {LANG}.lang = 'fr'")
+check("number_sentences", "length_constraints:number_sentences", {"num_sentences": 20, "relation": "at least"}, sql=rf"(case when regexp_matches(t, '\S') then 1 else 0 end) + len(regexp_extract_all({TRIM}, '[.!?]\s+')) >= 20")
+check(
+    "number_paragraphs", "length_constraints:number_paragraphs", {"num_paragraphs": 5}, lambda: F.replace(T(), F.lit("\n"), F.lit("\n***\n")), "replace(text, chr(10), chr(10) || '***' || chr(10))",
+    r"""(with p as (select string_split_regex(t, '\s*\*\*\*\s*') as a), q as (select list_transform(a, lambda x: not regexp_matches(x, '\S')) as b, len(a) as n from p)
+        select case when n > 2 and list_contains(b[2:n - 1], true) then false when n = 1 then n - b[1]::int = 5 else n - b[1]::int - b[n]::int = 5 end from q)""",
+)
+check("number_words", "length_constraints:number_words", {"num_words": 300, "relation": "at least"}, sql=f"len(regexp_extract_all(t, '{W}+')) >= 300")
+check("number_words_around", "length_constraints:number_words", {"num_words": 100, "relation": "around"}, sql=f"abs(len(regexp_extract_all(t, '{W}+')) - 100) <= 25")
+check(
+    "nth_paragraph_first_word", "length_constraints:nth_paragraph_first_word", {"num_paragraphs": 3, "nth_paragraph": 2, "first_word": "the"},
+    lambda: F.concat(T(), F.when(ID() % 2 == 0, "\n\n'The, end\n\n").otherwise("\n\nend\n\n"), F.substring(T(), 1, 20)), "text || chr(10) || chr(10) || case when doc_id % 2 = 0 then '''The, end' else 'end' end || chr(10) || chr(10) || substr(text, 1, 20)",
+    r"""(with p as (select string_split(t, chr(10) || chr(10)) as a) select len(list_filter(a, lambda x: regexp_matches(x, '\S'))) = 3 and regexp_matches(a[2], '\S')
+        and lower(regexp_extract(regexp_replace(regexp_replace(regexp_extract(a[2], '\S+'), '^''+', ''), '^"+', ''), '^[^.,?!''"]*')) = 'the' from p)""",
+)
+check("number_placeholders", "detectable_content:number_placeholders", {"num_placeholders": 10}, lambda: F.replace(T(), F.lit(" the "), F.lit(" [the] ")), "replace(text, ' the ', ' [the] ')", r"len(regexp_extract_all(t, '\[.*?\]')) >= 10")
+check("postscript", "detectable_content:postscript", {"postscript_marker": "P.S."}, lambda: F.concat(T(), F.when(ID() % 3 == 0, "\nP. S. more").otherwise(" ps")), "text || case when doc_id % 3 = 0 then chr(10) || 'P. S. more' else ' ps' end", r"regexp_matches(lower(t), 'p\.\s?s\.')")
+check("postscript_other", "detectable_content:postscript", {"postscript_marker": "PS:"}, lambda: F.concat(T(), F.when(ID() % 5 == 0, "\nps: more").otherwise(" ps")), "text || case when doc_id % 5 = 0 then chr(10) || 'ps: more' else ' ps' end", "contains(lower(t), 'ps:')")
+check("number_bullet_lists", "detectable_format:number_bullet_lists", {"num_bullets": 5}, lambda: F.replace(T(), F.lit("\n"), F.lit("\n* ")), "replace(text, chr(10), chr(10) || '* ')", r"len(regexp_extract_all(t, '(?m)^\s*\*[^\*].*$')) + len(regexp_extract_all(t, '(?m)^\s*-.*$')) = 5")
+check("constrained_response", "detectable_format:constrained_response", {}, lambda: F.concat(T(), F.when(ID() % 4 == 0, " My answer is no.").otherwise(" my answer is no.")), "text || case when doc_id % 4 = 0 then ' My answer is no.' else ' my answer is no.' end", "contains(t, 'My answer is yes.') or contains(t, 'My answer is no.') or contains(t, 'My answer is maybe.')")
+check(
+    "number_highlighted_sections", "detectable_format:number_highlighted_sections", {"num_highlights": 8}, lambda: F.replace(T(), F.lit(" of "), F.lit(" **of** ")), "replace(text, ' of ', ' **of** ')",
+    r"len(list_filter(regexp_extract_all(t, '\*([^\n\*]*)\*', 1), lambda x: regexp_matches(x, '\S'))) + len(list_filter(regexp_extract_all(t, '\*\*([^\n\*]*)\*\*', 1), lambda x: regexp_matches(x, '\S'))) >= 8",
+)
+check("multiple_sections", "detectable_format:multiple_sections", {"section_spliter": "Section", "num_sections": 4}, lambda: F.replace(T(), F.lit("\n"), F.lit("\nSection 1 ")), "replace(text, chr(10), chr(10) || 'Section 1 ')", r"len(regexp_extract_all(t, '\s?Section\s?\S+\s?')) >= 4")
+check("title", "detectable_format:title", {}, lambda: F.concat(F.when(ID() % 2 == 0, "<<A title>>\n").otherwise("<< >>\n"), T()), "case when doc_id % 2 = 0 then '<<A title>>' else '<< >>' end || chr(10) || text", r"len(list_filter(regexp_extract_all(t, '<<([^<\n][^>\n]*)>>', 1), lambda x: regexp_matches(x, '\S'))) > 0")
+check(
+    "two_responses", "combination:two_responses", {}, lambda: F.concat(T(), F.lit(" ****** "), F.when(ID() % 3 == 0, T()).when(ID() % 3 == 1, F.lit("")).otherwise(F.col("lang"))), "text || ' ****** ' || case when doc_id % 3 = 0 then text when doc_id % 3 = 1 then '' else lang end",
+    r"(with p as (select list_transform(string_split(t, '******'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) as a), q as (select a, list_filter(a, lambda x: x <> '') as k from p) select len(k) = 2 and k[1] <> k[2] and not (len(a) > 2 and list_contains(a[2:len(a) - 1], '')) from q)",
+)
+check("repeat_prompt", "combination:repeat_prompt", {"prompt_to_repeat": "Write: a list!"}, lambda: F.concat(F.when(ID() % 2 == 0, " write a LIST. ").otherwise("write the list "), T()), "case when doc_id % 2 = 0 then ' write a LIST. ' else 'write the list ' end || text", rf"starts_with(regexp_replace(lower({TRIM}), '[[:punct:]]', '', 'g'), 'write a list')")
+check("end_checker", "startend:end_checker", {"end_phrase": " ON. "}, lambda: F.concat(T(), F.lit('" ')), "text || '\" '", rf"""ends_with(lower(regexp_replace({TRIM}, '^"+|"+$', '', 'g')), 'on.')""")
+check("quotation", "startend:quotation", {}, lambda: F.concat(F.lit(' "'), T(), F.when(ID() % 2 == 0, '" ').otherwise("")), "' \"' || text || case when doc_id % 2 = 0 then '\" ' else '' end", rf"""length({TRIM}) > 1 and starts_with({TRIM}, '"') and ends_with({TRIM}, '"')""")
+check("capital_word_frequency", "change_case:capital_word_frequency", {"capital_frequency": 3, "capital_relation": "at least"}, sql=rf"len(list_filter(regexp_extract_all(t, '{W}+(?:[-''.]{W}+)*'), lambda x: {UPPER.format('x')})) >= 3")
+check("english_capital", "change_case:english_capital", {}, lambda: F.when(ID() % 2 == 0, F.upper(T())).otherwise(T()), "case when doc_id % 2 = 0 then upper(text) else text end", f"{UPPER.format('t')} and {IS_ENGLISH}")
+check("english_lowercase", "change_case:english_lowercase", {}, lambda: F.when(ID() % 2 == 0, F.lower(T())).otherwise(T()), "case when doc_id % 2 = 0 then lower(text) else text end", f"{LOWER.format('t')} and {IS_ENGLISH}")
+check("no_comma", "punctuation:no_comma", {}, sql="not contains(t, ',')")
+check("constrained_start", "", {"starter": "The"}, sql=r"regexp_matches(t, '(?m)^\s*The')", function=C.constrained_start)
+
+
+@query("check_json_format", "select event_id, json_valid(case when event_id % 3 = 0 then left(props, length(props) - 1) else props end) as ok from events")
+def check_json(spark, sf_dir):
+    props = F.col("props")
+    damaged = F.when(F.col("event_id") % 3 == 0, F.left(props, F.length(props) - 1)).otherwise(F.concat(F.lit("```json\n"), props, F.lit("\n```")))
+    return table(spark, sf_dir, "events").select("event_id", C.json_format(damaged).alias("ok"))
+
+
+# --- text functions
+
+
+@query("words_count", f"select doc_id, len(regexp_extract_all(text, '{W}+'))::bigint as n from documents")
+def words_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.count_words(T()).alias("n"))
+
+
+@query("sentences_count", rf"select doc_id, ((case when regexp_matches(t, '\S') then 1 else 0 end) + len(regexp_extract_all({TRIM}, '[.!?]\s+')))::bigint as n from (select doc_id, text as t from documents)")
+def sentences_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.count_sentences(T()).alias("n"))
+
+
+@query("sentences_split")
+def sentences_split(spark, sf_dir):
+    parts = X.split_sentences(T())
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("n"), F.get(parts, 0).alias("first"))
+
+
+@query("stopword_count", f"select doc_id, len(list_filter(regexp_extract_all(lower(text), '{W}+'), lambda x: x in ({', '.join(repr(w) for w in X.ENGLISH_STOP_WORDS)})))::bigint as n from documents")
+def stopword_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.count_stopwords(T()).alias("n"))
+
+
+@query("language_id", f"select doc_id, case when {LANG}.n > 0 then {LANG}.lang end as detected from (select doc_id, text as t from documents)")
+def language_id(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.detect_language(T()).alias("detected"))
+
+
+@query("keyword_sample")
+def keyword_sample(spark, sf_dir):
+    words = F.filter(F.split(T(), "[^a-z]+"), lambda x: x != "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.sample_words(words, 10, 1)).cast("long").alias("n"))
+
+
+THOUGHT = "case when doc_id % 3 = 0 then 'hm</think>' || chr(10) || chr(10) || text || '</think>' || chr(10) || chr(10) || 'x' else text end"
+
+
+@query("think_strip", f"with d as (select doc_id, {THOUGHT} as t from documents) select doc_id, case when contains(t, '</think>' || chr(10) || chr(10)) then split_part(t, '</think>' || chr(10) || chr(10), 2) else t end as stripped from d")
+def think_strip(spark, sf_dir):
+    thought = F.when(ID() % 3 == 0, F.concat(F.lit("hm</think>\n\n"), T(), F.lit("</think>\n\nx"))).otherwise(T())
+    return table(spark, sf_dir, "documents").select("doc_id", X.strip_thinking(thought).alias("stripped"))
+
+
+@query(
+    "loose_variants",
+    r"""with d as (select doc_id, text, string_split(text, chr(10)) as a from documents),
+    e as (select doc_id, [text, array_to_string(a[2:], chr(10)), array_to_string(a[:len(a) - 1], chr(10)), case when len(a) > 2 then array_to_string(a[2:len(a) - 1], chr(10)) else '' end] as v, len(a) as n from d),
+    f as (select doc_id, [v[1], regexp_replace(v[2], '^\s+|\s+$', '', 'g'), case when n = 1 then '' else regexp_replace(v[3], '^\s+|\s+$', '', 'g') end, regexp_replace(v[4], '^\s+|\s+$', '', 'g')] as v from e)
+    select doc_id, unnest(range(0, 8)) as i, unnest(v || list_transform(v, lambda x: replace(x, '*', ''))) as variant from f""",
+)
+def loose_variants(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.loose_variants(T())).alias("i", "variant")).withColumn("i", F.col("i").cast("long"))
+
+
+KEY = "floor(doc_id / 10)::bigint::varchar || ':' || case when doc_id % 10 = 0 then 'original' when doc_id % 10 <= 3 then 'rephrasing' when doc_id % 10 <= 6 then 'distractor' else 'ct_alteration' end || ':' || (doc_id % 10)::varchar"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents as variants of groups of ten, with a flag."""
+    m = ID() % 10
+    kind = F.when(m == 0, "original").when(m <= 3, "rephrasing").when(m <= 6, "distractor").otherwise("ct_alteration")
+    return docs.withColumn("pos", ID()).withColumn("key", F.concat_ws(":", F.floor(ID() / 10).cast("string"), kind, m.cast("string"))).withColumn("ok", ~T().contains("ing"))
+
+
+@query("key_parts", f"select doc_id, split_part({KEY}, ':', 1) as root, split_part({KEY}, ':', 2) as type from documents")
+def key_parts(spark, sf_dir):
+    return keyed(table(spark, sf_dir, "documents")).select("doc_id", X.key_root(F.col("key")).alias("root"), X.key_type(F.col("key")).alias("type"))
+
+
+@query("sampling_id", "select doc_id, (doc_id % 7)::int as sample from documents")
+def sampling(spark, sf_dir):
+    prompt = F.concat(F.lit("p--kk--"), (ID() % 7).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.sampling_id(prompt).alias("sample"))
+
+
+# --- prompts and responses
+
+IDS = ["length_constraints:number_words", "punctuation:no_comma", "keywords:existence"]
+
+
+def conversation_prompts(spark, sf_dir) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    kwargs = F.array(*[_args(own) for own in ({"num_words": 60, "relation": "at least"}, {}, {"keywords": ["the"]})])
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.concat_ws(":", "conv_id", F.lit("original"), "turn").alias("key"), F.col("text").alias("prompt"), F.array(*map(F.lit, IDS)).alias("instruction_id_list"), kwargs.alias("kwargs"))
+
+
+def _args(own: dict) -> Column:
+    return F.struct(*[(literal(own[f.name]) if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in C.KWARGS])
+
+
+def conversation_responses(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    user = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
+    return user.join(c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("response")), ["conv_id", "turn"])
+
+
+def latest(spark, sf_dir) -> DataFrame:
+    from ..sources.jsonl import latest_responses
+
+    return latest_responses(conversation_responses(spark, sf_dir))
+
+
+PAIRS = """prompts as (select conv_id * 1000 + turn as pos, conv_id::varchar || ':original:' || turn::varchar as key, text as prompt from conversations where role = 'user'),
+responses as (select u.text as prompt, arg_max(a.text, u.conv_id * 1000 + u.turn) as response from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant' group by 1),
+joined as (select p.pos, p.key, p.prompt, r.response from prompts p left join responses r on p.prompt = r.prompt)"""
+
+
+def three_checks(t: str) -> str:
+    return f"[regexp_matches({t}, '\\S') and len(regexp_extract_all({t}, '{W}+')) >= 60, regexp_matches({t}, '\\S') and not contains({t}, ','), regexp_matches({t}, '\\S') and {has_word('the', t)}]"
+
+
+STRICT = f"with {PAIRS}, checked as (select pos, key, prompt, {three_checks('coalesce(response, chr(32))')} as f from joined)"
+
+
+def strict(spark, sf_dir) -> DataFrame:
+    return E.evaluate_strict(conversation_prompts(spark, sf_dir), latest(spark, sf_dir), only=IDS)
+
+
+@query("prompt_response_join", f"with {PAIRS} select pos::bigint as pos, key, response from joined")
+def prompt_response_join(spark, sf_dir):
+    return E.join_responses(conversation_prompts(spark, sf_dir), latest(spark, sf_dir)).select("pos", "key", "response")
+
+
+@query("strict_eval", f"{STRICT} select pos::bigint as pos, key, f[1] and f[2] and f[3] as follow_all, array_to_string(list_transform(f, lambda x: x::varchar), ',') as flags from checked")
+def strict_eval(spark, sf_dir):
+    return strict(spark, sf_dir).select("pos", "key", F.col("follow_all_instructions").alias("follow_all"), F.array_join(F.transform("follow_instruction_list", lambda x: x.cast("string")), ",").alias("flags"))
+
+
+LOOSE = rf"""with {PAIRS}, d as (select pos, key, coalesce(response, '') as t, string_split(coalesce(response, ''), chr(10)) as a from joined),
+e as (select pos, key, [t, array_to_string(a[2:], chr(10)), case when len(a) = 1 then '' else array_to_string(a[:len(a) - 1], chr(10)) end, case when len(a) > 2 then array_to_string(a[2:len(a) - 1], chr(10)) else '' end] as v from d),
+g as (select pos, key, unnest(v || list_transform(v, lambda x: replace(x, '*', ''))) as t from e), h as (select pos, key, {three_checks('t')} as f from g),
+best as (select pos, key, [bool_or(f[1]), bool_or(f[2]), bool_or(f[3])] as f from h group by pos, key)"""
+
+
+@query("loose_eval", f"{LOOSE} select pos::bigint as pos, key, f[1] and f[2] and f[3] as follow_all, array_to_string(list_transform(f, lambda x: x::varchar), ',') as flags from best")
+def loose_eval(spark, sf_dir):
+    done = E.evaluate_loose(conversation_prompts(spark, sf_dir), latest(spark, sf_dir), mode="flag", only=IDS)
+    return done.select("pos", "key", F.col("follow_all_instructions").alias("follow_all"), F.array_join(F.transform("follow_instruction_list", lambda x: x.cast("string")), ",").alias("flags"))
+
+
+IDS_SQL = "[" + ", ".join(f"'{x}'" for x in IDS) + "]"
+FLAGS = f"{STRICT}, flags as (select unnest({IDS_SQL}) as instruction_id, unnest(f) as ok from checked)"
+
+
+@query("accuracy_prompt", f"{STRICT} select avg((f[1] and f[2] and f[3])::int)::double as accuracy from checked")
+def accuracy_prompt(spark, sf_dir):
+    return M.prompt_accuracy(strict(spark, sf_dir))
+
+
+@query("accuracy_instruction", f"{FLAGS} select avg(ok::int)::double as accuracy from flags")
+def accuracy_instruction(spark, sf_dir):
+    return M.instruction_accuracy(strict(spark, sf_dir))
+
+
+@query("accuracy_tier0", f"{FLAGS} select split_part(instruction_id, ':', 1) as category, avg(ok::int)::double as accuracy from flags group by 1")
+def accuracy_tier0(spark, sf_dir):
+    return M.category_accuracy(strict(spark, sf_dir))
+
+
+@query("accuracy_tier1", f"{FLAGS} select instruction_id, avg(ok::int)::double as accuracy from flags group by 1")
+def accuracy_tier1(spark, sf_dir):
+    return M.id_accuracy(strict(spark, sf_dir))
+
+
+# --- reliability
+
+RELIABLE = """buckets as (select *, unnest(case when type = 'original' then ['all', 'original', 'ct_alteration', 'rephrasing', 'distractor'] else ['all', type] end) as bucket from keyed),
+ranked as (select *, row_number() over (partition by {by} bucket, root order by (type <> 'original')::int, pos) as rn from buckets),
+groups as (select {by} bucket, root, sum(ok::int) as s, sum(case when rn <= 2 then ok::int else 0 end) as s2, sum(case when rn <= 4 then ok::int else 0 end) as s4 from ranked group by {by} bucket, root),
+found as (select {by} 'reliable_at_k_all' as metric, avg((s = 10)::int)::double as value from groups where bucket = 'all' group by all
+  union all select {by} 'reliable_at_k_original', avg((s = 1)::int)::double from groups where bucket = 'original' group by all
+  union all select {by} bucket || '_at_2', avg((s2 = 2)::int)::double from groups where bucket not in ('all', 'original') group by {by} bucket
+  union all select {by} bucket || '_at_4', avg((s4 = 4)::int)::double from groups where bucket not in ('all', 'original') group by {by} bucket)"""
+KEYED = f"keyed as (select doc_id as pos, split_part({KEY}, ':', 1) as root, split_part({KEY}, ':', 2) as type, not contains(text, 'ing') as ok from documents)"
+RELIABLE_1 = f"with {KEYED}, {RELIABLE.format(by='')}"
+
+
+def reliable(spark, sf_dir) -> DataFrame:
+    return M.reliable_at_k(keyed(table(spark, sf_dir, "documents")))
+
+
+@query("reliable_at_k", f"{RELIABLE_1} select metric, value from found")
+def reliable_at_k(spark, sf_dir):
+    return reliable(spark, sf_dir)
+
+
+@query("relative_drop", f"{RELIABLE_1} select 1 - max(case when metric = 'reliable_at_k_all' then value end) / nullif(max(case when metric = 'reliable_at_k_original' then value end), 0) as relative_drop from found")
+def relative_drop(spark, sf_dir):
+    return M.relative_drop(reliable(spark, sf_dir))
+
+
+def sampled(spark, sf_dir) -> DataFrame:
+    """Documents as three samples of each key."""
+    docs = table(spark, sf_dir, "documents")
+    base = keyed(docs.withColumn("sample", ID() % 3).withColumn("pos0", ID()).withColumn("doc_id", F.floor(ID() / 3).cast("long")))
+    return base.select(F.col("pos0").alias("pos"), "key", F.concat(F.lit("p--kk--"), F.col("sample").cast("string")).alias("prompt"), "ok")
+
+
+SAMPLED = f"""with base as (select doc_id as pos0, doc_id % 3 as sample, floor(doc_id / 3)::bigint as doc_id, text from documents),
+raw as (select pos0, {KEY} as key, not contains(text, 'ing') as ok from base), numbered as (select *, row_number() over (partition by key order by pos0) as rn from raw),
+firsts as (select key, min(pos0) as pos, coalesce(min(case when ok then rn end), 1000000) as first from numbered group by key),
+keyed as (select n::int as n, pos, split_part(key, ':', 1) as root, split_part(key, ':', 2) as type, first <= n as ok from firsts, range(1, 4) r(n))"""
+
+
+@query("reliability_sampling", f"{SAMPLED}, {RELIABLE.format(by='n,')} select n, metric, value from found")
+def reliability_sampling(spark, sf_dir):
+    return M.sampled_reliability(sampled(spark, sf_dir))
+
+
+# --- resuming, variants, judging
+
+
+@query("resume_anti_join", "select conv_id from (select distinct conv_id from conversations) where conv_id::varchar not in (select (doc_id * 2)::varchar from labels)")
+def resume_anti_join(spark, sf_dir):
+    prompts = table(spark, sf_dir, "conversations").select("conv_id", F.col("conv_id").cast("string").alias("key")).distinct()
+    return S.resume(prompts, table(spark, sf_dir, "labels").select((F.col("doc_id") * 2).cast("string").alias("key"))).select("conv_id")
+
+
+@query("completed_keys", "select distinct (doc_id % 100)::varchar as key from documents")
+def completed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select((ID() % 100).cast("string").alias("key")).distinct()
+
+
+@query("variant_explode", "select item_id::varchar || ':rephrasing:' || i::varchar as key, text || ' v' || i::varchar as prompt, text as original_prompt from benchmark, range(1, 25) r(i)")
+def variant_explode(spark, sf_dir):
+    base = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("key"), F.col("text").alias("prompt"))
+    many = base.withColumn("v", F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: F.concat("prompt", F.lit(" v"), i.cast("string"))))
+    return S.keyed_variants(many, "v", "rephrasing")
+
+
+def judged(spark, sf_dir) -> DataFrame:
+    good = F.col("quality") == 1
+    verdict = F.struct(F.when(ID() % 11 == 0, S.FAILED).otherwise("fine").alias("reasoning"), good.alias("is_valid"))
+    return table(spark, sf_dir, "labels").select(F.concat_ws(":", (ID() % 10).cast("string"), F.lit("rephrasing"), ID().cast("string")).alias("key"), "doc_id", verdict.alias(S.JUDGEMENT))
+
+
+@query("validity_filter", "select doc_id from labels where quality = 1 and doc_id % 11 <> 0")
+def validity_filter(spark, sf_dir):
+    return S.valid_rows(judged(spark, sf_dir)).select("doc_id")
+
+
+@query("validity_count", "select (doc_id % 10)::varchar as root, count(*) filter (where quality = 1 and doc_id % 11 <> 0)::bigint as valid from labels group by 1")
+def validity_count(spark, sf_dir):
+    return S.valid_by_root(judged(spark, sf_dir))
+
+
+@query("conflict_closure", "with e as (select n_nationkey as a, n_regionkey as b from nation) select a, b from e union select b, a from e union select a, a from e union select b, b from e")
+def conflict_closure(spark, sf_dir):
+    return S.conflict_closure(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("b")))
+
+
+@query("category_projection", f"select distinct split_part(x, ':', 1) as category from (select unnest({IDS_SQL}) as x)")
+def category_projection(spark, sf_dir):
+    return conversation_prompts(spark, sf_dir).select(F.explode("instruction_id_list").alias("id")).select(F.split_part("id", F.lit(":"), F.lit(1)).alias("category")).distinct()
+
+
+@query("chat_messages", "select item_id, 'system' as first_role, 'user' as last_role, text as content from benchmark")
+def chat_messages(spark, sf_dir):
+    m = S.messages(T(), "Be brief.")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.get(m, 0)["role"].alias("first_role"), F.get(m, 1)["role"].alias("last_role"), F.get(m, 1)["content"].alias("content"))
+
+
+def benchmark_prompts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("key"), T().alias("prompt"), F.array(F.lit(IDS[1])).alias("instruction_id_list"), F.array(_args({})).alias("kwargs"))
+
+
+@query("generate_offline")
+def generate_offline(spark, sf_dir):
+    return S.generate(benchmark_prompts(spark, sf_dir), S.offline_client)
+
+
+@query("synthesis_offline")
+def synthesis_offline(spark, sf_dir):
+    base = benchmark_prompts(spark, sf_dir)
+    return S.union_variants(*[S.synthesise(base, kind, S.offline_client) for kind in ("rephrasing", "distractor", "task")]).select("key", "prompt", "original_prompt")
+
+
+@query("judge_offline")
+def judge_offline(spark, sf_dir):
+    return S.judge(benchmark_prompts(spark, sf_dir), lambda requests: ['{"reasoning": "fine", "is_valid": true}' for _ in requests]).select("key", F.col(f"`{S.JUDGEMENT}`.is_valid").alias("is_valid"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
