@@ -15,10 +15,13 @@ these. The order puts the corpus's most frequent shingles last.
 Equal sets are one class before all this. A first round compares each class
 with one other that it shares most keys with, so that a large group of near
 copies becomes one component; the trees then look only for links between
-different components, over all blocks. In large blocks each set is first
-compared with the one of another component that may share most with it, round
-after round while that finds links; what is left is compared with all. A block
-of many rows is split into parts, and every pair of parts is joined.
+different components, over all blocks. Where a block would give many pairs a row, each set
+is first compared with the one of another component that may share most with
+it, round after round while that finds links; what is left is compared with all.
+A block of many rows is split into parts, and every pair of parts is joined.
+
+Keys that no other set has can't be shared, so a set's size less these bounds
+every overlap as well.
 """
 
 from __future__ import annotations
@@ -38,8 +41,8 @@ from .graph import components
 PART_ROWS = 4096
 #: The list of frequent shingles: at most so many, of documents whose id hashes to one residue of SAMPLE.
 FREQUENT, SAMPLE = 65_536, 64
-#: Rounds over large blocks at most, before all that is left is compared.
-ROUNDS = 6
+#: A block that would give more pairs a row gives the best of each row instead, for another round.
+PAIRS_A_ROW = 8
 #: Blocks of up to so many rows need no tree.
 SMALL = 32
 
@@ -77,15 +80,15 @@ class CountTree:
 
     FAN, CHUNK = 32, 1 << 21
 
-    def __init__(self, sizes: np.ndarray, points: np.ndarray, labels: np.ndarray):
+    def __init__(self, sizes: np.ndarray, reach: np.ndarray, points: np.ndarray, labels: np.ndarray):
         self.order = np.lexsort((labels, sizes))
-        sizes, points = sizes[self.order], points[self.order]
+        sizes, reach, points = sizes[self.order], reach[self.order], points[self.order]
         self.labels = labels[self.order]
-        self.levels = [(points, sizes, sizes)]
+        self.levels = [(points, sizes, sizes, reach)]
         while len(self.levels[-1][0]) > self.FAN:
-            top, low, high = self.levels[-1]
+            top, low, high, far = self.levels[-1]
             at = np.arange(0, len(top), self.FAN)
-            self.levels.append((np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+            self.levels.append((np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(far, at)))
 
     def pairs(self):
         """Yield arrays (i, j, bound) of points of different labels whose bound lets them link."""
@@ -94,12 +97,12 @@ class CountTree:
         stack = [(len(self.levels) - 1, i, j)]
         while stack:
             depth, i, j = stack.pop()
-            top, low, high = self.levels[depth]
+            top, low, high, far = self.levels[depth]
             step = max(1, self.CHUNK // top.shape[1])
             if len(i) > step:
                 stack += [(depth, i[k : k + step], j[k : k + step]) for k in range(0, len(i), step)]
                 continue
-            near = 4 * high[i] >= 3 * low[j]
+            near = (4 * high[i] >= 3 * low[j]) & may_link(np.minimum(far[i], far[j]), low[i], low[j])
             if not depth:
                 near &= self.labels[i] != self.labels[j]
             i, j = i[near], j[near]
@@ -119,10 +122,10 @@ class CountTree:
 
 
 class Rows:
-    """Rows of blocks: ids, sizes, labels, parts, and points in one buffer."""
+    """Rows of blocks: ids, sizes, most that can be shared, labels, parts, and points in one buffer."""
 
     def __init__(self, table: pa.Table):
-        self.ids, self.sizes, self.labels, self.parts = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "part"))
+        self.ids, self.sizes, self.reach, self.labels, self.parts = (table.column(c).to_numpy() for c in ("rep", "n", "reach", "comp", "part"))
         self.levels = levels_of(self.sizes)
         self.data, self.at = text_buffers(table.column("point"))
 
@@ -135,7 +138,7 @@ class Rows:
     def bounded(self, i: np.ndarray, j: np.ndarray):
         """Of pairs of rows: those of different labels that sizes and points let link."""
         a, b = self.sizes[i], self.sizes[j]
-        near = (self.labels[i] != self.labels[j]) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b))
+        near = (self.labels[i] != self.labels[j]) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b)) & may_link(np.minimum(self.reach[i], self.reach[j]), a, b)
         i, j = i[near], j[near]
         swap = self.levels[i] > self.levels[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -158,10 +161,11 @@ class Rows:
             keep = ~np.repeat(crossed[own], len(x)) | (self.parts[i] != self.parts[j])
             yield from self.bounded(i[keep], j[keep])
 
-    def block(self, begin: int, end: int, crossed: bool, best: bool):
-        """Pairs of one block that the trees leave, each once. crossed: only between parts. best: of each row only one, of the largest bound."""
+    def block(self, begin: int, end: int, crossed: bool, limited: bool) -> tuple[list, bool]:
+        """Pairs of one block that the trees leave, and whether these are all. crossed: only between parts. limited: of each row only the pair of largest bound, if there are many."""
         sizes, levels = self.sizes[begin:end], self.levels[begin:end]
         top, mate = np.full(end - begin, -1.0), np.full(end - begin, -1)
+        found, count, most = [], 0, PAIRS_A_ROW * (end - begin) if limited else 1 << 62
         for level in np.unique(levels).tolist():
             own = levels == level
             above = (levels == level + 1) & (3 * sizes <= 4 * sizes[own].max())
@@ -171,14 +175,16 @@ class Rows:
             points = self.points(begin + np.flatnonzero(own), level)
             if above.any():
                 points = np.concatenate([points, fold(self.points(begin + np.flatnonzero(above), level + 1))])
-            for i, j, bound in CountTree(sizes[at], points, self.labels[begin + at]).pairs():
+            for i, j, bound in CountTree(sizes[at], self.reach[begin + at], points, self.labels[begin + at]).pairs():
                 i, j = at[i], at[j]
                 keep = own[i] | own[j]
                 if crossed:
                     keep &= self.parts[begin + i] != self.parts[begin + j]
                 i, j = i[keep], j[keep]
-                if not best:
-                    yield begin + i, begin + j
+                count += len(i)
+                if count <= most:
+                    found.append((begin + i, begin + j))
+                if not limited:
                     continue
                 share = bound[keep] / (sizes[i] + sizes[j])
                 for x, y in ((i, j), (j, i)):
@@ -188,9 +194,10 @@ class Rows:
                     x, y, z = x[first], y[first], z[first]
                     more = z > top[x]
                     top[x[more]], mate[x[more]] = z[more], y[more]
-        if best:
-            x = np.flatnonzero(mate >= 0)
-            yield begin + x, begin + mate[x]
+        if count <= most:
+            return found, True
+        x = np.flatnonzero(mate >= 0)
+        return [(begin + x, begin + mate[x])], False
 
 
 def _sets(frequent: np.ndarray):
@@ -201,6 +208,7 @@ def _sets(frequent: np.ndarray):
         for batch in batches:
             n = batch.num_rows
             sizes, prints, points, keys = np.zeros(n, np.int64), np.zeros((n, 2), np.int64), [None] * n, [None] * n
+            rare = np.zeros(n, np.int64)
             for row, got in shingle_sets(*text_buffers(batch.column(2))):
                 if not (size := len(got)):
                     continue
@@ -216,10 +224,11 @@ def _sets(frequent: np.ndarray):
                 if len(frequent):
                     hot = frequent[np.minimum(np.searchsorted(frequent, got), len(frequent) - 1)] == got
                     got = np.concatenate([got[~hot], got[hot]])
+                    rare[row] = min(first, size - int(hot.sum()))
                 keys[row] = got[:first].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["uid", "doc_id", "n", "f1", "f2", "point", "keys"],
+                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(rare)],
+                ["uid", "doc_id", "n", "f1", "f2", "point", "keys", "rare"],
             )
 
     return run
@@ -277,17 +286,21 @@ def _pair_bound(x: bytes, m: int, y: bytes, n: int) -> bool:
     return 7 * int(np.minimum(x, y).sum()) >= 3 * (m + n)
 
 
-def _blocks(best: bool):
-    """Joins blocks that arrive in order of (key, x, y)."""
+def _blocks(limited: bool):
+    """Joins blocks that arrive in order of (key, x, y). A row of -1 tells of a block that isn't done."""
 
     def joined(table: pa.Table, cuts: np.ndarray):
         rows, x, y = Rows(table), table.column("x").to_numpy(), table.column("y").to_numpy()
         starts, lengths = cuts[:-1], np.diff(cuts)
         crossed = x[starts] != y[starts]
         small = (lengths <= SMALL) & (lengths > 1)
-        found = [] if best else list(rows.small_blocks(starts[small], lengths[small], crossed[small]))
+        found, whole = list(rows.small_blocks(starts[small], lengths[small], crossed[small])), True
         for k in np.flatnonzero(lengths > SMALL).tolist():
-            found += rows.block(int(starts[k]), int(starts[k] + lengths[k]), bool(crossed[k]), best)
+            own, done = rows.block(int(starts[k]), int(starts[k] + lengths[k]), bool(crossed[k]), limited)
+            found += own
+            whole &= done
+        if not whole:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([-1], pa.int64())], ["a", "b"])
         for i, j in found:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rows.ids[i], rows.ids[j])), pa.array(np.maximum(rows.ids[i], rows.ids[j]))], ["a", "b"])
 
@@ -369,7 +382,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))  # FREQUENT longs at most
     rows = scratch.keep(
-        docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(lambda it: _sets(frequent.value)(it), "uid long, doc_id long, n long, f1 long, f2 long, point binary, keys array<long>"),
+        docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(lambda it: _sets(frequent.value)(it), "uid long, doc_id long, n long, f1 long, f2 long, point binary, keys array<long>, rare long"),
         "rows",
     )
     full = rows.where("n > 0")
@@ -378,8 +391,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     points = scratch.keep(full.where("point is not null").join(ident.where("uid = rep").select("uid"), "uid").select(F.col("uid").alias("rep"), "doc_id", "n", "f1", "f2", "point"), "points")
     classes = points.select("rep", "doc_id", "f1", "f2")
 
-    keyed = full.where("keys is not null").select(F.explode("keys").alias("key"), "uid")
-    shared = scratch.keep(keyed.repartition(width, "key").sortWithinPartitions("key", "uid").mapInArrow(_shared, "key long, uid long, leader long"), "shared")
+    keyed = full.where("keys is not null").select(F.explode("keys").alias("key"), "uid", "rare")
+    # The first row of a key is the one of fewest rare keys: of a large group of near copies, what they are copies of.
+    shared = scratch.keep(keyed.repartition(width, "key").sortWithinPartitions("key", "rare", "uid").select("key", "uid").mapInArrow(_shared, "key long, uid long, leader long"), "shared")
 
     def to_pairs(df: DataFrame) -> DataFrame:
         return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -393,34 +407,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = scratch.keep(_verify(first, classes, docs), "links")
     found = scratch.keep(components(links, scratch, "round-1"), "found")
 
-    def compared(found: DataFrame, best: bool) -> DataFrame:
-        """Pairs of classes of different components that blocks and points let link."""
-        place = scratch.keep(points.select("rep", "n").join(found.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "n", F.coalesce("comp", "rep").alias("comp")), f"place-{next(number)}")
-        block = shared.select("key", "uid").join(ident, "uid").select("key", "rep").join(place, "rep").repartition(width, "key").groupBy("key", "rep").agg(F.first("comp").alias("comp"), F.first("n").alias("n"))
-        mixed = block.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").where(F.col("rows") > (SMALL if best else 1))
+    # What each class can share at most: its size without the keys that it has alone.
+    reach = F.col("n") - (F.col("n") - F.ceil(3 * F.col("n") / 4) + 1) + F.col("with")
+    alive = shared.groupBy(F.col("uid").alias("rep")).agg(F.count(F.lit(1)).alias("with")).join(points.select("rep", "n"), "rep").select("rep", "n", reach.cast("long").alias("reach")).where("4 * reach >= 3 * n")
+    alive = scratch.keep(alive, "alive")
+
+    def compared(found: DataFrame, limited: bool) -> DataFrame:
+        """Pairs of classes of different components that blocks, sizes and points let link; -1 where more are to come."""
+        place = scratch.keep(alive.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "n", "reach", F.coalesce("comp", "rep").alias("comp")), f"place-{next(number)}")
+        block = shared.select("key", "uid").join(ident, "uid").select("key", "rep").join(place, "rep").repartition(width, "key").groupBy("key", "rep").agg(*[F.first(c).alias(c) for c in ("comp", "n", "reach")])
+        mixed = block.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi")
         mixed = mixed.select("key", F.ceil(F.col("rows") / PART_ROWS).cast("long").alias("parts"))
         block = block.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
         block = block.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        block = block.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rep", "n", "comp").join(points.select("rep", "point"), "rep")
-        pairs = block.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep").mapInArrow(_blocks(best), "a long, b long")
+        block = block.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rep", "n", "reach", "comp").join(points.select("rep", "point"), "rep")
+        pairs = block.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep").mapInArrow(_blocks(limited), "a long, b long")
         return scratch.keep(pairs.distinct(), f"pairs-{next(number)}")
 
-    # Then between the components of each block: large blocks in rounds, then all.
-    number = itertools.count()
-    for _ in range(ROUNDS):
-        links = scratch.keep(_verify(compared(found, True), classes, docs), f"links-{next(number)}")
+    # Then between the components of each block.
+    number, limited = itertools.count(), True
+    while True:
+        pairs = compared(found, limited)
+        more = not pairs.where("a < 0").isEmpty()
+        links = scratch.keep(_verify(pairs.where("a >= 0"), classes, docs), f"links-{next(number)}")
         if links.isEmpty():
+            if not more:
+                break
+            limited = False  # the best of each row don't link: compare all
+            continue
+        links = links.union(found.where("v <> comp").select("v", "comp"))
+        found = scratch.keep(components(links, scratch, f"links-{next(number)}"), f"found-{next(number)}")
+        if not more:
             break
-        found = scratch.keep(components(links.union(found.where("v <> comp").select("v", "comp")), scratch, f"large-{next(number)}"), f"found-{next(number)}")
-    links = scratch.keep(_verify(compared(found, False), classes, docs).union(found.where("v <> comp").select("v", "comp")), "all-links")
-    comp = components(links, scratch, "all")
+    comp = found
 
     named = full.select("uid", "doc_id", "n").join(ident, "uid").join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("uid", "doc_id", "n", F.coalesce("comp", "rep").alias("comp"))
     named = scratch.keep(named, "named")
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "uid")
     out = scratch.keep(out.union(rows.where("n = 0").select("doc_id", "n", "doc_id", "uid")), "out")
-    scratch.drop("rows", "ident", "points", "shared", "first", "links", "found", "all-links", "named")
+    scratch.drop("rows", "ident", "points", "shared", "alive", "first", "links", "named")
     return out
 
 
