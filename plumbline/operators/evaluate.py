@@ -31,7 +31,7 @@ def instructions(df: DataFrame, mode: str = "failfast") -> DataFrame:
     )
     df = df.where(F.col("i").isNull() | (F.col("i") < F.size("instruction_id_list"))).withColumn("error", error)
     if mode == "failfast":
-        df = df.withColumn("i", F.when(F.col("error").isNotNull(), F.raise_error("error").cast("int")).otherwise(F.col("i")))
+        df = df.withColumn("i", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("int")).otherwise(F.col("i")))
     return df.select("*", F.col("__pair.id").alias("instruction_id"), F.col("__pair.args").alias("args")).drop("__pair")
 
 

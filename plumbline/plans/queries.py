@@ -140,6 +140,32 @@ def check_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", C.json_format(damaged).alias("ok"))
 
 
+ALL = {
+    "existence": ("keywords:existence", {"keywords": ["the", "of"]}),
+    "words": ("length_constraints:number_words", {"num_words": 300, "relation": "at least"}),
+    "sentences": ("length_constraints:number_sentences", {"num_sentences": 20, "relation": "at least"}),
+    "paragraphs": ("length_constraints:number_paragraphs", {"num_paragraphs": 1}),
+    "letters": ("keywords:letter_frequency", {"letter": "e", "let_frequency": 100, "let_relation": "at least"}),
+    "capitals": ("change_case:capital_word_frequency", {"capital_frequency": 3, "capital_relation": "at least"}),
+    "no_comma": ("punctuation:no_comma", {}),
+    "upper": ("change_case:english_capital", {}),
+}
+
+
+@query(
+    "all_checks",
+    rf"""select doc_id, {has_word('the')} and {has_word('of')} as existence, len(regexp_extract_all(t, '{W}+')) >= 300 as words,
+    (case when regexp_matches(t, '\S') then 1 else 0 end) + len(regexp_extract_all({TRIM}, '[.!?]\s+')) >= 20 as sentences,
+    (with p as (select string_split_regex(t, '\s*\*\*\*\s*') as a), q as (select list_transform(a, lambda x: not regexp_matches(x, '\S')) as b, len(a) as n from p)
+        select case when n > 2 and list_contains(b[2:n - 1], true) then false when n = 1 then n - b[1]::int = 1 else n - b[1]::int - b[n]::int = 1 end from q) as paragraphs,
+    length(lower(t)) - length(replace(lower(t), 'e', '')) >= 100 as letters, len(list_filter(regexp_extract_all(t, '{W}+(?:[-''.]{W}+)*'), lambda x: {UPPER.format('x')})) >= 3 as capitals,
+    not contains(t, ',') as no_comma, {UPPER.format('t')} and {IS_ENGLISH} as upper from (select doc_id, text as t from documents)""",
+)
+def all_checks(spark, sf_dir):
+    """Many checks in one scan and one projection."""
+    return table(spark, sf_dir, "documents").select("doc_id", *[C.REGISTRY[i](T(), **{k: literal(v) for k, v in kw.items()}).alias(name) for name, (i, kw) in ALL.items()])
+
+
 # --- text functions
 
 
