@@ -54,13 +54,14 @@ def _encode(symbols: np.ndarray, f: np.ndarray, c: np.ndarray):
     """symbols: (steps, blocks * LANES). States, and the mask and values of the words by step."""
     x = np.full(symbols.shape[1], _LOW, np.uint64)
     mask, words = np.zeros(symbols.shape, bool), np.zeros(symbols.shape, np.uint32)
+    fs, cs = f[symbols], c[symbols]
+    most = fs << np.uint64(63 - BITS)
+    gap = np.uint64(1 << BITS) - fs
     for t in range(len(symbols) - 1, -1, -1):
-        fs = f[symbols[t]]
-        out = x >= fs << np.uint64(63 - BITS)
-        mask[t], words[t] = out, x.astype(np.uint32)
-        x = np.where(out, x >> _32, x)
-        q = x // fs
-        x = (q << np.uint64(BITS)) + (x - q * fs) + c[symbols[t]]
+        np.greater_equal(x, most[t], out=mask[t])
+        words[t] = x
+        x >>= np.where(mask[t], _32, np.uint64(0))
+        x += (x // fs[t]) * gap[t] + cs[t]  # the quotient moves up by BITS
     return x, mask, words
 
 
@@ -82,7 +83,9 @@ def _decode(x: np.ndarray, words: np.ndarray, at: np.ndarray, steps: int, f, c,
 
 def write_segment(doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> bytes:
     ids = ids.astype(np.uint32)
-    symbols, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts, inverse = counts[symbols], (np.cumsum(counts > 0) - 1)[ids] if len(ids) else ids
     heads, streams = [], []
     f = c = np.zeros(0, np.uint64)
     if len(ids):
