@@ -4,6 +4,7 @@ limits, and vectorised hashing of words and shingles."""
 from __future__ import annotations
 
 import functools
+import gc
 import math
 import os
 import tempfile
@@ -50,6 +51,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of plans that are done; it does so when the driver's garbage is collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:

@@ -37,19 +37,23 @@ from pyspark.sql import functions as F
 from .common import U64, Scratch, limit_batches, mix, partitions, shingle_sets, text_buffers
 from .graph import components
 
+#: Bits of the filter that finds the rows whose sets are compared.
+FILTER_LOG2 = 24
 #: Blocks are split into parts of about so many rows.
 PART_ROWS = 4096
 #: The list of frequent shingles: at most so many, of documents whose id hashes to one residue of SAMPLE.
 FREQUENT, SAMPLE = 65_536, 64
 #: A block that would give more pairs a row gives the best of each row instead, for another round.
 PAIRS_A_ROW = 8
+#: Counts from here on are kept as this.
+FULL = 255
 #: Blocks of up to so many rows need no tree.
 SMALL = 32
 
 
 def levels_of(sizes: np.ndarray) -> np.ndarray:
     """log2 of the number of groups for sets of these sizes."""
-    return np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / 8)), 4, 12).astype(np.int64)
+    return np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / 3)), 4, 14).astype(np.int64)
 
 
 def level_of(n: int) -> int:
@@ -59,11 +63,14 @@ def level_of(n: int) -> int:
 def count_vector(hashes: np.ndarray) -> bytes:
     level = level_of(len(hashes))
     groups = ((hashes * U64(0xC2B2AE3D27D4EB4F)) >> U64(64 - level)).astype(np.int64)
-    return np.bincount(groups, minlength=1 << level).astype("<u4" if level == 12 else "<u2").tobytes()
+    return np.minimum(np.bincount(groups, minlength=1 << level), FULL).astype(np.uint8).tobytes()
 
 
-def read_vector(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, "<u4" if level_of(n) == 12 else "<u2").astype(np.int32)
+def read_counts(data: np.ndarray) -> np.ndarray:
+    """Counts from their bytes; a full one may be any number, and so bounds nothing."""
+    counts = data.astype(np.int32)
+    counts[data == FULL] = 1 << 20
+    return counts
 
 
 def fold(points: np.ndarray) -> np.ndarray:
@@ -131,9 +138,7 @@ class Rows:
 
     def points(self, rows: np.ndarray, level: int) -> np.ndarray:
         """Counts of rows of one level."""
-        kind = np.dtype("<u4" if level == 12 else "<u2")
-        blobs = self.data[self.at[rows][:, None] + np.arange(kind.itemsize << level)]
-        return blobs.view(kind).astype(np.int32)
+        return read_counts(self.data[self.at[rows][:, None] + np.arange(1 << level)])
 
     def bounded(self, i: np.ndarray, j: np.ndarray):
         """Of pairs of rows: those of different labels that sizes and points let link."""
@@ -280,7 +285,7 @@ def _bounded(batches):
 def _pair_bound(x: bytes, m: int, y: bytes, n: int) -> bool:
     if 4 * min(m, n) < 3 * max(m, n):
         return False
-    x, y = read_vector(x, m), read_vector(y, n)
+    x, y = (read_counts(np.frombuffer(b, np.uint8)) for b in (x, y))
     while len(x) != len(y):
         x, y = (fold(x), y) if len(x) > len(y) else (x, fold(y))
     return 7 * int(np.minimum(x, y).sum()) >= 3 * (m + n)
@@ -330,10 +335,44 @@ def _blocks(limited: bool):
     return run
 
 
-def _full_sets(batches):
+def _places(ids: np.ndarray) -> np.ndarray:
+    """Two bits of the filter for each id."""
+    h = mix(ids.view(U64) + U64(0x632BE59BD9B4E019))
+    return np.stack([h & U64((1 << FILTER_LOG2) - 1), h >> U64(64 - FILTER_LOG2)]).astype(np.int64)
+
+
+def _filter_bits(batches):
     for batch in batches:
+        places = _places(batch.column(0).to_numpy()).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(places >> 6), pa.array((U64(1) << (places & 63).astype(U64)).view(np.int64))], ["word", "bits"])
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bloom filter of 2**FILTER_LOG2 bits over ids; however many they are, it is no larger, only less selective."""
+    rows = ids.mapInArrow(_filter_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << FILTER_LOG2 - 6, np.int64)
+    words[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return words
+
+
+def _full_sets(wanted):
+    """Whole sets of the rows whose id passes the filter; null ids all do."""
+
+    def run(batches):
+        words = wanted.value
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy()
+            bits = _places(ids)
+            keep = ((words[bits >> 6] >> (bits & 63)) & 1).all(0) | ~batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            yield from _sets_of(batch.column(1).take(pa.array(np.flatnonzero(keep))))
+
+    return run
+
+
+def _sets_of(texts):
+    if len(texts):
         prints, blobs = [], []
-        for _, got in shingle_sets(*text_buffers(batch.column(0))):
+        for _, got in shingle_sets(*text_buffers(texts)):
             if len(got):
                 prints.append(np.frombuffer(blake2b(blob := got.tobytes(), digest_size=16).digest(), "<i8"))
                 blobs.append(blob)
@@ -357,8 +396,8 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs of classes that link, by their whole sets."""
     ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     wanted = classes.join(ends, "rep")
-    ids = wanted.select(F.col("doc_id").alias("want")).distinct()
-    sets = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text").mapInArrow(_full_sets, "f1 long, f2 long, shingles binary")
+    wanted_ids = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.where("doc_id is not null").select("doc_id")))  # 2**FILTER_LOG2 bits
+    sets = docs.select("doc_id", "text").mapInArrow(_full_sets(wanted_ids), "f1 long, f2 long, shingles binary")
     sets = wanted.select("f1", "f2", "rep").join(sets, ["f1", "f2"]).dropDuplicates(["rep"]).select("rep", "shingles")
     a, b = sets.toDF("a", "x"), sets.toDF("b", "y")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
@@ -387,7 +426,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     full = rows.where("n > 0")
     reps = full.groupBy("f1", "f2").agg(F.min("uid").alias("rep"))
-    ident = scratch.keep(full.select("uid", "f1", "f2").join(reps, ["f1", "f2"]).select("uid", "rep"), "ident")
+    ident = scratch.keep(full.select("uid", "doc_id", "n", "f1", "f2").join(reps, ["f1", "f2"]).select("uid", "rep", "doc_id", "n"), "ident")
+    empty = scratch.keep(rows.where("n = 0").select("doc_id", "n", "uid"), "empty")
     points = scratch.keep(full.where("point is not null").join(ident.where("uid = rep").select("uid"), "uid").select(F.col("uid").alias("rep"), "doc_id", "n", "f1", "f2", "point"), "points")
     classes = points.select("rep", "doc_id", "f1", "f2")
 
@@ -395,12 +435,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # The first row of a key is the one of fewest rare keys: of a large group of near copies, what they are copies of.
     shared = scratch.keep(keyed.repartition(width, "key").sortWithinPartitions("key", "rare", "uid").select("key", "uid").mapInArrow(_shared, "key long, uid long, leader long"), "shared")
 
+    scratch.drop("rows")
+    scratch.release()
+
     def to_pairs(df: DataFrame) -> DataFrame:
         return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     # First round: of each row, the first row of the keys that most of its keys lead to.
     leads = shared.where("uid <> leader").groupBy("uid", "leader").count().groupBy("uid").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-    leads = leads.join(ident.toDF("uid", "a"), "uid").join(ident.toDF("leader", "b"), "leader").where("a <> b")
+    leads = leads.join(ident.select("uid", F.col("rep").alias("a")), "uid").join(ident.select(F.col("uid").alias("leader"), F.col("rep").alias("b")), "leader").where("a <> b")
     side = points.select("rep", "n", "point")
     first = to_pairs(leads).distinct().join(side.toDF("a", "m", "x"), "a").join(side.toDF("b", "n", "y"), "b").select("a", "b", "x", "m", "y", "n").mapInArrow(_bounded, "a long, b long")
     first = scratch.keep(first, "first")
@@ -415,7 +458,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def compared(found: DataFrame, limited: bool) -> DataFrame:
         """Pairs of classes of different components that blocks, sizes and points let link; -1 where more are to come."""
         place = scratch.keep(alive.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "n", "reach", F.coalesce("comp", "rep").alias("comp")), f"place-{next(number)}")
-        block = shared.select("key", "uid").join(ident, "uid").select("key", "rep").join(place, "rep").repartition(width, "key").groupBy("key", "rep").agg(*[F.first(c).alias(c) for c in ("comp", "n", "reach")])
+        member = ident.select("uid", "rep").join(place, "rep")
+        block = shared.select("key", "uid").join(member, "uid").repartition(width, "key").groupBy("key", "rep").agg(*[F.first(c).alias(c) for c in ("comp", "n", "reach")])
         mixed = block.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi")
         mixed = mixed.select("key", F.ceil(F.col("rows") / PART_ROWS).cast("long").alias("parts"))
         block = block.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
@@ -427,7 +471,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Then between the components of each block.
     number, limited = itertools.count(), True
     while True:
+        scratch.release()
         pairs = compared(found, limited)
+        scratch.release()
         more = not pairs.where("a < 0").isEmpty()
         links = scratch.keep(_verify(pairs.where("a >= 0"), classes, docs), f"links-{next(number)}")
         if links.isEmpty():
@@ -441,12 +487,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
     comp = found
 
-    named = full.select("uid", "doc_id", "n").join(ident, "uid").join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("uid", "doc_id", "n", F.coalesce("comp", "rep").alias("comp"))
+    scratch.release()
+    named = ident.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("uid", "doc_id", "n", F.coalesce("comp", "rep").alias("comp"))
     named = scratch.keep(named, "named")
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "uid")
-    out = scratch.keep(out.union(rows.where("n = 0").select("doc_id", "n", "doc_id", "uid")), "out")
-    scratch.drop("rows", "ident", "points", "shared", "alive", "first", "links", "named")
+    out = scratch.keep(out.union(empty.select("doc_id", "n", "doc_id", "uid")), "out")
+    scratch.drop("ident", "empty", "points", "shared", "alive", "first", "links", "named")
     return out
 
 
