@@ -96,7 +96,9 @@ def assess(docs: DataFrame, carry: list[str] = ["doc_id"]) -> DataFrame:
     for name in rules:
         kept &= F.col(f"fits_{name}")
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_lines", "n_stop_words"]
-    return df.withColumn("kept", kept).select(*carry, *measures, "base_failed", "kept", *[f"fits_{n}" for n in rules])
+    # A field that isn't deterministic keeps later filters above the projection; pushed down, they would compute the measures over and over.
+    whole = F.struct(*measures, "base_failed", "kept", *[f"fits_{n}" for n in rules])
+    return df.withColumn("kept", kept).select(*carry, F.when(F.monotonically_increasing_id() >= 0, whole).alias("__m")).select(*carry, "__m.*")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -105,6 +107,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{names.index('text')}"
     judged = assess(inner.withColumnRenamed(text, "text"), [c if c != text else "text" for c in inner.columns])
-    # A column that isn't deterministic keeps the filter above the projection; pushed down, it would compute the measures over and over.
-    judged = judged.withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
     return judged.where("kept").select(*[F.col(c if c != text else "text").alias(n) for c, n in zip(inner.columns, names)])

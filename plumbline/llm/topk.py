@@ -109,8 +109,8 @@ def _scan(queries, k: int):
                     best[at + q] = got_ids, got
 
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
             kept, x = integers(batch.column(1), vectors.shape[1])
-            kept = kept[batch.column(0).is_valid().to_numpy(zero_copy_only=False)[kept]] if len(kept) else kept
             if len(kept):
                 held_ids.append(batch.column(0).take(pa.array(kept)).to_numpy())
                 held.append(x)
