@@ -78,5 +78,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+def _quality_sql() -> str:
+    from .quality import RULES, STOP_WORDS
+
+    fits = []
+    for name, measure, low, high in RULES:
+        top, bottom = measure.split(" / ")
+        ratio = f"{top} / nullif({bottom}, 0)::double"
+        both = [f"{ratio} >= {low}"] * (low is not None) + [f"{ratio} <= {high}"] * (high is not None)
+        fits.append(f"coalesce({' and '.join(both)}, true) as fits_{name}")
+    stop = ", ".join(repr(w) for w in dict.fromkeys(STOP_WORDS))
+    return f"""with d as (select doc_id, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') as a,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\x09-\\x0D]')) as l from documents),
+    g as (select doc_id, a, unnest(range(1, len(a) - 1)) as i from d where len(a) > 2),
+    c as (select doc_id, i, count(*) over (partition by doc_id, a[i], a[i + 1], a[i + 2]) as n from g),
+    r as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from c where n > 1) group by 1),
+    m as (select d.doc_id, len(a)::bigint as n_words, length(regexp_replace(t, '[ \\x09-\\x0D]', '', 'g'))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+      (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words, (length(t) - length(regexp_replace(t, '[!?]', '', 'g')))::bigint as n_marks, len(l)::bigint as n_lines,
+      len(list_filter(a, lambda x: lower(x) in ({stop})))::bigint as n_stop_words from d left join r on d.doc_id = r.doc_id),
+    f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {', '.join(fits)} from m)
+    select *, not base_failed and {' and '.join(f'fits_{r[0]}' for r in RULES)} as kept from f"""
+
+
+_TOPK_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as x from embeddings),
+s as (select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2]))::bigint as score from v q, v where q.vec_id % 50 = 0 and q.vec_id <> v.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s) select query_id, rank, vec_id, score from r where rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the quality rules and the search. The others' hashes, tokens, links and models can't be said in it; tests hold these against brute force."""
+    return {"op4_quality_rules": _quality_sql(), "op8_topk": _TOPK_SQL}
