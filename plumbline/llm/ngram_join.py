@@ -292,20 +292,21 @@ def _pair_bound(x: bytes, m: int, y: bytes, n: int) -> bool:
 
 
 def _blocks(limited: bool):
-    """Joins blocks that arrive in order of (key, x, y). A row of -1 tells of a block that isn't done."""
+    """Joins blocks that arrive in order of (key, x, y). A row of -1 and a key tells of a block that isn't done."""
 
     def joined(table: pa.Table, cuts: np.ndarray):
         rows, x, y = Rows(table), table.column("x").to_numpy(), table.column("y").to_numpy()
         starts, lengths = cuts[:-1], np.diff(cuts)
         crossed = x[starts] != y[starts]
         small = (lengths <= SMALL) & (lengths > 1)
-        found, whole = list(rows.small_blocks(starts[small], lengths[small], crossed[small])), True
+        found, undone = list(rows.small_blocks(starts[small], lengths[small], crossed[small])), []
         for k in np.flatnonzero(lengths > SMALL).tolist():
             own, done = rows.block(int(starts[k]), int(starts[k] + lengths[k]), bool(crossed[k]), limited)
             found += own
-            whole &= done
-        if not whole:
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([-1], pa.int64())], ["a", "b"])
+            if not done:
+                undone.append(table.column("key")[int(starts[k])].as_py())
+        if undone:
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(undone), pa.int64()), pa.array(undone, pa.int64())], ["a", "b"])
         for i, j in found:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rows.ids[i], rows.ids[j])), pa.array(np.maximum(rows.ids[i], rows.ids[j]))], ["a", "b"])
 
@@ -455,11 +456,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alive = shared.groupBy(F.col("uid").alias("rep")).agg(F.count(F.lit(1)).alias("with")).join(points.select("rep", "n"), "rep").select("rep", "n", reach.cast("long").alias("reach")).where("4 * reach >= 3 * n")
     alive = scratch.keep(alive, "alive")
 
-    def compared(found: DataFrame, limited: bool) -> DataFrame:
-        """Pairs of classes of different components that blocks, sizes and points let link; -1 where more are to come."""
+    def compared(found: DataFrame, limited: bool, blocks: DataFrame) -> DataFrame:
+        """Pairs of classes of different components that blocks, sizes and points let link; -1 and the key where more are to come."""
         place = scratch.keep(alive.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "n", "reach", F.coalesce("comp", "rep").alias("comp")), f"place-{next(number)}")
         member = ident.select("uid", "rep").join(place, "rep")
-        block = shared.select("key", "uid").join(member, "uid").repartition(width, "key").groupBy("key", "rep").agg(*[F.first(c).alias(c) for c in ("comp", "n", "reach")])
+        block = blocks.select("key", "uid").join(member, "uid").repartition(width, "key").groupBy("key", "rep").agg(*[F.first(c).alias(c) for c in ("comp", "n", "reach")])
         mixed = block.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi")
         mixed = mixed.select("key", F.ceil(F.col("rows") / PART_ROWS).cast("long").alias("parts"))
         block = block.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
@@ -469,12 +470,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return scratch.keep(pairs.distinct(), f"pairs-{next(number)}")
 
     # Then between the components of each block.
-    number, limited = itertools.count(), True
+    number, limited, blocks = itertools.count(), True, shared
     while True:
         scratch.release()
-        pairs = compared(found, limited)
+        pairs = compared(found, limited, blocks)
         scratch.release()
-        more = not pairs.where("a < 0").isEmpty()
+        undone = pairs.where("a < 0").select(F.col("b").alias("key")).distinct()
+        more = not undone.isEmpty()
+        blocks = shared.join(undone, "key", "left_semi")  # the others are done
         links = scratch.keep(_verify(pairs.where("a >= 0"), classes, docs), f"links-{next(number)}")
         if links.isEmpty():
             if not more:
