@@ -31,7 +31,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Scratch, limit_batches, mix, partitions, shingle_sets, text_buffers
@@ -206,7 +206,7 @@ class Rows:
 
 
 def _sets(frequent: np.ndarray):
-    """Sizes, fingerprints, points and keys; those of equal sets once in a task, as far as memory of fixed size goes."""
+    """Sizes, fingerprints, points and keys; those of equal sets once in a task, as far as memory of fixed size goes. Columns after the text go along."""
 
     def run(batches):
         seen: set[bytes] = set()
@@ -232,8 +232,8 @@ def _sets(frequent: np.ndarray):
                     rare[row] = min(first, size - int(hot.sum()))
                 keys[row] = got[:first].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(rare)],
-                ["uid", "doc_id", "n", "f1", "f2", "point", "keys", "rare"],
+                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(rare), *batch.columns[3:]],
+                ["uid", "doc_id", "n", "f1", "f2", "point", "keys", "rare", *batch.schema.names[3:]],
             )
 
     return run
@@ -416,18 +416,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id in a component with others get the least doc_id that isn't null. An
     empty table gives no rows. Other columns, of any name, are ignored.
     """
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    named, empty = _linked(docs, scratch)
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    out = named.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "uid")
+    out = scratch.keep(out.union(empty.select("doc_id", "n", "doc_id", "uid")), "out")
+    scratch.drop("ident", "empty", "points", "shared", "alive", "first", "links", "named")
+    return out
+
+
+def _digest(text):
+    """What tells texts of one doc_id apart."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def _linked(docs: DataFrame, scratch: Scratch, digest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows that have a set, (uid, doc_id, n, comp) and with ``digest`` that of the text, and rows that have none, (doc_id, n, uid). comp is the component's least uid of a class."""
     spark = docs.sparkSession
     limit_batches(spark)
-    scratch, width = Scratch(spark, "ngram-join"), partitions(spark)
+    width = partitions(spark)
+    also = ["digest"] if digest else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))  # FREQUENT longs at most
     rows = scratch.keep(
-        docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(lambda it: _sets(frequent.value)(it), "uid long, doc_id long, n long, f1 long, f2 long, point binary, keys array<long>, rare long"),
+        docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", *[_digest("text").alias(c) for c in also]).mapInArrow(
+            lambda it: _sets(frequent.value)(it), ", ".join(["uid long, doc_id long, n long, f1 long, f2 long, point binary, keys array<long>, rare long", *[f"{c} binary" for c in also]])
+        ),
         "rows",
     )
     full = rows.where("n > 0")
     reps = full.groupBy("f1", "f2").agg(F.min("uid").alias("rep"))
-    ident = scratch.keep(full.select("uid", "doc_id", "n", "f1", "f2").join(reps, ["f1", "f2"]).select("uid", "rep", "doc_id", "n"), "ident")
+    ident = scratch.keep(full.select("uid", "doc_id", "n", "f1", "f2", *also).join(reps, ["f1", "f2"]).select("uid", "rep", "doc_id", "n", *also), "ident")
     empty = scratch.keep(rows.where("n = 0").select("doc_id", "n", "uid"), "empty")
     points = scratch.keep(full.where("point is not null").join(ident.where("uid = rep").select("uid"), "uid").select(F.col("uid").alias("rep"), "doc_id", "n", "f1", "f2", "point"), "points")
     classes = points.select("rep", "doc_id", "f1", "f2")
@@ -491,27 +510,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = found
 
     scratch.release()
-    named = ident.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("uid", "doc_id", "n", F.coalesce("comp", "rep").alias("comp"))
-    named = scratch.keep(named, "named")
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "uid")
-    out = scratch.keep(out.union(empty.select("doc_id", "n", "doc_id", "uid")), "out")
-    scratch.drop("ident", "empty", "points", "shared", "alive", "first", "links", "named")
-    return out
+    named = ident.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("uid", "doc_id", "n", F.coalesce("comp", "rep").alias("comp"), *also)
+    return scratch.keep(named, "named"), empty
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that of its least doc_id.
 
-    Rows of null doc_id stay unless a component has another row. Repeated rows
-    of a doc_id that stays are cut to one only where doc_ids repeat; such rows
-    without text stay one each as well.
+    Each row is judged by its own component, whatever other rows have its
+    doc_id. Of rows of the least doc_id that of the least text digest stays, of
+    those of one text that whose other columns come first as JSON. Null doc_ids
+    come after all others, so a component of null doc_ids keeps one row too.
+    Rows without a set are their own components and all stay.
     """
-    found = near_duplicates(docs)
-    gone = found.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id"))
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    named, _ = _linked(docs, scratch, digest=True)
+    # Rows of one doc_id and text are in one component, so these two are a key that any reading of docs gives again.
+    keys = named.groupBy("comp", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows")).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
+    best = keys.groupBy("comp").agg(F.min("rank").alias("best"))
+    judged = keys.join(best, "comp").select(F.col("doc_id").alias("__doc_id"), F.col("digest").alias("__digest"), F.col("rank").eqNullSafe(F.col("best")).alias("__stays"), "rows")
+    judged = scratch.keep(judged.where("not __stays or rows > 1").drop("rows"), "judged")
+    scratch.drop("ident", "empty", "points", "shared", "alive", "first", "links", "named")
+    ident = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (_digest(F.col("text").cast("string")) == F.col("__digest"))
+    kept = docs.join(judged.where("not __stays"), ident, "left_anti")
+    twice = judged.where("__stays")
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, kept["doc_id"].eqNullSafe(F.col("twice_id")), "left_anti")
-    return once.union(kept.join(twice, kept["doc_id"].eqNullSafe(F.col("twice_id")), "left_semi").dropDuplicates(["doc_id"]))
+    others = F.to_json(F.struct(F.lit(0).alias("__"), *[docs[c] for c in docs.columns if c not in ("doc_id", "text")]))
+    first = Window.partitionBy("__doc_id", "__digest").orderBy("__others")
+    again = docs.withColumn("__others", others).join(twice, ident).withColumn("__row", F.row_number().over(first)).where("__row = 1")
+    return kept.join(twice, ident, "left_anti").union(again.select(*docs.columns))

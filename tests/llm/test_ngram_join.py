@@ -84,6 +84,26 @@ def test_keep_one(odd):
     assert ids.count(1) == 1 and 2 not in ids and 4 in ids and 3 in ids
 
 
+def test_keep_one_by_row(spark, odd):
+    """Null and repeated ids with unlike texts: one row of each component stays, and nothing else goes."""
+    kept = [(r.doc_id, r.text) for r in N.keep_one(odd).collect()]
+    assert (None, None) in kept and (None, "short text") not in kept and (-9, "short text") in kept
+    assert [i for i, _ in kept].count(3) == 1 and 4 in [i for i, _ in kept] and 7 in [i for i, _ in kept]
+    a, b, c, d, e, f = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcdef")
+    rows = [
+        (1, a, "x"), (2, a + " more", "x"), (1, b, "x"), (3, b + " more", "x"),  # one id heads two components
+        (2, c, "x"), (None, c + " more", "x"),  # 2 goes above, and stays here
+        (None, d, "x"), (None, d + " more", "x"), (None, e, "x"),  # null ids only
+        (9, f, "z"), (9, f, "y"), (9, f + " more", "y"), (9, "", "x"), (9, None, "x"), (None, " ", "x"),
+    ]
+    for parts in (1, 4):
+        got = [tuple(r) for r in N.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)).collect()]
+        heads = sorted((str(i), t[0]) for i, t, _ in got if t and t.strip())
+        assert heads == [("1", "a"), ("1", "b"), ("2", "c"), ("9", "f"), ("None", "d"), ("None", "e")]
+        assert (1, a, "x") in got and (1, b, "x") in got and (2, c, "x") in got and (9, f, "z") not in got
+        assert [t for _, t, _ in got if not (t and t.strip())].count(None) == 1 and len(got) == 9
+
+
 def test_bound_holds():
     rng = np.random.default_rng(1)
     for _ in range(50):
