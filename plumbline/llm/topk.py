@@ -25,21 +25,21 @@ QUERY_BLOCK, ROW_BLOCK, QUERY_TILE = 16_384, 8_192, 512
 SCHEMA = "query_id long, vec_id long, score long"
 
 
-def integers(vectors: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that take part, and floor(256 * x) of their components. Left out: null, null or non-finite components, another dimension."""
-    kept, parts = [], []
+def integers(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each length: rows that take part, and floor(256 * x) of their components. Left out: null vectors, null or non-finite components."""
+    found: dict[int, tuple[list, list]] = {}
     for k, v in enumerate(vectors):
         if not v.is_valid:
             continue
         x = v.values
-        if x.null_count or (dim is not None and len(x) != dim):
+        if x.null_count:
             continue
         x = x.to_numpy(zero_copy_only=False).astype(np.float64)
         if np.isfinite(x).all():
+            kept, parts = found.setdefault(len(x), ([], []))
             kept.append(k)
             parts.append(np.floor(256 * x))
-            dim = len(x) if dim is None else dim
-    return np.array(kept, np.int64), np.array(parts).reshape(len(parts), dim or 0)
+    return {n: (np.array(kept, np.int64), np.array(parts).reshape(len(parts), n)) for n, (kept, parts) in found.items()}
 
 
 class VectorFile:
@@ -88,37 +88,34 @@ class VectorFile:
 
 
 def _scan(queries, k: int):
-    """Of each task: k rows of each query."""
+    """Of each task: k rows of each query, of its own length."""
 
     def run(batches):
-        query_ids, vectors = queries.value
-        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(query_ids)
-        held_ids: list[np.ndarray] = []
-        held: list[np.ndarray] = []
+        best: dict[int, list[tuple[np.ndarray, np.ndarray] | None]] = {n: [None] * len(own) for n, (own, _) in queries.value.items()}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def search():
-            if not held or not len(ids := np.concatenate(held_ids)):
-                return
-            file = VectorFile(np.concatenate(held))
-            for at in range(0, len(query_ids), QUERY_TILE):
-                for q, got_ids, got in file.search(query_ids[at : at + QUERY_TILE], vectors[at : at + QUERY_TILE], ids, k):
-                    if best[at + q] is not None:
-                        got_ids, got = np.concatenate([best[at + q][0], got_ids]), np.concatenate([best[at + q][1], got])
-                        top = np.lexsort((got_ids, -got))[:k]
-                        got_ids, got = got_ids[top], got[top]
-                    best[at + q] = got_ids, got
+            for n, parts in held.items():
+                query_ids, vectors = queries.value[n]
+                ids, file, top_of = np.concatenate([p[0] for p in parts]), VectorFile(np.concatenate([p[1] for p in parts])), best[n]
+                for at in range(0, len(query_ids), QUERY_TILE):
+                    for q, got_ids, got in file.search(query_ids[at : at + QUERY_TILE], vectors[at : at + QUERY_TILE], ids, k):
+                        if top_of[at + q] is not None:
+                            got_ids, got = np.concatenate([top_of[at + q][0], got_ids]), np.concatenate([top_of[at + q][1], got])
+                            top = np.lexsort((got_ids, -got))[:k]
+                            got_ids, got = got_ids[top], got[top]
+                        top_of[at + q] = got_ids, got
+            held.clear()
 
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            kept, x = integers(batch.column(1), vectors.shape[1])
-            if len(kept):
-                held_ids.append(batch.column(0).take(pa.array(kept)).to_numpy())
-                held.append(x)
-            if sum(map(len, held)) >= ROW_BLOCK:
+            for n, (kept, x) in integers(batch.column(1)).items():
+                if n in best:
+                    held.setdefault(n, []).append((batch.column(0).take(pa.array(kept)).to_numpy(), x))
+            if sum(len(ids) for parts in held.values() for ids, _ in parts) >= ROW_BLOCK:
                 search()
-                held_ids, held = [], []
         search()
-        found = [(int(query_ids[q]), i, s) for q, b in enumerate(best) if b is not None for i, s in zip(*b)]
+        found = [(int(queries.value[n][0][q]), i, s) for n, own in best.items() for q, b in enumerate(own) if b is not None for i, s in zip(*b)]
         for at in range(0, len(found), 100_000):
             a, b, c = zip(*found[at : at + 100_000])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(np.array(b)), pa.array(np.array(c))], ["query_id", "vec_id", "score"])
@@ -130,9 +127,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, query_block: int = QU
     """query_id, rank, vec_id, score: each query's ``k`` best rows by integer inner product.
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates all
-    rows of another vec_id. Components count as floor(256 * x); ties go to the
-    smaller vec_id. Null ids, null vectors, vectors with a null or non-finite
-    component or of another length than the block's first query take no part.
+    rows of another vec_id and of the query's length, as vectors of unlike
+    lengths have no inner product; each length is searched for itself, and
+    empty vectors score 0 with one another. Components count as floor(256 * x);
+    ties go to the smaller vec_id. Null ids, null vectors and vectors with a
+    null or non-finite component take no part.
     Rows that repeat a query's id are one query if their vectors are equal;
     repeated candidates count each. No queries or no rows give no rows.
     Scores must fit in 53 bits.
@@ -147,10 +146,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, query_block: int = QU
     blocks = [r[0] for r in ids.select("block").distinct().orderBy("block").collect()]  # one number for query_block queries
     for block in blocks:
         own = ids.where(F.col("block") == block).orderBy("vec_id").toArrow()
-        kept, x = integers(own.column("embedding").combine_chunks())
-        if not len(kept):
+        own_ids, found = own.column("vec_id").to_numpy(), integers(own.column("embedding").combine_chunks())
+        if not found:
             continue
-        queries = spark.sparkContext.broadcast((own.column("vec_id").to_numpy()[kept], x))  # about query_block vectors
+        queries = spark.sparkContext.broadcast({n: (own_ids[kept], x) for n, (kept, x) in found.items()})  # about query_block vectors
         part = rows.mapInArrow(_scan(queries, k), SCHEMA)
         part = scratch.keep(part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k), f"block-{block}")
         queries.unpersist()

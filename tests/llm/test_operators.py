@@ -144,6 +144,22 @@ def test_topk(spark, data):
     assert topk.top_k(odd.limit(0)).count() == 0
 
 
+def test_topk_of_several_lengths(spark):
+    """Short and empty vectors at low ids take nothing from the others, and are searched among themselves."""
+    rng = np.random.default_rng(4)
+    base = [(i, rng.normal(size=0 if i in (0, 7, 100) else 3 if i in (50, 51, 52, 149) else 8).tolist()) for i in range(300)] + [(350, [1.0] * 5)]
+    df = spark.createDataFrame(base, "vec_id long, embedding array<double>").repartition(3)
+    good = [(i, np.floor(256 * np.array(v, float)).astype(np.int64)) for i, v in base]
+    want = []
+    for q, x in good:
+        if q % 50 == 0:
+            best = sorted((-int(x @ y), i) for i, y in good if i != q and len(x) == len(y))[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert {w[0] for w in want} == {0, 50, 100, 150, 200, 250}
+    for block in (2, 100):
+        assert sorted(map(tuple, topk.top_k(df, query_block=block).collect())) == sorted(want)
+
+
 # --- secrets
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
