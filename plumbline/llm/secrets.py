@@ -2,14 +2,16 @@
 
 Base patterns find spans in every whole text. Further candidates are long mixed
 tokens. The hash of each candidate's value is counted over the corpus by
-distinct owners (the source) and repositories (the source with the language):
-values that many owners hold are copied examples, those of one owner look live.
+distinct owners (the source) and repositories (the source with the language),
+each distinct text for one of each: values that many of both hold are copied
+examples, the others look live.
 The method adds the candidates that look live, and gives each base span its
 verdict.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from hashlib import blake2b, sha256
 
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, limit_batches
 
 KINDS = ("assign", "access", "hex", "token")
-#: A value with more owners than this is a widely copied example.
-LIVE_OWNERS = 1
+#: A value is a widely copied example if this share of all owners and of all repositories hold it, or so many; two at the least.
+COPIED_SHARE, COPIED_MOST = 0.25, 10
 #: Hashes are spread over so many parts when verdicts are joined back.
 SALTS = 16
 
@@ -66,31 +68,49 @@ def written(spans) -> str:
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("hash", pa.int64())]))
-_COLUMNS = "n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:long,kind:int,end:long,hash:long>>"
+_COLUMNS = "n_assign long, n_access long, n_hex long, base_sha256 string, copy long, found array<struct<start:long,kind:int,end:long,hash:long>>"
+
+
+def _copy(text: str) -> int | None:
+    """Hash of the text's words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, the same for its copies; None under five words, where a text is little more than the value."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return int.from_bytes(blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True) if len(words) >= 5 else None
 
 
 def _scan(batches):
-    """Adds counts, digest and spans to the other columns; the text is the last of these."""
+    """Adds counts, digest, the text's hash as a copy and spans to the other columns; the text is the last of these."""
     for batch in batches:
-        counts, digests, spans = [[], [], []], [], []
+        counts, digests, copies, spans = [[], [], []], [], [], []
         for text in batch.column(batch.num_columns - 1).fill_null("").to_pylist():
             base = base_spans(text)
             for k in range(3):
                 counts[k].append(sum(x[1] == k for x in base))
             digests.append(sha256(written(base).encode()).hexdigest())
             spans.append([{"start": s, "kind": k, "end": e, "hash": _hash(v)} for s, k, e, v in sorted(base + token_spans(text, base))])
+            copies.append(_copy(text) if spans[-1] else None)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, _SPAN)],
-            [*batch.schema.names[:-1], "n_assign", "n_access", "n_hex", "base_sha256", "found"],
+            [*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(copies, pa.int64()), pa.array(spans, _SPAN)],
+            [*batch.schema.names[:-1], "n_assign", "n_access", "n_hex", "base_sha256", "copy", "found"],
         )
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """hash, owners, repositories of ``spans(hash, owner, repository)``; a null owner counts as one."""
-    spans = spans.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository")).distinct()
+    """hash, owners, repositories of ``spans(hash, copy, owner, repository)``; a null owner counts as one.
+
+    Copies of one text count for the least of their owners alone; rows of null
+    ``copy`` count for their own.
+    """
+    spans = spans.select("hash", "copy", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"))
+    least = spans.where("copy is not null").groupBy("hash", "copy").agg(F.min(F.struct("owner", "repository")).alias("o")).select("hash", "o.owner", "o.repository")
+    spans = least.union(spans.where("copy is null").select("hash", "owner", "repository")).distinct()
     return spans.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
 
 
+def many(total: int) -> int:
+    """How many of ``total`` owners or repositories make a value a copied one."""
+    return min(COPIED_MOST, max(2, math.ceil(COPIED_SHARE * total)))
+
+
 def scan(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """uid, doc_id, base counts and digest, and judged: (start, kind, end, live) of all candidates in order."""
     limit_batches(docs.sparkSession)
@@ -99,11 +119,14 @@ def scan(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), F.concat_ws("/", owner, lang).alias("repository"), F.col("text").cast("string").alias("text"))
     rows = scratch.keep(rows.mapInArrow(_scan, f"uid long, doc_id long, owner string, repository string, {_COLUMNS}"), "scanned")
     some = rows.where(F.size("found") > 0)
-    spans = some.select("uid", "owner", "repository", F.explode("found").alias("s")).select("uid", "owner", "repository", "s.*")
-    wide = ownership(spans).select("hash", (F.col("owners") <= LIVE_OWNERS).alias("live"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    spans = some.select("uid", "copy", "owner", "repository", F.explode("found").alias("s")).select("uid", "copy", "owner", "repository", "s.*")
+    everyone = rows.select(F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository")).distinct()
+    everyone = everyone.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    copied = (F.col("owners") >= many(everyone[0])) & (F.col("repositories") >= many(everyone[1]))
+    wide = ownership(spans).select("hash", (~copied).alias("live"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     spans = spans.withColumn("salt", F.pmod(F.xxhash64("uid", "start"), F.lit(SALTS)).cast("int")).join(wide, ["hash", "salt"])
     judged = spans.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("judged"))
-    return rows.drop("found", "owner", "repository").join(judged, "uid", "left").withColumn("judged", F.coalesce("judged", F.expr("cast(array() as array<struct<start:long,kind:int,end:long,live:boolean>>)")))
+    return rows.drop("found", "copy", "owner", "repository").join(judged, "uid", "left").withColumn("judged", F.coalesce("judged", F.expr("cast(array() as array<struct<start:long,kind:int,end:long,live:boolean>>)")))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -111,8 +134,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     spans has all base spans and the long tokens that look live, as
     kind:start:end in code points (end exclusive), by start, then in the order
-    of KINDS; live_spans those whose value has one owner. Null and empty texts
-    have none. Null owners are one owner. Spans of the same place and kind
+    of KINDS; live_spans those whose value isn't a widely copied example, by
+    owners and repositories over distinct texts (``ownership``, ``many``). Null
+    and empty texts have none. Null owners are one owner. Spans of the same place and kind
     occur once; repeated rows are scanned each. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "secrets")

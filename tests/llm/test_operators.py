@@ -193,6 +193,21 @@ def test_secrets(spark, docs, odd):
     assert secrets.find_secrets(odd.limit(0)).count() == 0
 
 
+def test_secrets_of_copies(spark):
+    """Copies of one text are one leak, two owners of many aren't a crowd, and repositories count too."""
+    leak, passage, example, narrow = "Zx9Qw3Er5Ty7Ui1Op4As", "Ab1Cd2Ef3Gh4Ij5Kl6Mn", "Qq1Ww2Ee3Rr4Tt5Yy6Uu", "Mm1Nn2Bb3Vv4Cc5Xx6Zz"
+    rows = [(i, f"one text that was copied with {leak} in it" + " " * i, f"s{i}", "en") for i in range(12)]
+    rows += [(20 + i, f"document {i} of its own says x{i} and shares password={passage} there", f"s{i}", "en") for i in range(2)]
+    rows += [(40 + i, f"text {i} of y{i} tells all to set {example} first", f"s{i}", ("en", "de")[i % 2]) for i in range(12)]
+    rows += [(60 + i, f"text {i} of z{i} tells a few to set {narrow} first", f"s{i}", "en") for i in range(3)]
+    rows += [(80 + i, "nothing here", f"s{i % 12}", f"l{i // 12}") for i in range(48)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    live = {r.doc_id: r.live_spans for r in secrets.find_secrets(df).collect()}
+    masked = {r.doc_id: r.text for r in secrets.mask_live(df).collect()}
+    for ids, value, looks_live in ((range(12), leak, True), (range(20, 22), passage, True), (range(40, 52), example, False), (range(60, 63), narrow, True)):
+        assert all(bool(live[i]) == looks_live and (value in masked[i]) != looks_live for i in ids)
+
+
 # --- language
 
 
