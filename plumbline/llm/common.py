@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def limit_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, in rows and bytes, for tables of long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     except Exception as e:  # a Spark version without this setting keeps to the row limit

@@ -18,7 +18,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, most: int = 60) ->
     Each round keeps every component connected and hooks vertices on smaller
     ones; it ends with stars. The rounds grow with the logarithm of the
     components' sizes. No vertex's neighbours are gathered: minima are partial
-    aggregates, joined back. No edges give no rows.
+    aggregates, joined back. No edges give no rows. The result is written as ``name``.
     """
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     mark, k = _mark(now), 0
@@ -36,4 +36,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str, most: int = 60) ->
             break
         if k == most:
             raise RuntimeError("components didn't settle")
-    return now.select(F.col("a").alias("v"), F.col("b").alias("comp")).union(now.select("b", "b").distinct())
+    out = scratch.keep(now.select(F.col("a").alias("v"), F.col("b").alias("comp")).union(now.select("b", "b").distinct()), name)
+    scratch.drop(f"{name}-{k}")
+    return out

@@ -1,21 +1,26 @@
-"""Near-duplicate join on word shingles with a count-vector R-tree.
+"""N-gram Jaccard join on word shingles with count-vector R-trees.
 
 A document's distinct shingles are hashed into groups; the counts of the groups
 are its point. Two sets share at most the sum of the coordinates' minima of
 their points, so for Jaccard >= 3/4 that sum must reach 3/7 of both sizes. A
 packed R-tree over points applies the bound to whole nodes (by the maxima of
 their boxes), then to points; the pairs that are left are verified on their
-sets.
+sets. Trees hold coarse points of COARSE counts, so that a row is small
+whatever the text's length; a pair that they leave meets its fine points once.
 
 One tree over all documents prunes little, so the trees are built over blocks
 that any linked pair shares: a set of n shingles has the first n - ceil(3n/4) + 1
 of them, in one order for all, as its keys, and two linked sets share one of
-these. The order puts the corpus's most frequent shingles last.
+these. The order puts the corpus's most frequent shingles last. Where the first
+key that two sets share is the i-th of one and the j-th of the other, they share
+min(n - i, m - j) at most; some block holds the pair with its first shared key,
+so pairs that break this bound in a block are left to others. Blocks of up to
+SMALL rows are trees of one node, whose pairs meet the fine points at once.
 
 Equal sets are one class before all this. A first round compares each class
 with one other that it shares most keys with, so that a large group of near
-copies becomes one component; the trees then look only for links between
-different components, over all blocks. Where a block would give many pairs a row, each set
+copies becomes one component; the blocks then look only for links between
+different components. Where a large block would give many pairs a row, each set
 is first compared with the one of another component that may share most with
 it, round after round while that finds links; what is left is compared with all.
 A block of many rows is split into parts, and every pair of parts is joined.
@@ -37,18 +42,22 @@ from pyspark.sql import functions as F
 from .common import U64, Scratch, limit_batches, mix, partitions, shingle_sets, text_buffers
 from .graph import components
 
-#: Bits of the filter that finds the rows whose sets are compared.
-FILTER_LOG2 = 24
+#: Bits of the filter that finds the rows whose sets are compared: 16 for each of them, between these powers of two.
+FILTER_LOG2 = (16, 28)
 #: Blocks are split into parts of about so many rows.
 PART_ROWS = 4096
 #: The list of frequent shingles: at most so many, of documents whose id hashes to one residue of SAMPLE.
 FREQUENT, SAMPLE = 65_536, 64
-#: A block that would give more pairs a row gives the best of each row instead, for another round.
+#: A large block that would give more pairs a row gives the best of each row instead, for another round.
 PAIRS_A_ROW = 8
-#: Counts from here on are kept as this.
+#: Fine counts from here on are kept as this.
 FULL = 255
-#: Blocks of up to so many rows need no tree.
+#: Blocks of up to so many rows are one node.
 SMALL = 32
+#: log2 of the counts of a coarse point.
+COARSE = 5
+#: A key row's number: rare keys of its set (saturating), the set's size, the key's place (saturating).
+SIZE_BITS, PLACE_BITS, RARE_MOST = 30, 18, (1 << 15) - 1
 
 
 def levels_of(sizes: np.ndarray) -> np.ndarray:
@@ -66,6 +75,23 @@ def count_vector(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount(groups, minlength=1 << level), FULL).astype(np.uint8).tobytes()
 
 
+def coarse_vector(hashes: np.ndarray) -> bytes:
+    """2**COARSE counts, a byte each where that is enough, else four."""
+    counts = np.bincount((hashes >> U64(64 - COARSE)).astype(np.int64), minlength=1 << COARSE)
+    return counts.astype("<u4" if counts.max() > 255 else np.uint8).tobytes()
+
+
+def coarse_points(column: pa.Array) -> np.ndarray:
+    """(rows, 2**COARSE) counts from their bytes."""
+    data, at = text_buffers(column)
+    out = np.empty((len(at) - 1, 1 << COARSE), np.int32)
+    wide = np.diff(at) > 1 << COARSE
+    out[~wide] = data[at[:-1][~wide][:, None] + np.arange(1 << COARSE)]
+    for k in np.flatnonzero(wide):
+        out[k] = np.frombuffer(data[at[k] : at[k + 1]].tobytes(), "<u4")
+    return out
+
+
 def read_counts(data: np.ndarray) -> np.ndarray:
     """Counts from their bytes; a full one may be any number, and so bounds nothing."""
     counts = data.astype(np.int32)
@@ -128,77 +154,103 @@ class CountTree:
             stack.append((depth - 1, i[fits], j[fits]))
 
 
+def read_info(info: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Size and key's place of key rows."""
+    return info >> PLACE_BITS & (1 << SIZE_BITS) - 1, info & (1 << PLACE_BITS) - 1
+
+
+def _few(starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, info: np.ndarray, reach: np.ndarray, comp: np.ndarray):
+    """Pairs (i, j) of rows of many blocks of a node each that components, sizes and places let link."""
+    sizes, places = read_info(info)
+    left = np.minimum(sizes - places, reach)
+    for m in np.unique(lengths).tolist():
+        own = starts[lengths == m]
+        x, y = np.triu_indices(m, 1)
+        step = max(1, (1 << 20) // len(x))
+        for k in range(0, len(own), step):
+            i, j = (own[k : k + step, None] + x).ravel(), (own[k : k + step, None] + y).ravel()
+            near = (comp[i] != comp[j]) & may_link(np.minimum(left[i], left[j]), sizes[i], sizes[j])
+            yield ids[i[near]], ids[j[near]]
+
+
+def _small(batches):
+    """From key rows in order of key: pairs (a, b) of small blocks, once a batch, and the rows of large ones, with their key."""
+    names = ("key", "rep", "info", "reach", "comp")
+    held = [np.zeros(0, np.int64)] * 5  # of the last key, while it may be small
+    large = None  # the last key, if it isn't
+
+    def rows(table):
+        none = pa.nulls(len(table[0]), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, *map(pa.array, table)], ["a", "b", *names])
+
+    def done(table, starts, lengths):
+        many = np.repeat(lengths > SMALL, lengths)
+        few = (lengths > 1) & (lengths <= SMALL)
+        if many.any():
+            yield rows([c[many] for c in table])
+        got = list(_few(starts[few], lengths[few], *table[1:]))
+        if got:
+            i, j = (np.concatenate(x) for x in zip(*got))
+            pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
+            none = pa.nulls(pairs.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *[none] * 5], ["a", "b", *names])
+
+    for batch in batches:
+        table = [c.to_numpy() for c in batch.columns]
+        if large is not None and len(table[0]):
+            n = int(np.searchsorted(table[0] != large, True)) if table[0][-1] != large else len(table[0])
+            if n:
+                yield rows([c[:n] for c in table])
+                table = [c[n:] for c in table]
+        if not len(table[0]):
+            continue
+        large = None
+        table = [np.concatenate(p) for p in zip(held, table)]
+        cuts = np.concatenate([[0], np.flatnonzero(table[0][1:] != table[0][:-1]) + 1, [len(table[0])]])
+        if cuts[-1] - cuts[-2] > SMALL:
+            large, last = int(table[0][-1]), len(cuts)
+        else:
+            last = len(cuts) - 1
+        end = int(cuts[last - 1])
+        held = [c[end:] for c in table]
+        if end:
+            yield from done([c[:end] for c in table], cuts[: last - 1], np.diff(cuts[:last]))
+    if len(held[0]):
+        yield from done(held, np.array([0]), np.array([len(held[0])]))
+
+
 class Rows:
-    """Rows of blocks: ids, sizes, most that can be shared, labels, parts, and points in one buffer."""
+    """Rows of large blocks: ids, sizes, most that can be shared, components, parts, and coarse points."""
 
     def __init__(self, table: pa.Table):
-        self.ids, self.sizes, self.reach, self.labels, self.parts = (table.column(c).to_numpy() for c in ("rep", "n", "reach", "comp", "part"))
-        self.levels = levels_of(self.sizes)
-        self.data, self.at = text_buffers(table.column("point"))
-
-    def points(self, rows: np.ndarray, level: int) -> np.ndarray:
-        """Counts of rows of one level."""
-        return read_counts(self.data[self.at[rows][:, None] + np.arange(1 << level)])
-
-    def bounded(self, i: np.ndarray, j: np.ndarray):
-        """Of pairs of rows: those of different labels that sizes and points let link."""
-        a, b = self.sizes[i], self.sizes[j]
-        near = (self.labels[i] != self.labels[j]) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b)) & may_link(np.minimum(self.reach[i], self.reach[j]), a, b)
-        i, j = i[near], j[near]
-        swap = self.levels[i] > self.levels[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        for level in np.unique(self.levels[i]):
-            for above in (0, 1):
-                own = np.flatnonzero((self.levels[i] == level) & (self.levels[j] == level + above))
-                step = max(1, CountTree.CHUNK >> int(level))
-                for k in range(0, len(own), step):
-                    x, y = i[own[k : k + step]], j[own[k : k + step]]
-                    q = self.points(y, int(level) + above)
-                    fits = may_link(np.minimum(self.points(x, int(level)), fold(q) if above else q).sum(1), self.sizes[x], self.sizes[y])
-                    yield x[fits], y[fits]
-
-    def small_blocks(self, starts: np.ndarray, lengths: np.ndarray, crossed: np.ndarray):
-        """All pairs of many small blocks that may link."""
-        for m in np.unique(lengths):
-            own = lengths == m
-            x, y = np.triu_indices(int(m), 1)
-            i, j = (starts[own][:, None] + x).ravel(), (starts[own][:, None] + y).ravel()
-            keep = ~np.repeat(crossed[own], len(x)) | (self.parts[i] != self.parts[j])
-            yield from self.bounded(i[keep], j[keep])
+        self.ids, info, self.reach, self.labels, self.parts = (table.column(c).to_numpy() for c in ("rep", "info", "reach", "comp", "part"))
+        self.sizes, places = read_info(info)
+        self.reach = np.minimum(self.reach, self.sizes - places)
+        self.points = coarse_points(table.column("coarse"))
 
     def block(self, begin: int, end: int, crossed: bool, limited: bool) -> tuple[list, bool]:
-        """Pairs of one block that the trees leave, and whether these are all. crossed: only between parts. limited: of each row only the pair of largest bound, if there are many."""
-        sizes, levels = self.sizes[begin:end], self.levels[begin:end]
+        """Pairs of one block that its tree leaves, and whether these are all. crossed: only between parts. limited: of each row only the pair of largest bound, if there are many."""
+        own = slice(begin, end)
+        sizes, parts, points = self.sizes[own], self.parts[own], self.points[own]
         top, mate = np.full(end - begin, -1.0), np.full(end - begin, -1)
         found, count, most = [], 0, PAIRS_A_ROW * (end - begin) if limited else 1 << 62
-        for level in np.unique(levels).tolist():
-            own = levels == level
-            above = (levels == level + 1) & (3 * sizes <= 4 * sizes[own].max())
-            at = np.concatenate([np.flatnonzero(own), np.flatnonzero(above)])
-            if len(at) < 2:
+        for i, j, bound in CountTree(sizes, self.reach[own], points, self.labels[own]).pairs():
+            if crossed:
+                keep = parts[i] != parts[j]
+                i, j, bound = i[keep], j[keep], bound[keep]
+            count += len(i)
+            if count <= most:
+                found.append((begin + i, begin + j))
+            if not limited:
                 continue
-            points = self.points(begin + np.flatnonzero(own), level)
-            if above.any():
-                points = np.concatenate([points, fold(self.points(begin + np.flatnonzero(above), level + 1))])
-            for i, j, bound in CountTree(sizes[at], self.reach[begin + at], points, self.labels[begin + at]).pairs():
-                i, j = at[i], at[j]
-                keep = own[i] | own[j]
-                if crossed:
-                    keep &= self.parts[begin + i] != self.parts[begin + j]
-                i, j = i[keep], j[keep]
-                count += len(i)
-                if count <= most:
-                    found.append((begin + i, begin + j))
-                if not limited:
-                    continue
-                share = bound[keep] / (sizes[i] + sizes[j])
-                for x, y in ((i, j), (j, i)):
-                    order = np.lexsort((y, -share, x))
-                    x, y, z = x[order], y[order], share[order]
-                    first = np.flatnonzero(np.diff(x, prepend=-1))
-                    x, y, z = x[first], y[first], z[first]
-                    more = z > top[x]
-                    top[x[more]], mate[x[more]] = z[more], y[more]
+            share = bound / (sizes[i] + sizes[j])
+            for x, y in ((i, j), (j, i)):
+                order = np.lexsort((y, -share, x))
+                x, y, z = x[order], y[order], share[order]
+                first = np.flatnonzero(np.diff(x, prepend=-1))
+                x, y, z = x[first], y[first], z[first]
+                more = z > top[x]
+                top[x[more]], mate[x[more]] = z[more], y[more]
         if count <= most:
             return found, True
         x = np.flatnonzero(mate >= 0)
@@ -212,7 +264,7 @@ def _sets(frequent: np.ndarray):
         seen: set[bytes] = set()
         for batch in batches:
             n = batch.num_rows
-            sizes, prints, points, keys = np.zeros(n, np.int64), np.zeros((n, 2), np.int64), [None] * n, [None] * n
+            sizes, prints, points, coarse, keys = np.zeros(n, np.int64), np.zeros((n, 2), np.int64), [None] * n, [None] * n, [None] * n
             rare = np.zeros(n, np.int64)
             for row, got in shingle_sets(*text_buffers(batch.column(2))):
                 if not (size := len(got)):
@@ -224,7 +276,7 @@ def _sets(frequent: np.ndarray):
                 if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(mark)
-                points[row] = count_vector(got)
+                points[row], coarse[row] = count_vector(got), coarse_vector(got)
                 first = size - (3 * size + 3) // 4 + 1
                 if len(frequent):
                     hot = frequent[np.minimum(np.searchsorted(frequent, got), len(frequent) - 1)] == got
@@ -232,8 +284,8 @@ def _sets(frequent: np.ndarray):
                     rare[row] = min(first, size - int(hot.sum()))
                 keys[row] = got[:first].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(rare), *batch.columns[3:]],
-                ["uid", "doc_id", "n", "f1", "f2", "point", "keys", "rare", *batch.schema.names[3:]],
+                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(points, pa.binary()), pa.array(coarse, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(rare), *batch.columns[3:]],
+                ["uid", "doc_id", "n", "f1", "f2", "point", "coarse", "keys", "rare", *batch.schema.names[3:]],
             )
 
     return run
@@ -253,10 +305,14 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _shared(batches):
-    """From rows sorted by key: those of keys of two rows or more, each with its key's first uid."""
-    held = None  # of the last key: key, first uid, whether it is out
+    """From rows sorted by key: those of keys of two rows or more, each with its key's first uid, where sizes and places let it link with that, else none."""
+    held = None  # of the last key: key, first uid, its number, whether it is out
+
+    def out(key, uid, info, leader):
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(uid, pa.int64()), pa.array(info, pa.int64()), leader], ["key", "uid", "info", "leader"])
+
     for batch in batches:
-        key, uid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        key, uid, info = (c.to_numpy() for c in batch.columns)
         if not len(key):
             continue
         new = np.empty(len(key), bool)
@@ -264,15 +320,17 @@ def _shared(batches):
         np.not_equal(key[1:], key[:-1], out=new[1:])
         starts = np.flatnonzero(new)
         run = np.cumsum(new) - 1 + (0 if new[0] else 1)
-        leads = np.concatenate([[] if new[0] else [held[1]], uid[starts]]).astype(np.int64)
-        leader = leads[run]
+        leader = np.concatenate([[] if new[0] else [held[1]], uid[starts]]).astype(np.int64)[run]
+        size, place = read_info(info)
+        first_size, first_place = read_info(np.concatenate([[] if new[0] else [held[2]], info[starts]]).astype(np.int64)[run])
+        fits = (leader != uid) & may_link(np.minimum(size - place, first_size - first_place), size, first_size)
         again = ~new
         keep = again.copy()
         keep[:-1] |= again[1:]
-        if not new[0] and not held[2]:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64()), pa.array([held[1]], pa.int64())], ["key", "uid", "leader"])
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(uid[keep]), pa.array(leader[keep])], ["key", "uid", "leader"])
-        held = int(key[-1]), int(leader[-1]), bool(keep[-1])
+        if not new[0] and not held[3]:
+            yield out([held[0]], [held[1]], [held[2]], pa.nulls(1, pa.int64()))
+        held = int(key[-1]), int(leader[-1]), int(info[starts[-1]]) if len(starts) else held[2], bool(keep[-1])
+        yield out(key[keep], uid[keep], info[keep], pa.array(leader[keep], mask=~fits[keep]))
 
 
 def _bounded(batches):
@@ -296,15 +354,12 @@ def _blocks(limited: bool):
 
     def joined(table: pa.Table, cuts: np.ndarray):
         rows, x, y = Rows(table), table.column("x").to_numpy(), table.column("y").to_numpy()
-        starts, lengths = cuts[:-1], np.diff(cuts)
-        crossed = x[starts] != y[starts]
-        small = (lengths <= SMALL) & (lengths > 1)
-        found, undone = list(rows.small_blocks(starts[small], lengths[small], crossed[small])), []
-        for k in np.flatnonzero(lengths > SMALL).tolist():
-            own, done = rows.block(int(starts[k]), int(starts[k] + lengths[k]), bool(crossed[k]), limited)
+        found, undone = [], []
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own, done = rows.block(begin, end, bool(x[begin] != y[begin]), limited)
             found += own
             if not done:
-                undone.append(table.column("key")[int(starts[k])].as_py())
+                undone.append(table.column("key")[begin].as_py())
         if undone:
             yield pa.RecordBatch.from_arrays([pa.array([-1] * len(undone), pa.int64()), pa.array(undone, pa.int64())], ["a", "b"])
         for i, j in found:
@@ -336,34 +391,38 @@ def _blocks(limited: bool):
     return run
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
+def _places(ids: np.ndarray, log2: int) -> np.ndarray:
     """Two bits of the filter for each id."""
     h = mix(ids.view(U64) + U64(0x632BE59BD9B4E019))
-    return np.stack([h & U64((1 << FILTER_LOG2) - 1), h >> U64(64 - FILTER_LOG2)]).astype(np.int64)
+    return np.stack([h & U64((1 << log2) - 1), h >> U64(64 - log2)]).astype(np.int64)
 
 
-def _filter_bits(batches):
-    for batch in batches:
-        places = _places(batch.column(0).to_numpy()).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(places >> 6), pa.array((U64(1) << (places & 63).astype(U64)).view(np.int64))], ["word", "bits"])
+def _filter_bits(log2: int):
+    def run(batches):
+        for batch in batches:
+            places = _places(batch.column(0).to_numpy(), log2).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(places >> 6), pa.array((U64(1) << (places & 63).astype(U64)).view(np.int64))], ["word", "bits"])
+
+    return run
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """Bloom filter of 2**FILTER_LOG2 bits over ids; however many they are, it is no larger, only less selective."""
-    rows = ids.mapInArrow(_filter_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(1 << FILTER_LOG2 - 6, np.int64)
+def id_filter(ids: DataFrame, count: int) -> tuple[int, np.ndarray]:
+    """Bloom filter of 2**log2 bits over ids, 16 for each as far as FILTER_LOG2 goes; beyond that it is less selective."""
+    log2 = min(FILTER_LOG2[1], max(FILTER_LOG2[0], (16 * count).bit_length()))
+    rows = ids.mapInArrow(_filter_bits(log2), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << log2 - 6, np.int64)
     words[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return words
+    return log2, words
 
 
 def _full_sets(wanted):
     """Whole sets of the rows whose id passes the filter; null ids all do."""
 
     def run(batches):
-        words = wanted.value
+        log2, words = wanted.value
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy()
-            bits = _places(ids)
+            bits = _places(ids, log2)
             keep = ((words[bits >> 6] >> (bits & 63)) & 1).all(0) | ~batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             yield from _sets_of(batch.column(1).take(pa.array(np.flatnonzero(keep))))
 
@@ -394,14 +453,15 @@ def _verified(batches):
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs of classes that link, by their whole sets."""
+    """The pairs of classes that link, by their whole sets; classes meet their sets by fingerprint."""
     ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    wanted = classes.join(ends, "rep")
-    wanted_ids = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.where("doc_id is not null").select("doc_id")))  # 2**FILTER_LOG2 bits
-    sets = docs.select("doc_id", "text").mapInArrow(_full_sets(wanted_ids), "f1 long, f2 long, shingles binary")
-    sets = wanted.select("f1", "f2", "rep").join(sets, ["f1", "f2"]).dropDuplicates(["rep"]).select("rep", "shingles")
-    a, b = sets.toDF("a", "x"), sets.toDF("b", "y")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+    ids = classes.join(ends, "rep").where("doc_id is not null").select("doc_id")
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ids, 2 * pairs.count()))  # 2**28 bits at most
+    sets = docs.select("doc_id", "text").mapInArrow(_full_sets(wanted), "f1 long, f2 long, shingles binary").dropDuplicates(["f1", "f2"])
+    prints = classes.select("rep", "f1", "f2")
+    both = pairs.join(prints.toDF("a", "a1", "a2"), "a").join(prints.toDF("b", "b1", "b2"), "b")
+    both = both.join(sets.toDF("a1", "a2", "x"), ["a1", "a2"]).join(sets.toDF("b1", "b2", "y"), ["b1", "b2"])
+    return both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -421,7 +481,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "uid")
     out = scratch.keep(out.union(empty.select("doc_id", "n", "doc_id", "uid")), "out")
-    scratch.drop("ident", "empty", "points", "shared", "alive", "first", "links", "named")
+    scratch.drop("empty", "named")
     return out
 
 
@@ -440,78 +500,92 @@ def _linked(docs: DataFrame, scratch: Scratch, digest: bool = False) -> tuple[Da
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))  # FREQUENT longs at most
     rows = scratch.keep(
         docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", *[_digest("text").alias(c) for c in also]).mapInArrow(
-            lambda it: _sets(frequent.value)(it), ", ".join(["uid long, doc_id long, n long, f1 long, f2 long, point binary, keys array<long>, rare long", *[f"{c} binary" for c in also]])
+            lambda it: _sets(frequent.value)(it), ", ".join(["uid long, doc_id long, n long, f1 long, f2 long, point binary, coarse binary, keys array<long>, rare long", *[f"{c} binary" for c in also]])
         ),
         "rows",
     )
     full = rows.where("n > 0")
-    reps = full.groupBy("f1", "f2").agg(F.min("uid").alias("rep"))
+    reps = scratch.keep(full.groupBy("f1", "f2").agg(F.min("uid").alias("rep")), "reps")  # written, so that a join with a large group of copies can be split
     ident = scratch.keep(full.select("uid", "doc_id", "n", "f1", "f2", *also).join(reps, ["f1", "f2"]).select("uid", "rep", "doc_id", "n", *also), "ident")
     empty = scratch.keep(rows.where("n = 0").select("doc_id", "n", "uid"), "empty")
-    points = scratch.keep(full.where("point is not null").join(ident.where("uid = rep").select("uid"), "uid").select(F.col("uid").alias("rep"), "doc_id", "n", "f1", "f2", "point"), "points")
+    # A class's least uid is the first of its task, and so has points and keys.
+    points = scratch.keep(full.where("point is not null").join(reps.select(F.col("rep").alias("uid")), "uid").select(F.col("uid").alias("rep"), "doc_id", "n", "f1", "f2", "point", "coarse"), "points")
     classes = points.select("rep", "doc_id", "f1", "f2")
 
-    keyed = full.where("keys is not null").select(F.explode("keys").alias("key"), "uid", "rare")
+    info = (F.least("rare", F.lit(RARE_MOST)) * (1 << SIZE_BITS + PLACE_BITS) + F.col("n") * (1 << PLACE_BITS) + F.least("place", F.lit((1 << PLACE_BITS) - 1))).alias("info")
+    keyed = full.where("keys is not null").select("uid", "n", "rare", F.posexplode("keys").alias("place", "key")).select("key", "uid", info)
     # The first row of a key is the one of fewest rare keys: of a large group of near copies, what they are copies of.
-    shared = scratch.keep(keyed.repartition(width, "key").sortWithinPartitions("key", "rare", "uid").select("key", "uid").mapInArrow(_shared, "key long, uid long, leader long"), "shared")
-
-    scratch.drop("rows")
+    shared = scratch.keep(keyed.repartition(width, "key").sortWithinPartitions("key", "info", "uid").mapInArrow(_shared, "key long, uid long, info long, leader long"), "shared")
+    scratch.drop("rows", "reps")
     scratch.release()
 
-    def to_pairs(df: DataFrame) -> DataFrame:
-        return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    def distinct_pairs(df: DataFrame) -> DataFrame:
+        return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    fine = points.select("rep", "n", "point")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by fine points, then by whole sets."""
+        name = f"near-{next(number)}"
+        near = pairs.join(fine.toDF("a", "m", "x"), "a").join(fine.toDF("b", "n", "y"), "b").select("a", "b", "x", "m", "y", "n").mapInArrow(_bounded, "a long, b long")
+        out = scratch.keep(_verify(scratch.keep(near, name), classes, docs), f"links-{next(number)}")
+        scratch.drop(name)
+        scratch.release()
+        return out
+
+    def joined(links: DataFrame, found: DataFrame | None = None) -> DataFrame:
+        return components(links if found is None else links.union(found.where("v <> comp").select("v", "comp")), scratch, f"found-{next(number)}")
 
     # First round: of each row, the first row of the keys that most of its keys lead to.
-    leads = shared.where("uid <> leader").groupBy("uid", "leader").count().groupBy("uid").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
+    number = itertools.count()
+    leads = shared.where("leader is not null").groupBy("uid", "leader").count().groupBy("uid").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
     leads = leads.join(ident.select("uid", F.col("rep").alias("a")), "uid").join(ident.select(F.col("uid").alias("leader"), F.col("rep").alias("b")), "leader").where("a <> b")
-    side = points.select("rep", "n", "point")
-    first = to_pairs(leads).distinct().join(side.toDF("a", "m", "x"), "a").join(side.toDF("b", "n", "y"), "b").select("a", "b", "x", "m", "y", "n").mapInArrow(_bounded, "a long, b long")
-    first = scratch.keep(first, "first")
-    links = scratch.keep(_verify(first, classes, docs), "links")
-    found = scratch.keep(components(links, scratch, "round-1"), "found")
+    found = joined(links_of(scratch.keep(distinct_pairs(leads), "leads")))
+    scratch.drop("leads")
 
     # What each class can share at most: its size without the keys that it has alone.
-    reach = F.col("n") - (F.col("n") - F.ceil(3 * F.col("n") / 4) + 1) + F.col("with")
-    alive = shared.groupBy(F.col("uid").alias("rep")).agg(F.count(F.lit(1)).alias("with")).join(points.select("rep", "n"), "rep").select("rep", "n", reach.cast("long").alias("reach")).where("4 * reach >= 3 * n")
-    alive = scratch.keep(alive, "alive")
-
-    def compared(found: DataFrame, limited: bool, blocks: DataFrame) -> DataFrame:
-        """Pairs of classes of different components that blocks, sizes and points let link; -1 and the key where more are to come."""
-        place = scratch.keep(alive.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "n", "reach", F.coalesce("comp", "rep").alias("comp")), f"place-{next(number)}")
-        member = ident.select("uid", "rep").join(place, "rep")
-        block = blocks.select("key", "uid").join(member, "uid").repartition(width, "key").groupBy("key", "rep").agg(*[F.first(c).alias(c) for c in ("comp", "n", "reach")])
-        mixed = block.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi")
+    size = F.shiftright(F.first("info"), PLACE_BITS).bitwiseAND((1 << SIZE_BITS) - 1)
+    alive = shared.groupBy(F.col("uid").alias("rep")).agg(F.count(F.lit(1)).alias("with"), size.alias("n"))
+    alive = alive.select("rep", "n", (F.ceil(3 * F.col("n") / 4) - 1 + F.col("with")).cast("long").alias("reach")).where("4 * reach >= 3 * n")
+    alive = scratch.keep(alive.join(classes.select("rep"), "rep", "left_semi").drop("n"), "alive")
+
+    def compared(blocks: DataFrame, limited: bool) -> tuple[DataFrame, DataFrame]:
+        """Pairs of classes of different components that blocks, sizes, places and coarse points let link, and keys where more are to come."""
+        place = alive.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "reach", F.coalesce("comp", "rep").alias("comp"))
+        block = blocks.select("key", F.col("uid").alias("rep"), "info").join(place, "rep").select("key", "rep", "info", "reach", "comp")
+        block = block.repartition(width, "key").sortWithinPartitions("key", "rep")
+        told = scratch.keep(block.mapInArrow(_small, "a long, b long, key long, rep long, info long, reach long, comp long"), told_name := f"told-{next(number)}")
+        large = told.where("key is not null").drop("a", "b")
+        mixed = large.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi")
         mixed = mixed.select("key", F.ceil(F.col("rows") / PART_ROWS).cast("long").alias("parts"))
-        block = block.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
-        block = block.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        block = block.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rep", "n", "reach", "comp").join(points.select("rep", "point"), "rep")
-        pairs = block.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep").mapInArrow(_blocks(limited), "a long, b long")
-        return scratch.keep(pairs.distinct(), f"pairs-{next(number)}")
+        large = large.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+        large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        large = large.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rep", "info", "reach", "comp").join(points.select("rep", "coarse"), "rep")
+        trees = large.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep").mapInArrow(_blocks(limited), "a long, b long")
+        trees = scratch.keep(trees.distinct(), trees_name := f"trees-{next(number)}")
+        pairs = scratch.keep(told.where("key is null").select("a", "b").union(trees.where("a >= 0")).distinct(), f"pairs-{next(number)}")
+        undone = scratch.keep(trees.where("a < 0").select(F.col("b").alias("key")).distinct(), f"undone-{next(number)}")
+        scratch.drop(told_name, trees_name)
+        scratch.release()
+        return pairs, undone
 
     # Then between the components of each block.
-    number, limited, blocks = itertools.count(), True, shared
+    limited, blocks = True, shared
     while True:
-        scratch.release()
-        pairs = compared(found, limited, blocks)
-        scratch.release()
-        undone = pairs.where("a < 0").select(F.col("b").alias("key")).distinct()
+        pairs, undone = compared(blocks, limited)
         more = not undone.isEmpty()
-        blocks = shared.join(undone, "key", "left_semi")  # the others are done
-        links = scratch.keep(_verify(pairs.where("a >= 0"), classes, docs), f"links-{next(number)}")
-        if links.isEmpty():
-            if not more:
-                break
+        links = links_of(pairs)
+        if not links.isEmpty():
+            found = joined(links, found)
+        elif more:
             limited = False  # the best of each row don't link: compare all
-            continue
-        links = links.union(found.where("v <> comp").select("v", "comp"))
-        found = scratch.keep(components(links, scratch, f"links-{next(number)}"), f"found-{next(number)}")
         if not more:
             break
-    comp = found
-
-    scratch.release()
-    named = ident.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("uid", "doc_id", "n", F.coalesce("comp", "rep").alias("comp"), *also)
-    return scratch.keep(named, "named"), empty
+        blocks = shared.join(undone, "key", "left_semi")  # the others are done
+    named = ident.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("uid", "doc_id", "n", F.coalesce("comp", "rep").alias("comp"), *also)
+    named = scratch.keep(named, "named")
+    scratch.drop("ident", "points", "shared", "alive", *[f"{kind}-{k}" for kind in ("links", "found", "pairs", "undone") for k in range(next(number))])
+    return named, empty
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -530,7 +604,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = keys.groupBy("comp").agg(F.min("rank").alias("best"))
     judged = keys.join(best, "comp").select(F.col("doc_id").alias("__doc_id"), F.col("digest").alias("__digest"), F.col("rank").eqNullSafe(F.col("best")).alias("__stays"), "rows")
     judged = scratch.keep(judged.where("not __stays or rows > 1").drop("rows"), "judged")
-    scratch.drop("ident", "empty", "points", "shared", "alive", "first", "links", "named")
+    scratch.drop("empty", "named")
     ident = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (_digest(F.col("text").cast("string")) == F.col("__digest"))
     kept = docs.join(judged.where("not __stays"), ident, "left_anti")
     twice = judged.where("__stays")
