@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +21,11 @@ def col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def strip(v: Column) -> Column:
     return F.regexp_replace(v, rf"\A{SPACE}+|{SPACE}+\z", "")
 
@@ -75,44 +80,30 @@ def count_capital_words(v: Column) -> Column:
     return F.size(F.filter(tokens, is_upper)).cast("long")
 
 
-# Fixed values of the sentence splitter.
-LETTER = "([A-Za-z])"
-TITLES = "(Mr|St|Mrs|Ms|Dr)[.]"
-FIRMS = "(Inc|Ltd|Jr|Sr|Co)"
-OPENERS = r"(Mr|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|He\s|She\s|It\s|They\s|Their\s|Our\s|We\s|But\s|However\s|That\s|This\s|Wherever)"
-ACRONYM = "([A-Z][.][A-Z][.](?:[A-Z][.])?)"
-DOMAINS = "[.](com|net|org|io|gov|edu|me)"
+# Words before a point that ends no sentence, words after which it does before an opener alone, openers, and ends of addresses.
+TITLES = ("Mr", "St", "Mrs", "Ms", "Dr")
+FIRMS = ("Inc", "Ltd", "Jr", "Sr", "Co")
+OPENERS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Capt", "Cpt", "Lt", r"He\s", r"She\s", r"It\s", r"They\s", r"Their\s", r"Our\s", r"We\s", r"But\s", r"However\s", r"That\s", r"This\s", "Wherever")
+DOMAINS = ("com", "net", "org", "io", "gov", "edu", "me")
+
+
+def sentence_ends() -> str:
+    """A pattern for the ends of sentences: "!", "?", runs of points, and points whose neighbours make them ends. Groups hold an end and the quotation mark after it."""
+    opener = "(?= (?:" + "|".join(OPENERS).replace(r"\s", SPACE) + "))"
+    firms = "|".join(FIRMS)
+    after_all = [rf"(?<= (?:{firms}))\.{opener}", rf"(?<=[A-Z]\.[A-Z])\.{opener}"]
+    # What makes a point part of a word: before it a title, a firm, a letter that stands alone, an acronym; around it digits, an acronym, an address.
+    before = ["|".join(TITLES), f" (?:{firms})", " [A-Za-z]", r"[A-Za-z]\.[A-Za-z]", r"Ph\.D"]
+    around = [f"(?:{'|'.join(DOMAINS)})", r"(?<=[0-9]\.)[0-9]", r"(?<=[A-Za-z]\.)[A-Za-z]\.", r"(?<=Ph\.)D\.", rf"(?<={SPACE}[A-Za-z]\.) "]
+    plain = "".join(f"(?<!{x})" for x in before) + r"\." + "".join(f"(?!{x})" for x in around)
+    return rf"(\.{{2,}})|({'|'.join([*after_all, plain])})([\"”]?)|([!?])(\"?)"
 
 
 def split_sentences(v: Column) -> Column:
-    """Array of sentences by rules on titles, acronyms, domains and quotes; a point that ends none is held as a mark meanwhile."""
-    openers = OPENERS.replace(r"\s", SPACE)
-    rules = [
-        (TITLES, "$1<prd>"),
-        (DOMAINS, "<prd>$1"),
-        ("([0-9])[.]([0-9])", "$1<prd>$2"),
-        (r"(\.{2,})", "$1<stop>"),
-        (r"\.(?=\.+<stop>|<stop>)", "<prd>"),
-        (r"Ph\.D\.", "Ph<prd>D<prd>"),
-        (f"{SPACE}{LETTER}[.] ", " $1<prd> "),
-        (f"{ACRONYM} {openers}", "$1<stop> $2"),
-        (f"{LETTER}[.]{LETTER}[.]{LETTER}[.]", "$1<prd>$2<prd>$3<prd>"),
-        (f"{LETTER}[.]{LETTER}[.]", "$1<prd>$2<prd>"),
-        (f" {FIRMS}[.] {openers}", " $1<stop> $2"),
-        (f" {FIRMS}[.]", " $1<prd>"),
-        (f" {LETTER}[.]", " $1<prd>"),
-        (r"\.”", "”."),
-        (r'\."', '".'),
-        ('!"', '"!'),
-        (r'\?"', '"?'),
-        (r"([.?!])", "$1<stop>"),
-        ("<prd>", "."),
-    ]
+    """Array of sentences. An end that a quotation mark follows changes places with it. NUL in a text parts sentences too."""
     text = F.concat(F.lit(" "), F.regexp_replace(v, "\n", " "), F.lit("  "))
-    for pattern, by in rules:
-        text = F.regexp_replace(text, pattern, by)
-    parts = F.transform(F.split(text, "<stop>", -1), strip)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    parts = F.transform(F.split(F.regexp_replace(text, sentence_ends(), "$1$3$2$5$4\0"), "\0", -1), strip)
+    return bound(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 #: Function words by language, for the vote below.
@@ -147,15 +138,19 @@ LANGUAGES = tuple(sorted({*STOP_WORDS, *SCRIPTS} - {"el"}))
 
 def detect_language(v: Column) -> Column:
     """The language with most function words, or letters of its own script; null where there are none. Ties go to the later code."""
-    words = F.filter(F.split(F.lower(v), r"[^\p{L}\p{M}\p{N}_]+"), lambda x: x != "")
+    every = sorted({w for own in STOP_WORDS.values() for w in own.split()})
+    words = F.filter(F.split(F.lower(v), r"[^\p{L}\p{M}\p{N}_]+"), lambda x: x.isin(*every))
+    scripted = v.rlike("[" + "".join(x.strip("[]") for x in SCRIPTS.values()) + "]")
+    letters = F.when(scripted, F.array(*[F.struct(F.regexp_count(v, F.lit(script)).alias("n"), F.lit(lang).alias("lang")) for lang, script in SCRIPTS.items()]))
+
+    def among(known: Column, own: str) -> Column:
+        return F.size(F.filter(known, lambda x: x.isin(*own.split())))
 
-    def known(own: str) -> Column:
-        return F.size(F.filter(words, lambda x: x.isin(*own.split())))
+    def vote(known: Column) -> Column:
+        votes = F.array(*[F.struct(among(known, own).alias("n"), F.lit(lang).alias("lang")) for lang, own in STOP_WORDS.items()])
+        return F.array_max(F.concat(votes, F.coalesce(letters, F.slice(votes, 1, 0))))
 
-    votes = [F.struct(known(own).alias("n"), F.lit(lang).alias("lang")) for lang, own in STOP_WORDS.items()]
-    votes += [F.struct(F.regexp_count(v, F.lit(script)).alias("n"), F.lit(lang).alias("lang")) for lang, script in SCRIPTS.items()]
-    best = F.array_max(F.array(*votes))
-    return F.when(best["n"] > 0, best["lang"])
+    return bound(words, lambda known: bound(vote(known), lambda best: F.when(best["n"] > 0, best["lang"])))
 
 
 #: Frequent English function words.
