@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import loose_variants, solid, strip_thinking
@@ -35,11 +35,11 @@ def instructions(df: DataFrame, mode: str = "failfast") -> DataFrame:
     return df.select("*", F.col("__pair.id").alias("instruction_id"), F.col("__pair.args").alias("args")).drop("__pair")
 
 
-def _collected(checked: DataFrame) -> DataFrame:
-    """Flags back into one row a prompt, in order; a prompt without instructions follows all."""
+def _collected(rows: DataFrame, checked: DataFrame) -> DataFrame:
+    """Flags(pos, i, ok, error) in order, joined to their prompts; a prompt without instructions follows all."""
     flags = F.transform(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "ok")))), lambda x: x["ok"])
-    errors = F.array_sort(F.collect_set("error"))
-    out = checked.groupBy("pos").agg(*[F.first(c).alias(c) for c in ("key", "prompt", "instruction_id_list", "response")], flags.alias("follow_instruction_list"), errors.alias("errors"))
+    told = checked.groupBy("pos").agg(flags.alias("follow_instruction_list"), F.array_sort(F.collect_set("error")).alias("errors"))
+    out = rows.select("pos", "key", "prompt", "instruction_id_list", "response").join(told, "pos")
     out = out.withColumn("follow_all_instructions", F.forall("follow_instruction_list", lambda x: x))
     return out.select("pos", "key", "prompt", "instruction_id_list", "response", "follow_all_instructions", "follow_instruction_list", "errors")
 
@@ -51,10 +51,10 @@ def evaluate_strict(prompts: DataFrame, responses: DataFrame, mode: str = "failf
     with a blank one, nothing is followed. ``only``: the ids that occur, where
     that is known.
     """
-    df = join_responses(prompts, responses).withColumn("response", F.coalesce(strip_thinking(F.col("response")), F.lit("")))
-    df = instructions(df, mode)
+    rows = join_responses(prompts, responses).withColumn("response", F.coalesce(strip_thinking(F.col("response")), F.lit("")))
+    df = instructions(rows, mode)
     ok = F.when(F.col("error").isNotNull() | F.col("instruction_id").isNull(), False).otherwise(dispatch(F.col("response"), F.coalesce("instruction_id", F.lit("")), F.col("args"), only))
-    return _collected(df.withColumn("ok", ok))
+    return _collected(rows, df.select("pos", "i", ok.alias("ok"), "error"))
 
 
 def evaluate_loose(prompts: DataFrame, responses: DataFrame, mode: str = "failfast", only: list[str] | None = None) -> DataFrame:
@@ -62,11 +62,24 @@ def evaluate_loose(prompts: DataFrame, responses: DataFrame, mode: str = "failfa
 
     failfast: a prompt without a response is an error.
     """
-    df = join_responses(prompts, responses)
+    rows = join_responses(prompts, responses)
     if mode == "failfast":
-        df = df.withColumn("response", F.when(F.col("response").isNull(), F.raise_error(F.concat(F.lit("no response to "), "prompt"))).otherwise(F.col("response")))
-    df = instructions(df.withColumn("response", F.coalesce("response", F.lit(""))), mode)
-    df = df.withColumn("reading", F.explode(F.array_distinct(loose_variants(F.col("response")))))
+        rows = rows.withColumn("response", F.when(F.col("response").isNull(), F.raise_error(F.concat(F.lit("no response to "), "prompt"))).otherwise(F.col("response")))
+    rows = rows.withColumn("response", F.coalesce("response", F.lit("")))
+    df = instructions(rows, mode).withColumn("reading", F.explode(F.array_distinct(loose_variants(F.col("response")))))
     ok = F.when(F.col("error").isNotNull() | F.col("instruction_id").isNull() | ~solid(F.col("reading")), False).otherwise(dispatch(F.col("reading"), F.coalesce("instruction_id", F.lit("")), F.col("args"), only))
-    best = df.withColumn("ok", ok).groupBy("pos", "i").agg(F.max("ok").alias("ok"), *[F.first(c).alias(c) for c in ("key", "prompt", "instruction_id_list", "response", "error")])
-    return _collected(best)
+    best = df.select("pos", "i", ok.alias("ok"), "error").groupBy("pos", "i").agg(F.max("ok").alias("ok"), F.first("error").alias("error"))
+    return _collected(rows, best)
+
+
+def run(spark: SparkSession, prompts: str, responses: str, out: str, model: str, loose: bool = False, mode: str = "failfast", groups: str = "auto") -> dict:
+    """Evaluate a file of responses, write the detail and the log under ``out``, and give the report and the paths."""
+    from ..sources import jsonl
+    from .metrics import report
+
+    done = (evaluate_loose if loose else evaluate_strict)(jsonl.read_prompts(spark, prompts), jsonl.read_responses(spark, responses), mode)
+    paths = jsonl.output_paths(out, model, responses, "loose" if loose else "strict")
+    jsonl.write_detail(done.drop("pos", "errors") if mode == "failfast" else done.drop("pos"), paths["detail"])
+    log = report(done, groups)
+    jsonl.write_log(spark, log, paths["log"])
+    return {"report": log, **paths}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import key_root, key_type, sampling_id
 
-BUCKETS = ("all", "original", "ct_alteration", "rephrasing", "distractor")
+#: Labels of variants in keys.
+KINDS = ("ct_alteration", "rephrasing", "distractor")
 #: Flags that are true in a group that counts as reliable as a whole: the original, and three variants of each kind.
 WHOLE = 10
 
@@ -40,19 +41,20 @@ def id_accuracy(outputs: DataFrame) -> DataFrame:
     return flags(outputs).groupBy("instruction_id").agg(share("ok").alias("accuracy")).orderBy("instruction_id")
 
 
-def _reliable(rows: DataFrame, by: list[str]) -> DataFrame:
+def _reliable(rows: DataFrame, by: list[str], kinds: tuple[str, ...], whole_group: int) -> DataFrame:
     """``by``, bucket, metric, value from rows(``by``, pos, root, type, ok).
 
     In a group, originals come first, then the order of the input. A bucket
     without groups has no rows.
     """
     original = F.col("type") == "original"
-    buckets = F.array_intersect(F.when(original, F.array(*map(F.lit, BUCKETS))).otherwise(F.array(F.lit("all"), F.col("type"))), F.array(*map(F.lit, BUCKETS)))
+    every = F.array(*map(F.lit, ("all", "original", *kinds)))
+    buckets = F.array_intersect(F.when(original, every).otherwise(F.array(F.lit("all"), F.col("type"))), every)
     df = rows.select(*by, "pos", "root", "type", "ok", F.explode(buckets).alias("bucket"))
     order = Window.partitionBy(*by, "bucket", "root").orderBy((F.col("type") != "original").cast("int"), "pos")
     yes = F.col("ok").cast("int")
     groups = df.withColumn("rn", F.row_number().over(order)).groupBy(*by, "bucket", "root").agg(F.sum(yes).alias("total"), *[F.sum(F.when(F.col("rn") <= k, yes).otherwise(0)).alias(f"n{k}") for k in (2, 4)])
-    whole = F.when(F.col("bucket") == "all", F.col("total") == WHOLE).otherwise(F.col("total") == 1)
+    whole = F.when(F.col("bucket") == "all", F.col("total") == whole_group).otherwise(F.col("total") == 1)
     shares = groups.groupBy(*by, "bucket").agg(share(whole).alias("whole"), share(F.col("n2") == 2).alias("at_2"), share(F.col("n4") == 4).alias("at_4"))
     values = F.when(F.col("bucket") == "all", F.array(F.struct(F.lit("reliable_at_k_all").alias("metric"), F.col("whole").alias("value")))).when(
         F.col("bucket") == "original", F.array(F.struct(F.lit("reliable_at_k_original").alias("metric"), F.col("whole").alias("value")))
@@ -60,7 +62,8 @@ def _reliable(rows: DataFrame, by: list[str]) -> DataFrame:
     return shares.select(*by, "bucket", F.inline(values))
 
 
-METRICS = ("reliable_at_k_all", "reliable_at_k_original", "ct_alteration_at_2", "ct_alteration_at_4", "rephrasing_at_2", "rephrasing_at_4", "distractor_at_2", "distractor_at_4")
+def metric_names(kinds: tuple[str, ...] = KINDS) -> list[str]:
+    return ["reliable_at_k_all", "reliable_at_k_original", *[f"{k}_at_{n}" for k in kinds for n in (2, 4)]]
 
 
 def _typed(rows: DataFrame, mode: str) -> DataFrame:
@@ -70,10 +73,14 @@ def _typed(rows: DataFrame, mode: str) -> DataFrame:
     return rows.withColumn("root", key_root(F.col("key"))).withColumn("type", F.coalesce(kind, F.lit("")))
 
 
-def reliable_at_k(rows: DataFrame, mode: str = "failfast") -> DataFrame:
-    """metric, value of rows(pos, key, ok). A metric without groups is null; failfast: an error."""
-    found = _reliable(_typed(rows, mode), []).select("metric", "value")
-    every = rows.sparkSession.createDataFrame([(m,) for m in METRICS], "metric string")
+def reliable_at_k(rows: DataFrame, mode: str = "failfast", kinds: tuple[str, ...] = KINDS, whole: int = WHOLE) -> DataFrame:
+    """metric, value of rows(pos, key, ok). A metric without groups is null; failfast: an error.
+
+    ``kinds``: the labels of variants that get metrics of their own. ``whole``:
+    how many rows of a group must follow for the group to count.
+    """
+    found = _reliable(_typed(rows, mode), [], kinds, whole).select("metric", "value")
+    every = rows.sparkSession.createDataFrame([(m,) for m in metric_names(kinds)], "metric string")
     out = every.join(found, "metric", "left")
     if mode == "failfast":
         out = out.withColumn("value", F.coalesce("value", F.raise_error(F.concat(F.lit("no groups for "), "metric")).cast("double")))
@@ -95,8 +102,8 @@ def sampled_reliability(rows: DataFrame, mode: str = "failfast") -> DataFrame:
     samples = rows.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("pos")))
     keys = samples.groupBy("key").agg(F.min("pos").alias("pos"), F.coalesce(F.min(F.when(F.col("ok"), F.col("rn"))), F.lit(1 << 30)).alias("first"))
     each = keys.select("*", F.explode(F.sequence(F.lit(1), F.lit(top + 1))).alias("n")).withColumn("ok", F.col("first") <= F.col("n"))
-    found = _reliable(_typed(each, mode), ["n"]).select("n", "metric", "value")
-    every = rows.sparkSession.range(1, top + 2).select(F.col("id").cast("int").alias("n"), F.explode(F.array(*map(F.lit, METRICS))).alias("metric"))
+    found = _reliable(_typed(each, mode), ["n"], KINDS, WHOLE).select("n", "metric", "value")
+    every = rows.sparkSession.range(1, top + 2).select(F.col("id").cast("int").alias("n"), F.explode(F.array(*map(F.lit, metric_names()))).alias("metric"))
     out = every.join(found, ["n", "metric"], "left")
     out = out.withColumn("value", F.when(F.col("metric") == "reliable_at_k_original", F.coalesce("value", F.lit(0.0))).otherwise(F.col("value")))
     if mode == "failfast":
@@ -107,7 +114,7 @@ def sampled_reliability(rows: DataFrame, mode: str = "failfast") -> DataFrame:
 def relative_drop(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     """1 - all / original; null where original is 0."""
     by = by or []
-    of = [F.max(F.when(F.col("metric") == m, F.col("value"))) for m in METRICS[:2]]
+    of = [F.max(F.when(F.col("metric") == m, F.col("value"))) for m in metric_names()[:2]]
     return metrics.groupBy(*by).agg((1 - F.try_divide(of[0], of[1])).alias("relative_drop"))
 
 

@@ -7,7 +7,11 @@ batch of a partition at a time; ``offline_client`` stands in for one.
 
 from __future__ import annotations
 
+import json
+import os
+import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from hashlib import blake2b
 
 import pandas as pd
@@ -22,11 +26,12 @@ Client = Callable[[list[list[dict]]], list[str | None]]
 
 #: kind: (label in keys, variants, how many a request asks for, what it asks)
 KINDS = {
-    "rephrasing": ("rephrasing", 24, 8, "Say the request below in other words. Keep every constraint and its meaning."),
-    "distractor": ("distractor", 8, 8, "Add to the request below one more constraint that doesn't contradict those it has."),
-    "task": ("ct_alteration", 8, 8, "Give the request below another task. Keep every constraint as it is."),
-    "fillin": ("ct_alteration", 8, 8, "Give the constraints of the request below other arguments, and change its words to match."),
-}
+    "rephrasing": ("rephrasing", 24, 8, "Word the request below anew. What it wants done stays the same, and so does each of its constraints, argument for argument; change vocabulary, order and tone, and let no two versions read alike. Answer with a JSON array of strings."),
+    "distractor": ("distractor", 8, 8, "Add one more constraint to the request below, of a kind that it doesn't have. It must be easy to meet, must not contradict or replace the constraints that are there, and must leave the task as it is. Answer with a JSON array of strings, each a whole request."),
+    "task": ("ct_alteration", 8, 8, "Put another task in place of the one below: another topic or kind of text. Keep each constraint with its arguments, in words that fit the new task, and make sure that the two go together. Answer with a JSON array of strings, each a whole request."),
+    "fillin": ("ct_alteration", 8, 8, "Give the constraints below other arguments, of the same types and just as hard, and change the request's words to match. The task stays. Answer with JSON: an object whose outputs each have random_seed, reasoning, revised_prompt, revised_instruction_id_list and revised_kwargs, the last as a JSON string."),
+}
+JUDGE = 'Read the request below with its constraints. Decide whether one response can do the task and meet every constraint at once, and whether the words of the request say just these constraints. Answer with JSON: {"reasoning": ..., "is_valid": ...}'
 REVISED = "array<struct<random_seed:string,reasoning:string,revised_prompt:string,revised_instruction_id_list:array<string>,revised_kwargs:string>>"
 VERDICT = "struct<reasoning:string,is_valid:boolean>"
 FAILED = "judge failed"
@@ -34,7 +39,7 @@ FAILED = "judge failed"
 
 def offline_client(requests: list[list[dict]]) -> list[str | None]:
     """A reply that depends on the request alone."""
-    return [f"{r[-1]['content'][:40]} [{blake2b(repr(r).encode(), digest_size=4).hexdigest()}]" for r in requests]
+    return [blake2b(r[-1]["content"].encode(), digest_size=8).hexdigest() for r in requests]
 
 
 def messages(content: Column, system: str | None = None) -> Column:
@@ -52,26 +57,81 @@ def parse_model(name: str) -> tuple[str, bool]:
     return (name.replace("-no-think", ""), False) if "-no-think" in name else (name, True)
 
 
+class ChatClient:
+    """A client for servers with a chat-completions interface; ``workers`` requests of a batch at a time.
+
+    ``choices`` replies to a request are given as one JSON array. A request that
+    fails is None.
+    """
+
+    def __init__(self, model: str, base_url: str, api_key: str = "EMPTY", temperature: float = 0.0, effort: str | None = None, choices: int = 1, schema: dict | None = None, workers: int = 16, timeout: float = 600.0):
+        name, thinks = parse_model(model)
+        self.body: dict = {"model": name, "temperature": temperature}
+        if effort:
+            self.body["reasoning_effort"] = effort
+        if not thinks:
+            self.body["chat_template_kwargs"] = {"enable_thinking": False}
+        if choices > 1:
+            self.body["n"] = choices
+        if schema:
+            self.body["response_format"] = {"type": "json_schema", "json_schema": {"name": "reply", "schema": schema}}
+        self.url, self.api_key, self.workers, self.timeout = f"{base_url.rstrip('/')}/chat/completions", api_key, workers, timeout
+
+    def one(self, messages: list[dict]) -> str | None:
+        data = json.dumps(self.body | {"messages": messages}).encode()
+        request = urllib.request.Request(self.url, data, {"Content-Type": "application/json", "Authorization": f"Bearer {self.api_key}"})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                texts = [(c["message"].get("content") or "").strip() for c in json.load(reply)["choices"]]
+        except (OSError, ValueError, KeyError, TypeError):
+            return None
+        return json.dumps(texts, ensure_ascii=False) if self.body.get("n") else texts[0] if texts else None
+
+    def __call__(self, requests: list[list[dict]]) -> list[str | None]:
+        with ThreadPoolExecutor(self.workers) as pool:
+            return list(pool.map(self.one, requests))
+
+
+def client_from_env(model: str, kind: str = "vllm", port: int = 8102, **options) -> ChatClient:
+    """A client by the usual environment variables: a server of one's own, or with "oai" a hosted one, which needs a key."""
+    if kind == "vllm":
+        return ChatClient(model, os.environ.get("VLLM_BASE_URL", f"http://localhost:{port}/v1"), os.environ.get("VLLM_API_KEY", "EMPTY"), **options)
+    if kind != "oai":
+        raise ValueError(f"unknown kind of client {kind!r}")
+    key = os.environ.get("OPENAI_API_KEY") or os.environ.get("OAI_API_KEY")
+    if not key:
+        raise ValueError("OPENAI_API_KEY or OAI_API_KEY must be set")
+    return ChatClient(model, os.environ.get("OAI_BASE_URL", "https://api.openai.com/v1"), key, **options)
+
+
+#: Requests that a client gets together; one that raises has failed for these alone.
+TOGETHER = 64
+
+
 def complete(df: DataFrame, client: Client, messages_col: str = "messages", reply_col: str = "reply", retries: int = 0, workers: int | None = None) -> DataFrame:
     """``df`` with a reply to each row's messages; null where the client failed, after ``retries`` more tries."""
     if workers:
         df = df.repartition(workers)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != messages_col), f"`{reply_col}` string"])
 
+    def asked(requests: list) -> list[str | None]:
+        replies: list[str | None] = [None] * len(requests)
+        for _ in range(retries + 1):
+            left = [k for k, r in enumerate(replies) if r is None]
+            if not left:
+                break
+            try:
+                got = client([requests[k] for k in left])
+            except Exception:  # a client that raises has failed for these
+                continue
+            for k, r in zip(left, got):
+                replies[k] = r
+        return replies
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             requests = [[dict(m) if isinstance(m, dict) else m.asDict() for m in own] for own in rows[messages_col]]
-            replies: list[str | None] = [None] * len(requests)
-            for _ in range(retries + 1):
-                left = [k for k, r in enumerate(replies) if r is None]
-                if not left:
-                    break
-                try:
-                    got = client([requests[k] for k in left])
-                except Exception:  # a client that raises has failed for this batch
-                    got = [None] * len(left)
-                for k, r in zip(left, got):
-                    replies[k] = r
+            replies = [r for k in range(0, len(requests), TOGETHER) for r in asked(requests[k : k + TOGETHER])]
             yield rows.drop(columns=[messages_col]).assign(**{reply_col: replies})
 
     return df.mapInPandas(run, schema)
@@ -111,24 +171,35 @@ def keyed_variants(df: DataFrame, variants: str, label: str) -> DataFrame:
 
 
 def synthesise(prompts: DataFrame, kind: str, client: Client, retries: int = 3) -> DataFrame:
-    """Variants of each prompt by one of KINDS but "fillin": replies are JSON arrays of prompts, or a prompt each.
+    """Variants of each prompt by one of KINDS: replies are JSON arrays of prompts, typed ones for "fillin".
 
-    A prompt is asked for in batches; variants are numbered through them. What
-    fails after ``retries`` more tries is missing.
+    A prompt is asked for in batches; variants are numbered through them. A
+    reply with fewer than asked for is asked for again. What fails after
+    ``retries`` more tries is missing.
     """
     label, total, step, _ = KINDS[kind]
     if kind == "fillin":
         return synthesise_fillin(prompts, client, retries)
     asked = prompts.select("*", F.explode(F.sequence(F.lit(0), F.lit(total - 1), F.lit(step))).alias("__batch"))
     request = F.concat(render(kind, F.col("prompt"), F.col("instruction_id_list"), F.col("kwargs"), step), F.lit("\n\nBatch "), F.col("__batch").cast("string"))
-    replies = complete(asked.withColumn("messages", messages(request)), client, retries=retries).where("reply is not null")
-    many = F.from_json("reply", "array<string>")
-    replies = replies.withColumn("__many", F.coalesce(F.when(F.col("reply").startswith("["), many), F.array("reply")))
-    one = replies.select("*", F.posexplode("__many").alias("__i", "__v"))
+
+    def checked(requests: list[list[dict]]) -> list[str | None]:
+        return [reply if reply is not None and _versions(reply) >= step else None for reply in client(requests)]
+
+    replies = complete(asked.withColumn("messages", messages(request)), checked, retries=retries).where("reply is not null")
+    one = replies.select("*", F.posexplode(F.slice(F.from_json("reply", "array<string>"), 1, step)).alias("__i", "__v"))
     own = [c for c in prompts.columns if c not in ("key", "prompt")]
     return one.select(variant_key(F.col("key"), label, F.col("__batch") + F.col("__i") + 1).alias("key"), F.col("__v").alias("prompt"), *own, F.col("prompt").alias("original_prompt"))
 
 
+def _versions(reply: str) -> int:
+    try:
+        found = json.loads(reply)
+    except ValueError:
+        return 0
+    return len(found) if isinstance(found, list) and all(isinstance(x, str) for x in found) else 0
+
+
 def synthesise_fillin(prompts: DataFrame, client: Client, retries: int = 3) -> DataFrame:
     """Variants with other arguments: the reply is typed JSON with prompts, ids and arguments.
 
@@ -138,12 +209,11 @@ def synthesise_fillin(prompts: DataFrame, client: Client, retries: int = 3) -> D
     request = render("fillin", F.col("prompt"), F.col("instruction_id_list"), F.col("kwargs"), KINDS["fillin"][1])
 
     def checked(requests: list[list[dict]]) -> list[str | None]:
-        import json
-
         out: list[str | None] = []
         for reply in client(requests):
             try:
-                out.append(reply if reply is not None and all(isinstance(json.loads(x["revised_kwargs"]), list) for x in json.loads(reply)["outputs"]) else None)
+                found = json.loads(reply or "null")["outputs"]
+                out.append(reply if len(found) >= KINDS["fillin"][1] and all(isinstance(json.loads(x["revised_kwargs"]), list) for x in found) else None)
             except (ValueError, KeyError, TypeError):
                 out.append(None)
         return out
@@ -160,7 +230,7 @@ def synthesise_fillin(prompts: DataFrame, client: Client, retries: int = 3) -> D
 
 def judge(prompts: DataFrame, client: Client, retries: int = 0) -> DataFrame:
     """``prompts`` with a verdict on each; a reply that fails or doesn't parse counts as not valid."""
-    request = F.concat(F.lit('Can one response satisfy the request and all its constraints? Answer with JSON: {"reasoning": ..., "is_valid": ...}\n\n'), describe(F.col("instruction_id_list"), F.col("kwargs")), F.lit("\n\n"), F.col("prompt"))
+    request = F.concat(F.lit(f"{JUDGE}\n\n"), describe(F.col("instruction_id_list"), F.col("kwargs")), F.lit("\n\n"), F.col("prompt"))
     replies = complete(prompts.withColumn("messages", messages(request)), client, retries=retries)
     verdict = F.from_json("reply", VERDICT)
     failed = F.struct(F.lit(FAILED).alias("reasoning"), F.lit(False).alias("is_valid"))

@@ -7,7 +7,11 @@ query edits the text first, and the SQL does the same.
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +21,8 @@ from ..operators import checkers as C
 from ..operators import evaluate as E
 from ..operators import metrics as M
 from ..operators import synth as S
+from ..sources import jsonl as J
+from ..streaming import watch as W_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,6 +56,9 @@ def literal(x) -> Column:
     return F.array(*map(F.lit, x)) if isinstance(x, (list, tuple)) else F.lit(x)
 
 
+CHECKS: list[tuple[str, dict, Callable[[], Column], str, str]] = []
+
+
 def check(name: str, instruction_id: str, kwargs: dict, response: Callable[[], Column] | None = None, sql_text: str = "text", sql: str = "", function=None) -> None:
     """doc_id, ok of one check with fixed arguments. ``sql`` is a condition on ``t``."""
 
@@ -58,6 +67,8 @@ def check(name: str, instruction_id: str, kwargs: dict, response: Callable[[], C
         done = (function or C.REGISTRY[instruction_id])(F.col("t"), **{k: literal(v) for k, v in kwargs.items()})
         return docs.select("doc_id", done.alias("ok"))
 
+    if instruction_id and instruction_id not in {c[0] for c in CHECKS}:
+        CHECKS.append((instruction_id, kwargs, response or T, sql_text, sql))
     query(f"check_{name}", f"select doc_id, coalesce({sql}, false) as ok from (select doc_id, {sql_text} as t from documents)" if sql else None)(run)
 
 
@@ -179,10 +190,26 @@ def sentences_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.count_sentences(T()).alias("n"))
 
 
-@query("sentences_split")
+def sentences_sql() -> str:
+    """Each mark in a text is judged by the characters next to it; the first and the last end tell the rest."""
+    opener = "regexp_matches(r, '^ (" + "|".join(X.OPENERS) + ")')"
+    firms, titles = "|".join(X.FIRMS), "|".join(X.TITLES)
+    return rf"""with d as (select doc_id, ' ' || replace(text, chr(10), ' ') || '  ' as t from documents),
+    p as (select doc_id, t, unnest(list_filter(range(1, length(t) + 1), lambda i: t[i] in ('.', '!', '?'))) as i from d),
+    m as (select doc_id, t, i, t[i] as c, t[i + 1] as q, t[greatest(i - 6, 1):i - 1] as l, t[i + 1:i + 12] as r from p),
+    e as (select *, case when c <> '.' then true when q = '.' then false when right(l, 1) = '.' then true
+      when (regexp_matches(l, ' ({firms})$') or regexp_matches(l, '[A-Z]\.[A-Z]$')) and {opener} then true
+      else not (regexp_matches(l, '({titles})$') or regexp_matches(l, ' ({firms})$') or regexp_matches(l, ' [A-Za-z]$') or regexp_matches(l, '[A-Za-z]\.[A-Za-z]$') or ends_with(l, 'Ph.D') or (regexp_matches(l, '\s[A-Za-z]$') and starts_with(r, ' '))
+        or regexp_matches(r, '^({"|".join(X.DOMAINS)})') or (regexp_matches(l, '[0-9]$') and regexp_matches(r, '^[0-9]')) or (regexp_matches(l, '[A-Za-z]$') and regexp_matches(r, '^[A-Za-z]\.')) or (ends_with(l, 'Ph') and starts_with(r, 'D.'))) end as ends from m),
+    f as (select *, case when (c = '.' and right(l, 1) <> '.' and q in ('"', '”')) or (c <> '.' and q = '"') then q else '' end as moved from e where ends),
+    g as (select doc_id, count(*) as n, min(i) as low, max(i + length(moved)) as high, arg_min(moved || c, i) as close from f group by 1)
+    select d.doc_id, (coalesce(g.n, 0) + (trim(t[coalesce(g.high, 0) + 1:]) <> '')::int)::bigint as n, case when g.n is null then nullif(trim(t), '') else trim(t[:g.low - 1] || g.close) end as first from d left join g on d.doc_id = g.doc_id"""
+
+
+@query("sentences_split", sentences_sql())
 def sentences_split(spark, sf_dir):
-    parts = X.split_sentences(T())
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("n"), F.get(parts, 0).alias("first"))
+    both = X.bound(X.split_sentences(T()), lambda p: F.struct(F.size(p).cast("long").alias("n"), F.get(p, 0).alias("first")))
+    return table(spark, sf_dir, "documents").select("doc_id", both.alias("x")).select("doc_id", "x.n", "x.first")
 
 
 @query("stopword_count", f"select doc_id, len(list_filter(regexp_extract_all(lower(text), '{W}+'), lambda x: x in ({', '.join(repr(w) for w in X.ENGLISH_STOP_WORDS)})))::bigint as n from documents")
@@ -195,10 +222,11 @@ def language_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.detect_language(T()).alias("detected"))
 
 
-@query("keyword_sample")
+@query("keyword_sample", "select doc_id, least(60, len(list_distinct(list_filter(string_split_regex(text, '[^a-z]+'), lambda x: x <> ''))))::bigint as n, true as apart from documents")
 def keyword_sample(spark, sf_dir):
     words = F.filter(F.split(T(), "[^a-z]+"), lambda x: x != "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.sample_words(words, 10, 1)).cast("long").alias("n"))
+    seen = X.bound(X.sample_words(words, 60, 1), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(F.array_intersect(x, words)) == F.size(x)).alias("apart")))
+    return table(spark, sf_dir, "documents").select("doc_id", seen.alias("x")).select("doc_id", "x.n", "x.apart")
 
 
 THOUGHT = "case when doc_id % 3 = 0 then 'hm</think>' || chr(10) || chr(10) || text || '</think>' || chr(10) || chr(10) || 'x' else text end"
@@ -433,20 +461,247 @@ def benchmark_prompts(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("key"), T().alias("prompt"), F.array(F.lit(IDS[1])).alias("instruction_id_list"), F.array(_args({})).alias("kwargs"))
 
 
-@query("generate_offline")
+def md5_client(requests: list[list[dict]]) -> list[str | None]:
+    return [md5(r[-1]["content"].encode()).hexdigest() for r in requests]
+
+
+def request_of(messages: list[dict]) -> str:
+    """What stands after the last heading of a rendered request."""
+    return messages[-1]["content"].rsplit("\n\nRequest:\n", 1)[-1]
+
+
+def versions_client(requests: list[list[dict]]) -> list[str | None]:
+    """Eight versions of each request, as an array or typed."""
+    out = []
+    for own in map(request_of, requests):
+        text, _, batch = own.partition("\n\nBatch ")
+        many = [f"{text} {batch}/{i}" for i in range(1, 9)]
+        out.append(json.dumps(many if batch else {"outputs": [{"random_seed": str(i), "reasoning": "", "revised_prompt": v, "revised_instruction_id_list": [IDS[0]], "revised_kwargs": json.dumps([{"num_words": i, "relation": "at least"}])} for i, v in enumerate(many)]}))
+    return out
+
+
+def verdict_client(requests: list[list[dict]]) -> list[str | None]:
+    """Valid where a request's length is even; no reply where it is divisible by five."""
+    lengths = [len(r[-1]["content"].rsplit("\n\n", 1)[-1]) for r in requests]
+    return [None if n % 5 == 0 else json.dumps({"reasoning": "by length", "is_valid": n % 2 == 0}) for n in lengths]
+
+
+@query("generate_offline", "select item_id::varchar as key, text as prompt, md5(text) as response from benchmark")
 def generate_offline(spark, sf_dir):
-    return S.generate(benchmark_prompts(spark, sf_dir), S.offline_client)
+    return S.generate(benchmark_prompts(spark, sf_dir), md5_client)
 
 
-@query("synthesis_offline")
+@query("generate_resumed", "select item_id::varchar as key, md5(text) as response from benchmark where item_id not in (select doc_id from labels where quality = 1)")
+def generate_resumed(spark, sf_dir):
+    done = table(spark, sf_dir, "labels").where("quality = 1").select(ID().cast("string").alias("key"))
+    return S.generate(benchmark_prompts(spark, sf_dir), md5_client, done).select("key", "response")
+
+
+@query(
+    "synthesis_offline",
+    """with k(label, total) as (values ('rephrasing', 24), ('distractor', 8), ('ct_alteration', 8)),
+    v as (select item_id, label, i, floor((i - 1) / 8)::int * 8 as batch, text from benchmark, k, range(1, 25) r(i) where i <= total)
+    select item_id::varchar || ':' || label || ':' || i::varchar as key, text || ' ' || batch::varchar || '/' || (i - batch)::varchar as prompt, text as original_prompt from v""",
+)
 def synthesis_offline(spark, sf_dir):
     base = benchmark_prompts(spark, sf_dir)
-    return S.union_variants(*[S.synthesise(base, kind, S.offline_client) for kind in ("rephrasing", "distractor", "task")]).select("key", "prompt", "original_prompt")
+    return S.union_variants(*[S.synthesise(base, kind, versions_client) for kind in ("rephrasing", "distractor", "task")]).select("key", "prompt", "original_prompt")
 
 
-@query("judge_offline")
+@query(
+    "synthesis_fillin",
+    f"select item_id::varchar || ':ct_alteration:' || i::varchar as key, text || ' /' || i::varchar as prompt, text as original_prompt, '{IDS[0]}' as instruction_id, (i - 1)::bigint as num_words, '{IDS[1]}' as original_id from benchmark, range(1, 9) r(i)",
+)
+def synthesis_fillin(spark, sf_dir):
+    made = S.synthesise(benchmark_prompts(spark, sf_dir), "fillin", versions_client)
+    return made.select("key", "prompt", "original_prompt", F.get("instruction_id_list", 0).alias("instruction_id"), F.get("kwargs", 0)["num_words"].alias("num_words"), F.get("original_instruction_id_list", 0).alias("original_id"))
+
+
+@query("judge_offline", f"select item_id::varchar as key, length(text) % 5 <> 0 and length(text) % 2 = 0 as is_valid, case when length(text) % 5 = 0 then '{S.FAILED}' else 'by length' end as reasoning from benchmark")
 def judge_offline(spark, sf_dir):
-    return S.judge(benchmark_prompts(spark, sf_dir), lambda requests: ['{"reasoning": "fine", "is_valid": true}' for _ in requests]).select("key", F.col(f"`{S.JUDGEMENT}`.is_valid").alias("is_valid"))
+    return S.judge(benchmark_prompts(spark, sf_dir), verdict_client).select("key", F.col(f"`{S.JUDGEMENT}`.is_valid").alias("is_valid"), F.col(f"`{S.JUDGEMENT}`.reasoning").alias("reasoning"))
+
+
+@query("rendered_requests", "select item_id, kind, true as asks, (length(text) + 1)::bigint as from_end from benchmark, (values ('rephrasing'), ('distractor'), ('task'), ('fillin')) k(kind)")
+def rendered_requests(spark, sf_dir):
+    """Each template says how many versions it wants, lists the constraints and ends with the request."""
+    base = benchmark_prompts(spark, sf_dir)
+    rows = [base.select(F.col("key").cast("long").alias("item_id"), F.lit(kind).alias("kind"), "prompt", S.render(kind, F.col("prompt"), F.col("instruction_id_list"), F.col("kwargs"), 8).alias("r")) for kind in S.KINDS]
+    out = rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    whole = F.col("r").contains("8 versions") & F.col("r").contains(IDS[1]) & F.endswith("r", F.concat(F.lit("\n"), "prompt"))
+    return out.select("item_id", "kind", whole.alias("asks"), (F.length("r") - F.length(F.regexp_replace("r", r"(?s)(.*)\n\nRequest:\n.*", "$1")) - 10).cast("long").alias("from_end"))
+
+
+# --- all ids, own checks
+
+
+def every_check() -> list[tuple[str, dict, Callable[[], Column], str, str]]:
+    json_text = ("detectable_format:json_format", {}, lambda: F.when(ID() % 2 == 0, F.concat(F.lit('{"a": '), ID().cast("string"), F.lit("}"))).otherwise(T()), "case when doc_id % 2 = 0 then '{\"a\": ' || doc_id::varchar || '}' else text end", "json_valid(t)")
+    return [*CHECKS, json_text]
+
+
+def every_sql() -> str:
+    many = every_check()
+    parts = [f"select doc_id, '{name}' as instruction_id, coalesce({sql}, false) as ok from (select doc_id, {text} as t from documents where doc_id % {len(many)} = {k})" for k, (name, _, _, text, sql) in enumerate(many)]
+    return " union all ".join(parts)
+
+
+@query("dispatch_all", every_sql())
+def dispatch_all(spark, sf_dir):
+    """Every registered check through its id and arguments, each on a share of the documents."""
+    many = every_check()
+    which = ID() % len(many)
+
+    def choice(column: Callable[[tuple], Column]) -> Column:
+        out = F.when(which == 0, column(many[0]))
+        for k, own in enumerate(many[1:], 1):
+            out = out.when(which == k, column(own))
+        return out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", choice(lambda c: F.lit(c[0])).alias("instruction_id"), choice(lambda c: c[2]()).alias("t"), choice(lambda c: _args(c[1])).alias("kw"))
+    return docs.select("doc_id", "instruction_id", C.dispatch(F.col("t"), F.col("instruction_id"), F.col("kw")).alias("ok"))
+
+
+@query("own_check", "select doc_id, length(text) - length(replace(text, 'qu', '')) >= 2 * (doc_id % 3) as ok from documents")
+def own_check(spark, sf_dir):
+    """A check of a user's own, with an argument of its own."""
+    if "own:pairs" not in C.REGISTRY:
+        from pyspark.sql import types
+
+        C.register_checker("own:pairs", lambda v, own_pair, own_least: F.length(v) - F.length(F.replace(v, own_pair, F.lit(""))) >= F.length(own_pair) * own_least, "{own_pair} occurs {own_least} times or more.", {"own_pair": types.StringType(), "own_least": types.LongType()})
+    docs = table(spark, sf_dir, "documents").select("doc_id", T().alias("t"), F.struct(F.lit("qu").alias("own_pair"), (ID() % 3).alias("own_least")).alias("kw"))
+    try:
+        return docs.select("doc_id", C.dispatch(F.col("t"), F.lit("own:pairs"), F.col("kw"), ["own:pairs"]).alias("ok"))
+    finally:
+        C.unregister_checker("own:pairs")
+
+
+@query("reliable_at_k_labels", RELIABLE_1.replace("(s = 10)", "(s = 4)") + " select metric, value from found where metric not like 'distractor%'")
+def reliable_at_k_labels(spark, sf_dir):
+    return M.reliable_at_k(keyed(table(spark, sf_dir, "documents")), kinds=("ct_alteration", "rephrasing"), whole=4).where("metric is not null")
+
+
+# --- files
+
+
+def folder(spark, name: str) -> str:
+    """A new folder where the session keeps what driver and executors share."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/plumbline"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written_prompts(spark, sf_dir) -> str:
+    path = folder(spark, "prompts")
+    J.append_lines(conversation_prompts(spark, sf_dir).drop("pos").withColumn("more", F.lit(1)), path)
+    return path
+
+
+def written_responses(spark, sf_dir) -> str:
+    path = folder(spark, "responses")
+    J.append_lines(conversation_responses(spark, sf_dir).orderBy("pos").select("prompt", "response"), path)
+    return path
+
+
+@query("lines_prompts", "select conv_id::varchar || ':original:' || turn::varchar as key, text as prompt, 3::bigint as n_instructions, 60::bigint as num_words from conversations where role = 'user'")
+def lines_prompts(spark, sf_dir):
+    """Prompts written as JSON lines and read with their schema; fields that it doesn't have are dropped."""
+    back = J.read_prompts(spark, written_prompts(spark, sf_dir))
+    return back.select("key", "prompt", F.size("instruction_id_list").cast("long").alias("n_instructions"), F.get("kwargs", 0)["num_words"].alias("num_words"))
+
+
+@query("lines_responses", f"with {PAIRS} select prompt, response from responses")
+def lines_responses(spark, sf_dir):
+    """Of several responses to a prompt, the last line counts."""
+    return J.read_responses(spark, written_responses(spark, sf_dir))
+
+
+@query("lines_blank", "select doc_id, n_chars::bigint as n_chars from documents")
+def lines_blank(spark, sf_dir):
+    """Blank lines between records are skipped."""
+    path = folder(spark, "blank")
+    table(spark, sf_dir, "documents").select(F.concat(F.to_json(F.struct("doc_id", "n_chars")), F.when(ID() % 3 == 0, "\n\n").when(ID() % 3 == 1, "\n  ").otherwise("")).alias("value")).write.text(path)
+    return J.read_lines(spark, path).select("doc_id", "n_chars")
+
+
+@query("lines_completed", "select distinct (doc_id % 100)::varchar as key from documents where doc_id % 7 <> 0")
+def lines_completed(spark, sf_dir):
+    """Keys of the lines that parse; broken ones are left out."""
+    path = folder(spark, "completed")
+    whole = F.to_json(F.struct((ID() % 100).cast("string").alias("key"), F.lit("r").alias("response")))
+    table(spark, sf_dir, "documents").select(F.when(ID() % 7 == 0, F.left(whole, F.length(whole) - 1)).otherwise(whole).alias("value")).write.text(path)
+    return J.completed_keys(spark, path)
+
+
+@query("lines_records", "select doc_id, lang, source, part from documents, (values ('a'), ('b')) p(part) where doc_id % 2 = 0 or part = 'b'")
+def lines_records(spark, sf_dir):
+    """Appended twice after an overwrite, read with all their fields."""
+    path, docs = folder(spark, "records"), table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    J.write_variants(docs.withColumn("part", F.lit("gone")), path, "overwrite")
+    J.write_variants(docs.where(ID() % 2 == 0).withColumn("part", F.lit("a")), path, "overwrite")
+    J.write_variants(docs.withColumn("part", F.lit("b")), path)
+    return J.read_records(spark, path).select("doc_id", "lang", "source", "part")
+
+
+@query("detail_sink", f"{STRICT} select key, f[1] and f[2] and f[3] as follow_all, (f[1]::int + f[2]::int + f[3]::int)::bigint as n_followed from checked")
+def detail_sink(spark, sf_dir):
+    path = folder(spark, "detail")
+    J.write_detail(strict(spark, sf_dir), path)
+    back = J.read_records(spark, path)
+    return back.select("key", F.col("follow_all_instructions").alias("follow_all"), F.size(F.filter("follow_instruction_list", lambda x: x)).cast("long").alias("n_followed"))
+
+
+@query("judged_sinks", "select doc_id, place from labels, (values ('annotated'), ('valid')) p(place) where place = 'annotated' or (quality = 1 and doc_id % 11 <> 0)")
+def judged_sinks(spark, sf_dir):
+    paths = {name: folder(spark, name) for name in ("annotated", "valid")}
+    verdict = F.col(f"`{S.JUDGEMENT}`")
+    J.write_judged(judged(spark, sf_dir), *paths.values(), verdict["is_valid"] & (verdict["reasoning"] != S.FAILED))
+    parts = [J.read_records(spark, path).select("doc_id", F.lit(name).alias("place")) for name, path in paths.items()]
+    return parts[0].union(parts[1])
+
+
+@query(
+    "evaluation_run",
+    f"""{STRICT}, flags as (select unnest({IDS_SQL}) as instruction_id, unnest(f) as ok from checked)
+    select 'prompt' as metric, avg((f[1] and f[2] and f[3])::int)::double as value from checked union all select 'instruction', avg(ok::int)::double from flags
+    union all select split_part(instruction_id, ':', 1), avg(ok::int)::double from flags group by 1 union all select instruction_id, avg(ok::int)::double from flags group by 1
+    union all select 'details', count(*)::double from checked""",
+)
+def evaluation_run(spark, sf_dir):
+    """From files to the log and the detail, as the command line does it; what the log says, and how many details there are."""
+    done = E.run(spark, written_prompts(spark, sf_dir), written_responses(spark, sf_dir), folder(spark, "evaluation"), "model", groups="none")
+    log = spark.read.option("multiLine", True).json(done["log"])
+    values = [F.struct(F.lit(f"{k}").alias("metric"), F.col(f"{k}_level_accuracy").alias("value")) for k in ("prompt", "instruction")]
+    values += [F.struct(F.lit(x).alias("metric"), F.col(f"{tier}.`{x}`").alias("value")) for tier in ("tier0", "tier1") for x in done["report"][tier]]
+    count = J.read_records(spark, done["detail"]).agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("details").alias("metric"), "value")
+    return log.select(F.inline(F.array(*values))).union(count)
+
+
+@query("loose_eval_failfast", f"{LOOSE} select pos::bigint as pos, f[1] and f[2] and f[3] as follow_all from best where key in (select key from joined where response is not null)")
+def loose_eval_failfast(spark, sf_dir):
+    """Prompts that have a response; one without would end the run."""
+    prompts, responses = conversation_prompts(spark, sf_dir), latest(spark, sf_dir)
+    some = prompts.join(responses.select("prompt"), "prompt", "left_semi").select(*prompts.columns)
+    return E.evaluate_loose(some, responses, only=IDS).select("pos", F.col("follow_all_instructions").alias("follow_all"))
+
+
+@query("streamed_evaluation", f"{STRICT} select key, f[1] and f[2] and f[3] as follow_all from checked")
+def streamed_evaluation(spark, sf_dir):
+    """Prompt files as a stream, until all that are there are evaluated."""
+    out = folder(spark, "streamed")
+    W_.watch_prompts(spark, written_prompts(spark, sf_dir), latest(spark, sf_dir), out, folder(spark, "progress")).awaitTermination()
+    return J.read_records(spark, out).select("key", F.col("follow_all_instructions").alias("follow_all"))
+
+
+@query("parsed_models", "select distinct source || case when doc_id % 2 = 0 then '-no-think' else '' end as name, source as model, doc_id % 2 = 1 as thinks from documents")
+def parsed_models(spark, sf_dir):
+    """Names of models, and whether they may think."""
+    name = F.concat("source", F.when(ID() % 2 == 0, "-no-think").otherwise(""))
+    names = table(spark, sf_dir, "documents").select(name.alias("name")).distinct()
+    return names.mapInPandas(lambda batches: (b.assign(model=[S.parse_model(x)[0] for x in b["name"]], thinks=[S.parse_model(x)[1] for x in b["name"]]) for b in batches), "name string, model string, thinks boolean")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

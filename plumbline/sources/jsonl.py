@@ -64,6 +64,11 @@ def read_prompt_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 # --- sinks
 
 
@@ -113,8 +118,8 @@ def write_judged(judged: DataFrame, annotated: str, valid: str, keep: Column) ->
         judged.unpersist()
 
 
-def output_paths(out: str, model: str, responses: str) -> dict[str, str]:
+def output_paths(out: str, model: str, responses: str, kind: str = "strict") -> dict[str, str]:
     """Where an evaluation's detail and log go, by the name of its responses."""
-    core = re.sub(r"\.jsonl$", "", responses.rsplit("/", 1)[-1]).replace("input_response_data_", "")
+    core = re.sub(r"\.jsonl$", "", responses.rstrip("/").rsplit("/", 1)[-1]).replace("input_response_data_", "")
     base = f"{out.rstrip('/')}/stat_{model}"
-    return {"detail": f"{base}/raw/{core}_eval_results_strict_detail.jsonl", "log": f"{base}/log/{core}_eval_results_strict_log.json"}
+    return {"detail": f"{base}/raw/{core}_eval_results_{kind}_detail.jsonl", "log": f"{base}/log/{core}_eval_results_{kind}_log.json"}

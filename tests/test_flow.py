@@ -150,3 +150,90 @@ def test_stream(spark, tables, tmp_path):
     for expected in (2, 2):
         watch_prompts(spark, str(folder), tables[1], f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
         assert spark.read.json(f"{tmp_path}/out").count() == expected
+
+
+def test_run(spark, tmp_path):
+    """The chain of the command line, loose too, and the paths of what it writes."""
+    from plumbline import __main__ as cli
+
+    prompts, responses = lines(tmp_path / "p.jsonl", PROMPTS), lines(tmp_path / "input_response_data_r.jsonl", RESPONSES)
+    done = E.run(spark, prompts, responses, f"{tmp_path}/out", "m")
+    assert done["report"]["prompt_level_accuracy"] == 0.6 and (tmp_path / "out/stat_m/raw/r_eval_results_strict_detail.jsonl").exists()
+    assert json.loads((tmp_path / "out/stat_m/log/r_eval_results_strict_log.json").read_text())["prompt_level_accuracy"] == 0.6
+    assert E.run(spark, prompts, responses, f"{tmp_path}/out", "m", loose=True, mode="flag")["detail"].endswith("r_eval_results_loose_detail.jsonl")
+    args = cli.parser().parse_args(["generate", "--model", "x-no-think", "--input_data", prompts, "--output_dir", str(tmp_path)])
+    assert args.client_type == "vllm" and args.num_workers == 16
+    path = cli.generate_file(spark, S.offline_client, prompts, f"{tmp_path}/gen.jsonl")
+    cli.generate_file(spark, S.offline_client, prompts, path)
+    assert J.read_records(spark, path).count() == 5
+
+
+def test_chat_client():
+    """What is sent to a server, and replies that fail."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    sent = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            sent.append(body)
+            good = body["messages"][-1]["content"] != "bad"
+            data = json.dumps({"choices": [{"message": {"content": f" r{i} "}} for i in range(body.get("n", 1))]}).encode()
+            self.send_response(200 if good else 500)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/v1"
+        one = S.ChatClient("m-no-think", url, temperature=0.7, effort="low")
+        turns = [[{"role": "user", "content": c}] for c in ("good", "bad")]
+        assert one(turns) == ["r0", None]
+        assert sent[0]["model"] == "m" and sent[0]["temperature"] == 0.7 and sent[0]["reasoning_effort"] == "low" and sent[0]["chat_template_kwargs"] == {"enable_thinking": False}
+        assert json.loads(S.ChatClient("m", url, choices=3)(turns[:1])[0]) == ["r0", "r1", "r2"]
+    finally:
+        server.shutdown()
+
+
+def test_client_from_env(monkeypatch):
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    monkeypatch.delenv("OAI_API_KEY", raising=False)
+    assert S.client_from_env("m", port=9).url == "http://localhost:9/v1/chat/completions"
+    with pytest.raises(ValueError):
+        S.client_from_env("m", "oai")
+
+
+def test_own_arguments(spark, tmp_path):
+    from plumbline.operators import checkers as C
+    from pyspark.sql import types as T
+
+    with pytest.raises(ValueError):
+        C.register_checker("own:last", lambda v, own_last: F.endswith(v, own_last))
+    C.register_checker("own:last", lambda v, own_last: F.endswith(v, own_last), "The last is {own_last}.", {"own_last": T.StringType()})
+    try:
+        rows = [{"key": "1", "prompt": "a", "instruction_id_list": ["own:last", "punctuation:no_comma"], "kwargs": [{"own_last": "words"}, {}]}]
+        prompts, responses = J.read_prompts(spark, lines(tmp_path / "p.jsonl", rows)), J.read_responses(spark, lines(tmp_path / "r.jsonl", RESPONSES))
+        assert E.evaluate_strict(prompts, responses).first().follow_instruction_list == [True, True]
+        with pytest.raises(ValueError):
+            C.register_checker("own:last", lambda v, own_last: v, "", {"own_last": T.LongType()})
+    finally:
+        C.unregister_checker("own:last")
+
+
+def test_tables_and_variants(spark, tables, tmp_path):
+    prompts = tables[0].drop("pos")
+    prompts.write.parquet(f"{tmp_path}/table")
+    assert J.read_prompt_table(spark, f"{tmp_path}/table").count() == 5
+    J.write_variants(prompts, f"{tmp_path}/v")
+    J.write_variants(prompts.limit(1), f"{tmp_path}/v")
+    assert J.read_records(spark, f"{tmp_path}/v").count() == 6
+    J.write_variants(prompts.limit(2), f"{tmp_path}/v", "overwrite")
+    assert J.read_records(spark, f"{tmp_path}/v").count() == 2
+    with pytest.raises(ValueError):
+        J.write_variants(prompts, f"{tmp_path}/v", "other")

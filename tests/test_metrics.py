@@ -12,17 +12,17 @@ def model(rows):
     """rows: (key, ok) in order."""
     first = [r for r in rows if r[0].split(":")[1] == "original"]
     rest = [r for r in rows if r[0].split(":")[1] != "original"]
-    groups = {b: {} for b in M.BUCKETS}
+    groups = {b: {} for b in ("all", "original", *M.KINDS)}
     for key, ok in first + rest:
         root, kind = key.split(":")[:2]
-        for b in M.BUCKETS if kind == "original" else [x for x in ("all", kind) if x in M.BUCKETS]:
+        for b in ("all", "original", *M.KINDS) if kind == "original" else [x for x in ("all", kind) if x in ("all", "original", *M.KINDS)]:
             groups[b].setdefault(root, []).append(ok)
 
     def share(b, f):
         return sum(map(f, groups[b].values())) / len(groups[b]) if groups[b] else None
 
     out = {"reliable_at_k_all": share("all", lambda g: sum(g) == 10), "reliable_at_k_original": share("original", lambda g: sum(g) == 1)}
-    for b in M.BUCKETS[2:]:
+    for b in M.KINDS:
         for k in (2, 4):
             out[f"{b}_at_{k}"] = share(b, lambda g: sum(g[:k]) == k)
     return out
@@ -32,7 +32,7 @@ def made(seed, roots=40):
     rng = random.Random(seed)
     rows = []
     for root in range(roots):
-        keys = [f"{root}:original"] + [f"{root}:{k}:{i}" for k in M.BUCKETS[2:] for i in range(1, 4)]
+        keys = [f"{root}:original"] + [f"{root}:{k}:{i}" for k in M.KINDS for i in range(1, 4)]
         if root % 7 == 0:
             keys = keys[1:]
         if root % 5 == 0:
