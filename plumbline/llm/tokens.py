@@ -2,7 +2,8 @@
 
 A piece is what lies between single spaces; its ids don't depend on its
 neighbours, so pieces that recur are looked up. Texts with other white space
-than single spaces and line feeds between words go to the library whole.
+than single spaces and line feeds between words, or that hold the string of an
+added token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def encoder(path: str, kind: str) -> "Encoder":
 class PieceCache:
     """Ids of texts from those of their pieces; the latter are held, up to MOST, then those that came up again."""
 
-    MOST = 1_000_000
+    MOST = 300_000
 
     def __init__(self):
         self.clear()
@@ -143,10 +144,12 @@ class Encoder(PieceCache):
         if kind not in ("byte", "word"):
             raise ValueError(f"unknown kind {kind!r}")
         self.library, self.kind = Tokenizer.from_file(path), kind
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Strings of added tokens are these tokens wherever they stand, so texts that hold one go to the library whole.
+        added = self.library.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        self.plain = not any(t.normalized for t in added.values())
         # Pieces are encoded many at a time, parted by a special token, which no normaliser or merge crosses.
-        self.parted = Tokenizer.from_file(path)
-        self.mark, self.mark_id = next(((t.content, i) for i, t in self.parted.get_added_tokens_decoder().items() if t.special), (None, -1))
+        self.mark, self.mark_id = next(((t.content, i) for i, t in added.items() if t.special), (None, -1))
         self.merge = self.library.model.tokenize
         self.stops = {c: [t.id for t in self.merge(c)] for c in ",."}
         self.line = [t.id for t in self.merge(BYTE_LETTERS[10])] if kind == "byte" else []
@@ -182,11 +185,10 @@ class Encoder(PieceCache):
         return np.array(flat, np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
     def _parted(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        marks = [t.content for t in self.parted.get_added_tokens_decoder().values()]
         joined = self.mark and self.mark.join(texts)
-        if not self.mark or sum(map(joined.count, marks)) != len(texts) - 1:
-            return super().bulk(texts)  # a piece holds such a token's string
-        ids = np.array(self.parted.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        if not self.mark or sum(map(joined.count, self.added)) != len(texts) - 1:
+            return super().bulk(texts)
+        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(ids == self.mark_id)
         return ids[ids != self.mark_id], np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
 
@@ -194,6 +196,8 @@ class Encoder(PieceCache):
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def split(self, text: str) -> list[str] | None:
+        if not self.plain or any(x in text for x in self.added):
+            return None
         own = text.replace("\n", " \n").split(" ")
         if len(text.split()) == len(own) and "\n" not in (text[0], text[-1]) and "\0" not in text and "\n\n" not in text:
             own[0] = "\0" + own[0]
