@@ -26,19 +26,22 @@ RULES: list[tuple[str, str, float | None, float | None]] = [
     ("dup_lines", "n_dup_lines / n_lines", None, 0.5),
 ]
 
-#: Positions take the low bits of a window's code, its hash the others.
-_POSITION_BITS = 24
+#: Places take the low bits of a window's code, its hash the others. Texts of more words than the first can number have the second.
+_PLACE_BITS = (24, 32)
 
 
 def _measures(text: Column) -> list[tuple[str, Column]]:
     """Columns in the order that they build on each other."""
     c = F.col
-    # Words that follow each other in one window: a code holds 40 bits of the
-    # window's hash and its place; in sorted codes equal hashes are neighbours,
-    # and the words themselves decide whether these are equal.
-    place = (1 << _POSITION_BITS) - 1
-    at = "cast(get(__codes, {}) & {} as int)"
-    equal = " and ".join(f"get(__words, {at.format('i', place)} + {k}) = get(__words, {at.format('{j}', place)} + {k})" for k in range(3))
+    # Windows of three words: a code holds the first bits of the window's hash
+    # and its place; in sorted codes equal hashes are neighbours, and the words
+    # themselves decide whether windows are equal. Where neighbours of equal
+    # hash are unlike windows, all of that hash are compared.
+    place = "cast({} & ((shiftleft(1L, __bits)) - 1) as int)"
+    same = lambda y: f"shiftright(x, __bits) = shiftright({y}, __bits)"
+    equal = lambda y: " and ".join(f"get(__words, {place.format('x')} + {k}) = get(__words, {place.format(y)} + {k})" for k in range(3))
+    before, after = "get(__codes, i - 1)", "get(__codes, i + 1)"
+    twice = f"case when {same(before)} and {equal(before)} then true when {same(after)} and {equal(after)} then true when {same(before)} or {same(after)} then exists(__codes, y -> y <> x and {same('y')} and {equal('y')}) else false end"
     return [
         ("__text", F.coalesce(text.cast("string"), F.lit(""))),
         ("__words", F.expr(r"filter(split(__text, '[ \\x09-\\x0D]+'), w -> w <> '')")),
@@ -50,12 +53,10 @@ def _measures(text: Column) -> list[tuple[str, Column]]:
         ("n_lines", F.size("__lines").cast("long")),
         ("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")),
         ("n_stop_words", F.expr(f"size(filter(__words, w -> lower(w) in ({', '.join(repr(w) for w in dict.fromkeys(STOP_WORDS))})))").cast("long")),
-        ("__codes", F.expr(f"if(n_words < 3, cast(array() as array<bigint>), sort_array(transform(slice(__words, 1, greatest(size(__words) - 2, 1)), (w, i) -> (xxhash64(w, get(__words, i + 1), get(__words, i + 2)) & {~place}L) | cast(i as bigint))))")),
-        ("__twice", F.expr(
-            f"filter(__codes, (x, i) -> (shiftright(x, {_POSITION_BITS}) = shiftright(get(__codes, i - 1), {_POSITION_BITS}) and {equal.replace('{j}', 'i - 1')})"
-            f" or (shiftright(x, {_POSITION_BITS}) = shiftright(get(__codes, i + 1), {_POSITION_BITS}) and {equal.replace('{j}', 'i + 1')}))"
-        )),
-        ("n_repeat_words", F.expr(f"cast(size(array_distinct(flatten(transform(__twice, x -> array(x & {place}, (x & {place}) + 1, (x & {place}) + 2))))) as long)")),
+        ("__bits", F.expr(f"if(n_words < {1 << _PLACE_BITS[0]}, {_PLACE_BITS[0]}, {_PLACE_BITS[1]})")),
+        ("__codes", F.expr("if(n_words < 3, cast(array() as array<bigint>), sort_array(transform(slice(__words, 1, greatest(size(__words) - 2, 1)), (w, i) -> (shiftleft(shiftright(xxhash64(w, get(__words, i + 1), get(__words, i + 2)), __bits), __bits) | cast(i as bigint)))))")),
+        ("__twice", F.expr(f"transform(filter(__codes, (x, i) -> {twice}), x -> {place.format('x')})")),
+        ("n_repeat_words", F.expr("cast(size(array_distinct(flatten(transform(__twice, x -> array(x, x + 1, x + 2))))) as long)")),
     ]
 
 
@@ -80,15 +81,14 @@ def assess(docs: DataFrame, carry: list[str] = ["doc_id"]) -> DataFrame:
     counts lines with a word equal to an earlier one; n_repeat_words the words
     in 3-word windows that the text has twice or more. base_failed: fewer than
     50 words, or over half of them such. Repeated rows are judged each, nulls
-    in other columns don't matter, an empty table gives no rows. Texts of over
-    16 million words raise an error.
+    in other columns don't matter, an empty table gives no rows. Texts may be as
+    long as a row can hold.
     """
     text = docs["text"]
     df = docs.select(*[docs[c] for c in carry], text.alias("__raw"))
     for name, column in _measures(F.col("__raw")):
         df = df.withColumn(name, column)
     rules = compiled()
-    df = df.withColumn("n_words", F.when(F.col("n_words") >= 1 << _POSITION_BITS, F.raise_error(F.lit("a text of too many words")).cast("long")).otherwise(F.col("n_words")))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     for name, column in rules.items():
         df = df.withColumn(f"fits_{name}", column)
