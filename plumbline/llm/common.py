@@ -36,13 +36,15 @@ def limit_batches(spark: SparkSession) -> None:
 class Scratch:
     """Written tables under the shared checkpoint folder, dropped together.
 
-    The folder is the session's ``spark.checkpoint.dir``; a local one is made
-    only where that is unset (tests in local mode).
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset, a
+    local one is made in local mode, and others raise an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = f"file://{os.path.join(tempfile.gettempdir(), 'plumbline')}"
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -63,6 +65,11 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A written table of a few short columns, marked to be broadcast if it has ``most`` rows at most; larger ones are joined as Spark sees fit."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import math
 import re
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Scratch, limit_batches, spans_of_bytes, text_buffers
+from .common import _LOWER, Scratch, limit_batches, small_side, spans_of_bytes, text_buffers
 
 #: The models are fitted on at most so many labelled documents, those of least hash.
 FIT_ROWS = 4000
@@ -32,8 +33,48 @@ UNKNOWN, UNKNOWN_PRIOR = "und", 0.01
 MIN_POSTERIOR = 0.5
 SALTS = 16
 
-_HIDDEN = re.compile(r"(?is)<(script|style|nav|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""")
+_HIDDEN = re.compile(r"<(script|style|nav|noscript)\b", re.I)
+_CLOSED = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "nav", "noscript")}
+_ROOT = re.compile(r"<html\b([^>]*)", re.I)
+_DECLARED = re.compile(r"""\blang\s*=\s*["']?([a-z]{2,3})\b""", re.I)
+#: Second labels under a country's that are part of the suffix.
+SECOND = ("ac", "co", "com", "edu", "go", "gob", "gov", "ne", "net", "nom", "or", "org")
+
+
+def visible(html: str) -> str:
+    """The text of a page outside tags, comments and hidden elements, white space as single spaces.
+
+    One pass: what isn't closed is looked for once. An element or comment that
+    isn't closed hides only its tag; "<" without ">" after it is text.
+    """
+    parts, at, gone = [], 0, set()
+    while (k := html.find("<", at)) >= 0:
+        parts.append(html[at:k])
+        end = -1
+        if html.startswith("<!--", k):
+            if "" not in gone and (end := html.find("-->", k + 4)) < 0:
+                gone.add("")
+            end += 3 * (end >= 0)
+        elif (m := _HIDDEN.match(html, k)) and (name := m[1].lower()) not in gone:
+            if close := _CLOSED[name].search(html, m.end()):
+                end = close.end()
+            else:
+                gone.add(name)
+        if end < 0:
+            if (end := html.find(">", k)) < 0:
+                at = k
+                break
+            end += 1
+        at = end
+    parts.append(html[at:])
+    return " ".join(unescape(" ".join(parts)).split())
+
+
+def declared_language(html: str) -> str | None:
+    """What the first html tag declares."""
+    root = _ROOT.search(html)
+    found = root and _DECLARED.search(root[1])
+    return found[1].lower() if found else None
 
 
 def _trigrams(data: np.ndarray) -> np.ndarray:
@@ -96,19 +137,20 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def address(url: str | None) -> tuple[str, str, str]:
-    """(host, domain, suffix) of a URL; empty strings where it has none."""
+    """(host, domain, suffix) of a URL, the domain a label under the suffix; empty strings where it has none."""
     host = re.sub(r"^[a-z][a-z0-9+.-]*://", "", (url or "").strip().lower())
     host = re.split(r"[/?#]", host, maxsplit=1)[0].rpartition("@")[2].split(":")[0].strip(".")
     labels = host.split(".") if host else []
-    return host, ".".join(labels[-2:]), labels[-1] if len(labels) > 1 else ""
+    own = 2 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SECOND else 1 if len(labels) > 1 else 0
+    return host, ".".join(labels[-own - 1 :]), ".".join(labels[-own:]) if own else ""
 
 
 def _score_pages(model):
     def run(batches):
         for batch in batches:
             html = batch.column(2).fill_null("").to_pylist()
-            declared = [(m[1].lower() if (m := _DECLARED.search(x)) else None) for x in html]
-            texts = pa.array([re.sub(r"\s+", " ", _HIDDEN.sub(" ", x)).strip() for x in html], pa.string())
+            declared = [declared_language(x) for x in html]
+            texts = pa.array([visible(x) for x in html], pa.string())
             where = [address(u) for u in batch.column(1).to_pylist()]
             yield _scored(model.value, batch.column(0), texts, declared, where)
 
@@ -119,7 +161,7 @@ def _score_documents(model):
     def run(batches):
         for batch in batches:
             texts, sources = batch.column(2), [x or "" for x in batch.column(1).to_pylist()]
-            yield _scored(model.value, batch.column(0), texts, batch.column(3).to_pylist(), [(x, x, "") for x in sources])
+            yield _scored(model.value, batch.column(0), texts, [None] * len(sources), [(x, x, "") for x in sources])
 
     return run
 
@@ -204,11 +246,10 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def identify_documents(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """As identify_pages for doc_id; the source is the host, ``lang`` what is declared."""
+    """As identify_pages for doc_id; the source is the host, and nothing is declared: ``lang`` is what models are fitted on, so it is no evidence."""
     model, shared = _model(labelled)
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
-    declared = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), source.alias("source"), F.col("text").cast("string").alias("text"), declared.alias("declared"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), source.alias("source"), F.col("text").cast("string").alias("text"))
     return fuse(rows.mapInArrow(_score_documents(shared), _SCORED), model.langs, Scratch(docs.sparkSession, "langid")).withColumnRenamed("id", "doc_id")
 
 
@@ -216,8 +257,11 @@ def keep_identified(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is identified, with their own columns.
 
     Rows of one doc_id (null is one) stand or fall together: they go only if
-    none of them is identified.
+    none of them is identified. Null, empty and very short texts aren't. An
+    empty table gives no rows. Column names may be any.
     """
     found = identify_documents(docs, labelled)
-    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("__gone"))
+    gone = small_side(Scratch(docs.sparkSession, "identified").keep(gone, "gone"))
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return inner.join(gone, F.col(f"c{docs.columns.index('doc_id')}").eqNullSafe(F.col("__gone")), "left_anti").toDF(*docs.columns)
