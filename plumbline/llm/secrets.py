@@ -20,6 +20,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from .common import Scratch, limit_batches
 
@@ -50,11 +52,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def token_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Long tokens of digits and both cases that no base span overlaps."""
-    found = []
+    """Long tokens of digits and both cases that no base span overlaps. ``taken`` is in order of its starts, and so are tokens."""
+    found, k, end = [], 0, -1  # end: the furthest of the base spans that begin before the token's end
     for m in _TOKEN.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            end = max(end, taken[k][2])
+            k += 1
         x = m[0]
-        if re.search("[0-9]", x) and re.search("[a-z]", x) and re.search("[A-Z]", x) and len(set(x)) >= 10 and not any(s < m.end() and m.start() < e for s, _, e, _ in taken):
+        if end <= m.start() and re.search("[0-9]", x) and re.search("[a-z]", x) and re.search("[A-Z]", x) and len(set(x)) >= 10:
             found.append((m.start(), 3, m.end(), x))
     return found
 
@@ -111,21 +116,36 @@ def many(total: int) -> int:
     return min(COPIED_MOST, max(2, math.ceil(COPIED_SHARE * total)))
 
 
+def _owners(docs: DataFrame) -> tuple:
+    """Columns of a row's owner and repository."""
+    owner = docs["source"].cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    return owner, F.concat_ws("/", owner, docs["lang"].cast("string") if "lang" in docs.columns else F.lit(""))
+
+
+def verdicts(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """hash, live, salt of the candidates in ``rows(uid, copy, owner, repository, found)``; ``owners(owner, repository)`` has all rows of the corpus."""
+    spans = rows.select("copy", "owner", "repository", F.explode("found").alias("s")).select("copy", "owner", "repository", "s.hash")
+    everyone = owners.select(F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository")).distinct()
+    everyone = everyone.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    copied = (F.col("owners") >= many(everyone[0])) & (F.col("repositories") >= many(everyone[1]))
+    return ownership(spans).select("hash", (~copied).alias("live"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
+def judged_spans(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """uid and judged: (start, kind, end, live) of a row's candidates in order. What is gathered for a uid comes from its one text."""
+    spans = rows.select("uid", F.explode("found").alias("s")).select("uid", "s.*")
+    spans = spans.withColumn("salt", F.pmod(F.xxhash64("uid", "start"), F.lit(SALTS)).cast("int")).join(told, ["hash", "salt"])
+    return spans.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("judged"))
+
+
 def scan(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """uid, doc_id, base counts and digest, and judged: (start, kind, end, live) of all candidates in order."""
+    """doc_id, base counts and digest, and judged: (start, kind, end, live) of all candidates in order."""
     limit_batches(docs.sparkSession)
-    owner = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), F.concat_ws("/", owner, lang).alias("repository"), F.col("text").cast("string").alias("text"))
+    owner, repository = _owners(docs)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), repository.alias("repository"), F.col("text").cast("string").alias("text"))
     rows = scratch.keep(rows.mapInArrow(_scan, f"uid long, doc_id long, owner string, repository string, {_COLUMNS}"), "scanned")
     some = rows.where(F.size("found") > 0)
-    spans = some.select("uid", "copy", "owner", "repository", F.explode("found").alias("s")).select("uid", "copy", "owner", "repository", "s.*")
-    everyone = rows.select(F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository")).distinct()
-    everyone = everyone.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    copied = (F.col("owners") >= many(everyone[0])) & (F.col("repositories") >= many(everyone[1]))
-    wide = ownership(spans).select("hash", (~copied).alias("live"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    spans = spans.withColumn("salt", F.pmod(F.xxhash64("uid", "start"), F.lit(SALTS)).cast("int")).join(wide, ["hash", "salt"])
-    judged = spans.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("judged"))
+    judged = judged_spans(some, verdicts(some, rows))
     return rows.drop("found", "copy", "owner", "repository").join(judged, "uid", "left").withColumn("judged", F.coalesce("judged", F.expr("cast(array() as array<struct<start:long,kind:int,end:long,live:boolean>>)")))
 
 
@@ -153,47 +173,68 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     )
 
 
+def _candidates(having: bool):
+    """Rows with candidates, these added, or rows without any. The text is the last column."""
+
+    def run(batches):
+        for batch in batches:
+            spans, copies = [], []
+            for text in batch.column(batch.num_columns - 1).fill_null("").to_pylist():
+                base = base_spans(text)
+                own = sorted(base + token_spans(text, base))
+                spans.append([{"start": s, "kind": k, "end": e, "hash": _hash(v)} for s, k, e, v in own])
+                copies.append(_copy(text) if own and having else None)
+            keep = pa.array([k for k, x in enumerate(spans) if bool(x) == having], pa.int64())
+            columns = [*batch.columns, pa.array(copies, pa.int64()), pa.array(spans, _SPAN)] if having else batch.columns[:-1]
+            names = [*batch.schema.names, "copy", "found"] if having else batch.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays(columns, names).take(keep)
+
+    return run
+
+
 def mask_live(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with the live-looking spans of its texts replaced by ``mask``, and n_chars to match.
 
     All rows stay. Overlapping spans are masked as one. Owners are counted over
-    all rows first; then each row's own candidates are found again and masked
-    if the value's owners are few. Null texts stay null, and null n_chars too.
+    all rows; each row is judged by its own text's values, whatever other rows
+    have its doc_id. Rows without candidates don't move. Null and empty texts
+    stay as they are, and null n_chars too; repeated rows are masked each; an
+    empty table gives no rows. Column names may be any.
     """
-    spark = docs.sparkSession
+    spark, names = docs.sparkSession, docs.columns
+    limit_batches(spark)
     scratch = Scratch(spark, "masking")
-    found = scan(docs, scratch)
-    live = found.select("doc_id", F.filter("judged", lambda s: s["live"]).alias("live")).where(F.size("live") > 0)
-    # Rows of one doc_id have their spans together; each row is masked where it has such a span itself.
-    live = live.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("live"))).alias("__live")).withColumnRenamed("doc_id", "__doc_id")
-    names = docs.columns
+    owner, repository = _owners(docs)
+    inner = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], owner.alias("owner"), repository.alias("repository"), docs["text"].cast("string").alias("text"))
+    fields = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [T.StructField(c, T.StringType()) for c in ("owner", "repository")])
+    extra = T.StructType([T.StructField("text", T.StringType()), T.StructField("copy", T.LongType()), T.StructField("found", from_arrow_type(_SPAN))])
+    rest = inner.mapInArrow(_candidates(False), fields)
+    some = scratch.keep(inner.mapInArrow(_candidates(True), T.StructType(fields.fields + extra.fields)).withColumn("uid", F.monotonically_increasing_id()), "some")
+    judged = judged_spans(some, verdicts(some, inner)).select("uid", F.filter("judged", lambda s: s["live"]).alias("live")).where(F.size("live") > 0)
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for text, own in zip(texts, spans):
-            if text is not None and own is not None and len(own):
-                here = base_spans(text)
-                here = {(s, k, e) for s, k, e, _ in here + token_spans(text, here)}
-                cuts, end = [], -1
-                for s, e in sorted((x["start"], x["end"]) for x in own if (x["start"], x["kind"], x["end"]) in here):
-                    if s <= end:
-                        cuts[-1][1] = end = max(end, e)
-                    else:
-                        cuts.append([s, e])
-                        end = e
-                parts, at = [], 0
-                for s, e in cuts:
-                    parts += [text[at:s], mask]
-                    at = e
-                text = "".join(parts) + text[at:]
-            out.append(text)
+            cuts, end = [], -1
+            for s, e in sorted((x["start"], x["end"]) for x in own):
+                if s <= end:
+                    cuts[-1][1] = end = max(end, e)
+                else:
+                    cuts.append([s, e])
+                    end = e
+            parts, at = [], 0
+            for s, e in cuts:
+                parts += [text[at:s], mask]
+                at = e
+            out.append("".join(parts) + text[at:])
         return pd.Series(out, dtype=object)
 
-    ids = F.col("doc_id")
-    hit = docs.join(live, ids.eqNullSafe(F.col("__doc_id")), "left")
-    hit = hit.withColumn("text", F.when(F.col("__live").isNull(), F.col("text")).otherwise(masked("text", F.col("__live"))))
+    hit = some.join(judged, "uid").withColumn("text", masked("text", "live"))
+    whole = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in names:
-        kind = docs.schema["n_chars"].dataType
-        hit = hit.withColumn("n_chars", F.when(F.col("__live").isNull() | F.col("n_chars").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return hit.select(*names)
+        own = F.col(f"c{names.index('n_chars')}")
+        whole["n_chars"] = F.when(own.isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = hit.select(*[whole.get(c, F.col(f"c{i}")).alias(f"c{i}") for i, c in enumerate(names)])
+    out = out.union(some.join(judged, "uid", "left_anti").select(*out.columns)).union(rest.select(*out.columns))
+    return out.toDF(*names)
