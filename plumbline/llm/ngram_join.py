@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, limit_batches, mix, partitions, shingle_sets, text_buffers
+from .common import U64, Scratch, limit_batches, mix, partitions, shingle_sets, small_side, text_buffers
 from .graph import components
 
 #: Bits of the filter that finds the rows whose sets are compared: 16 for each of them, between these powers of two.
@@ -605,12 +605,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     judged = keys.join(best, "comp").select(F.col("doc_id").alias("__doc_id"), F.col("digest").alias("__digest"), F.col("rank").eqNullSafe(F.col("best")).alias("__stays"), "rows")
     judged = scratch.keep(judged.where("not __stays or rows > 1").drop("rows"), "judged")
     scratch.drop("empty", "named")
-    ident = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (_digest(F.col("text").cast("string")) == F.col("__digest"))
-    kept = docs.join(judged.where("not __stays"), ident, "left_anti")
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    ident = F.col(doc_id).cast("long").eqNullSafe(F.col("__doc_id")) & (_digest(F.col(text).cast("string")) == F.col("__digest"))
+    kept = inner.join(small_side(judged.where("not __stays")), ident, "left_anti")
     twice = judged.where("__stays")
     if twice.isEmpty():
-        return kept
-    others = F.to_json(F.struct(F.lit(0).alias("__"), *[docs[c] for c in docs.columns if c not in ("doc_id", "text")]))
+        return kept.toDF(*names)
+    others = F.to_json(F.struct(F.lit(0).alias("__"), *[F.col(c) for c in inner.columns if c not in (doc_id, text)]))
     first = Window.partitionBy("__doc_id", "__digest").orderBy("__others")
-    again = docs.withColumn("__others", others).join(twice, ident).withColumn("__row", F.row_number().over(first)).where("__row = 1")
-    return kept.join(twice, ident, "left_anti").union(again.select(*docs.columns))
+    again = inner.withColumn("__others", others).join(small_side(twice), ident).withColumn("__row", F.row_number().over(first)).where("__row = 1")
+    return kept.join(small_side(twice), ident, "left_anti").union(again.select(*inner.columns)).toDF(*names)
