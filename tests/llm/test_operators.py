@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -19,9 +20,13 @@ WORDS = r"[^\x20\x09-\x0D]+"
 def library(name):
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(tokenizer_path(name))
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
+def with_marks(spark):
+    """Texts that hold the strings of the tokenizers' special tokens."""
+    texts = ["hello <|endoftext|> world", "<|startoftext|>a<|endoftext|>", "<|endoftext|", "x <|EndOfText|> y <|endoftext|> <|endoftext|>\n<|startoftext", "plain words here"]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
 # --- packing
@@ -47,8 +52,9 @@ def test_packing(docs):
     assert sum(2048 - v for v in used.values()) < 0.03 * sum(used.values())
 
 
-def test_packing_odd(odd):
+def test_packing_odd(odd, spark):
     check_packing(odd, 64)
+    check_packing(with_marks(spark), 64)
     assert packing.pack(odd.limit(0)).count() == 0
 
 
@@ -92,6 +98,14 @@ def test_quality(docs, odd):
     assert quality.assess(odd.limit(0)).count() == 0
 
 
+def test_quality_of_hidden_repeats(spark, monkeypatch):
+    """Windows that share a code and take turns by place; so few bits of the hash are left that this is common."""
+    monkeypatch.setattr(quality, "_PLACE_BITS", (60, 60))
+    texts = [" ".join(np.random.default_rng(k).choice(list("abcde"), 60)) for k in range(40)]
+    for r in quality.assess(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id", "text"]).collect():
+        assert (r.n_words, r.n_repeat_words) == (60, measures(r.text)[4])
+
+
 def test_quality_keeps_good(spark, data):
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
     rows = quality.assess(docs).join(labels, "doc_id").where("not base_failed").collect()
@@ -160,6 +174,21 @@ def test_topk_of_several_lengths(spark):
         assert sorted(map(tuple, topk.top_k(df, query_block=block).collect())) == sorted(want)
 
 
+def test_topk_of_large_components(spark):
+    """Scores that no double or long holds rank by their exact value."""
+    rng = np.random.default_rng(5)
+    base = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(-3, 20, 3)).tolist()) for i in range(120)]
+    base += [(150, [1e300, 2.0, 3.0]), (151, [1e300, 3.0, 3.0]), (152, [-1e308, 1.0, 1.0]), (200, [1e305, -1e305, 1.0]), (201, [1.7e308, 1.7e308, 0.5])]
+    good = [(i, [math.floor(Fraction(v) * 256) for v in x]) for i, x in base]
+    want = []
+    for q, x in good:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in good if i != q)[:5]
+            want += [(q, k + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for k, (s, i) in enumerate(best)]
+    df = spark.createDataFrame(base, "vec_id long, embedding array<double>").withColumn("query_id", F.lit(1)).withColumn("uid", F.lit("x")).repartition(3)
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
+
+
 # --- secrets
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -208,9 +237,122 @@ def test_secrets_of_copies(spark):
         assert all(bool(live[i]) == looks_live and (value in masked[i]) != looks_live for i in ids)
 
 
+def test_mask_by_row(spark):
+    """Rows of one doc_id are judged by their own values, wherever they stand; names may clash."""
+    live, copied = "Zx9Qw3Er5Ty7Ui1Op4As", "Ab1Cd2Ef3Gh4Ij5Kl6Mn"
+    rows = [(None, f"copied {live}", "s0", 27, 1, 1), (None, f"copied {copied}", "s1", 27, 1, 1), (5, f"copied {copied}", "s2", None, 2, 2), (5, "", "s3", 0, 3, 3), (5, None, "s4", None, 4, 4), (5, "none here", "s4", 9, 5, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, live long, found long").repartition(2)
+    got = sorted(map(str, map(tuple, secrets.mask_live(df).collect())))
+    assert got == sorted(map(str, [(None, "copied [SECRET]", "s0", 15, 1, 1), *rows[1:]]))
+    assert secrets.mask_live(df.limit(0)).count() == 0 and secrets.mask_live(df).columns == df.columns
+    many = "  ".join(f"password=abcdef{i} Zx9Qw3Er5Ty7Ui1Op{i:05}" for i in range(3000))
+    assert len(secrets.token_spans(many, secrets.base_spans(many))) == 3000
+
+
+def plain_owners(rows):
+    """Which values of rows(doc_id, text, owner, repository) are copied ones, value by value."""
+    seen = {}
+    for k, (_, text, owner, repository) in enumerate(rows):
+        words = " ".join((text or "").lower().split())
+        copy = words if len(words.split()) >= 5 else k
+        base = secrets.base_spans(text or "")
+        for _, _, _, value in base + secrets.token_spans(text or "", base):
+            own = seen.setdefault(value, {}).setdefault(copy, [])
+            own.append((owner, repository))
+    owners, repositories = {r[2] for r in rows}, {(r[2], r[3]) for r in rows}
+    out = set()
+    for value, copies in seen.items():
+        firsts = {min(own) if isinstance(copy, str) else x for copy, own in copies.items() for x in own}
+        if len({o for o, _ in firsts}) >= secrets.many(len(owners)) and len(firsts) >= secrets.many(len(repositories)):
+            out.add(value)
+    return out
+
+
+def test_ownership(spark, docs):
+    """Verdicts of all spans against the plain rule, on documents and made texts."""
+    made, _, _ = secret_texts(spark)
+    for df in (docs, made.withColumn("lang", F.lit("en"))):
+        rows = [(r.doc_id, r.text, r.source or "", f"{r.source or ''}/{r.lang or ''}") for r in df.collect()]
+        copied = plain_owners(rows)
+        got = {r.doc_id: r.live_spans for r in secrets.find_secrets(df).collect()}
+        for doc_id, text, _, _ in rows:
+            base = secrets.base_spans(text or "")
+            spans = sorted(base + secrets.token_spans(text or "", base))
+            assert got[doc_id] == secrets.written([x for x in spans if x[3] not in copied])
+
+
 # --- language
 
 
+def plain_posteriors(rows, langs):
+    """rows(loglik, host, domain, suffix, declared, bytes) -> (language, posterior) by the formulas, row by row."""
+    n = len(langs)
+    texts = [max(range(n), key=lambda k: (r[0][k], -k)) if r[5] > 2 else None for r in rows]
+
+    def counted(key):
+        out = {}
+        for r, t in zip(rows, texts):
+            if t is not None:
+                out.setdefault(key(r), [0.0] * n)[t] += 1
+        return out
+
+    def smooth(own, above):
+        return [(a + langid.KAPPA * b) / (sum(own) + langid.KAPPA) for a, b in zip(own, above)]
+
+    whole = counted(lambda r: 0).get(0, [0.0] * n)
+    top = [(c + 1) / (sum(whole[:-1]) + n - 1) * (1 - langid.UNKNOWN_PRIOR) for c in whole[:-1]] + [langid.UNKNOWN_PRIOR]
+    suffixes = {s: smooth(c, top) for s, c in counted(lambda r: r[3]).items()}
+    domains = {d: smooth(c, suffixes[d[0]]) for d, c in counted(lambda r: (r[3], r[2])).items()}
+    hosts = {h: smooth(c, domains[h[:2]]) for h, c in counted(lambda r: (r[3], r[2], r[1])).items()}
+    claims = {d: c for d, c in counted(lambda r: r[4]).items() if d is not None}
+    of = [sum(c[k] for c in claims.values()) for k in range(n)]
+    out = []
+    for r, t in zip(rows, texts):
+        prior = hosts.get((r[3], r[2], r[1]), top)
+        claim = [0.0] * n
+        if r[4] in claims:
+            share = (sum(claims[r[4]]) + 1) / (sum(of) + 2)
+            claim = [math.log((a + langid.KAPPA * share) / (b + langid.KAPPA)) for a, b in zip(claims[r[4]], of)]
+        score = [a + b + math.log(c) for a, b, c in zip(r[0], claim, prior)]
+        best = max(range(n), key=lambda k: (score[k], -k))
+        posterior = 1 / sum(math.exp(x - score[best]) for x in score)
+        out.append((langs[best] if t is not None and posterior >= langid.MIN_POSTERIOR else langid.UNKNOWN, posterior))
+    return out
+
+
+def test_fusion(spark, data, docs):
+    """Priors, claims and posteriors against the plain formulas; likelihoods are taken from the model."""
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    model = langid.fit(docs)
+    rows = pages.collect()
+    told = []
+    for r in rows:
+        text = langid.visible(r.html or "").encode()
+        told.append((model.score(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tolist(), *langid.address(r.url), langid.declared_language(r.html or ""), len(text)))
+    want = dict(zip([r.page_id for r in rows], plain_posteriors(told, model.langs)))
+    for r in langid.identify_pages(pages, docs).collect():
+        assert r.lang == want[r.page_id][0] and r.posterior == pytest.approx(want[r.page_id][1], abs=2e-6)
+
+
+def test_visible():
+    seen = langid.visible("<html lang=fr><!-- a > b --><SCRIPT>x<y</script >caf&eacute; <b>et</b>\n th\u00e9<style>p</style><nav>n</nav> 1 < 2")
+    assert seen == "caf\u00e9 et th\u00e9 1 < 2"
+    assert langid.visible("a<script>b") == "a b" and langid.visible("a<!-- b") == "a <!-- b" and langid.visible("") == ""
+    assert langid.declared_language("<html class='x' LANG = 'DE-at'>") == "de" and langid.declared_language("<p lang=fr>") is None
+    for piece in ("<script>", "<!--", "<", "<html ", "<nav", "</script   "):
+        langid.visible(piece * 300_000)
+        langid.declared_language(piece * 300_000)
+
+
+def test_pages_of_any_kind(spark, docs):
+    """Long and repeated pages, and names that clash."""
+    long = "<p>" + "the cat sat on the mat and the dog ran to the park " * 20_000
+    rows = [(1, "http://a.example.com/x", long, 1, "x"), (2, "http://a.example.com/x", "<script>" * 100_000, 2, "y"), (2, "http://a.example.com/x", "<script>" * 100_000, 2, "y"), (None, None, None, None, None)]
+    got = langid.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string, id long, host string"), docs).collect()
+    assert sorted((str(r.page_id), r.lang) for r in got)[0] == ("1", "en") and len(got) == 4
+
+
+
 def test_language(spark, data, odd):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     fitted, held = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1").drop("source").withColumn("lang0", F.col("lang")).drop("lang")
@@ -228,7 +370,8 @@ def test_language(spark, data, odd):
 
 
 def test_address():
-    assert langid.address("https://u@m.a.example.co.uk:80/x?y") == ("m.a.example.co.uk", "co.uk", "uk")
+    assert langid.address("https://u@m.a.example.co.uk:80/x?y") == ("m.a.example.co.uk", "example.co.uk", "co.uk")
+    assert langid.address("http://b.example.fr") == ("b.example.fr", "example.fr", "fr") and langid.address("http://co.uk/") == ("co.uk", "co.uk", "uk")
     assert langid.address(None) == ("", "", "") and langid.address("localhost/x") == ("localhost", "localhost", "")
 
 
@@ -251,9 +394,22 @@ def test_scores(docs, odd, order):
 
         want = sorted((str(i), len(w), round(sum(score(w, k) for k in range(len(w))), 4)) for i, w in rows)
         got = sorted((str(r.doc_id), r.n_words, r.log_score) for r in lm.score(df, order).collect())
-        assert [g[:2] for g in got] == [w[:2] for w in want]
-        assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-6, abs=1e-3)
-    assert lm.score(odd.limit(0)).count() == 0
+        rows = sorted((str(r.doc_id), r.n_words, r.log_score) for r in lm.score_exploded(df, order).collect())
+        for found in (got, rows):
+            assert [g[:2] for g in found] == [w[:2] for w in want]
+            assert [g[2] for g in found] == pytest.approx([w[2] for w in want], rel=1e-6, abs=1e-3)
+    assert lm.score(odd.limit(0)).count() == 0 and lm.score_exploded(odd.limit(0)).count() == 0
+
+
+def test_counts_are_packed():
+    counts = np.array([1, 254, 255, 256, 1 << 40, 0, 3] * 50)
+    assert (lm.unpack_counts(lm.pack_counts(counts)) == counts).all() and len(lm.unpack_counts(lm.pack_counts(counts[:0]))) == 0
+
+
+def test_scores_of_a_long_text(spark):
+    rows = [(1, "a b c " * 700_000), (2, "a b")]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_words == 2_100_000 and got[2].n_words == 2
 
 
 # --- sentencepiece
@@ -272,6 +428,77 @@ def test_sentencepiece(docs, odd):
     assert sentencepiece.encode(odd.limit(0)).count() == 0
 
 
+def test_sentencepiece_decoding(docs, odd):
+    for df in (docs, odd):
+        back = Counter(map(tuple, sentencepiece.decode(sentencepiece.encode(df, with_ids=True)).collect()))
+        assert back == Counter((r.doc_id, r.text or "") for r in df.collect())
+    assert sentencepiece.decode(sentencepiece.encode(odd.limit(0), with_ids=True)).count() == 0
+
+
+def double_array(rules):
+    """A compiled character map of a few rules."""
+    units, texts, used = {}, b"", {0}
+    keys = {}
+    for k, v in rules.items():
+        keys[k.encode()] = len(texts)
+        texts += v.encode() + b"\0"
+
+    def place(at, prefix, label, leaf_here):
+        children = sorted({k[len(prefix)] for k in keys if k.startswith(prefix) and len(k) > len(prefix)})
+        base = next(b for b in range(256, 1 << 20, 256) if not {b ^ c for c in children} & used and b not in used)
+        used.update({base, *(base ^ c for c in children)})
+        units[at] = (at ^ base) << 10 | leaf_here << 8 | label
+        if leaf_here:
+            units[base] = keys[prefix] | 1 << 31
+        for c in children:
+            own = prefix + bytes([c])
+            place(base ^ c, own, c, own in keys)
+
+    place(0, b"", 0, False)
+    data = b"".join(units.get(k, 0).to_bytes(4, "little") for k in range((max(units) | 255) + 1))
+    return len(data).to_bytes(4, "little") + data + texts
+
+
+def message(*fields):
+    out = b""
+
+    def varint(n):
+        raw = b""
+        while n > 127:
+            raw += bytes([n & 127 | 128])
+            n >>= 7
+        return raw + bytes([n])
+
+    for number, value in fields:
+        if isinstance(value, bytes):
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+        elif isinstance(value, float):
+            out += varint(number << 3 | 5) + np.float32(value).tobytes()
+        else:
+            out += varint(number << 3) + varint(value)
+    return out
+
+
+@pytest.mark.parametrize("squeeze", [0, 1])
+def test_rewriting_normaliser(squeeze):
+    """A model whose normaliser rewrites characters, against the library."""
+    import random
+
+    import sentencepiece as library
+
+    rules = {"\uff21": "A", "\ufb01": "fi", "e\u0301": "\u00e9", "\t": " ", "\u3000": " ", "ab": "b", "abc": "", "\u00bd": "1/2", "\u00a0\u00a0": "  "}
+    pieces = [("<unk>", 0.0, 2), ("\u2581", -1.0, 1), ("A", -2.0, 1), ("f", -2.1, 1), ("i", -2.2, 1), ("fi", -2.5, 1), ("\u00e9", -3.0, 1), ("b", -2.7, 1), ("c", -2.6, 1), ("\u2581b", -2.9, 1), ("1", -3.1, 1), ("/", -3.2, 1), ("2", -3.3, 1), ("bc", -3.4, 1), ("<x>", 0.0, 4)]
+    model = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
+    model += message((2, message((3, 1)))) + message((3, message((2, double_array(rules)), (3, 1), (4, squeeze), (5, 1))))
+    machine, own = sentencepiece.Transducer(model), library.SentencePieceProcessor(model_proto=model)
+    assert machine.normalise.trie.ends.count(None) < len(machine.normalise.trie.ends)
+    rng = random.Random(1)
+    parts = [*rules, "a", "b", "c", "A", "f", "i", "e", "\u0301", " ", "  ", "z", "1", "/", "2", "<x>", "<", "x"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        assert machine.encode_one(text).tolist() == own.encode(text), repr(text)
+
+
 def test_unigram_path():
     """The shortest path of a unigram model, against all segmentations."""
     pieces = {"a": -1.0, "b": -1.5, "ab": -2.0, "abc": -6.0, "c": -2.0, "bc": -1.0, "▁": -0.5, "▁a": -0.9}
@@ -303,7 +530,7 @@ def test_unigram_path():
 
 def test_token_files(spark, docs, odd, tmp_path):
     coder = library("byte_bpe_50k.json")
-    for df in (docs, odd):
+    for df in (docs, odd, with_marks(spark)):
         rows = rans.round_trip(df).collect()
         ids = [(r.doc_id, coder.encode(r.text or "", add_special_tokens=False).ids + [0]) for r in df.collect()]
         assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids)

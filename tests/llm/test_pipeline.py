@@ -23,3 +23,20 @@ def test_stages(spark, data, tmp_path):
             assert found.where("doc_id <> component_id").count() == 0
         if name in ("ngram_join", "language_id", "quality_rules"):
             assert len(ids) == len(set(ids))
+
+
+def test_odd_documents(spark, odd):
+    """Stages take nulls, repeated rows, clashing names and empty tables; filters drop whole rows alone."""
+    clash = odd.withColumnRenamed("uid", "gone_id").withColumn("__doc_id", odd["n"]).withColumn("key", odd["n"])
+    before = [tuple(r) for r in clash.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "packing":
+            assert stage(spark, clash, "").selectExpr("count(distinct sequence_id)").first()[0] > 0 and stage(spark, clash.limit(0), "").count() == 0
+            continue
+        got = stage(spark, clash, "")
+        rows = [tuple(r) for r in got.collect()]
+        assert got.columns == clash.columns and stage(spark, clash.limit(0), "").count() == 0
+        if name == "secret_scan":
+            assert len(rows) == len(before)
+        else:
+            assert not set(rows) - set(before)
