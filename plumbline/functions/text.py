@@ -68,10 +68,15 @@ def count_words(v: Column) -> Column:
     return F.regexp_count(v, F.lit(WORD + "+")).cast("long")
 
 
+#: Words whose point ends no sentence.
+ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Sr", "Jr", "Gen", "Rep", "Sen", "vs", "e.g", "i.e", "cf", "No", "Fig")
+
+
 def count_sentences(v: Column) -> Column:
-    """Stretches that end in ``.``, ``!`` or ``?`` before white space, or at the end. Abbreviations aren't known."""
-    parts = F.split(strip(v), rf"(?<=[.!?]){SPACE}+", -1)
-    return F.size(F.filter(parts, solid)).cast("long")
+    """Stretches that end in ``.``, ``!`` or ``?``, a closing quotation mark or bracket after it or not, before white space, or at the end. Points of abbreviations and initials end none."""
+    short = "|".join(x.replace(".", r"\.") for x in ABBREVIATIONS)
+    ends = rf"""(?:(?<=[.!?])|(?<=[.!?]["'”’)\]]))(?<!(?<!{WORD})(?:{short}|[A-Z])\.){SPACE}+"""
+    return F.size(F.filter(F.split(strip(v), ends, -1), solid)).cast("long")
 
 
 def count_capital_words(v: Column) -> Column:

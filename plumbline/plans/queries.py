@@ -85,6 +85,9 @@ def count_word(word: str, t: str = "t") -> str:
 
 
 TRIM = r"regexp_replace(t, '^\s+|\s+$', '', 'g')"
+SHORT = "|".join(x.replace(".", r"\.") for x in X.ABBREVIATIONS)
+SENTENCES = rf"""((case when regexp_matches(t, '\S') then 1 else 0 end) + len(regexp_extract_all({TRIM}, '[.!?]["''”’)\]]?\s+'))
+    - len(regexp_extract_all(regexp_replace({TRIM}, '\s+', '  ', 'g'), '(?:^|{NW})(?:{SHORT}|[A-Z])\.\s')))"""
 UPPER = r"(regexp_matches({0}, '\p{{Lu}}') and not regexp_matches({0}, '[\p{{Ll}}\p{{Lt}}]'))"
 LOWER = r"(regexp_matches({0}, '\p{{Ll}}') and not regexp_matches({0}, '[\p{{Lu}}\p{{Lt}}]'))"
 
@@ -105,7 +108,7 @@ check("forbidden_words", "keywords:forbidden_words", {"forbidden_words": ["that"
 check("forbidden_patterns", "keywords:forbidden_words", {"forbidden_words": ["th[ai]t", "this"]}, sql=f"not {has_word('th[ai]t')} and not {has_word('this')}")
 check("letter_frequency", "keywords:letter_frequency", {"letter": "E", "let_frequency": 120, "let_relation": "less than"}, sql="length(lower(t)) - length(replace(lower(t), 'e', '')) < 120")
 check("response_language", "language:response_language", {"language": "fr"}, sql=f"{LANG}.n > 0 and {LANG}.lang = 'fr'")
-check("number_sentences", "length_constraints:number_sentences", {"num_sentences": 20, "relation": "at least"}, sql=rf"(case when regexp_matches(t, '\S') then 1 else 0 end) + len(regexp_extract_all({TRIM}, '[.!?]\s+')) >= 20")
+check("number_sentences", "length_constraints:number_sentences", {"num_sentences": 20, "relation": "at least"}, sql=rf"{SENTENCES} >= 20")
 check(
     "number_paragraphs", "length_constraints:number_paragraphs", {"num_paragraphs": 5}, lambda: F.replace(T(), F.lit("\n"), F.lit("\n***\n")), "replace(text, chr(10), chr(10) || '***' || chr(10))",
     r"""(with p as (select string_split_regex(t, '\s*\*\*\*\s*') as a), q as (select list_transform(a, lambda x: not regexp_matches(x, '\S')) as b, len(a) as n from p)
@@ -166,7 +169,7 @@ ALL = {
 @query(
     "all_checks",
     rf"""select doc_id, {has_word('the')} and {has_word('of')} as existence, len(regexp_extract_all(t, '{W}+')) >= 300 as words,
-    (case when regexp_matches(t, '\S') then 1 else 0 end) + len(regexp_extract_all({TRIM}, '[.!?]\s+')) >= 20 as sentences,
+    {SENTENCES} >= 20 as sentences,
     (with p as (select string_split_regex(t, '\s*\*\*\*\s*') as a), q as (select list_transform(a, lambda x: not regexp_matches(x, '\S')) as b, len(a) as n from p)
         select case when n > 2 and list_contains(b[2:n - 1], true) then false when n = 1 then n - b[1]::int = 1 else n - b[1]::int - b[n]::int = 1 end from q) as paragraphs,
     length(lower(t)) - length(replace(lower(t), 'e', '')) >= 100 as letters, len(list_filter(regexp_extract_all(t, '{W}+(?:[-''.]{W}+)*'), lambda x: {UPPER.format('x')})) >= 3 as capitals,
@@ -185,7 +188,7 @@ def words_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.count_words(T()).alias("n"))
 
 
-@query("sentences_count", rf"select doc_id, ((case when regexp_matches(t, '\S') then 1 else 0 end) + len(regexp_extract_all({TRIM}, '[.!?]\s+')))::bigint as n from (select doc_id, text as t from documents)")
+@query("sentences_count", rf"select doc_id, ({SENTENCES})::bigint as n from (select doc_id, text as t from documents)")
 def sentences_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.count_sentences(T()).alias("n"))
 
