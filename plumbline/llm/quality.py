@@ -41,7 +41,10 @@ def _measures(text: Column) -> list[tuple[str, Column]]:
     same = lambda y: f"shiftright(x, __bits) = shiftright({y}, __bits)"
     equal = lambda y: " and ".join(f"get(__words, {place.format('x')} + {k}) = get(__words, {place.format(y)} + {k})" for k in range(3))
     before, after = "get(__codes, i - 1)", "get(__codes, i + 1)"
-    twice = f"case when {same(before)} and {equal(before)} then true when {same(after)} and {equal(after)} then true when {same(before)} or {same(after)} then exists(__codes, y -> y <> x and {same('y')} and {equal('y')}) else false end"
+    twice = (
+        f"if({same(before)} or {same(after)}, case when {same(before)} and {equal(before)} then true when {same(after)} and {equal(after)} then true"
+        f" else exists(__codes, y -> y <> x and {same('y')} and {equal('y')}) end, false)"
+    )
     return [
         ("__text", F.coalesce(text.cast("string"), F.lit(""))),
         ("__words", F.expr(r"filter(split(__text, '[ \\x09-\\x0D]+'), w -> w <> '')")),
