@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, partitions
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -17,15 +17,17 @@ def components(edges: DataFrame, scratch: Scratch, name: str, most: int = 60) ->
 
     Each round keeps every component connected and hooks vertices on smaller
     ones; it ends with stars. The rounds grow with the logarithm of the
-    components' sizes. No vertex's neighbours are gathered: minima are partial
+    components' sizes. No vertex's neighbours are gathered: minima are
     aggregates, joined back. No edges give no rows. The result is written as ``name``.
     """
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    mark, k = _mark(now), 0
+    mark, k, width = _mark(now), 0, partitions(edges.sparkSession)
     while mark[0]:
-        both = now.union(now.select("b", "a"))
+        # One exchange serves a vertex's minimum and the join with it.
+        both = now.union(now.select("b", "a")).repartition(width, "a")
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.where("m < a").select("a", F.col("m").alias("b")))
+        large = large.repartition(width, "a")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         k += 1

@@ -334,10 +334,15 @@ def _shared(batches):
 
 
 def _bounded(batches):
-    """Pairs whose points let them link."""
+    """Pairs whose points let them link; all columns but sizes and points go on."""
     for batch in batches:
-        at = [k for k, (x, m, y, n) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist())) if _pair_bound(x, m, y, n)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64()))], ["a", "b"])
+        x, m, y, n = (batch.column(c).to_pylist() for c in ("x", "m", "y", "n"))
+        at = pa.array([k for k, own in enumerate(zip(x, m, y, n)) if _pair_bound(*own)], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in PAIR], PAIR)
+
+
+#: A pair's classes with their doc_ids and fingerprints.
+PAIR = ["a", "b", "a_doc", "b_doc", "a1", "a2", "b1", "b2"]
 
 
 def _pair_bound(x: bytes, m: int, y: bytes, n: int) -> bool:
@@ -452,15 +457,12 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64()))], ["a", "b"])
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs of classes that link, by their whole sets; classes meet their sets by fingerprint."""
-    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    ids = classes.join(ends, "rep").where("doc_id is not null").select("doc_id")
+def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs that link, by their whole sets; classes meet their sets by fingerprint."""
+    ids = pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("doc_id")).where("doc_id is not null")
     wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ids, 2 * pairs.count()))  # 2**28 bits at most
     sets = docs.select("doc_id", "text").mapInArrow(_full_sets(wanted), "f1 long, f2 long, shingles binary").dropDuplicates(["f1", "f2"])
-    prints = classes.select("rep", "f1", "f2")
-    both = pairs.join(prints.toDF("a", "a1", "a2"), "a").join(prints.toDF("b", "b1", "b2"), "b")
-    both = both.join(sets.toDF("a1", "a2", "x"), ["a1", "a2"]).join(sets.toDF("b1", "b2", "y"), ["b1", "b2"])
+    both = pairs.join(sets.toDF("a1", "a2", "x"), ["a1", "a2"]).join(sets.toDF("b1", "b2", "y"), ["b1", "b2"])
     return both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
 
 
@@ -510,7 +512,6 @@ def _linked(docs: DataFrame, scratch: Scratch, digest: bool = False) -> tuple[Da
     empty = scratch.keep(rows.where("n = 0").select("doc_id", "n", "uid"), "empty")
     # A class's least uid is the first of its task, and so has points and keys.
     points = scratch.keep(full.where("point is not null").join(reps.select(F.col("rep").alias("uid")), "uid").select(F.col("uid").alias("rep"), "doc_id", "n", "f1", "f2", "point", "coarse"), "points")
-    classes = points.select("rep", "doc_id", "f1", "f2")
 
     info = (F.least("rare", F.lit(RARE_MOST)) * (1 << SIZE_BITS + PLACE_BITS) + F.col("n") * (1 << PLACE_BITS) + F.least("place", F.lit((1 << PLACE_BITS) - 1))).alias("info")
     keyed = full.where("keys is not null").select("uid", "n", "rare", F.posexplode("keys").alias("place", "key")).select("key", "uid", info)
@@ -522,13 +523,14 @@ def _linked(docs: DataFrame, scratch: Scratch, digest: bool = False) -> tuple[Da
     def distinct_pairs(df: DataFrame) -> DataFrame:
         return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    fine = points.select("rep", "n", "point")
+    fine = points.select("rep", "n", "point", "doc_id", "f1", "f2")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         """The pairs that link, by fine points, then by whole sets."""
         name = f"near-{next(number)}"
-        near = pairs.join(fine.toDF("a", "m", "x"), "a").join(fine.toDF("b", "n", "y"), "b").select("a", "b", "x", "m", "y", "n").mapInArrow(_bounded, "a long, b long")
-        out = scratch.keep(_verify(scratch.keep(near, name), classes, docs), f"links-{next(number)}")
+        near = pairs.join(fine.toDF("a", "m", "x", "a_doc", "a1", "a2"), "a").join(fine.toDF("b", "n", "y", "b_doc", "b1", "b2"), "b")
+        near = scratch.keep(near.mapInArrow(_bounded, ", ".join(f"{c} long" for c in PAIR)), name)
+        out = scratch.keep(_verify(near, docs), f"links-{next(number)}")
         scratch.drop(name)
         scratch.release()
         return out
@@ -547,7 +549,7 @@ def _linked(docs: DataFrame, scratch: Scratch, digest: bool = False) -> tuple[Da
     size = F.shiftright(F.first("info"), PLACE_BITS).bitwiseAND((1 << SIZE_BITS) - 1)
     alive = shared.groupBy(F.col("uid").alias("rep")).agg(F.count(F.lit(1)).alias("with"), size.alias("n"))
     alive = alive.select("rep", "n", (F.ceil(3 * F.col("n") / 4) - 1 + F.col("with")).cast("long").alias("reach")).where("4 * reach >= 3 * n")
-    alive = scratch.keep(alive.join(classes.select("rep"), "rep", "left_semi").drop("n"), "alive")
+    alive = scratch.keep(alive.join(points.select("rep"), "rep", "left_semi").drop("n"), "alive")
 
     def compared(blocks: DataFrame, limited: bool) -> tuple[DataFrame, DataFrame]:
         """Pairs of classes of different components that blocks, sizes, places and coarse points let link, and keys where more are to come."""
@@ -562,7 +564,7 @@ def _linked(docs: DataFrame, scratch: Scratch, digest: bool = False) -> tuple[Da
         large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         large = large.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rep", "info", "reach", "comp").join(points.select("rep", "coarse"), "rep")
         trees = large.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep").mapInArrow(_blocks(limited), "a long, b long")
-        trees = scratch.keep(trees.distinct(), trees_name := f"trees-{next(number)}")
+        trees = scratch.keep(trees, trees_name := f"trees-{next(number)}")
         pairs = scratch.keep(told.where("key is null").select("a", "b").union(trees.where("a >= 0")).distinct(), f"pairs-{next(number)}")
         undone = scratch.keep(trees.where("a < 0").select(F.col("b").alias("key")).distinct(), f"undone-{next(number)}")
         scratch.drop(told_name, trees_name)
