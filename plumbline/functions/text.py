@@ -27,7 +27,7 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def strip(v: Column) -> Column:
-    return F.regexp_replace(v, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(v, rf"\A{SPACE}+|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def solid(v: Column) -> Column:
