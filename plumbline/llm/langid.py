@@ -203,7 +203,8 @@ def fuse(scored: DataFrame, langs: list[str], scratch: Scratch) -> DataFrame:
     whole = np.array(whole["n"] if whole["n"] and whole["n"][0] is not None else [0.0] * n)
     whole = np.append((whole[:-1] + 1) / (whole[:-1].sum() + n - 1) * (1 - UNKNOWN_PRIOR), UNKNOWN_PRIOR) if n > 1 else np.ones(1)
     top = F.array(*[F.lit(float(p)) for p in whole])
-    suffixes = gathered("suffix").withColumn("p", top).select("suffix", F.expr(_smoothed("n", "p")).alias("above"))
+    # A few thousand suffixes, one of which may hold most domains.
+    suffixes = small_side(scratch.keep(gathered("suffix").withColumn("p", top).select("suffix", F.expr(_smoothed("n", "p")).alias("above")), "suffixes"))
     domains = gathered("suffix", "domain").join(suffixes, "suffix").select("suffix", "domain", F.expr(_smoothed("n", "above")).alias("above"))
     priors = hosts.join(domains, ["suffix", "domain"]).select("suffix", "domain", "host", F.expr(_smoothed("n", "above")).alias("prior"))
     priors = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a host may hold a third of all rows
