@@ -25,17 +25,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str, kind: str) -> "Encoder":
-    """One per Python worker, kept between tasks."""
+def encoder(path: str, kind: str, most: int = 1_000_000) -> "Encoder":
+    """One per Python worker, kept between tasks; ``most`` pieces are held."""
     if (path, kind) not in _ENCODERS:
         _ENCODERS[path, kind] = Encoder(path, kind)
+    _ENCODERS[path, kind].MOST = most
     return _ENCODERS[path, kind]
 
 
 class PieceCache:
-    """Ids of texts from those of their pieces; the latter are held, up to MOST, then those that came up again."""
+    """Ids of texts from those of their pieces; the latter are held, up to MOST, then those that came up again, most used first."""
 
-    MOST = 300_000
+    MOST = 1_000_000
 
     def __init__(self):
         self.clear()
@@ -59,10 +60,11 @@ class PieceCache:
 
     def shrink(self) -> None:
         names, starts, lengths, flat = list(self.cache), self.starts, self.lengths, self.flat
-        kept = np.flatnonzero(self.uses[: len(names)] > 1)
-        self.clear()
+        uses = self.uses[: len(names)]
+        kept = np.flatnonzero(uses > 1)
         if len(kept) > self.MOST // 2:
-            return
+            kept = np.sort(kept[np.argpartition(-uses[kept], self.MOST // 2)[: self.MOST // 2]])
+        self.clear()
         size = 1 << max(14, int(len(kept)).bit_length())
         after = np.cumsum(lengths[kept])
         self.flat = flat[np.repeat(starts[kept] - (after - lengths[kept]), lengths[kept]) + np.arange(after[-1] if len(after) else 0)]
