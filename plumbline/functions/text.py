@@ -96,12 +96,11 @@ def sentence_ends() -> str:
     """A pattern for the ends of sentences: "!", "?", runs of points, and points whose neighbours make them ends. Groups hold an end and the quotation mark after it."""
     opener = "(?= (?:" + "|".join(OPENERS).replace(r"\s", SPACE) + "))"
     firms = "|".join(FIRMS)
-    after_all = [rf"(?<= (?:{firms}))\.{opener}", rf"(?<=[A-Z]\.[A-Z])\.{opener}"]
     # What makes a point part of a word: before it a title, a firm, a letter that stands alone, an acronym; around it digits, an acronym, an address.
     before = ["|".join(TITLES), f" (?:{firms})", " [A-Za-z]", r"[A-Za-z]\.[A-Za-z]", r"Ph\.D"]
     around = [f"(?:{'|'.join(DOMAINS)})", r"(?<=[0-9]\.)[0-9]", r"(?<=[A-Za-z]\.)[A-Za-z]\.", r"(?<=Ph\.)D\.", rf"(?<={SPACE}[A-Za-z]\.) "]
-    plain = "".join(f"(?<!{x})" for x in before) + r"\." + "".join(f"(?!{x})" for x in around)
-    return rf"(\.{{2,}})|({'|'.join([*after_all, plain])})([\"”]?)|([!?])(\"?)"
+    plain = "".join(rf"(?<!(?:{x})\.)" for x in before) + "".join(f"(?!{x})" for x in around)
+    return rf"(\.{{2,}})|(\.(?:(?<= (?:{firms})\.|[A-Z]\.[A-Z]\.){opener}|{plain}))([\"”]?)|([!?])(\"?)"
 
 
 def split_sentences(v: Column) -> Column:
@@ -145,7 +144,7 @@ def detect_language(v: Column) -> Column:
     """The language with most function words, or letters of its own script; null where there are none. Ties go to the later code."""
     every = sorted({w for own in STOP_WORDS.values() for w in own.split()})
     words = F.filter(F.split(F.lower(v), r"[^\p{L}\p{M}\p{N}_]+"), lambda x: x.isin(*every))
-    scripted = v.rlike("[" + "".join(x.strip("[]") for x in SCRIPTS.values()) + "]")
+    scripted = v.rlike(r"[\x{370}-\x{1fff}\x{2126}\x{2e80}-\x{10ffff}]")  # where all of these scripts are: cheap to tell
     letters = F.when(scripted, F.array(*[F.struct(F.regexp_count(v, F.lit(script)).alias("n"), F.lit(lang).alias("lang")) for lang, script in SCRIPTS.items()]))
 
     def among(known: Column, own: str) -> Column:
