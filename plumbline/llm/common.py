@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 U64 = np.uint64
 
 

@@ -55,7 +55,7 @@ FULL = 255
 #: Blocks of up to so many rows are one node.
 SMALL = 32
 #: log2 of the counts of a coarse point.
-COARSE = 5
+COARSE = 6
 #: A key row's number: rare keys of its set (saturating), the set's size, the key's place (saturating).
 SIZE_BITS, PLACE_BITS, RARE_MOST = 30, 18, (1 << 15) - 1
 
@@ -228,21 +228,22 @@ class Rows:
         self.reach = np.minimum(self.reach, self.sizes - places)
         self.points = coarse_points(table.column("coarse"))
 
-    def block(self, begin: int, end: int, crossed: bool, limited: bool) -> tuple[list, bool]:
-        """Pairs of one block that its tree leaves, and whether these are all. crossed: only between parts. limited: of each row only the pair of largest bound, if there are many."""
+    def block(self, begin: int, end: int, crossed: bool, limited: bool):
+        """Yield pairs of one block that its tree leaves; crossed: only between parts. limited: at most PAIRS_A_ROW a row; where there are more, (None, None), then of each row the pair of largest bound."""
         own = slice(begin, end)
         sizes, parts, points = self.sizes[own], self.parts[own], self.points[own]
         top, mate = np.full(end - begin, -1.0), np.full(end - begin, -1)
-        found, count, most = [], 0, PAIRS_A_ROW * (end - begin) if limited else 1 << 62
+        found, count, most = [], 0, PAIRS_A_ROW * (end - begin)
         for i, j, bound in CountTree(sizes, self.reach[own], points, self.labels[own]).pairs():
             if crossed:
                 keep = parts[i] != parts[j]
                 i, j, bound = i[keep], j[keep], bound[keep]
+            if not limited:
+                yield begin + i, begin + j
+                continue
             count += len(i)
             if count <= most:
                 found.append((begin + i, begin + j))
-            if not limited:
-                continue
             share = bound / (sizes[i] + sizes[j])
             for x, y in ((i, j), (j, i)):
                 order = np.lexsort((y, -share, x))
@@ -251,10 +252,11 @@ class Rows:
                 x, y, z = x[first], y[first], z[first]
                 more = z > top[x]
                 top[x[more]], mate[x[more]] = z[more], y[more]
-        if count <= most:
-            return found, True
-        x = np.flatnonzero(mate >= 0)
-        return [(begin + x, begin + mate[x])], False
+        if limited and count > most:
+            yield None, None
+            x = np.flatnonzero(mate >= 0)
+            found = [(begin + x, begin + mate[x])]
+        yield from found
 
 
 def _sets(frequent: np.ndarray):
@@ -273,7 +275,7 @@ def _sets(frequent: np.ndarray):
                 prints[row] = np.frombuffer(mark := blake2b(got.tobytes(), digest_size=16).digest(), "<i8")
                 if mark in seen:
                     continue
-                if len(seen) >= 200_000:
+                if len(seen) >= 50_000:
                     seen.clear()
                 seen.add(mark)
                 points[row], coarse[row] = count_vector(got), coarse_vector(got)
@@ -359,16 +361,12 @@ def _blocks(limited: bool):
 
     def joined(table: pa.Table, cuts: np.ndarray):
         rows, x, y = Rows(table), table.column("x").to_numpy(), table.column("y").to_numpy()
-        found, undone = [], []
         for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            own, done = rows.block(begin, end, bool(x[begin] != y[begin]), limited)
-            found += own
-            if not done:
-                undone.append(table.column("key")[begin].as_py())
-        if undone:
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(undone), pa.int64()), pa.array(undone, pa.int64())], ["a", "b"])
-        for i, j in found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rows.ids[i], rows.ids[j])), pa.array(np.maximum(rows.ids[i], rows.ids[j]))], ["a", "b"])
+            for i, j in rows.block(begin, end, bool(x[begin] != y[begin]), limited):
+                if i is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), table.column("key")[begin : begin + 1].combine_chunks()], ["a", "b"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rows.ids[i], rows.ids[j])), pa.array(np.maximum(rows.ids[i], rows.ids[j]))], ["a", "b"])
 
     def run(batches):
         held: list[pa.Table] = []

@@ -61,7 +61,7 @@ def _pieces(path: str, kind: str, sequence: int, end_id: int, with_ids: bool):
     """Rows of (doc_id, start, length, ids_crc32, doc_tokens, ids) for each document's pieces."""
 
     def run(batches):
-        coder = encoder(path, kind, 300_000)  # fewer than elsewhere: idle workers keep them beside the next stages
+        coder = encoder(path, kind, 150_000)  # fewer than elsewhere: idle workers keep them beside the next stages
         for batch in batches:
             all_ids, all_texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
             for i, j in text_runs(all_texts):
