@@ -3,9 +3,7 @@ limits, and vectorised hashing of words and shingles."""
 
 from __future__ import annotations
 
-import functools
 import gc
-import math
 import os
 import tempfile
 import uuid
@@ -76,21 +74,12 @@ def partitions(spark: SparkSession) -> int:
 
 # --- hashing of words -------------------------------------------------------
 
-_R = U64(0x9E3779B97F4A7C15)  # odd, so invertible modulo 2**64
-_R_INV = U64(pow(int(_R), -1, 1 << 64))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_R = U64(0x9E3779B97F4A7C15)  # odd
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SEP = np.zeros(256, bool)
 _SEP[[32, *range(9, 14)]] = True
-_BYTE = np.random.default_rng(20240).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
-
-
-@functools.lru_cache(maxsize=1)
-def _powers(log2: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << log2
-    a, b = np.full(n, _R, U64), np.full(n, _R_INV, U64)
-    a[0] = b[0] = 1
-    return np.cumprod(a, dtype=U64), np.cumprod(b, dtype=U64)
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,6 +113,25 @@ def spans_of_bytes(offs: np.ndarray, most: int = 1 << 20):
         i = min(j, n)
 
 
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes: its 8-byte pieces are mixed one by one with their places, so no two
+    texts' hashes are tied by arithmetic alone, and the mixed pieces are added up."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = end - begin
+    out = mix((eight[begin] & _FIRST_BYTES[np.minimum(size, 8)]) + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+    longer = np.flatnonzero(size > 8)
+    if len(longer):
+        more = (size[longer] - 1) >> 3
+        first = np.cumsum(more) - more
+        place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        left = np.minimum(np.repeat(size[longer], more) - 8 * place, 8)
+        pieces = eight[np.repeat(begin[longer], more) + 8 * place] & _FIRST_BYTES[left]
+        out[longer] += np.add.reduceat(mix(pieces ^ mix(place.astype(U64) * _R)), first)
+    return mix(out + _R)
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = True):
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of consecutive texts, with each word's row."""
     base, end = int(offs[0]), int(offs[-1])
@@ -140,11 +148,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = True):
     stop[:-1] &= ~inside[1:]
     stop[cut - 1] = inside[cut - 1]
     s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    power, inverse = _powers(max(20, math.ceil(math.log2(n + 1))))
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE[_LOWER[raw] if lower else raw] * power[:n], dtype=U64, out=sums[1:])
-    h = (sums[e] - sums[s]) * inverse[s]
-    return mix(h + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93)), np.searchsorted(offs - base, s, "right") - 1
+    return span_hashes(LOWER[raw] if lower else raw, s, e), np.searchsorted(offs - base, s, "right") - 1
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -174,3 +178,40 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = 5):
                 yield i + r, got[keep]
             else:
                 yield i + r, ngram_hashes(words[a:b], b - a) if b > a else np.zeros(0, U64)
+
+
+# --- filters of ids -----------------------------------------------------------
+
+#: Bits of a filter of ids: 16 for each of them, between these powers of two.
+FILTER_LOG2 = (16, 28)
+
+
+def _places(ids: np.ndarray, log2: int) -> np.ndarray:
+    """Two bits of the filter for each id."""
+    h = mix(ids.view(U64) + U64(0x632BE59BD9B4E019))
+    return np.stack([h & U64((1 << log2) - 1), h >> U64(64 - log2)]).astype(np.int64)
+
+
+def _filter_bits(log2: int):
+    def run(batches):
+        for batch in batches:
+            places = _places(batch.column(0).to_numpy(), log2).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(places >> 6), pa.array((U64(1) << (places & 63).astype(U64)).view(np.int64))], ["word", "bits"])
+
+    return run
+
+
+def id_filter(ids: DataFrame, count: int) -> tuple[int, np.ndarray]:
+    """Bloom filter of 2**log2 bits over ids, 16 for each as far as FILTER_LOG2 goes; beyond that it is less selective."""
+    log2 = min(FILTER_LOG2[1], max(FILTER_LOG2[0], (16 * count).bit_length()))
+    rows = ids.mapInArrow(_filter_bits(log2), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << log2 - 6, np.int64)
+    words[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return log2, words
+
+
+def passes(bloom: tuple[int, np.ndarray], ids: np.ndarray) -> np.ndarray:
+    """Whether each id may be in the filter; those that are do."""
+    log2, words = bloom
+    bits = _places(ids, log2)
+    return ((words[bits >> 6] >> (bits & 63)) & 1).astype(bool).all(0)

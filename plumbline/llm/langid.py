@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Scratch, limit_batches, small_side, spans_of_bytes, text_buffers
+from .common import LOWER, Scratch, limit_batches, small_side, spans_of_bytes, text_buffers
 
 #: The models are fitted on at most so many labelled documents, those of least hash.
 FIT_ROWS = 4000
@@ -78,7 +78,7 @@ def declared_language(html: str) -> str | None:
 
 
 def _trigrams(data: np.ndarray) -> np.ndarray:
-    x = _LOWER[data].astype(np.uint32)
+    x = LOWER[data].astype(np.uint32)
     return ((x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS_LOG2)
 
 

@@ -39,11 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, limit_batches, mix, partitions, shingle_sets, small_side, text_buffers
+from .common import U64, Scratch, id_filter, limit_batches, partitions, passes, shingle_sets, small_side, text_buffers
 from .graph import components
 
-#: Bits of the filter that finds the rows whose sets are compared: 16 for each of them, between these powers of two.
-FILTER_LOG2 = (16, 28)
 #: Blocks are split into parts of about so many rows.
 PART_ROWS = 4096
 #: The list of frequent shingles: at most so many, of documents whose id hashes to one residue of SAMPLE.
@@ -394,39 +392,13 @@ def _blocks(limited: bool):
     return run
 
 
-def _places(ids: np.ndarray, log2: int) -> np.ndarray:
-    """Two bits of the filter for each id."""
-    h = mix(ids.view(U64) + U64(0x632BE59BD9B4E019))
-    return np.stack([h & U64((1 << log2) - 1), h >> U64(64 - log2)]).astype(np.int64)
-
-
-def _filter_bits(log2: int):
-    def run(batches):
-        for batch in batches:
-            places = _places(batch.column(0).to_numpy(), log2).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(places >> 6), pa.array((U64(1) << (places & 63).astype(U64)).view(np.int64))], ["word", "bits"])
-
-    return run
-
-
-def id_filter(ids: DataFrame, count: int) -> tuple[int, np.ndarray]:
-    """Bloom filter of 2**log2 bits over ids, 16 for each as far as FILTER_LOG2 goes; beyond that it is less selective."""
-    log2 = min(FILTER_LOG2[1], max(FILTER_LOG2[0], (16 * count).bit_length()))
-    rows = ids.mapInArrow(_filter_bits(log2), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(1 << log2 - 6, np.int64)
-    words[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return log2, words
-
-
 def _full_sets(wanted):
     """Whole sets of the rows whose id passes the filter; null ids all do."""
 
     def run(batches):
-        log2, words = wanted.value
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy()
-            bits = _places(ids, log2)
-            keep = ((words[bits >> 6] >> (bits & 63)) & 1).all(0) | ~batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            keep = passes(wanted.value, ids) | ~batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             yield from _sets_of(batch.column(1).take(pa.array(np.flatnonzero(keep))))
 
     return run
