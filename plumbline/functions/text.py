@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .language import LANGUAGES, detect_language  # noqa: F401
+
 # Python's str classes, spelt out for Java regular expressions.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 SOLID = r"[^\s\x1c-\x1f\x85\p{Z}]"
@@ -110,53 +112,6 @@ def split_sentences(v: Column) -> Column:
     return bound(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
-#: Function words by language, for the vote below.
-STOP_WORDS = {
-    "en": "the of and in is to by that with as are on",
-    "fr": "le la les un une et en que des de est dans pour au du",
-    "de": "de der die das und ist nicht ein von zu sich in mit für",
-    "es": "el la los de que y en un una es por con se del",
-    "pt": "o os as de que e em um uma é não para com do da",
-    "it": "il lo gli di che e è un una per con non del della",
-    "pl": "w na nie się że z do jest i to jak",
-    "fi": "ja on ei että se oli hän mutta kun myös",
-    "sw": "na ya wa kwa ni katika za la kuwa",
-    "vi": "và của là có các được trong không cho một",
-    "ru": "и в не на что с как это по но",
-    "uk": "і в не на що з як це та у",
-    "bg": "и в не на че с как това за се",
-    "ne": "छ र को मा हो पनि यो",
-    "mr": "आहे व आणि या ते हे",
-    "hi": "है के में की और से का",
-    "fa": "است و در به از که این",
-    "ur": "ہے اور کے میں کی سے کا",
-    "ar": "في من على أن إلى هذا التي",
-}
-#: Scripts that tell a language, each letter a vote.
-SCRIPTS = {
-    "bn": r"\p{IsBengali}", "el": r"\p{IsGreek}", "gu": r"\p{IsGujarati}", "he": r"\p{IsHebrew}", "ja": r"[\p{IsHiragana}\p{IsKatakana}]",
-    "kn": r"\p{IsKannada}", "ko": r"\p{IsHangul}", "ml": r"\p{IsMalayalam}", "pa": r"\p{IsGurmukhi}", "ta": r"\p{IsTamil}", "te": r"\p{IsTelugu}", "th": r"\p{IsThai}", "zh": r"\p{IsHan}",
-}
-LANGUAGES = tuple(sorted({*STOP_WORDS, *SCRIPTS} - {"el"}))
-
-
-def detect_language(v: Column) -> Column:
-    """The language with most function words, or letters of its own script; null where there are none. Ties go to the later code."""
-    every = sorted({w for own in STOP_WORDS.values() for w in own.split()})
-    words = F.filter(F.split(F.lower(v), r"[^\p{L}\p{M}\p{N}_]+"), lambda x: x.isin(*every))
-    scripted = v.rlike(r"[\x{370}-\x{1fff}\x{2126}\x{2e80}-\x{10ffff}]")  # where all of these scripts are: cheap to tell
-    letters = F.when(scripted, F.array(*[F.struct(F.regexp_count(v, F.lit(script)).alias("n"), F.lit(lang).alias("lang")) for lang, script in SCRIPTS.items()]))
-
-    def among(known: Column, own: str) -> Column:
-        return F.size(F.filter(known, lambda x: x.isin(*own.split())))
-
-    def vote(known: Column) -> Column:
-        votes = F.array(*[F.struct(among(known, own).alias("n"), F.lit(lang).alias("lang")) for lang, own in STOP_WORDS.items()])
-        return F.array_max(F.concat(votes, F.coalesce(letters, F.slice(votes, 1, 0))))
-
-    return bound(words, lambda known: bound(vote(known), lambda best: F.when(best["n"] > 0, best["lang"])))
-
-
 #: Frequent English function words.
 ENGLISH_STOP_WORDS = tuple(
     "i me my we our ours you your yours he him his she her hers it its they them their theirs what which who whom this that these those am is are was were be been being "

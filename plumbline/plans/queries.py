@@ -16,6 +16,7 @@ from hashlib import md5
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import language as L
 from ..functions import text as X
 from ..operators import checkers as C
 from ..operators import evaluate as E
@@ -60,7 +61,7 @@ CHECKS: list[tuple[str, dict, Callable[[], Column], str, str]] = []
 
 
 def check(name: str, instruction_id: str, kwargs: dict, response: Callable[[], Column] | None = None, sql_text: str = "text", sql: str = "", function=None) -> None:
-    """doc_id, ok of one check with fixed arguments. ``sql`` is a condition on ``t``."""
+    """doc_id, ok of one check with fixed arguments. ``sql`` is a condition on ``t``, and on the language ``detected``."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents").select("doc_id", (response() if response else T()).alias("t"))
@@ -69,7 +70,8 @@ def check(name: str, instruction_id: str, kwargs: dict, response: Callable[[], C
 
     if instruction_id and instruction_id not in {c[0] for c in CHECKS}:
         CHECKS.append((instruction_id, kwargs, response or T, sql_text, sql))
-    query(f"check_{name}", f"select doc_id, coalesce({sql}, false) as ok from (select doc_id, {sql_text} as t from documents)" if sql else None)(run)
+    given = f"with {language_sql(sql_text)} select doc_id, coalesce({sql}, false) as ok from told" if "detected" in sql else f"select doc_id, coalesce({sql}, false) as ok from (select doc_id, {sql_text} as t from documents)"
+    query(f"check_{name}", given if sql else None)(run)
 
 
 W = r"[\p{L}\p{N}_]"
@@ -92,22 +94,43 @@ UPPER = r"(regexp_matches({0}, '\p{{Lu}}') and not regexp_matches({0}, '[\p{{Ll}
 LOWER = r"(regexp_matches({0}, '\p{{Ll}}') and not regexp_matches({0}, '[\p{{Lu}}\p{{Lt}}]'))"
 
 
-def language_sql(t: str) -> str:
-    words = f"list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: x <> '')"
-    votes = [f"{{'n': len(list_filter({words}, lambda x: x in ({', '.join(repr(w) for w in dict.fromkeys(own.split()))}))), 'lang': '{lang}'}}" for lang, own in X.STOP_WORDS.items()]
-    return f"(list_sort([{', '.join(votes)}], 'DESC')[1])"
+def language_sql(text: str, scripts: tuple[str, ...] = ("Latin",), source: str = "documents") -> str:
+    """Common tables up to ``told``: doc_id, lang, t and the language ``detected`` of ``text``, by the weights of the default model for ``scripts``."""
+    model = L.default_model()
+    names = {**{s: (s,) for s in L.SHARED}, **{lang: own for lang, own in L.OWN.items() if lang not in ("ja", "zh")}, "zh": ("Han", "Hiragana", "Katakana")}
+    count = lambda own: f"len(regexp_extract_all(t, '[{''.join(rf'\p{{{x}}}' for x in own)}]'))"
+    tops = ", ".join(f"{{'n': {count(own)}, 'script': '{name}'}}" for name, own in names.items())
+    known = list(scripts)
+    votes = ", ".join(f"('{s}', '{lang}', '{w}')" for s in known for lang in L.SHARED[s] for w in dict.fromkeys(L.STOP_WORDS[lang].split()))
+    rows = "|".join(f"{s}~{gram}~{','.join(map(str, w))}" for s in known for gram, w in sorted(model.groups[s][1].items()))
+    langs = ", ".join(f"('{s}', {k + 1}, '{lang}')" for s in known for k, lang in enumerate(model.groups[s][0]))
+    return rf"""d as (select doc_id, lang, {text} as t from {source}),
+    s as (select *, case when not regexp_matches(t, '[\x{{370}}-\x{{1dff}}\x{{1f00}}-\x{{1fff}}\x{{2e80}}-\x{{10ffff}}]') then {{'n': 1, 'script': case when regexp_matches(t, '\p{{L}}') then 'Latin' end}} else list_sort([{tops}], 'DESC')[1] end as top,
+      {count(L.OWN['ja'])} as kana from d),
+    u as (select doc_id, lang, t, case when top.n = 0 then null when top.script = 'zh' and kana * {L.KANA_SHARE} >= top.n then 'ja' else top.script end as script from s),
+    stop(script, code, word) as (values {votes}),
+    codes(script, k, code) as (values {langs}),
+    w as (select doc_id, script, unnest(string_split_regex(lower(t), '[^\p{{L}}\p{{M}}\p{{N}}_]+')) as word from u),
+    v as (select doc_id, code, count(*) as n from w join stop using (script, word) group by all),
+    o as (select doc_id, list_sort(list({{'n': n, 'code': code}}), 'DESC') as l from v group by 1),
+    vote as (select doc_id, l[1].code as code from o where l[1].n >= {L.VOTES} and l[1].n >= {L.TIMES} * coalesce(l[2].n, 0)),
+    m as (select split_part(x, '~', 1) as script, split_part(x, '~', 2) as gram, string_split(split_part(x, '~', 3), ',') as ws from (select unnest(string_split('{rows}', '|')) as x)),
+    p as (select doc_id, script, regexp_replace(' ' || lower(t) || ' ', '[^\p{{L}}\p{{M}}]+', ' ', 'g') as t from u where doc_id not in (select doc_id from vote)),
+    g as (select doc_id, script, unnest(list_concat(list_filter(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)), lambda x: substr(x, 2, 1) <> ' '),
+      list_transform(list_filter(string_split(t, ' '), lambda x: length(x) > 1), lambda x: ' ' || x || ' '), regexp_extract_all(t, '[^\x00-\x7f]'))) as gram from p),
+    z as (select doc_id, code, sum(ws[k]::bigint) as n from g join m using (script, gram) join codes using (script) group by all),
+    y as (select doc_id, list_sort(list({{'n': n, 'code': code}}), 'DESC') as l from z group by 1),
+    best as (select doc_id, l[1].code as code from y where l[1].n - l[2].n >= {L.MARGIN}),
+    told as (select u.doc_id, u.lang, u.t, case when u.script in ({", ".join(repr(x) for x in L.SHARED)}) then coalesce(vote.code, best.code) else u.script end as detected from u left join vote using (doc_id) left join best using (doc_id))"""
 
 
-LANG = language_sql("t")
-IS_ENGLISH = f"case when {LANG}.n > 0 then {LANG}.lang = 'en' else true end"
-
 check("existence", "keywords:existence", {"keywords": ["the", "of"]}, sql=f"{has_word('the')} and {has_word('of')}")
 check("frequency", "keywords:frequency", {"keyword": " the ", "frequency": 5, "relation": "at least"}, sql=f"{count_word('the')} >= 5")
 check("frequency_around", "keywords:frequency", {"keyword": "of", "frequency": 10, "relation": "around"}, sql=f"abs({count_word('of')} - 10) <= 5")
 check("forbidden_words", "keywords:forbidden_words", {"forbidden_words": ["that", "this", "that"]}, sql=f"not {has_word('that')} and not {has_word('this')}")
 check("forbidden_patterns", "keywords:forbidden_words", {"forbidden_words": ["th[ai]t", "this"]}, sql=f"not {has_word('th[ai]t')} and not {has_word('this')}")
 check("letter_frequency", "keywords:letter_frequency", {"letter": "E", "let_frequency": 120, "let_relation": "less than"}, sql="length(lower(t)) - length(replace(lower(t), 'e', '')) < 120")
-check("response_language", "language:response_language", {"language": "fr"}, sql=f"{LANG}.n > 0 and {LANG}.lang = 'fr'")
+check("response_language", "language:response_language", {"language": "fr"}, sql="detected = 'fr'")
 check("number_sentences", "length_constraints:number_sentences", {"num_sentences": 20, "relation": "at least"}, sql=rf"{SENTENCES} >= 20")
 check(
     "number_paragraphs", "length_constraints:number_paragraphs", {"num_paragraphs": 5}, lambda: F.replace(T(), F.lit("\n"), F.lit("\n***\n")), "replace(text, chr(10), chr(10) || '***' || chr(10))",
@@ -141,8 +164,8 @@ check("repeat_prompt", "combination:repeat_prompt", {"prompt_to_repeat": "Write:
 check("end_checker", "startend:end_checker", {"end_phrase": " ON. "}, lambda: F.concat(T(), F.lit('" ')), "text || '\" '", rf"""ends_with(lower(regexp_replace({TRIM}, '^"+|"+$', '', 'g')), 'on.')""")
 check("quotation", "startend:quotation", {}, lambda: F.concat(F.lit(' "'), T(), F.when(ID() % 2 == 0, '" ').otherwise("")), "' \"' || text || case when doc_id % 2 = 0 then '\" ' else '' end", rf"""length({TRIM}) > 1 and starts_with({TRIM}, '"') and ends_with({TRIM}, '"')""")
 check("capital_word_frequency", "change_case:capital_word_frequency", {"capital_frequency": 3, "capital_relation": "at least"}, sql=rf"len(list_filter(regexp_extract_all(t, '{W}+(?:[-''.]{W}+)*'), lambda x: {UPPER.format('x')})) >= 3")
-check("english_capital", "change_case:english_capital", {}, lambda: F.when(ID() % 2 == 0, F.upper(T())).otherwise(T()), "case when doc_id % 2 = 0 then upper(text) else text end", f"{UPPER.format('t')} and {IS_ENGLISH}")
-check("english_lowercase", "change_case:english_lowercase", {}, lambda: F.when(ID() % 2 == 0, F.lower(T())).otherwise(T()), "case when doc_id % 2 = 0 then lower(text) else text end", f"{LOWER.format('t')} and {IS_ENGLISH}")
+check("english_capital", "change_case:english_capital", {}, lambda: F.when(ID() % 2 == 0, F.upper(T())).otherwise(T()), "case when doc_id % 2 = 0 then upper(text) else text end", f"{UPPER.format('t')} and coalesce(detected = 'en', true)")
+check("english_lowercase", "change_case:english_lowercase", {}, lambda: F.when(ID() % 2 == 0, F.lower(T())).otherwise(T()), "case when doc_id % 2 = 0 then lower(text) else text end", f"{LOWER.format('t')} and coalesce(detected = 'en', true)")
 check("no_comma", "punctuation:no_comma", {}, sql="not contains(t, ',')")
 check("constrained_start", "", {"starter": "The"}, sql=r"regexp_matches(t, '(?m)^\s*The')", function=C.constrained_start)
 
@@ -168,12 +191,12 @@ ALL = {
 
 @query(
     "all_checks",
-    rf"""select doc_id, {has_word('the')} and {has_word('of')} as existence, len(regexp_extract_all(t, '{W}+')) >= 300 as words,
+    rf"""with {language_sql('text')} select doc_id, {has_word('the')} and {has_word('of')} as existence, len(regexp_extract_all(t, '{W}+')) >= 300 as words,
     {SENTENCES} >= 20 as sentences,
     (with p as (select string_split_regex(t, '\s*\*\*\*\s*') as a), q as (select list_transform(a, lambda x: not regexp_matches(x, '\S')) as b, len(a) as n from p)
         select case when n > 2 and list_contains(b[2:n - 1], true) then false when n = 1 then n - b[1]::int = 1 else n - b[1]::int - b[n]::int = 1 end from q) as paragraphs,
     length(lower(t)) - length(replace(lower(t), 'e', '')) >= 100 as letters, len(list_filter(regexp_extract_all(t, '{W}+(?:[-''.]{W}+)*'), lambda x: {UPPER.format('x')})) >= 3 as capitals,
-    not contains(t, ',') as no_comma, {UPPER.format('t')} and {IS_ENGLISH} as upper from (select doc_id, text as t from documents)""",
+    not contains(t, ',') as no_comma, {UPPER.format('t')} and coalesce(detected = 'en', true) as upper from told""",
 )
 def all_checks(spark, sf_dir):
     """Many checks in one scan and one projection."""
@@ -220,11 +243,48 @@ def stopword_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.count_stopwords(T()).alias("n"))
 
 
-@query("language_id", f"select doc_id, case when {LANG}.n > 0 then {LANG}.lang end as detected from (select doc_id, text as t from documents)")
+@query("language_id", f"with {language_sql('text')} select doc_id, detected from told")
 def language_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.detect_language(T()).alias("detected"))
 
 
+@query("language_accuracy", f"with {language_sql('text')} select lang, coalesce(detected, 'unknown') as detected, count(*)::bigint as n, sum(length(t))::bigint as characters from told group by all")
+def language_accuracy(spark, sf_dir):
+    """How the languages that documents are labelled with come out."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy("lang", F.coalesce(X.detect_language(T()), F.lit("unknown")).alias("detected")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("characters"))
+
+
+#: A short sentence in each language that a check may name, none of them among those that the model is fitted on.
+SENTENCE_IN = {
+    "ar": "أحب قراءة الكتب في المساء مع أصدقائي", "bg": "обичам да чета книги вечер с приятели", "bn": "আমি সন্ধ্যায় বই পড়তে ভালোবাসি", "de": "abends lese ich gern Bücher mit meinen Freunden",
+    "en": "in the evening I like reading books with friends", "es": "por la noche me gusta leer libros con mis amigos", "fa": "شب‌ها دوست دارم با دوستانم کتاب بخوانم", "fi": "luen iltaisin mielelläni kirjoja ystävieni kanssa",
+    "fr": "le soir j'aime lire des livres avec mes amis", "gu": "મને સાંજે પુસ્તકો વાંચવા ગમે છે", "he": "בערב אני אוהב לקרוא ספרים עם חברים", "hi": "मुझे शाम को दोस्तों के साथ किताबें पढ़ना पसंद है", "it": "la sera mi piace leggere libri con gli amici",
+    "ja": "夜は友達と本を読むのが好きです", "kn": "ನನಗೆ ಸಂಜೆ ಪುಸ್ತಕ ಓದುವುದು ಇಷ್ಟ", "ko": "저녁에는 친구들과 책을 읽는 것을 좋아합니다", "ml": "വൈകുന്നേരം പുസ്തകം വായിക്കാൻ എനിക്കിഷ്ടമാണ്", "mr": "मला संध्याकाळी मित्रांसोबत पुस्तके वाचायला आवडते आणि",
+    "ne": "मलाई साँझ साथीहरूसँग किताब पढ्न मन पर्छ र", "pa": "ਮੈਨੂੰ ਸ਼ਾਮ ਨੂੰ ਕਿਤਾਬਾਂ ਪੜ੍ਹਨਾ ਪਸੰਦ ਹੈ", "pl": "wieczorem lubię czytać książki z przyjaciółmi", "pt": "à noite gosto de ler livros com os meus amigos", "ru": "вечером я люблю читать книги с друзьями",
+    "sw": "jioni napenda kusoma vitabu pamoja na marafiki zangu", "ta": "மாலையில் புத்தகம் படிப்பது எனக்குப் பிடிக்கும்", "te": "సాయంత్రం పుస్తకాలు చదవడం నాకు ఇష్టం", "th": "ตอนเย็นฉันชอบอ่านหนังสือกับเพื่อน", "uk": "увечері я люблю читати книжки з друзями",
+    "ur": "مجھے شام کو دوستوں کے ساتھ کتابیں پڑھنا پسند ہے", "vi": "buổi tối tôi thích đọc sách cùng bạn bè", "zh": "晚上我喜欢和朋友一起看书",
+}
+#: A document's first word, which may be of another language, stands before a sentence that its id chooses.
+_OWN_SENTENCE = f"split_part(text, ' ', 1) || ' ' || [{', '.join(repr(x) if chr(39) not in x else chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in SENTENCE_IN.values())}][doc_id % {len(SENTENCE_IN)} + 1]"
+
+
+@query("language_of_sentences", f"with {language_sql(_OWN_SENTENCE, tuple(L.SHARED))} select doc_id, detected from told")
+def language_of_sentences(spark, sf_dir):
+    sentence = F.get(F.array(*map(F.lit, SENTENCE_IN.values())), (ID() % len(SENTENCE_IN)).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.detect_language(F.concat_ws(" ", F.split_part(T(), F.lit(" "), F.lit(1)), sentence)).alias("detected"))
+
+
+@query("language_model_fit", rf"""with p as (select lang, regexp_replace(' ' || lower(text) || ' ', '[^\p{{L}}\p{{M}}]+', ' ', 'g') as t from documents where lang in ({', '.join(repr(x) for x in L.SHARED['Latin'])})),
+    g as (select lang, unnest(list_concat(list_filter(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)), lambda x: substr(x, 2, 1) <> ' '),
+      list_transform(list_filter(string_split(t, ' '), lambda x: length(x) > 1), lambda x: ' ' || x || ' '), regexp_extract_all(t, '[^\x00-\x7f]'))) as gram from p),
+    c as (select lang, gram, count(*) as n from g group by all), k as (select gram from c group by 1 having sum(n) >= 100)
+    select lang, gram, n::bigint as n from c where gram in (select gram from k)""")
+def language_model_fit(spark, sf_dir):
+    """The counts that a model of the documents' own languages is made of."""
+    return L.counted(table(spark, sf_dir, "documents"), least=100).select("lang", "gram", "n")
+
+
 @query("keyword_sample", "select doc_id, least(60, len(list_distinct(list_filter(string_split_regex(text, '[^a-z]+'), lambda x: x <> ''))))::bigint as n, true as apart from documents")
 def keyword_sample(spark, sf_dir):
     words = F.filter(F.split(T(), "[^a-z]+"), lambda x: x != "")
