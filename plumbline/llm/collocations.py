@@ -27,8 +27,8 @@ from .common import LOWER, Scratch, id_filter, limit_batches, mix, ngram_hashes,
 PIECE_END, BLANK = np.zeros(256, bool), np.zeros(256, bool)
 PIECE_END[[ord(c) for c in ".,;:!?"] + [*range(10, 14)]] = True
 BLANK[[32, 9]] = True
-#: Hashes and n-grams that a task adds up before it hands them on.
-HELD_HASHES, HELD_GRAMS = 1 << 21, 1 << 19
+#: Hashes that a task adds up before it hands them on; n-grams that it adds up at a time; different ones that it holds.
+HELD_HASHES, HELD_GRAMS, HELD_KINDS = 1 << 21, 1 << 18, 1 << 20
 #: Parts of a language in which ranks are taken first.
 RANK_PARTS = 64
 
@@ -116,50 +116,73 @@ def _hashed(batches):
         yield from flush()
 
 
-def _exploded(shared, longest: int):
-    """Rows of language, words, phrase and count: all words of a language as phrase null, and the n-grams that the filter leaves."""
-
-    def run(batches):
-        held: dict[tuple[str, int], list[pa.Array]] = {}
-        totals: dict[str, int] = {}
-        size = 0
+class Tally:
+    """Counts of texts by language and number of words, added up as far as a task may hold them."""
+
+    def __init__(self):
+        self.raw: dict[tuple[str, int], list[pa.Array]] = {}
+        self.sums: dict[tuple[str, int], list[pa.Table]] = {}
+        self.raw_size = self.kinds = 0
+
+    def add(self, key: tuple[str, int], phrases: pa.Array) -> None:
+        self.raw.setdefault(key, []).append(phrases)
+        self.raw_size += len(phrases)
+        if self.raw_size >= HELD_GRAMS:
+            self.settle()
+
+    def settle(self) -> None:
+        for key, parts in self.raw.items():
+            found = pc.value_counts(pa.concat_arrays(parts))
+            self.sums.setdefault(key, []).append(pa.table({"phrase": found.field("values"), "n": found.field("counts")}))
+            self.kinds += len(found)
+        self.raw, self.raw_size = {}, 0
+
+    def full(self) -> bool:
+        """Whether there are too many kinds, even if equal ones are put together."""
+        if self.kinds < HELD_KINDS:
+            return False
+        self.merge()
+        return self.kinds >= HELD_KINDS // 2
+
+    def merge(self) -> None:
+        self.settle()
+        self.sums = {key: [pa.concat_tables(parts).group_by("phrase").aggregate([("n", "sum")]).rename_columns(["phrase", "n"])] for key, parts in self.sums.items()}
+        self.kinds = sum(len(parts[0]) for parts in self.sums.values())
+
+    def taken(self):
+        """All that is held, as rows; nothing is held after it."""
+        self.merge()
+        for (lang, n), (rows,) in self.sums.items():
+            for part in rows.to_batches(max_chunksize=8192):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([n] * len(part), pa.int32()), part.column(0).cast(pa.string()), part.column(1)], ["lang", "words", "phrase", "n"])
+        self.sums, self.kinds = {}, 0
 
-        def flush():
-            for (lang, n), parts in held.items():
-                found = pc.value_counts(pa.concat_arrays(parts))
-                yield from rows(lang, n, found.field("values").cast(pa.string()), found.field("counts"))
 
-        def rows(lang, n, phrases, counts):
-            for i in range(0, len(phrases), 8192):
-                part = phrases[i : i + 8192]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([n] * len(part), pa.int32()), part, counts[i : i + 8192]], ["lang", "words", "phrase", "n"])
+def _exploded(shared, longest: int):
+    """Rows of language, words, phrase and count: the n-grams that the filter leaves, and each language's words together as the phrase '' of 0 words."""
 
+    def run(batches):
+        tally, totals = Tally(), {}
         for batch in batches:
             for words, code, names, marks in _runs(batch):
                 for c, many in enumerate(np.bincount(code, minlength=len(names)).tolist()):
                     totals[names[c]] = totals.get(names[c], 0) + many
                 single = passes(shared.value, _keys(words, marks[code], 1).view(np.int64))
-                pair = passes(shared.value, _keys(words, marks[code], 2).view(np.int64)) & words.fits(2)
-                pair = pair & single[:-1] & single[1:] if len(single) > 1 else pair
+                pair = passes(shared.value, _keys(words, marks[code], 2).view(np.int64)) & words.fits(2) & single[:-1] & single[1:]
                 for n in range(1, longest + 1):
-                    if n == 1:
-                        ok = single
-                    else:  # all pairs of the n-gram
-                        ok = pair[: max(0, len(single) - n + 1)].copy()
-                        for k in range(1, n - 1):
-                            ok &= pair[k : k + len(ok)]
+                    ok = single if n == 1 else pair[: max(0, len(single) - n + 1)].copy()
+                    for k in range(1, n - 1):  # all pairs of the n-gram
+                        ok &= pair[k : k + len(ok)]
                     at = np.flatnonzero(ok)
                     for c in np.unique(code[at]).tolist():
                         own = at[code[at] == c]
-                        held.setdefault((names[c], n), []).append(words.phrases(own, n))
-                        size += len(own)
-                if size >= HELD_GRAMS:
-                    yield from flush()
-                    held, size = {}, 0
-        yield from flush()
+                        tally.add((names[c], n), words.phrases(own, n))
+                if tally.full():
+                    yield from tally.taken()
+        yield from tally.taken()
         for lang, many in totals.items():
             if many:
-                yield from rows(lang, 0, pa.array([""]), pa.array([many], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([many], pa.int64())], ["lang", "words", "phrase", "n"])
 
     return run
 
