@@ -41,25 +41,60 @@ def id_accuracy(outputs: DataFrame) -> DataFrame:
     return flags(outputs).groupBy("instruction_id").agg(share("ok").alias("accuracy")).orderBy("instruction_id")
 
 
-def _reliable(rows: DataFrame, by: list[str], kinds: tuple[str, ...], whole_group: int) -> DataFrame:
-    """``by``, bucket, metric, value from rows(``by``, pos, root, type, ok).
-
-    In a group, originals come first, then the order of the input. A bucket
-    without groups has no rows.
-    """
-    original = F.col("type") == "original"
+def _placed(rows: DataFrame, kinds: tuple[str, ...], *columns: str) -> DataFrame:
+    """``columns`` of rows(pos, root, type) with each bucket that a row counts in, and its place ``rn`` in its group: originals first, then the order of the input."""
     every = F.array(*map(F.lit, ("all", "original", *kinds)))
-    buckets = F.array_intersect(F.when(original, every).otherwise(F.array(F.lit("all"), F.col("type"))), every)
-    df = rows.select(*by, "pos", "root", "type", "ok", F.explode(buckets).alias("bucket"))
-    order = Window.partitionBy(*by, "bucket", "root").orderBy((F.col("type") != "original").cast("int"), "pos")
+    buckets = F.array_intersect(F.when(F.col("type") == "original", every).otherwise(F.array(F.lit("all"), F.col("type"))), every)
+    order = Window.partitionBy("bucket", "root").orderBy((F.col("type") != "original").cast("int"), "pos")
+    return rows.select("pos", "root", "type", *columns, F.explode(buckets).alias("bucket")).select("bucket", "root", *columns, F.row_number().over(order).alias("rn"))
+
+
+def _reliable(rows: DataFrame, kinds: tuple[str, ...], whole_group: int) -> DataFrame:
+    """metric, value from rows(pos, root, type, ok). A bucket without groups has no rows."""
     yes = F.col("ok").cast("int")
-    groups = df.withColumn("rn", F.row_number().over(order)).groupBy(*by, "bucket", "root").agg(F.sum(yes).alias("total"), *[F.sum(F.when(F.col("rn") <= k, yes).otherwise(0)).alias(f"n{k}") for k in (2, 4)])
+    groups = _placed(rows, kinds, "ok").groupBy("bucket", "root").agg(F.sum(yes).alias("total"), *[F.sum(F.when(F.col("rn") <= k, yes).otherwise(0)).alias(f"n{k}") for k in (2, 4)])
     whole = F.when(F.col("bucket") == "all", F.col("total") == whole_group).otherwise(F.col("total") == 1)
-    shares = groups.groupBy(*by, "bucket").agg(share(whole).alias("whole"), share(F.col("n2") == 2).alias("at_2"), share(F.col("n4") == 4).alias("at_4"))
-    values = F.when(F.col("bucket") == "all", F.array(F.struct(F.lit("reliable_at_k_all").alias("metric"), F.col("whole").alias("value")))).when(
-        F.col("bucket") == "original", F.array(F.struct(F.lit("reliable_at_k_original").alias("metric"), F.col("whole").alias("value")))
-    ).otherwise(F.array(F.struct(F.concat("bucket", F.lit("_at_2")).alias("metric"), F.col("at_2").alias("value")), F.struct(F.concat("bucket", F.lit("_at_4")).alias("metric"), F.col("at_4").alias("value"))))
-    return shares.select(*by, "bucket", F.inline(values))
+    shares = groups.groupBy("bucket").agg(share(whole).alias("whole"), share(F.col("n2") == 2).alias("at_2"), share(F.col("n4") == 4).alias("at_4"))
+    return shares.select(F.inline(_by_metric("whole", "at_2", "at_4", "value")))
+
+
+def _by_metric(whole: str, at_2: str, at_4: str, name: str) -> Column:
+    """An array of (metric, value) of a bucket."""
+    one = lambda metric, value: F.struct(metric.alias("metric"), F.col(value).alias(name))
+    ends = F.array(*[one(F.concat("bucket", F.lit(f"_at_{k}")), c) for k, c in ((2, at_2), (4, at_4))])
+    of = lambda bucket: F.array(one(F.lit(f"reliable_at_k_{bucket}"), whole))
+    return F.when(F.col("bucket") == "all", of("all")).when(F.col("bucket") == "original", of("original")).otherwise(ends)
+
+
+def _steps(keys: DataFrame, kinds: tuple[str, ...], whole_group: int, top: int) -> DataFrame:
+    """metric, n, stop, value: each metric as a step function of the number of samples, from rows(pos, root, type, first), first being the sample from which a row follows.
+
+    A group's metric holds in one range of n, from one row's first to another's;
+    so each group gives two changes, and the running sums of all changes are the steps.
+    """
+    never = top + 2
+    rows = _placed(keys, kinds, "first")
+    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("bucket", "root").orderBy("first")))
+    wanted = F.when(F.col("bucket") == "all", whole_group).otherwise(1)
+
+    def until(k: int) -> Column:
+        """The sample from which the group's first k rows all follow."""
+        own = F.col("rn") <= k
+        return F.when(F.count(F.when(own, 1)) == k, F.max(F.when(own, F.col("first")))).otherwise(F.lit(never).cast("long"))
+
+    at = lambda place: F.coalesce(F.max(F.when(F.col("nth") == place, F.col("first"))), F.lit(never))
+    groups = ranked.groupBy("bucket", "root").agg(F.struct(at(wanted).alias("from"), at(wanted + 1).alias("to")).alias("whole"), *[F.struct(until(k).alias("from"), F.lit(never).cast("long").alias("to")).alias(f"at_{k}") for k in (2, 4)])
+    spans = groups.select(F.inline(_by_metric("whole", "at_2", "at_4", "span")))
+    change = lambda n, by: F.struct(n.cast("long").alias("n"), F.lit(by).alias("by"), F.lit(by == 0).cast("int").alias("group"))
+    changes = spans.select("metric", F.inline(F.array(change(F.lit(1), 0), change(F.col("span.from"), 1), change(F.col("span.to"), -1)))).where(F.col("n") < never)
+    points = changes.groupBy("metric", "n").agg(F.sum("by").alias("by"), F.sum("group").alias("groups"))  # as many as samples of one key, at most, a metric
+    order = Window.partitionBy("metric").orderBy("n")
+    holds, groups = F.sum("by").over(order), F.max("groups").over(Window.partitionBy("metric"))
+    return points.select("metric", "n", F.coalesce(F.lead("n").over(order), F.lit(never)).alias("stop"), (holds / groups).alias("value"))
+
+
+#: Numbers of samples that one row of a step is spread to at once.
+SPREAD = 10_000
 
 
 def metric_names(kinds: tuple[str, ...] = KINDS) -> list[str]:
@@ -79,7 +114,7 @@ def reliable_at_k(rows: DataFrame, mode: str = "failfast", kinds: tuple[str, ...
     ``kinds``: the labels of variants that get metrics of their own. ``whole``:
     how many rows of a group must follow for the group to count.
     """
-    found = _reliable(_typed(rows, mode), [], kinds, whole).select("metric", "value")
+    found = _reliable(_typed(rows, mode), kinds, whole)
     every = rows.sparkSession.createDataFrame([(m,) for m in metric_names(kinds)], "metric string")
     out = every.join(found, "metric", "left")
     if mode == "failfast":
@@ -87,12 +122,13 @@ def reliable_at_k(rows: DataFrame, mode: str = "failfast", kinds: tuple[str, ...
     return out
 
 
-def sampled_reliability(rows: DataFrame, mode: str = "failfast") -> DataFrame:
-    """n, metric, value of rows(pos, key, prompt, ok): reliability when a key counts as followed if any of its first n samples is.
+def sampled_steps(rows: DataFrame, mode: str = "failfast") -> DataFrame:
+    """metric, n, stop, value of rows(pos, key, prompt, ok): reliability when a key counts as followed if any of its first n samples is.
 
-    n runs to the largest sampling number in a prompt plus one. Without
-    originals their metric is 0; others without groups are null, with failfast
-    an error.
+    A row holds from n on, up to but not with stop. n runs to the largest
+    sampling number in a prompt plus one. Without originals their metric is 0;
+    others without groups are null, with failfast an error. The work grows with
+    the samples, whatever numbers the prompts have.
     """
     top = rows.agg(F.max(sampling_id(F.col("prompt")))).first()[0]  # one number
     if top is None:
@@ -100,17 +136,22 @@ def sampled_reliability(rows: DataFrame, mode: str = "failfast") -> DataFrame:
             raise ValueError("no sampling numbers in the prompts")
         top = 0
     samples = rows.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("pos")))
-    keys = samples.groupBy("key").agg(F.min("pos").alias("pos"), F.coalesce(F.min(F.when(F.col("ok"), F.col("rn"))), F.lit(1 << 30)).alias("first"))
-    each = keys.select("*", F.explode(F.sequence(F.lit(1), F.lit(top + 1))).alias("n")).withColumn("ok", F.col("first") <= F.col("n"))
-    found = _reliable(_typed(each, mode), ["n"], KINDS, WHOLE).select("n", "metric", "value")
-    every = rows.sparkSession.range(1, top + 2).select(F.col("id").cast("int").alias("n"), F.explode(F.array(*map(F.lit, metric_names()))).alias("metric"))
-    out = every.join(found, ["n", "metric"], "left")
+    keys = samples.groupBy("key").agg(F.min("pos").alias("pos"), F.coalesce(F.min(F.when(F.col("ok"), F.col("rn"))), F.lit(top + 2)).cast("long").alias("first"))
+    steps = _steps(_typed(keys, mode), KINDS, WHOLE, top)
+    every = rows.sparkSession.createDataFrame([(m,) for m in metric_names()], "metric string")
+    out = every.join(steps, "metric", "left").select("metric", F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.coalesce("stop", F.lit(top + 2).cast("long")).alias("stop"), "value")
     out = out.withColumn("value", F.when(F.col("metric") == "reliable_at_k_original", F.coalesce("value", F.lit(0.0))).otherwise(F.col("value")))
     if mode == "failfast":
         out = out.withColumn("value", F.coalesce("value", F.raise_error(F.concat(F.lit("no groups for "), "metric")).cast("double")))
     return out
 
 
+def sampled_reliability(rows: DataFrame, mode: str = "failfast") -> DataFrame:
+    """n, metric, value: the steps of ``sampled_steps`` with a row for every n."""
+    parts = sampled_steps(rows, mode).select("metric", "value", "stop", F.explode(F.sequence(F.col("n"), F.col("stop") - 1, F.lit(SPREAD).cast("long"))).alias("begin"))
+    return parts.repartition("metric", "begin").select(F.explode(F.sequence(F.col("begin"), F.least(F.col("begin") + SPREAD, F.col("stop")) - 1)).alias("n"), "metric", "value").withColumn("n", F.col("n").cast("int"))
+
+
 def relative_drop(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     """1 - all / original; null where original is 0."""
     by = by or []
@@ -118,6 +159,18 @@ def relative_drop(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     return metrics.groupBy(*by).agg((1 - F.try_divide(of[0], of[1])).alias("relative_drop"))
 
 
+def _logged(steps: list) -> dict:
+    """Each metric for every number of samples; beyond SPREAD of them, for those at which one changes, and the last."""
+    last = max(r["stop"] for r in steps) - 1
+    numbers = range(1, last + 1) if last <= SPREAD else sorted({r["n"] for r in steps} | {last})
+    at = {n: k for k, n in enumerate(numbers)}
+    out: dict = {n: {} for n in numbers}
+    for r in steps:
+        for n in numbers[at[r["n"]] : at.get(r["stop"], len(numbers))]:
+            out[n][r["metric"]] = r["value"]
+    return out
+
+
 def report(outputs: DataFrame, mode: str = "auto") -> dict:
     """The log of an evaluation: a few numbers, gathered from aggregates.
 
@@ -138,9 +191,7 @@ def report(outputs: DataFrame, mode: str = "auto") -> dict:
                 break
             try:
                 if kind == "sampling":
-                    found: dict = {}
-                    for r in sampled_reliability(rows).collect():
-                        found.setdefault(r["n"], {})[r["metric"]] = r["value"]
+                    found = _logged(sampled_steps(rows).collect())
                 else:
                     found = {r["metric"]: r["value"] for r in reliable_at_k(rows).collect()}
             except Exception:

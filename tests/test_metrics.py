@@ -78,6 +78,34 @@ def test_sampled(spark):
         assert {m: v for (x, m), v in got.items() if x == n} == pytest.approx(want)
 
 
+def test_sampled_beyond_the_samples(spark):
+    """Numbers that run past the samples, keys with more samples than the numbers, and groups that stop counting."""
+    rng = random.Random(9)
+    rows = [(k, f"x--kk--{n}", rng.random() < 0.3) for k, _ in made(8, 12) for n in range(rng.choice((1, 2, 5)))]
+    rows += [(f"{r}:rephrasing:{i}", "x--kk--0", False) for r in range(3) for i in range(9, 12)]
+    rows = [(p, *r) for p, r in enumerate(rows)] + [(len(rows), "0:original", "x--kk--6", True)]
+    df = spark.createDataFrame(rows, "pos long, key string, prompt string, ok boolean").repartition(3)
+    got = {(r.n, r.metric): r.value for r in M.sampled_reliability(df).collect()}
+    seen = {}
+    for _, k, _, ok in rows:
+        seen.setdefault(k, []).append(ok)
+    assert {n for n, _ in got} == set(range(1, 8))
+    for n in range(1, 8):
+        want = model([(k, any(v[:n])) for k, v in seen.items()])
+        assert {m: v for (x, m), v in got.items() if x == n} == pytest.approx(want)
+    assert M._logged(M.sampled_steps(df).collect()) == {n: {m: pytest.approx(v) for (x, m), v in got.items() if x == n} for n in range(1, 8)}
+
+
+def test_sampled_with_a_large_number(spark):
+    """One odd number in a prompt makes rows to write, not work for each key."""
+    rows = [(i, f"{i}:{kind}", f"x--kk--{3_000_000 if i == 5 else 0}", i % 2 == 0) for i, kind in enumerate(("original", "rephrasing", "distractor", "ct_alteration") * 50)]
+    df = spark.createDataFrame(rows, "pos long, key string, prompt string, ok boolean")
+    steps = M.sampled_steps(df).collect()
+    assert {r["stop"] for r in steps} == {3_000_002} and len(steps) == 8
+    assert M._logged(steps)[3_000_001] == M._logged(steps)[1]
+    assert M.sampled_reliability(df).count() == 8 * 3_000_001
+
+
 def test_drop(spark):
     df = spark.createDataFrame([("reliable_at_k_all", 0.3), ("reliable_at_k_original", 0.6)], "metric string, value double")
     assert M.relative_drop(df).first()[0] == pytest.approx(0.5)
