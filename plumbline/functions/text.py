@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .language import LANGUAGES, detect_language  # noqa: F401
+from .sentences import count_sentences  # noqa: F401
 
 # Python's str classes, spelt out for Java regular expressions.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -70,17 +71,6 @@ def count_words(v: Column) -> Column:
     return F.regexp_count(v, F.lit(WORD + "+")).cast("long")
 
 
-#: Words whose point ends no sentence.
-ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Sr", "Jr", "Gen", "Rep", "Sen", "vs", "e.g", "i.e", "cf", "No", "Fig")
-
-
-def count_sentences(v: Column) -> Column:
-    """Stretches that end in ``.``, ``!`` or ``?``, a closing quotation mark or bracket after it or not, before white space, or at the end. Points of abbreviations and initials end none."""
-    short = "|".join(x.replace(".", r"\.") for x in ABBREVIATIONS)
-    ends = rf"""(?:(?<=[.!?])|(?<=[.!?]["'”’)\]]))(?<!(?<!{WORD})(?:{short}|[A-Z])\.){SPACE}+"""
-    return F.size(F.filter(F.split(strip(v), ends, -1), solid)).cast("long")
-
-
 def count_capital_words(v: Column) -> Column:
     """Words in capitals; hyphens, apostrophes and points within a word don't part it."""
     tokens = F.regexp_extract_all(v, F.lit(rf"{WORD}+(?:[-'.]{WORD}+)*"), F.lit(0))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import language as L
+from ..functions import sentences as N
 from ..functions import text as X
 from ..operators import checkers as C
 from ..operators import evaluate as E
@@ -87,9 +88,36 @@ def count_word(word: str, t: str = "t") -> str:
 
 
 TRIM = r"regexp_replace(t, '^\s+|\s+$', '', 'g')"
-SHORT = "|".join(x.replace(".", r"\.") for x in X.ABBREVIATIONS)
-SENTENCES = rf"""((case when regexp_matches(t, '\S') then 1 else 0 end) + len(regexp_extract_all({TRIM}, '[.!?]["''”’)\]]?\s+'))
-    - len(regexp_extract_all(regexp_replace({TRIM}, '\s+', '  ', 'g'), '(?:^|{NW})(?:{SHORT}|[A-Z])\.\s')))"""
+def quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def sentence_tokens(t: str) -> str:
+    closers = N.CLOSERS.replace("'", "''")
+    return rf"list_filter(string_split_regex(regexp_replace({t}, '([{N.WIDE_MARKS}]+{closers}*)', '\1 ', 'g'), '\s+'), lambda x: x <> '')"
+
+
+def stripped_token(x: str) -> str:
+    closers, openers = N.CLOSERS.replace("'", "''"), N.OPENERS.replace("'", "''")
+    return f"regexp_replace({x}, '^{openers}+|{closers}+$', '', 'g')"
+
+
+def token_word(x: str) -> str:
+    return rf"lower(regexp_replace({x}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'))"
+
+
+def sentence_end(x: str, y: str) -> str:
+    """Whether a sentence ends between the tokens ``x`` and ``y``."""
+    bare, after = stripped_token(x), stripped_token(y)
+    word = rf"regexp_replace(lower({bare}), '\.$', '')"
+    short = quoted(N.DEFAULT.abbreviations)
+    begins = rf"(regexp_matches({after}, '^\p{{Lu}}') and {token_word(y)} in ({quoted(N.DEFAULT.small)}))"
+    return rf"""(regexp_matches({x}, '[.{N.MARKS}{N.WIDE_MARKS}]{N.CLOSERS.replace("'", "''")}*$') and case when regexp_matches({bare}, '[{N.MARKS}{N.WIDE_MARKS}]$') then true when not ends_with({bare}, '.') then false
+      when regexp_matches({bare}, '^\p{{L}}\.$') then {begins} or not regexp_matches({after}, '^[\p{{Lu}}\p{{Ll}}]') when ends_with({bare}, '..') or {word} in ({short}) or regexp_extract({word}, '-([^-]*)$', 1) in ({short}) then {begins}
+      when regexp_matches({bare}, '^[+-]?[0-9][0-9.,]*\.$') then not regexp_matches({after}, '^\p{{Ll}}') else true end)"""
+
+
+SENTENCES = f"(with k as (select {sentence_tokens('t')} as a) select case when len(a) = 0 then 0 else 1 + len(list_filter(range(1, len(a)), lambda i: {sentence_end('a[i]', 'a[i + 1]')})) end from k)"
 UPPER = r"(regexp_matches({0}, '\p{{Lu}}') and not regexp_matches({0}, '[\p{{Ll}}\p{{Lt}}]'))"
 LOWER = r"(regexp_matches({0}, '\p{{Ll}}') and not regexp_matches({0}, '[\p{{Lu}}\p{{Lt}}]'))"
 
@@ -216,6 +244,30 @@ def sentences_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.count_sentences(T()).alias("n"))
 
 
+_PAIRS = f"""d as (select {sentence_tokens('text')} as a from documents), p as (select a[i] as token, case when i > 1 then a[i - 1] end as before from (select a, unnest(range(1, len(a) + 1)) as i from d))"""
+
+
+@query("sentence_abbreviations", rf"""with {_PAIRS},
+    w as (select lower(regexp_replace({stripped_token('token')}, '[.,;:!?]+$', '')) as word, ends_with({stripped_token('token')}, '.') and not ends_with({stripped_token('token')}, '..') as pointed from p),
+    c as (select word, count(*) filter (pointed) as x, count(*) filter (not pointed) as o from w where word <> '' group by 1),
+    s as (select sum(x) / sum(x + o) as q from c),
+    r as (select word, x::bigint as with_point, o::bigint as without, length(replace(word, '.', '')) as k, -2 * (x * ln(q) + case when o > 0 then o * ln(1 - q) else 0 end - x * ln({N.OFTEN}) - case when o > 0 then o * ln(1 - {N.OFTEN}) else 0 end) as ratio
+      from c, s where x > 0 and regexp_matches(word, '^\p{{L}}[\p{{L}}.]*$'))
+    select word, with_point, without, ratio * exp(-k) * (length(word) - k + 1) * pow(k::double, -without::double) >= {N.LEAST_SCORE} as abbreviation from r""")
+def sentence_abbreviations(spark, sf_dir):
+    """What a corpus' own sentence model takes for abbreviations."""
+    scores = N.abbreviation_scores(table(spark, sf_dir, "documents"))
+    return scores.select("word", "with_point", "without", (F.col("score") >= N.LEAST_SCORE).alias("abbreviation"))
+
+
+@query("sentence_small_words", rf"""with {_PAIRS},
+    w as (select {token_word(stripped_token('token'))} as word, regexp_matches({stripped_token('token')}, '^\p{{Ll}}') as small, regexp_matches({stripped_token('token')}, '^\p{{Lu}}') and before is not null
+      and not regexp_matches(before, '[.{N.MARKS}{N.WIDE_MARKS}:]{N.CLOSERS.replace("'", "''")}*$') and not regexp_matches({stripped_token('token')}, '^{N.OPENERS.replace("'", "''")}') as capital from p)
+    select word, count(*) filter (small) as small, count(*) filter (capital) as capital from w where regexp_matches(word, '^\p{{L}}+$') group by 1""")
+def sentence_small_words(spark, sf_dir):
+    return N.small_words(table(spark, sf_dir, "documents"))
+
+
 def sentences_sql() -> str:
     """Each mark in a text is judged by the characters next to it; the first and the last end tell the rest."""
     opener = "regexp_matches(r, '^ (" + "|".join(X.OPENERS) + ")')"
