@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Scratch, limit_batches, ngram_hashes, partitions, spans_of_bytes, text_buffers, word_hashes
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 #: n-grams of two words or more that occur less often count as unseen.
 LEAST = 2
@@ -132,6 +132,8 @@ def _scores(order: int, words: int, alpha: float, least: int):
         answers = answers.sort_by("part")
         keys = _counted(docs.column("text"), order)[0]  # answers come in their order
         counts = np.concatenate([unpack_counts(x.as_py()) for x in answers.column("counts")] or [np.zeros(0, np.int64)])
+        if len(counts) != len(keys):
+            raise ValueError("a batch's rows aren't those that were counted")
         n = docs.num_rows
         total, sizes = np.zeros(n), np.zeros(n, np.int64)
         for i, j, rows, grams in _grams(docs.column("text"), order):
@@ -168,7 +170,8 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
     """
     docs, words, size = _measured(docs)
     batches, parts = max(1, -(-size // BATCH_BYTES)), max(partitions(docs.sparkSession), -(-words * order // PART_GRAMS))
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches))).groupBy("batch")
+    # By what a row holds, so that a task that runs again deals its rows as before; copies under different ids go apart.
+    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(batches))).groupBy("batch")
     asked = dealt.applyInArrow(_requests(order, parts), "batch long, part long, hashes binary, counts binary")
     told = asked.groupBy("part").applyInArrow(_answers, "batch long, part long, counts binary")
     return dealt.cogroup(told.groupBy("batch")).applyInArrow(_scores(order, max(1, words), alpha, least), "doc_id long, n_words long, log_score double, mean_log_score double")
