@@ -13,7 +13,6 @@ one has the same rule over the sentences in ``seeds``.
 from __future__ import annotations
 
 import functools
-import json
 import math
 import unicodedata
 import zlib
@@ -57,19 +56,34 @@ OWN = {
 LANGUAGES = tuple(sorted({*STOP_WORDS, *OWN} - {"el"}))
 #: Votes of function words that decide alone: so many, and so many times the next language's.
 VOTES, TIMES = 5, 2
-#: Weights are hundredths of a nat; the best must be ahead by this.
-MARGIN = 30
+#: Weights are twelfths of a nat, MOST at the most; the best sum must be ahead by this.
+UNIT, MOST, MARGIN = 12, 47, 4
 SMOOTHING = 0.5
-BUCKETS = 4096
+#: Look-up tables: features are dealt to buckets by their checksum and told apart by MARKS more letters of it, out of LETTERS from FIRST on.
+BUCKETS, MARKS, LETTERS, FIRST = 256, 3, 95, 17
 #: Japanese where kana are at least one in so many of Han and kana.
 KANA_SHARE = 12
 
 
+def once(value: str, name: str, then: str) -> str:
+    """SQL of ``then``, in which ``name`` is a value that is computed once a row."""
+    return f"transform(array({value}), {name} -> {then})[0]"
+
+
+def applied(v: Column, name: str, sql: str) -> Column:
+    """SQL about ``name`` of a column. One text is parsed, where an expression of as many columns takes seconds to put together."""
+    return F.get(F.call_function("transform", F.array(v), F.expr(f"{name} -> {sql}")), 0)
+
+
+#: SQL of a text's letter triples (blanks at the ends of words), words of two letters or more between blanks, and letters beyond ASCII.
+FEATURES = once(
+    r"regexp_replace(concat(' ', lower(t), ' '), r'[^\p{L}\p{M}]+', ' ')", "f",
+    r"""concat(filter(regexp_extract_all(f, r'(?s)(?=(.{3}))', 1), g -> substring(g, 2, 1) <> ' '), transform(filter(split(f, ' '), w -> length(w) > 1), w -> concat(' ', w, ' ')), regexp_extract_all(f, r'[^\x00-\x7f]', 0))""",
+)
+
+
 def features(v: Column) -> Column:
-    """Array of a text's letter triples (blanks at the ends of words), words of two letters or more between blanks, and letters beyond ASCII."""
-    plain = F.regexp_replace(F.concat(F.lit(" "), F.lower(v), F.lit(" ")), r"[^\p{L}\p{M}]+", " ")
-    words = F.transform(F.filter(F.split(plain, " "), lambda w: F.length(w) > 1), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    return F.concat(F.filter(F.regexp_extract_all(plain, F.lit("(?s)(?=(.{3}))"), F.lit(1)), lambda g: F.substring(g, 2, 1) != " "), words, F.regexp_extract_all(plain, F.lit(r"[^\x00-\x7f]"), F.lit(0)))
+    return applied(v, "t", FEATURES)
 
 
 def features_of(text: str) -> list[str]:
@@ -94,14 +108,19 @@ class Model:
         return id(self)
 
     @functools.cached_property
-    def tables(self) -> dict[str, str]:
-        """Each script's weights as JSON: buckets by checksum, so that a look-up meets a few features only."""
+    def tables(self) -> dict[str, bytes]:
+        """Each script's weights as one string: buckets of equal length, in them for each feature ``~``, its mark, and a letter for each weight."""
         out = {}
         for script, (_, weights) in self.groups.items():
-            buckets: list[list] = [[] for _ in range(BUCKETS)]
+            buckets = [""] * BUCKETS
             for gram in sorted(weights):
-                buckets[zlib.crc32(gram.encode()) % BUCKETS].append({"g": gram, "w": [*weights[gram], 1]})
-            out[script] = json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))
+                check = zlib.crc32(gram.encode())
+                rest, mark = check // BUCKETS, ""
+                for _ in range(MARKS):
+                    mark, rest = mark + chr(FIRST + rest % LETTERS), rest // LETTERS
+                buckets[check % BUCKETS] += "~" + mark + "".join(chr(MOST + FIRST + w) for w in weights[gram])
+            width = max(map(len, buckets))
+            out[script] = "".join(b.ljust(width, "~") for b in buckets).encode()
         return out
 
 
@@ -115,7 +134,7 @@ def fitted(counts: dict[str, dict[str, Counter]]) -> Model:
         for gram in set().union(*own.values()):
             logs = [weight(own[lang][gram], totals[lang], kinds) for lang in langs]
             mean = sum(logs) / len(logs)
-            weights[gram] = tuple(round(100 * (x - mean)) for x in logs)
+            weights[gram] = tuple(max(-MOST, min(MOST, round(UNIT * (x - mean)))) for x in logs)
         groups[script] = (langs, weights)
     return Model(groups)
 
@@ -150,75 +169,60 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", least: int
     return fitted(out)
 
 
-def _first(options: Column) -> Column:
-    """The greatest of an array of structs, and the next."""
-    return F.sort_array(options, asc=False)
+def _words(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
 
 
-def _once(value: Column, f) -> Column:
-    """``f`` of a value that is computed once a row."""
-    return F.get(F.transform(F.array(value), f), 0)
+def _leading(counts: dict[str, str], condition: str) -> str:
+    """SQL of the language with the greatest of ``counts``, if ``condition`` holds of it, ``a``, and the next, ``b``."""
+    options = ", ".join(f"named_struct('n', {n}, 'lang', '{lang}')" for lang, n in counts.items())
+    return once(f"sort_array(array({options}), false)", "s", f"case when {once('s[0].n', 'a', once(f'coalesce(get(s, 1).n, -{1 << 30})', 'b', condition))} then s[0].lang end")
 
 
-def _voted(v: Column, langs: tuple[str, ...]) -> Column:
-    """The language whose function words lead clearly, else null."""
+def _voted(langs: tuple[str, ...]) -> str:
+    """SQL of the language whose function words lead clearly, else null."""
     own = {lang: STOP_WORDS[lang].split() for lang in langs if lang in STOP_WORDS}
     if not own:
-        return F.lit(None).cast("string")
-    every = sorted({w for words in own.values() for w in words})
-    words = F.filter(F.split(F.lower(v), r"[^\p{L}\p{M}\p{N}_]+"), lambda x: x.isin(*every))
+        return "cast(null as string)"
+    every = _words(sorted({w for words in own.values() for w in words}))
+    counts = {lang: f"size(filter(k, x -> x in ({_words(w)})))" for lang, w in own.items()}
+    return once(rf"filter(split(lower(t), r'[^\p{{L}}\p{{M}}\p{{N}}_]+'), x -> x in ({every}))", "k", _leading(counts, f"a >= {VOTES} and a >= {TIMES} * b"))
 
-    def among(known: Column, own_words: list[str]) -> Column:
-        return F.size(F.filter(known, lambda x: x.isin(*own_words)))
 
-    def lead(known: Column) -> Column:
-        votes = F.array(*[F.struct(among(known, w).alias("n"), F.lit(lang).alias("lang")) for lang, w in own.items()])
-        return _once(_first(votes), lambda s: F.when((s[0]["n"] >= VOTES) & (s[0]["n"] >= TIMES * (F.coalesce(F.get(s, 1)["n"], F.lit(0)))), s[0]["lang"]))
+def _weighed(langs: tuple[str, ...], table: bytes) -> str:
+    """SQL of the language of the greatest sum of weights, null without a margin."""
+    width = len(table) // BUCKETS
+    mark = ", ".join(f"char(floor(floor(c / {BUCKETS}) / {LETTERS**k}) % {LETTERS} + {FIRST})" for k in range(MARKS))
+    bucket = f"cast(substring(X'{table.hex()}', cast(c % {BUCKETS} * {width} + 1 as int), {width}) as string)"
+    look = once(f"position(concat('~', {mark}), d)", "p", f"case when p > 0 then substring(d, p + {MARKS + 1}, {len(langs)}) else '' end")
+    found = f"filter(transform({FEATURES}, g -> {once('crc32(cast(g as binary))', 'c', once(bucket, 'd', look))}), w -> w <> '')"
+    sums = {lang: f"aggregate(l, 0, (n, w) -> n + ascii(substring(w, {k + 1}, 1)) - {MOST + FIRST})" for k, lang in enumerate(langs)}
+    return once(found, "l", f"case when size(l) > 0 then {_leading(sums, f'a - b >= {MARGIN}')} end")
 
-    return _once(words, lead)
 
+@functools.cache
+def _detection(model: Model) -> str:
+    """SQL of the language of ``t``."""
 
-def _weighed(v: Column, langs: tuple[str, ...], table: str) -> Column:
-    """The language of the greatest sum of weights, null without a margin."""
-    rows = F.from_json(F.lit(table), "array<array<struct<g:string,w:array<int>>>>")
-    zero = F.array(*[F.lit(0)] * (len(langs) + 1))
-
-    def add(sums: Column, gram: Column) -> Column:
-        found = F.filter(F.get(rows, (F.crc32(gram.cast("binary")) % BUCKETS).cast("int")), lambda e: e["g"] == gram)
-        return F.when(F.size(found) > 0, F.zip_with(sums, found[0]["w"], lambda a, b: a + b)).otherwise(sums)
+    def shared(script: str) -> str:
+        langs, _ = model.groups[script]
+        return f"coalesce({_voted(langs)}, {_weighed(langs, model.tables[script])})"
 
-    def best(sums: Column) -> Column:
-        options = F.array(*[F.struct(F.get(sums, k).alias("n"), F.lit(lang).alias("lang")) for k, lang in enumerate(langs)])
-        return F.when(F.get(sums, len(langs)) > 0, _once(_first(options), lambda s: F.when(s[0]["n"] - F.coalesce(F.get(s, 1)["n"], F.lit(-(1 << 30))) >= MARGIN, s[0]["lang"])))
+    def letters(*scripts: str) -> str:
+        return f"regexp_count(t, r'[{''.join(rf'\p{{Is{s}}}' for s in scripts)}]')"
 
-    return _once(F.aggregate(features(v), zero, add), best)
+    names = {s: (s,) for s in SHARED} | {lang: own for lang, own in OWN.items() if lang not in ("ja", "zh")} | {"zh": ("Han", "Hiragana", "Katakana")}
+    counts = ", ".join(f"named_struct('n', {letters(*own)}, 'script', '{name}')" for name, own in names.items())
+    latin = shared("Latin") if "Latin" in model.groups else "cast(null as string)"
+    named = " ".join(f"when m.script = '{s}' then {shared(s) if s in model.groups else 'cast(null as string)'}" for s in SHARED if s != "Latin")
+    mixed = once(f"array_max(array({counts}))", "m", f"case when m.n = 0 then null {named} when m.script = 'zh' and {letters(*OWN['ja'])} * {KANA_SHARE} >= m.n then 'ja' when m.script <> 'Latin' then m.script end")
+    # Where other scripts are is cheap to tell; what is left to Latin is said once.
+    other = r"t rlike r'[\x{370}-\x{1dff}\x{1f00}-\x{1fff}\x{2e80}-\x{10ffff}]'"
+    most_latin = once(f"array_max(array({counts}))", "m", "m.n > 0 and m.script = 'Latin'")
+    is_latin = rf"case when {other} then {most_latin} else t rlike r'\p{{L}}' end"
+    return f"case when {is_latin} then {latin} when {other} then {mixed} end"
 
 
 def detect_language(v: Column, model: Model | None = None) -> Column:
     """The code of a text's language; null where it has no letters of a known script, or no language is ahead of the others."""
-    model = model or default_model()
-
-    def shared(script: str) -> Column:
-        langs, _ = model.groups[script]
-        return F.coalesce(_voted(v, langs), _weighed(v, langs, model.tables[script]))
-
-    def letters(*scripts: str) -> Column:
-        return F.regexp_count(v, F.lit("[" + "".join(rf"\p{{Is{s}}}" for s in scripts) + "]"))
-
-    others = [s for s in model.groups if s != "Latin"]
-    counts = F.array(
-        *[F.struct(letters(s).alias("n"), F.lit(s).alias("script")) for s in model.groups],
-        *[F.struct(letters(*(own if lang not in ("ja", "zh") else ("Han", "Hiragana", "Katakana"))).alias("n"), F.lit(lang).alias("script")) for lang, own in OWN.items() if lang != "ja"],
-    )
-
-    def named(top: Column) -> Column:
-        out = F.when(top["n"] == 0, F.lit(None).cast("string"))
-        for script in [*others, "Latin"]:
-            if script in model.groups:
-                out = out.when(top["script"] == script, shared(script))
-        out = out.when((top["script"] == "zh") & (letters(*OWN["ja"]) * KANA_SHARE >= top["n"]), F.lit("ja"))
-        return out.otherwise(top["script"])
-
-    mixed = v.rlike(r"[\x{370}-\x{1dff}\x{1f00}-\x{1fff}\x{2e80}-\x{10ffff}]")  # where the other scripts are: cheap to tell
-    plain = F.when(v.rlike(r"\p{L}"), shared("Latin")) if "Latin" in model.groups else F.lit(None).cast("string")
-    return F.when(mixed, _once(F.array_max(counts), named)).otherwise(plain)
+    return applied(v, "t", _detection(model or default_model()))

@@ -50,6 +50,10 @@ class Model:
 DEFAULT = Model()
 
 
+def among(x: Column, words: tuple[str, ...]) -> Column:
+    return F.array_contains(F.expr("array(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")"), x) if words else F.lit(False)
+
+
 def _stripped(token: Column) -> Column:
     """A token without marks of quotation and brackets around it."""
     return F.regexp_replace(token, rf"\A{OPENERS}+|{CLOSERS}+\z", "")
@@ -68,13 +72,13 @@ def _tokens(v: Column) -> Column:
 def _abbreviated(bare: Column, model: Model) -> Column:
     """Whether a word with its point is an abbreviation, as a whole or behind its last hyphen."""
     word = F.regexp_replace(F.lower(bare), r"\.\z", "")
-    return word.isin(*model.abbreviations) | F.regexp_extract(word, r"-([^-]*)\z", 1).isin(*model.abbreviations) if model.abbreviations else F.lit(False)
+    return among(word, model.abbreviations) | among(F.regexp_extract(word, r"-([^-]*)\z", 1), model.abbreviations)
 
 
 def _ends(token: Column, following: Column, model: Model) -> Column:
     """Whether a sentence ends between two tokens."""
     bare, after = _stripped(token), _stripped(following)
-    begins = after.rlike(r"\A\p{Lu}") & (_word(following).isin(*model.small) if model.small else F.lit(False))
+    begins = after.rlike(r"\A\p{Lu}") & among(_word(following), model.small)
     goes_on = after.rlike(r"\A\p{Ll}")
     return (
         F.when(bare.rlike(rf"[{MARKS}{WIDE_MARKS}]\z"), True)

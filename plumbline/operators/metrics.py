@@ -177,7 +177,7 @@ def report(outputs: DataFrame, mode: str = "auto") -> dict:
     mode: "sampling", "reliable" or "none" choose the group metrics; "auto"
     takes the first of these that the keys and prompts allow.
     """
-    outputs = outputs.persist()
+    outputs = outputs.select("pos", "key", "prompt" if mode in ("auto", "sampling") else F.lit("").alias("prompt"), "instruction_id_list", "follow_all_instructions", "follow_instruction_list").persist()
     try:
         out = {
             "prompt_level_accuracy": prompt_accuracy(outputs).first()[0],

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import key_root
 from ..sources.jsonl import JUDGEMENT
-from .checkers import DESCRIPTIONS, KWARGS
+from .checkers import DESCRIPTIONS, kwargs_schema
 
 Client = Callable[[list[list[dict]]], list[str | None]]
 
@@ -220,7 +220,7 @@ def synthesise_fillin(prompts: DataFrame, client: Client, retries: int = 3) -> D
 
     replies = complete(prompts.withColumn("messages", messages(request)), checked, retries=retries).where("reply is not null")
     one = replies.select("*", F.posexplode(F.from_json("reply", f"struct<outputs:{REVISED}>")["outputs"]).alias("__i", "__v"))
-    args = F.from_json("__v.revised_kwargs", f"array<{KWARGS.simpleString()}>")
+    args = F.from_json("__v.revised_kwargs", f"array<{kwargs_schema().simpleString()}>")
     changed = {"key", "prompt", "instruction_id_list", "kwargs"}
     return one.select(
         variant_key(F.col("key"), KINDS["fillin"][0], F.col("__i") + 1).alias("key"), F.col("__v.revised_prompt").alias("prompt"), F.col("__v.revised_instruction_id_list").alias("instruction_id_list"), args.alias("kwargs"),

@@ -66,7 +66,7 @@ def check(name: str, instruction_id: str, kwargs: dict, response: Callable[[], C
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents").select("doc_id", (response() if response else T()).alias("t"))
-        done = (function or C.REGISTRY[instruction_id])(F.col("t"), **{k: literal(v) for k, v in kwargs.items()})
+        done = (function or C.REGISTRY[instruction_id])(F.col("t"), **{k: v if k == "forbidden_words" else literal(v) for k, v in kwargs.items()})
         return docs.select("doc_id", done.alias("ok"))
 
     if instruction_id and instruction_id not in {c[0] for c in CHECKS}:

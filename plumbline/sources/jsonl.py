@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.checkers import KWARGS
+from ..operators.checkers import KWARGS, kwargs_schema
 
 PROMPTS = T.StructType([
     T.StructField("key", T.StringType()),
@@ -21,6 +22,11 @@ RESPONSES = T.StructType([T.StructField(c, T.StringType()) for c in ("key", "pro
 JUDGEMENT = "validity-checking"
 
 
+def prompts_schema() -> T.StructType:
+    """PROMPTS, with the arguments of users' checks that are registered now."""
+    return T.StructType([*PROMPTS.fields[:-1], T.StructField("kwargs", T.ArrayType(kwargs_schema()))])
+
+
 def read_lines(spark: SparkSession, path: str, schema: T.StructType | None = None, mode: str = "FAILFAST") -> DataFrame:
     """Records with ``pos``, a long that rises with the place in the input: by file, then by line.
 
@@ -29,15 +35,21 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType | None = Non
     reader = spark.read.option("mode", mode)
     df = (reader.schema(schema) if schema else reader).json(path)
     names = df.columns
-    # Scans deal files out by size; number the files by path and keep each split's own order.
-    df = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), (F.monotonically_increasing_id() % (1 << 33)).alias("__row"))
-    files = df.select("__file", "__block").distinct().withColumn("__rank", F.row_number().over(Window.orderBy("__file", "__block")))  # a row a split
-    return df.join(F.broadcast(files) if len(df.inputFiles()) < 10_000 else files, ["__file", "__block"]).select((F.col("__rank").cast("long") * (1 << 33) + F.col("__row")).alias("pos"), *names)
+    # Scans deal splits out by size; a split begins a whole number of least sizes or more behind the one before it, so files' sizes
+    # tell where each begins among all, and the rows of a split come in order.
+    sizes = spark._jsparkSession.sessionState().conf()
+    least = min(sizes.filesMaxPartitionBytes(), sizes.filesOpenCostInBytes())
+    split = lambda size: F.floor(size / F.lit(least)).cast("long")
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("__file"), split(F.col("_metadata.file_size")).alias("__splits"))  # a list: no file is read
+    before = F.sum(F.col("__splits") + 1).over(Window.orderBy("__file")) - F.col("__splits") - 1
+    files = files.select("__file", before.alias("__before"))
+    df = df.select("*", F.col("_metadata.file_path").alias("__file"), split(F.col("_metadata.file_block_start")).alias("__split"), (F.monotonically_increasing_id() % (1 << 33)).alias("__row"))
+    return df.join(F.broadcast(files) if len(df.inputFiles()) < 10_000 else files, "__file").select(((F.col("__before") + F.col("__split")) * (1 << 33) + F.col("__row")).alias("pos"), *names)
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """pos, key, prompt, instruction_id_list, kwargs; other fields are dropped."""
-    return read_lines(spark, path, PROMPTS)
+    return read_lines(spark, path, prompts_schema())
 
 
 def latest_responses(responses: DataFrame) -> DataFrame:
@@ -72,15 +84,28 @@ def exists(spark: SparkSession, path: str) -> bool:
 # --- sinks
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_detail(outputs: DataFrame, path: str, files: int | None = None) -> None:
-    """Overwrite ``path`` with JSON lines, fields in order of name; an error where there are none.
+    """Overwrite ``path`` with JSON lines, fields in order of name; an error where there are none, and what was there stays.
 
-    One file only where ``files`` is 1: then one task writes all.
+    The rows are counted as they are written, so they are computed once. One
+    file only where ``files`` is 1: then one task writes all.
     """
-    if outputs.isEmpty():
-        raise ValueError("no outputs to write")
-    df = outputs.select(*sorted(outputs.columns))
-    (df.coalesce(files) if files else df).write.mode("overwrite").json(path)
+    spark, seen, fresh = outputs.sparkSession, Observation(), f"{path}-{uuid.uuid4().hex}"
+    df = outputs.observe(seen, F.count(F.lit(1)).alias("n")).select(*sorted(outputs.columns))
+    try:
+        (df.coalesce(files) if files else df).write.json(fresh)
+        if not seen.get["n"]:
+            raise ValueError("no outputs to write")
+        remove(spark, path)
+        source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, path))
+        source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target)
+    finally:
+        remove(spark, fresh)
 
 
 def append_lines(df: DataFrame, path: str) -> None:
@@ -109,13 +134,9 @@ def write_log(spark: SparkSession, report: dict, path: str) -> None:
 
 
 def write_judged(judged: DataFrame, annotated: str, valid: str, keep: Column) -> None:
-    """All rows to one place, those that ``keep`` holds for to another."""
-    judged = judged.persist()
-    try:
-        judged.write.mode("overwrite").json(annotated)
-        judged.where(keep).write.mode("overwrite").json(valid)
-    finally:
-        judged.unpersist()
+    """All rows to one place, those that ``keep`` holds for to another. Rows are judged once: the second place is filled from the first."""
+    judged.write.mode("overwrite").json(annotated)
+    judged.sparkSession.read.schema(judged.schema).json(annotated).where(keep).write.mode("overwrite").json(valid)
 
 
 def output_paths(out: str, model: str, responses: str, kind: str = "strict") -> dict[str, str]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.evaluate import evaluate_strict
-from ..sources.jsonl import PROMPTS
+from ..sources.jsonl import prompts_schema
 
 
 def watch_prompts(spark: SparkSession, folder: str, responses: DataFrame, out: str, checkpoint: str, **kw) -> StreamingQuery:
@@ -21,5 +21,5 @@ def watch_prompts(spark: SparkSession, folder: str, responses: DataFrame, out: s
         rows = prompts.withColumn("pos", F.monotonically_increasing_id())
         evaluate_strict(rows, responses, **kw).write.mode("overwrite").json(f"{out}/batch={number}")
 
-    stream = spark.readStream.schema(PROMPTS).json(folder)
+    stream = spark.readStream.schema(prompts_schema()).json(folder)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

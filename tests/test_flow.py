@@ -72,6 +72,40 @@ def test_unknown(tables):
         E.evaluate_strict(short, responses).collect()
 
 
+def test_plan(tables):
+    """Neither texts nor instructions become rows, and nothing is dealt by place: what there is to shuffle is the look-up by prompt."""
+    for evaluate in (E.evaluate_strict, E.evaluate_loose):
+        plan = evaluate(*tables, only=["punctuation:no_comma", "length_constraints:number_words", "keywords:existence", "keywords:forbidden_words"])._jdf.queryExecution().optimizedPlan().toString()
+        assert [line for line in plan.splitlines() if "Generate" in line] == []
+        assert plan.count("Join LeftOuter") == 1 and "Aggregate [pos" not in plan
+    without = E.evaluate_strict(*tables, only=["punctuation:no_comma", "length_constraints:number_words", "keywords:existence"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in without and "Arrow" not in without
+
+
+def test_all_kinds_at_once(spark):
+    """What needs Python is asked about rows that need it alone, for each reading and instruction."""
+    ids = ["detectable_format:json_format", "keywords:forbidden_words", "detectable_content:postscript", "keywords:forbidden_words", "detectable_content:postscript", "punctuation:no_comma"]
+    args = [{}, {"forbidden_words": [r"(a)\1", "zz"]}, {"postscript_marker": r"(?:n)\.b\."}, {"forbidden_words": ["q+x"]}, {"postscript_marker": r"(k)\1"}, {}]
+    rows = [("1", "p1", '{"a": 1}'), ("2", "p2", "see aa, N.B. this kk"), ("3", "p3", "q, qqx"), ("4", "p4", "intro\n**[1]**\nout"), ("5", "p5", "")]
+    prompts = spark.read.schema(J.PROMPTS).json(spark.sparkContext.parallelize([json.dumps({"key": k, "prompt": p, "instruction_id_list": ids, "kwargs": args}) for k, p, _ in rows])).withColumn("pos", F.monotonically_increasing_id())
+    responses = spark.createDataFrame([(p, r) for _, p, r in rows], "prompt string, response string")
+    strict = {r.key: r.follow_instruction_list for r in E.evaluate_strict(prompts, responses).collect()}
+    assert strict == {
+        "1": [True, True, False, True, False, True], "2": [False, False, True, True, True, False], "3": [False, True, False, False, False, False], "4": [False, True, False, True, False, True], "5": [False] * 6,
+    }
+    assert {r.key: r.follow_instruction_list for r in E.evaluate_loose(prompts, responses).collect()}["4"] == [True, True, False, True, False, True]
+
+
+def test_missing_lists(spark):
+    """A null list of instructions is an empty one; instructions without arguments are an error."""
+    prompts = spark.createDataFrame([(0, "1", "a", None, None), (1, "2", "b", ["punctuation:no_comma", None], None)], "pos long, key string, prompt string, instruction_id_list array<string>, kwargs array<struct<num_words:bigint>>")
+    responses = spark.createDataFrame([("a", "x"), ("b", "x")], "prompt string, response string")
+    rows = {r.key: (r.follow_instruction_list, r.errors) for r in E.evaluate_strict(prompts, responses, mode="flag", only=["punctuation:no_comma"]).collect()}
+    assert rows == {"1": ([], []), "2": ([False, False], ["no arguments"])}
+    with pytest.raises(Exception, match="no arguments"):
+        E.evaluate_strict(prompts, responses, only=["punctuation:no_comma"]).collect()
+
+
 def test_order_of_lines(spark, tmp_path):
     folder = tmp_path / "many"
     folder.mkdir()
@@ -81,6 +115,24 @@ def test_order_of_lines(spark, tmp_path):
     assert [int(r.key) for r in rows] == list(range(40))
 
 
+def test_order_within_files(spark, tmp_path):
+    """Splits of a file keep their order, and the data is scanned once."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        folder = tmp_path / "split"
+        folder.mkdir()
+        for k in range(3):
+            lines(folder / f"{k}.jsonl", [{"key": str(k * 100 + i), "prompt": "x" * (7 * i % 90), "response": ""} for i in range(100)])
+        df = J.read_lines(spark, str(folder), J.RESPONSES)
+        rows = df.orderBy("pos").collect()
+        assert df.rdd.getNumPartitions() > 6 and [int(r.key) for r in rows] == list(range(300)) and len({r.pos for r in rows}) == 300
+        assert df._jdf.queryExecution().optimizedPlan().toString().count(" json") == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_paths():
     got = J.output_paths("out/", "m", "x/input_response_data_abc.jsonl")
     assert got["detail"] == "out/stat_m/raw/abc_eval_results_strict_detail.jsonl" and got["log"].endswith("abc_eval_results_strict_log.json")
@@ -168,6 +220,37 @@ def test_run(spark, tmp_path):
     assert J.read_records(spark, path).count() == 5
 
 
+def test_run_evaluates_once(spark, tmp_path):
+    """A check that is a Python function sees each response once, though verdicts, detail and log are written; one of them failing leaves nothing between."""
+    import pandas as pd
+
+    from plumbline.operators import checkers as C
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("boolean")
+    def counted(v: pd.Series) -> pd.Series:
+        seen.add(len(v))
+        return v.str.contains("c")
+
+    C.register_checker("own:counted", lambda v: counted(v), python=True)
+    try:
+        rows = [{"key": f"{i}:original", "prompt": f"p{i}", "instruction_id_list": ["punctuation:no_comma", "own:counted"], "kwargs": [{}, {}]} for i in range(6)]
+        answers = [{"prompt": f"p{i}", "response": f"{'abc'[i % 3]}, x"[: 1 + i]} for i in range(6)]
+        paths = lines(tmp_path / "p.jsonl", rows), lines(tmp_path / "r.jsonl", answers)
+        done = E.run(spark, *paths, f"{tmp_path}/out", "m", groups="none")
+        assert seen.value == 6 and done["report"]["tier1"] == {"own:counted": pytest.approx(2 / 6), "punctuation:no_comma": pytest.approx(1 / 6)}
+        detail = J.read_records(spark, done["detail"]).collect()
+        assert {r.key: r.follow_instruction_list for r in detail}["2:original"] == [False, True] and sorted(detail[0].asDict()) == sorted(["follow_all_instructions", "follow_instruction_list", "instruction_id_list", "key", "pos", "prompt", "response"])
+        assert len(list((tmp_path / "out/stat_m/raw").iterdir())) == 1
+        empty = lines(tmp_path / "none.jsonl", [])
+        with pytest.raises(ValueError, match="no outputs"):
+            J.write_detail(J.read_prompts(spark, empty), done["detail"])
+        assert J.read_records(spark, done["detail"]).count() == 6
+    finally:
+        C.unregister_checker("own:counted")
+
+
 def test_chat_client():
     """What is sent to a server, and replies that fail."""
     import threading
@@ -222,8 +305,14 @@ def test_own_arguments(spark, tmp_path):
         assert E.evaluate_strict(prompts, responses).first().follow_instruction_list == [True, True]
         with pytest.raises(ValueError):
             C.register_checker("own:last", lambda v, own_last: v, "", {"own_last": T.LongType()})
+        with pytest.raises(ValueError):
+            C.register_checker("own:other", lambda v, num_words: v, "", {"num_words": T.StringType()})
+        assert len(C.KWARGS.names) == 25 and len(C.kwargs_schema().names) == 26
+        plain = prompts.withColumn("kwargs", F.transform("kwargs", lambda k: k.dropFields("own_last")))  # read before the check was there
+        assert E.evaluate_strict(plain, responses).first().follow_instruction_list == [False, True]
     finally:
         C.unregister_checker("own:last")
+    assert C.kwargs_schema() == C.KWARGS and "own_last" not in J.read_prompts(spark, str(tmp_path / "p.jsonl")).schema.simpleString()
 
 
 def test_tables_and_variants(spark, tables, tmp_path):
