@@ -6,7 +6,8 @@ parts; so a first pass counts hashes of words and pairs, and the second gives
 rows with texts only to n-grams whose words and pairs may all be frequent, by a
 Bloom filter of those that are. The filter lets others through but keeps none
 out, so the counts of whatever reaches the minimum are exact. Tasks add up equal
-n-grams before the shuffle.
+n-grams of a stretch of texts before they hand them on, and Spark's aggregate the
+rest before the shuffle.
 
 Frequent phrases are then cut at each place and joined to the counts of their
 two parts, scored in decimals, and dropped where an extension by one word occurs
@@ -27,8 +28,8 @@ from .common import LOWER, Scratch, id_filter, limit_batches, mix, ngram_hashes,
 PIECE_END, BLANK = np.zeros(256, bool), np.zeros(256, bool)
 PIECE_END[[ord(c) for c in ".,;:!?"] + [*range(10, 14)]] = True
 BLANK[[32, 9]] = True
-#: Hashes that a task adds up before it hands them on; n-grams that it adds up at a time; different ones that it holds.
-HELD_HASHES, HELD_GRAMS, HELD_KINDS = 1 << 21, 1 << 18, 1 << 20
+#: Hashes that a task adds up before it hands them on, and bytes of text whose equal n-grams it adds up.
+HELD_HASHES, HELD_BYTES = 1 << 21, 1 << 18
 #: Parts of a language in which ranks are taken first.
 RANK_PARTS = 64
 
@@ -80,11 +81,11 @@ def _languages(column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return coded.indices.to_numpy(), names.to_pylist(), span_hashes(data, offs[:-1], offs[1:])
 
 
-def _runs(batch):
-    """Words of about a MiB of texts at a time, and each word's language."""
+def _runs(batch, size: int = 1 << 20):
+    """Words of texts of about ``size`` bytes at a time, and each word's language."""
     codes, names, marks = _languages(batch.column("lang"))
     data, offs = text_buffers(batch.column("text"))
-    for i, j in spans_of_bytes(offs):
+    for i, j in spans_of_bytes(offs, size):
         words = Words(data, offs[i : j + 1])
         yield words, codes[i:j][words.rows], names, marks
 
@@ -116,55 +117,18 @@ def _hashed(batches):
         yield from flush()
 
 
-class Tally:
-    """Counts of texts by language and number of words, added up as far as a task may hold them."""
-
-    def __init__(self):
-        self.raw: dict[tuple[str, int], list[pa.Array]] = {}
-        self.sums: dict[tuple[str, int], list[pa.Table]] = {}
-        self.raw_size = self.kinds = 0
-
-    def add(self, key: tuple[str, int], phrases: pa.Array) -> None:
-        self.raw.setdefault(key, []).append(phrases)
-        self.raw_size += len(phrases)
-        if self.raw_size >= HELD_GRAMS:
-            self.settle()
-
-    def settle(self) -> None:
-        for key, parts in self.raw.items():
-            found = pc.value_counts(pa.concat_arrays(parts))
-            self.sums.setdefault(key, []).append(pa.table({"phrase": found.field("values"), "n": found.field("counts")}))
-            self.kinds += len(found)
-        self.raw, self.raw_size = {}, 0
-
-    def full(self) -> bool:
-        """Whether there are too many kinds, even if equal ones are put together."""
-        if self.kinds < HELD_KINDS:
-            return False
-        self.merge()
-        return self.kinds >= HELD_KINDS // 2
-
-    def merge(self) -> None:
-        self.settle()
-        self.sums = {key: [pa.concat_tables(parts).group_by("phrase").aggregate([("n", "sum")]).rename_columns(["phrase", "n"])] for key, parts in self.sums.items()}
-        self.kinds = sum(len(parts[0]) for parts in self.sums.values())
-
-    def taken(self):
-        """All that is held, as rows; nothing is held after it."""
-        self.merge()
-        for (lang, n), (rows,) in self.sums.items():
-            for part in rows.to_batches(max_chunksize=8192):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([n] * len(part), pa.int32()), part.column(0).cast(pa.string()), part.column(1)], ["lang", "words", "phrase", "n"])
-        self.sums, self.kinds = {}, 0
-
-
 def _exploded(shared, longest: int):
-    """Rows of language, words, phrase and count: the n-grams that the filter leaves, and each language's words together as the phrase '' of 0 words."""
+    """Rows of language, words, phrase and count: the n-grams that the filter leaves, equal ones of a run of texts as one, and each language's words together as the phrase '' of 0 words."""
+
+    def rows(lang: str, n: int, phrases: pa.Array, counts: pa.Array):
+        for i in range(0, len(phrases), 8192):
+            part = phrases[i : i + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([n] * len(part), pa.int32()), part.cast(pa.string()), counts[i : i + 8192]], ["lang", "words", "phrase", "n"])
 
     def run(batches):
-        tally, totals = Tally(), {}
+        totals: dict[str, int] = {}
         for batch in batches:
-            for words, code, names, marks in _runs(batch):
+            for words, code, names, marks in _runs(batch, HELD_BYTES):
                 for c, many in enumerate(np.bincount(code, minlength=len(names)).tolist()):
                     totals[names[c]] = totals.get(names[c], 0) + many
                 single = passes(shared.value, _keys(words, marks[code], 1).view(np.int64))
@@ -175,14 +139,11 @@ def _exploded(shared, longest: int):
                         ok &= pair[k : k + len(ok)]
                     at = np.flatnonzero(ok)
                     for c in np.unique(code[at]).tolist():
-                        own = at[code[at] == c]
-                        tally.add((names[c], n), words.phrases(own, n))
-                if tally.full():
-                    yield from tally.taken()
-        yield from tally.taken()
+                        found = pc.value_counts(words.phrases(at[code[at] == c], n))
+                        yield from rows(names[c], n, found.field("values"), found.field("counts"))
         for lang, many in totals.items():
             if many:
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([many], pa.int64())], ["lang", "words", "phrase", "n"])
+                yield from rows(lang, 0, pa.array([""]), pa.array([many], pa.int64()))
 
     return run
 
