@@ -117,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     return both.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"), epochs.alias("epochs"), part.alias("part"), *([F.col(f"carried.{c}").alias(f"carried_{c}") for c in carry] if carry else []))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_words(text: pd.Series, n: pd.Series) -> pd.Series:
     """A text up to the end of its n-th word; null for null."""
 

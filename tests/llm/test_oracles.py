@@ -7,7 +7,7 @@ from plumbline.llm.queries import oracle_sql, queries
 
 def test_registered():
     found = __spark_entry__.queries()
-    assert "pipeline" in found and {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries()} and set(queries()) <= set(found)
+    assert "pipeline" in found and {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in queries()} and set(queries()) <= set(found)
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
