@@ -17,10 +17,13 @@ from hashlib import blake2b
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import key_root
+from ..sources import jsonl
 from ..sources.jsonl import JUDGEMENT
 from .checkers import DESCRIPTIONS, kwargs_schema
+from .durable import BATCH_ROWS, in_batches
 
 Client = Callable[[list[list[dict]]], list[str | None]]
 
@@ -31,6 +34,8 @@ KINDS = {
     "task": ("ct_alteration", 8, 8, "Put another task in place of the one below: another topic or kind of text. Keep each constraint with its arguments, in words that fit the new task, and make sure that the two go together. Answer with a JSON array of strings, each a whole request."),
     "fillin": ("ct_alteration", 8, 8, "Give the constraints below other arguments, of the same types and just as hard, and change the request's words to match. The task stays. Answer with JSON: an object whose outputs each have random_seed, reasoning, revised_prompt, revised_instruction_id_list and revised_kwargs, the last as a JSON string."),
 }
+#: Kinds whose variants take the place of what a target holds; others are added to it.
+REPLACED = ("distractor",)
 JUDGE = 'Read the request below with its constraints. Decide whether one response can do the task and meet every constraint at once, and whether the words of the request say just these constraints. Answer with JSON: {"reasoning": ..., "is_valid": ...}'
 REVISED = "array<struct<random_seed:string,reasoning:string,revised_prompt:string,revised_instruction_id_list:array<string>,revised_kwargs:string>>"
 VERDICT = "struct<reasoning:string,is_valid:boolean>"
@@ -170,6 +175,52 @@ def keyed_variants(df: DataFrame, variants: str, label: str) -> DataFrame:
     return df.withColumn("original_prompt", F.col("prompt")).withColumn("key", variant_key(F.col("key"), label, F.col("__i") + 1)).withColumn("prompt", F.col("__v")).drop("__i", "__v")
 
 
+def generate_into(prompts: DataFrame, client: Client, out: str, system: str | None = None, retries: int = 0, tasks: int = 8, batch_rows: int = BATCH_ROWS) -> None:
+    """Append responses to the prompts that ``out`` has none for, batch by batch: a run that is stopped keeps the batches before."""
+    spark = prompts.sparkSession
+    todo = resume(prompts, jsonl.completed_keys(spark, out)) if jsonl.exists(spark, out) else prompts
+    in_batches(todo.select("key", "prompt"), lambda part: generate(part, client, system=system, retries=retries), out, tasks, batch_rows)
+
+
+def synthesise_into(prompts: DataFrame, kind: str, client: Client, out: str, keep: bool = False, retries: int = 3, tasks: int = 8, batch_rows: int = BATCH_ROWS) -> None:
+    """Append variants of ``prompts`` to ``out``, batch by batch; distractors take the place of what is there.
+
+    ``keep``: go on with a run that was stopped; nothing is removed, and
+    variants that are there aren't asked for.
+    """
+    spark = prompts.sparkSession
+    if not keep and kind in REPLACED:
+        jsonl.remove(spark, out)
+    asked = requests_for(prompts, kind)
+    if keep and jsonl.exists(spark, out):
+        first = variant_key(F.col("key"), KINDS[kind][0], F.col("__batch") + 1)
+        asked = asked.withColumn("__first", first).join(jsonl.completed_keys(spark, out).select(F.col("key").alias("__first")), "__first", "left_anti").drop("__first")
+    in_batches(asked, lambda part: variants_of(part, kind, client, retries), out, tasks, batch_rows)
+
+
+def judge_into(prompts: DataFrame, client: Client, annotated: str, valid: str, keep: bool = False, retries: int = 0, tasks: int = 8, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Write ``prompts`` with their verdicts to ``annotated``, batch by batch, and the valid ones to ``valid``; root, valid of what was kept.
+
+    ``keep``: go on with a run that was stopped, without judging again what is
+    annotated; otherwise both places are written anew.
+    """
+    spark = prompts.sparkSession
+    if not keep:
+        jsonl.remove(spark, annotated)
+    todo = resume(prompts, jsonl.completed_keys(spark, annotated)) if jsonl.exists(spark, annotated) else prompts
+    in_batches(todo, lambda part: judge(part, client, retries), annotated, tasks, batch_rows)
+    schema = T.StructType([*prompts.schema.fields, T.StructField(JUDGEMENT, T._parse_datatype_string(VERDICT))])
+    judged = spark.read.schema(schema).json(annotated) if jsonl.exists(spark, annotated) else spark.createDataFrame([], schema)
+    valid_rows(judged).write.mode("overwrite").json(valid)
+    return valid_by_root(judged)
+
+
+def requests_for(prompts: DataFrame, kind: str) -> DataFrame:
+    """``prompts`` with a row for each request, whose first variant is number ``__batch`` + 1."""
+    _, total, step, _ = KINDS[kind]
+    return prompts.select("*", F.explode(F.sequence(F.lit(0), F.lit(total - 1), F.lit(step))).alias("__batch"))
+
+
 def synthesise(prompts: DataFrame, kind: str, client: Client, retries: int = 3) -> DataFrame:
     """Variants of each prompt by one of KINDS: replies are JSON arrays of prompts, typed ones for "fillin".
 
@@ -177,10 +228,14 @@ def synthesise(prompts: DataFrame, kind: str, client: Client, retries: int = 3)
     reply with fewer than asked for is asked for again. What fails after
     ``retries`` more tries is missing.
     """
-    label, total, step, _ = KINDS[kind]
+    return variants_of(requests_for(prompts, kind), kind, client, retries)
+
+
+def variants_of(asked: DataFrame, kind: str, client: Client, retries: int = 3) -> DataFrame:
+    """The variants that rows of ``requests_for`` ask for."""
+    label, _, step, _ = KINDS[kind]
     if kind == "fillin":
-        return synthesise_fillin(prompts, client, retries)
-    asked = prompts.select("*", F.explode(F.sequence(F.lit(0), F.lit(total - 1), F.lit(step))).alias("__batch"))
+        return synthesise_fillin(asked.drop("__batch"), client, retries)
     request = F.concat(render(kind, F.col("prompt"), F.col("instruction_id_list"), F.col("kwargs"), step), F.lit("\n\nBatch "), F.col("__batch").cast("string"))
 
     def checked(requests: list[list[dict]]) -> list[str | None]:
@@ -188,7 +243,7 @@ def synthesise(prompts: DataFrame, kind: str, client: Client, retries: int = 3)
 
     replies = complete(asked.withColumn("messages", messages(request)), checked, retries=retries).where("reply is not null")
     one = replies.select("*", F.posexplode(F.slice(F.from_json("reply", "array<string>"), 1, step)).alias("__i", "__v"))
-    own = [c for c in prompts.columns if c not in ("key", "prompt")]
+    own = [c for c in asked.columns if c not in ("key", "prompt", "__batch")]
     return one.select(variant_key(F.col("key"), label, F.col("__batch") + F.col("__i") + 1).alias("key"), F.col("__v").alias("prompt"), *own, F.col("prompt").alias("original_prompt"))
 
 

@@ -66,6 +66,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path)
 
 
+def read_prompt_records(spark: SparkSession, path: str) -> DataFrame:
+    """Prompts with all their fields: the known ones by their types, even where a file has only empty arguments, others as they are."""
+    known = prompts_schema()
+    others = [f for f in spark.read.json(path).schema if f.name not in known.names]
+    return read_lines(spark, path, T.StructType([*known.fields, *others]))
+
+
 def completed_keys(spark: SparkSession, path: str) -> DataFrame:
     """Keys of the lines that parse, once each."""
     return spark.read.schema(RESPONSES).option("mode", "DROPMALFORMED").json(path).select("key").where("key is not null").distinct()

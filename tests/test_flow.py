@@ -1,6 +1,7 @@
 """From files to reports: sources, evaluation, sinks, generation, synthesis, judging, streams."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,11 +214,85 @@ def test_run(spark, tmp_path):
     assert done["report"]["prompt_level_accuracy"] == 0.6 and (tmp_path / "out/stat_m/raw/r_eval_results_strict_detail.jsonl").exists()
     assert json.loads((tmp_path / "out/stat_m/log/r_eval_results_strict_log.json").read_text())["prompt_level_accuracy"] == 0.6
     assert E.run(spark, prompts, responses, f"{tmp_path}/out", "m", loose=True, mode="flag")["detail"].endswith("r_eval_results_loose_detail.jsonl")
-    args = cli.parser().parse_args(["generate", "--model", "x-no-think", "--input_data", prompts, "--output_dir", str(tmp_path)])
+    args = cli.parser().parse_args(["generate", "--model", "x-no-think", "--input_data", prompts, "--output_dir", f"{tmp_path}/gen"])
     assert args.client_type == "vllm" and args.num_workers == 16
-    path = cli.generate_file(spark, S.offline_client, prompts, f"{tmp_path}/gen.jsonl")
-    cli.generate_file(spark, S.offline_client, prompts, path)
-    assert J.read_records(spark, path).count() == 5
+    path = cli.ask(spark, args, S.offline_client, 2)
+    cli.ask(spark, args, S.offline_client, 2)
+    assert path == f"{tmp_path}/gen/x-no-think.jsonl" and J.read_records(spark, path).count() == 5
+
+
+def asked_log(path, reply, stop_at=None):
+    """A client that writes down what it is asked, and brings its process down at the request that ``stop_at`` names."""
+
+    def client(requests):
+        for r in requests:
+            if stop_at and stop_at in r[-1]["content"]:
+                os._exit(1)
+            with open(path, "a") as log:
+                log.write(json.dumps(r[-1]["content"]) + "\n")
+        return [reply(r) for r in requests]
+
+    return client
+
+
+def test_stopped_run_resumes(spark, tmp_path):
+    """What batches before a failure appended stays, and the next run asks for the rest alone."""
+    prompts = spark.createDataFrame([(f"{i:02}", f"prompt {i:02}") for i in range(12)], "key string, prompt string").repartition(1).sortWithinPartitions("key")
+    out, log = f"{tmp_path}/out.jsonl", tmp_path / "log"
+    with pytest.raises(Exception):
+        S.generate_into(prompts, asked_log(log, lambda r: "yes", "prompt 07"), out, tasks=1, batch_rows=3)
+    kept = {r.key for r in J.read_records(spark, out).collect()}
+    assert 0 < len(kept) < 12 and len(kept) % 3 == 0 and "07" not in kept
+    first = len(log.read_text().splitlines())
+    S.generate_into(prompts, asked_log(log, lambda r: "yes"), out, tasks=1, batch_rows=3)
+    assert sorted(r.key for r in J.read_records(spark, out).collect()) == [f"{i:02}" for i in range(12)]
+    assert len(log.read_text().splitlines()) - first == 12 - len(kept)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["log", "out.jsonl"]
+    S.generate_into(prompts, asked_log(log, lambda r: None), f"{tmp_path}/failed.jsonl", tasks=2)
+    assert spark.read.schema(J.RESPONSES).json(f"{tmp_path}/failed.jsonl").count() == 0
+
+
+def test_commands(spark, tmp_path):
+    """Synthesis adds to a target or takes its place; judging writes both files anew, or goes on."""
+    from plumbline import __main__ as cli
+
+    rows = [{"key": str(i), "prompt": f"p{i}", "instruction_id_list": ["punctuation:no_comma"], "kwargs": [{}], "extra": i} for i in range(3)]
+    source = lines(tmp_path / "in.set.jsonl", rows)
+    eight = lambda r: json.dumps([f"v{k}" for k in range(8)])
+    log = tmp_path / "log"
+
+    def run(kind, *more):
+        args = cli.parser().parse_args(["synthesise", "--kind", kind, "--input_file", source, "--target_file", f"{tmp_path}/{kind}.jsonl", "--model", "m", *more])
+        return J.read_records(spark, cli.ask(spark, args, asked_log(log, eight), 2))
+
+    assert run("distractor").count() == 24 and run("distractor").count() == 24  # in its place
+    assert run("task").count() == 24 and run("task").count() == 48  # added
+    found = run("rephrasing")
+    assert found.count() == 72 and {r.key for r in found.where("extra = 2").collect()} == {f"2:rephrasing:{k}" for k in range(1, 25)}
+    before = len(log.read_text().splitlines())
+    assert run("rephrasing", "--resume").count() == 72 and len(log.read_text().splitlines()) == before  # all there
+    part = J.read_records(spark, f"{tmp_path}/rephrasing.jsonl").drop("pos").where("key not like '1:rephrasing:%'")
+    part.write.json(f"{tmp_path}/part.jsonl")
+    args = cli.parser().parse_args(["synthesise", "--kind", "rephrasing", "--input_file", source, "--target_file", f"{tmp_path}/part.jsonl", "--model", "m", "--resume"])
+    assert J.read_records(spark, cli.ask(spark, args, asked_log(log, eight), 2)).count() == 72 and len(log.read_text().splitlines()) == before + 3
+
+    def judged(reply, *more):
+        args = cli.parser().parse_args(["judge", "--input_file", source, "--target_dir", f"{tmp_path}/judged", "--model", "m", *more])
+        return cli.ask(spark, args, asked_log(log, reply), 2).splitlines()
+
+    reply = lambda r: None if r[-1]["content"].endswith("p0") else json.dumps({"reasoning": "r", "is_valid": r[-1]["content"].endswith("p1")})
+    annotated, valid, told = judged(reply)
+    assert annotated.endswith("judged/in_annotated.jsonl") and valid.endswith("judged/in_filtered.jsonl") and told == "1 valid rows of 3 roots, 2 roots without any"
+    assert spark.read.json(annotated).count() == 3 and [r.key for r in spark.read.json(valid).collect()] == ["1"]
+    before = len(log.read_text().splitlines())
+    assert judged(reply, "--resume")[2] == told and len(log.read_text().splitlines()) == before
+    assert judged(lambda r: json.dumps({"reasoning": "r", "is_valid": True}))[2] == "3 valid rows of 3 roots, 0 roots without any"
+
+
+def test_shares_of_workers():
+    from plumbline.operators.durable import shared_out
+
+    assert [shared_out(w, 8) for w in (1, 3, 8, 16, 100)] == [(1, 1), (3, 1), (8, 1), (8, 2), (8, 12)]
 
 
 def test_run_evaluates_once(spark, tmp_path):
