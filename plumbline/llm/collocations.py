@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, id_filter, limit_batches, mix, ngram_hashes, passes, span_hashes, spans_of_bytes, text_buffers
+from .common import LOWER, Scratch, id_filter, limit_batches, mix, ngram_hashes, passes, small_side, span_hashes, spans_of_bytes, text_buffers
 
 #: What ends a piece, besides the text's end; what ends a word within one.
 PIECE_END, BLANK = np.zeros(256, bool), np.zeros(256, bool)
@@ -187,7 +187,7 @@ def mine(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, c
     cuts = cuts.withColumn("left", F.array_join(F.slice(parts, F.lit(1), F.col("k")), " ")).withColumn("right", F.array_join(F.slice(parts, F.col("k") + 1, F.col("words") - F.col("k")), " "))
     known = lambda name, count: table.where("words > 0").select("lang", F.col("phrase").alias(name), F.col("n").alias(count))
     total = table.where("words = 0").select("lang", "n")  # a row a language
-    cuts = cuts.join(known("left", "l"), ["lang", "left"]).join(known("right", "r"), ["lang", "right"]).join(total, "lang")
+    cuts = cuts.join(known("left", "l"), ["lang", "left"]).join(known("right", "r"), ["lang", "right"]).join(small_side(total), "lang")
     dec = lambda c: F.col(c).cast("decimal(19,0)")
     score = F.call_function("div", (dec("a") * F.lit(1000).cast("decimal(4,0)")).cast("decimal(38,0)") * dec("n"), (dec("l") * dec("r")).cast("decimal(38,0)")).cast("long")
     scored = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
