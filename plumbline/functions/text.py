@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .language import LANGUAGES, detect_language  # noqa: F401
 from .sentences import count_sentences  # noqa: F401
+from .tokens import treebank_tokens
 
 # Python's str classes, spelt out for Java regular expressions.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -72,9 +73,8 @@ def count_words(v: Column) -> Column:
 
 
 def count_capital_words(v: Column) -> Column:
-    """Words in capitals; hyphens, apostrophes and points within a word don't part it."""
-    tokens = F.regexp_extract_all(v, F.lit(rf"{WORD}+(?:[-'.]{WORD}+)*"), F.lit(0))
-    return F.size(F.filter(tokens, is_upper)).cast("long")
+    """Tokens in capitals."""
+    return F.size(F.filter(treebank_tokens(v), is_upper)).cast("long")
 
 
 # Words before a point that ends no sentence, words after which it does before an opener alone, openers, and ends of addresses.

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import language as L
 from ..functions import sentences as N
 from ..functions import text as X
+from ..functions import tokens as K
 from ..operators import checkers as C
 from ..operators import evaluate as E
 from ..operators import metrics as M
@@ -122,6 +123,24 @@ UPPER = r"(regexp_matches({0}, '\p{{Lu}}') and not regexp_matches({0}, '[\p{{Ll}
 LOWER = r"(regexp_matches({0}, '\p{{Ll}}') and not regexp_matches({0}, '[\p{{Lu}}\p{{Lt}}]'))"
 
 
+def tokens_sql(t: str) -> str:
+    """The treebank's tokens; RE2 has no looking ahead, so what stands behind is taken along and put back."""
+    rules = [
+        (r"""["`“”«»„‘’]|\'\'""", r" \0 "), (r"([:,])([^\p{Nd}])", r" \1 \2"), (r"([:,])([^\p{Nd}])", r" \1 \2"), (r"\.{2,}|[;@#$%&?!*\[\](){}<>]|--", r" \0 "), (r"""\.([\])}>"\'»”’ ]*)(\s|$)""", r" .\1\2"),
+        (r"(?i)\'([^\Wmtsdn])(\W|$)", r"\' \1\2"), (f"([^\\' ])({'|'.join(K.ENDS)}) ".replace("'", "\\'").replace("\\\\'", "\\'"), r"\1 \2 "),
+    ]
+    for first, second in K.TOGETHER:
+        a, b = first.replace("'", r"\'"), second.replace("'", r"\'")
+        rules.append((rf"(?i) ({a})({b})\b", r" \1 \2") if first == "'t" else (rf"(?i)\b({a})({b})\b", r"\1 \2"))
+    out = f"(' ' || {t} || ' ')"
+    for pattern, into in rules:
+        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern.replace(r"\'", "''"), into.replace(r"\'", "''"))
+    return f"list_filter(string_split_regex({out}, '\\s+'), lambda x: x <> '')"
+
+
+CAPITALS = f"len(list_filter({tokens_sql('t')}, lambda x: {UPPER.format('x')}))"
+
+
 def language_sql(text: str, scripts: tuple[str, ...] = ("Latin",), source: str = "documents") -> str:
     """Common tables up to ``told``: doc_id, lang, t and the language ``detected`` of ``text``, by the weights of the default model for ``scripts``."""
     model = L.default_model()
@@ -191,7 +210,7 @@ check(
 check("repeat_prompt", "combination:repeat_prompt", {"prompt_to_repeat": "Write: a list!"}, lambda: F.concat(F.when(ID() % 2 == 0, " write a LIST. ").otherwise("write the list "), T()), "case when doc_id % 2 = 0 then ' write a LIST. ' else 'write the list ' end || text", rf"starts_with(regexp_replace(lower({TRIM}), '[[:punct:]]', '', 'g'), 'write a list')")
 check("end_checker", "startend:end_checker", {"end_phrase": " ON. "}, lambda: F.concat(T(), F.lit('" ')), "text || '\" '", rf"""ends_with(lower(regexp_replace({TRIM}, '^"+|"+$', '', 'g')), 'on.')""")
 check("quotation", "startend:quotation", {}, lambda: F.concat(F.lit(' "'), T(), F.when(ID() % 2 == 0, '" ').otherwise("")), "' \"' || text || case when doc_id % 2 = 0 then '\" ' else '' end", rf"""length({TRIM}) > 1 and starts_with({TRIM}, '"') and ends_with({TRIM}, '"')""")
-check("capital_word_frequency", "change_case:capital_word_frequency", {"capital_frequency": 3, "capital_relation": "at least"}, sql=rf"len(list_filter(regexp_extract_all(t, '{W}+(?:[-''.]{W}+)*'), lambda x: {UPPER.format('x')})) >= 3")
+check("capital_word_frequency", "change_case:capital_word_frequency", {"capital_frequency": 3, "capital_relation": "at least"}, sql=f"{CAPITALS} >= 3")
 check("english_capital", "change_case:english_capital", {}, lambda: F.when(ID() % 2 == 0, F.upper(T())).otherwise(T()), "case when doc_id % 2 = 0 then upper(text) else text end", f"{UPPER.format('t')} and coalesce(detected = 'en', true)")
 check("english_lowercase", "change_case:english_lowercase", {}, lambda: F.when(ID() % 2 == 0, F.lower(T())).otherwise(T()), "case when doc_id % 2 = 0 then lower(text) else text end", f"{LOWER.format('t')} and coalesce(detected = 'en', true)")
 check("no_comma", "punctuation:no_comma", {}, sql="not contains(t, ',')")
@@ -223,7 +242,7 @@ ALL = {
     {SENTENCES} >= 20 as sentences,
     (with p as (select string_split_regex(t, '\s*\*\*\*\s*') as a), q as (select list_transform(a, lambda x: not regexp_matches(x, '\S')) as b, len(a) as n from p)
         select case when n > 2 and list_contains(b[2:n - 1], true) then false when n = 1 then n - b[1]::int = 1 else n - b[1]::int - b[n]::int = 1 end from q) as paragraphs,
-    length(lower(t)) - length(replace(lower(t), 'e', '')) >= 100 as letters, len(list_filter(regexp_extract_all(t, '{W}+(?:[-''.]{W}+)*'), lambda x: {UPPER.format('x')})) >= 3 as capitals,
+    length(lower(t)) - length(replace(lower(t), 'e', '')) >= 100 as letters, {CAPITALS} >= 3 as capitals,
     not contains(t, ',') as no_comma, {UPPER.format('t')} and coalesce(detected = 'en', true) as upper from told""",
 )
 def all_checks(spark, sf_dir):
@@ -290,6 +309,20 @@ def sentences_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", both.alias("x")).select("doc_id", "x.n", "x.first")
 
 
+#: Contractions, words written together and marks come into texts that have none.
+_CONTRACTED = """replace(replace(replace(text, ' the ', ' DON''T (cannot) '), ' in ', ' it''s, WE''LL: U.S. '), ' and ', ' GONNA 10:30 A&B--c... ')"""
+
+
+@query("treebank_tokens", f"select doc_id, len(k)::bigint as n, len(list_filter(k, lambda x: {UPPER.format('x')}))::bigint as capitals, md5(array_to_string(k, ' ')) as digest from (select doc_id, {tokens_sql('t')} as k from (select doc_id, {_CONTRACTED} as t from documents))")
+def treebank_tokens(spark, sf_dir):
+    text = T()
+    for own, other in ((" the ", " DON'T (cannot) "), (" in ", " it's, WE'LL: U.S. "), (" and ", " GONNA 10:30 A&B--c... ")):
+        text = F.replace(text, F.lit(own), F.lit(other))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+    seen = X.bound(K.treebank_tokens(F.col("t")), lambda k: F.struct(F.size(k).cast("long").alias("n"), F.size(F.filter(k, X.is_upper)).cast("long").alias("capitals"), F.md5(F.array_join(k, " ")).alias("digest")))
+    return docs.select("doc_id", seen.alias("x")).select("doc_id", "x.n", "x.capitals", "x.digest")
+
+
 @query("stopword_count", f"select doc_id, len(list_filter(regexp_extract_all(lower(text), '{W}+'), lambda x: x in ({', '.join(repr(w) for w in X.ENGLISH_STOP_WORDS)})))::bigint as n from documents")
 def stopword_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.count_stopwords(T()).alias("n"))
