@@ -283,9 +283,13 @@ def synthesise_fillin(prompts: DataFrame, client: Client, retries: int = 3) -> D
     )
 
 
+def judge_request(prompt: Column, ids: Column, kwargs: Column) -> Column:
+    return F.concat(F.lit(f"{JUDGE}\n\n"), describe(ids, kwargs), F.lit("\n\n"), prompt)
+
+
 def judge(prompts: DataFrame, client: Client, retries: int = 0) -> DataFrame:
     """``prompts`` with a verdict on each; a reply that fails or doesn't parse counts as not valid."""
-    request = F.concat(F.lit(f"{JUDGE}\n\n"), describe(F.col("instruction_id_list"), F.col("kwargs")), F.lit("\n\n"), F.col("prompt"))
+    request = judge_request(F.col("prompt"), F.col("instruction_id_list"), F.col("kwargs"))
     replies = complete(prompts.withColumn("messages", messages(request)), client, retries=retries)
     verdict = F.from_json("reply", VERDICT)
     failed = F.struct(F.lit(FAILED).alias("reasoning"), F.lit(False).alias("is_valid"))

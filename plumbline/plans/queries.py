@@ -89,6 +89,10 @@ def count_word(word: str, t: str = "t") -> str:
 
 
 TRIM = r"regexp_replace(t, '^\s+|\s+$', '', 'g')"
+def sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def quoted(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -749,6 +753,13 @@ def folder(spark, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def table_of(spark, rows: DataFrame, name: str) -> DataFrame:
+    """Rows as they are now."""
+    path = folder(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def written_prompts(spark, sf_dir) -> str:
     path = folder(spark, "prompts")
     J.append_lines(conversation_prompts(spark, sf_dir).drop("pos").withColumn("more", F.lit(1)), path)
@@ -818,6 +829,74 @@ def judged_sinks(spark, sf_dir):
     return parts[0].union(parts[1])
 
 
+def failing_client(requests: list[list[dict]]) -> list[str | None]:
+    """Fails for a third of the requests, by their length."""
+    return [None if len(r[-1]["content"]) % 3 == 0 else reply for r, reply in zip(requests, md5_client(requests))]
+
+
+@query("generate_failing", "select item_id::varchar as key, md5(text) as response from benchmark where length(text) % 3 <> 0")
+def generate_failing(spark, sf_dir):
+    """Failed requests leave no rows."""
+    return S.generate(benchmark_prompts(spark, sf_dir), failing_client).select("key", "response")
+
+
+@query("generate_batches", "select item_id::varchar as key, md5(text) as response, length(text) % 3 = 0 as later from benchmark")
+def generate_batches(spark, sf_dir):
+    """Responses kept batch by batch; what failed in one run is asked for by the next, and nothing else."""
+    path = folder(spark, "responses")
+    S.generate_into(benchmark_prompts(spark, sf_dir), failing_client, path, tasks=2, batch_rows=64)
+    first = table_of(spark, J.completed_keys(spark, path), "first")
+    S.generate_into(benchmark_prompts(spark, sf_dir), md5_client, path, tasks=2, batch_rows=64)
+    back = spark.read.schema(J.RESPONSES).json(path)
+    return back.join(first.select("key", F.lit(False).alias("now")), "key", "left").select("key", "response", F.coalesce("now", F.lit(True)).alias("later"))
+
+
+@query("synthesised_batches", "select item_id || ':ct_alteration:' || i as key, text || ' 0/' || i as prompt, text as original_prompt from benchmark, range(1, 9) t(i)")
+def synthesised_batches(spark, sf_dir):
+    path = folder(spark, "variants")
+    prompts = benchmark_prompts(spark, sf_dir)
+    S.synthesise_into(prompts.where("length(prompt) % 2 = 0"), "task", versions_client, path, tasks=2, batch_rows=64)
+    S.synthesise_into(prompts, "task", versions_client, path, keep=True, tasks=2, batch_rows=64)
+    return J.read_records(spark, path).select("key", "prompt", "original_prompt")
+
+
+def length_judge(requests: list[list[dict]]) -> list[str | None]:
+    """Valid by the length of what stands last in a request; a seventh fails."""
+    texts = [r[-1]["content"].rsplit("\n\n", 1)[-1] for r in requests]
+    return [None if len(t) % 7 == 0 else json.dumps({"reasoning": "by length", "is_valid": len(t) % 2 == 0}) for t in texts]
+
+
+@query("judged_batches", f"""select item_id::varchar as key, case when length(text) % 7 = 0 then '{S.FAILED}' else 'by length' end as reasoning, length(text) % 7 <> 0 and length(text) % 2 = 0 as kept from benchmark""")
+def judged_batches(spark, sf_dir):
+    annotated, valid = folder(spark, "annotated"), folder(spark, "valid")
+    S.judge_into(benchmark_prompts(spark, sf_dir), length_judge, annotated, valid, tasks=2, batch_rows=64)
+    rows = J.read_records(spark, annotated).select("key", F.col(f"`{S.JUDGEMENT}`.reasoning").alias("reasoning"))
+    return rows.join(J.read_records(spark, valid).select("key", F.lit(True).alias("yes")), "key", "left").select("key", "reasoning", F.coalesce("yes", F.lit(False)).alias("kept"))
+
+
+@query("judge_requests", f"select item_id, md5({sql_text(S.JUDGE)} || chr(10) || chr(10) || '- {IDS[1]} ' || {sql_text(C.DESCRIPTIONS[IDS[1]].splitlines()[0])} || ' {{}}' || chr(10) || chr(10) || text) as request from benchmark")
+def judge_requests(spark, sf_dir):
+    """The judge's template, to the letter."""
+    request = S.judge_request(F.col("prompt"), F.col("instruction_id_list"), F.col("kwargs"))
+    return benchmark_prompts(spark, sf_dir).select(F.col("key").cast("long").alias("item_id"), F.md5(request.cast("binary")).alias("request"))
+
+
+@query("report_fallback", f"{RELIABLE_1} select metric, value from found")
+def report_fallback(spark, sf_dir):
+    """Without sampling numbers in the prompts, the report's group metrics are those of whole groups."""
+    rows = keyed(table(spark, sf_dir, "documents")).select("pos", "key", T().alias("prompt"), F.array(F.lit(IDS[0])).alias("instruction_id_list"), F.col("ok").alias("follow_all_instructions"), F.array("ok").alias("follow_instruction_list"))
+    log = M.report(rows, "auto")
+    return spark.createDataFrame([(k, float(v)) for k, v in log["reliable_at_k"].items()], "metric string, value double")
+
+
+@query("prompt_table", "select item_id::varchar as key, text as prompt from benchmark")
+def prompt_table(spark, sf_dir):
+    """Prompts that are kept as a table come back as they were."""
+    path = folder(spark, "table")
+    benchmark_prompts(spark, sf_dir).write.parquet(path)
+    return J.read_prompt_table(spark, path).select("key", "prompt")
+
+
 @query(
     "evaluation_run",
     f"""{STRICT}, flags as (select unnest({IDS_SQL}) as instruction_id, unnest(f) as ok from checked)
