@@ -4,7 +4,7 @@ Scripts come first: the script of most letters tells the language where one
 language alone writes it. For scripts that several share, function words vote;
 where they are few or divided, as in short texts, a naive Bayes model of letter
 triples, words and accented letters decides, by whole-number weights that add
-up. A text is of no known language if the best weight isn't ahead by a margin.
+up over a text's different features. A text is of no known language if the best weight isn't ahead by a margin.
 
 ``fit`` makes a model from labelled texts by grouped aggregates; the default
 one has the same rule over the sentences in ``seeds``.
@@ -54,13 +54,13 @@ OWN = {
 }
 #: Codes that a check may name; Greek is told apart but isn't one.
 LANGUAGES = tuple(sorted({*STOP_WORDS, *OWN} - {"el"}))
-#: Votes of function words that decide alone: so many, and so many times the next language's.
-VOTES, TIMES = 5, 2
+#: Votes of function words that decide alone: so many, and so many standard errors of their sum ahead of the next language's.
+VOTES, ERRORS = 5, 2
 #: Weights are twelfths of a nat, MOST at the most; the best sum must be ahead by this.
 UNIT, MOST, MARGIN = 12, 47, 4
 SMOOTHING = 0.5
-#: Look-up tables: features are dealt to buckets by their checksum and told apart by MARKS more letters of it, out of LETTERS from FIRST on.
-BUCKETS, MARKS, LETTERS, FIRST = 256, 3, 95, 17
+#: Look-up tables: features are dealt to buckets by their checksum and told apart by the rest of it, in so many hexadecimal digits.
+BUCKETS, MARKS, FIRST = 256, 6, 17
 #: Japanese where kana are at least one in so many of Han and kana.
 KANA_SHARE = 12
 
@@ -115,10 +115,7 @@ class Model:
             buckets = [""] * BUCKETS
             for gram in sorted(weights):
                 check = zlib.crc32(gram.encode())
-                rest, mark = check // BUCKETS, ""
-                for _ in range(MARKS):
-                    mark, rest = mark + chr(FIRST + rest % LETTERS), rest // LETTERS
-                buckets[check % BUCKETS] += "~" + mark + "".join(chr(MOST + FIRST + w) for w in weights[gram])
+                buckets[check % BUCKETS] += f"~{check // BUCKETS:0{MARKS}X}" + "".join(chr(MOST + FIRST + w) for w in weights[gram])
             width = max(map(len, buckets))
             out[script] = "".join(b.ljust(width, "~") for b in buckets).encode()
         return out
@@ -186,16 +183,15 @@ def _voted(langs: tuple[str, ...]) -> str:
         return "cast(null as string)"
     every = _words(sorted({w for words in own.values() for w in words}))
     counts = {lang: f"size(filter(k, x -> x in ({_words(w)})))" for lang, w in own.items()}
-    return once(rf"filter(split(lower(t), r'[^\p{{L}}\p{{M}}\p{{N}}_]+'), x -> x in ({every}))", "k", _leading(counts, f"a >= {VOTES} and a >= {TIMES} * b"))
+    return once(rf"filter(split(lower(t), r'[^\p{{L}}\p{{M}}\p{{N}}_]+'), x -> x in ({every}))", "k", _leading(counts, f"a >= {VOTES} and (a - greatest(b, 0)) * (a - greatest(b, 0)) >= {ERRORS * ERRORS} * (a + greatest(b, 0))"))
 
 
 def _weighed(langs: tuple[str, ...], table: bytes) -> str:
     """SQL of the language of the greatest sum of weights, null without a margin."""
     width = len(table) // BUCKETS
-    mark = ", ".join(f"char(floor(floor(c / {BUCKETS}) / {LETTERS**k}) % {LETTERS} + {FIRST})" for k in range(MARKS))
     bucket = f"cast(substring(X'{table.hex()}', cast(c % {BUCKETS} * {width} + 1 as int), {width}) as string)"
-    look = once(f"position(concat('~', {mark}), d)", "p", f"case when p > 0 then substring(d, p + {MARKS + 1}, {len(langs)}) else '' end")
-    found = f"filter(transform({FEATURES}, g -> {once('crc32(cast(g as binary))', 'c', once(bucket, 'd', look))}), w -> w <> '')"
+    look = once(f"position(concat('~', lpad(hex(c div {BUCKETS}), {MARKS}, '0')), d)", "p", f"case when p > 0 then substring(d, p + {MARKS + 1}, {len(langs)}) else '' end")
+    found = f"filter(transform(array_distinct({FEATURES}), g -> {once('crc32(cast(g as binary))', 'c', once(bucket, 'd', look))}), w -> w <> '')"
     sums = {lang: f"aggregate(l, 0, (n, w) -> n + ascii(substring(w, {k + 1}, 1)) - {MOST + FIRST})" for k, lang in enumerate(langs)}
     return once(found, "l", f"case when size(l) > 0 then {_leading(sums, f'a - b >= {MARGIN}')} end")
 

@@ -164,10 +164,10 @@ def language_sql(text: str, scripts: tuple[str, ...] = ("Latin",), source: str =
     w as (select doc_id, script, unnest(string_split_regex(lower(t), '[^\p{{L}}\p{{M}}\p{{N}}_]+')) as word from u),
     v as (select doc_id, code, count(*) as n from w join stop using (script, word) group by all),
     o as (select doc_id, list_sort(list({{'n': n, 'code': code}}), 'DESC') as l from v group by 1),
-    vote as (select doc_id, l[1].code as code from o where l[1].n >= {L.VOTES} and l[1].n >= {L.TIMES} * coalesce(l[2].n, 0)),
+    vote as (select doc_id, l[1].code as code from o where l[1].n >= {L.VOTES} and (l[1].n - coalesce(l[2].n, 0)) ** 2 >= {L.ERRORS * L.ERRORS} * (l[1].n + coalesce(l[2].n, 0))),
     m as (select split_part(x, '~', 1) as script, split_part(x, '~', 2) as gram, string_split(split_part(x, '~', 3), ',') as ws from (select unnest(string_split('{rows}', '|')) as x)),
     p as (select doc_id, script, regexp_replace(' ' || lower(t) || ' ', '[^\p{{L}}\p{{M}}]+', ' ', 'g') as t from u where doc_id not in (select doc_id from vote)),
-    g as (select doc_id, script, unnest(list_concat(list_filter(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)), lambda x: substr(x, 2, 1) <> ' '),
+    g as (select distinct doc_id, script, unnest(list_concat(list_filter(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)), lambda x: substr(x, 2, 1) <> ' '),
       list_transform(list_filter(string_split(t, ' '), lambda x: length(x) > 1), lambda x: ' ' || x || ' '), regexp_extract_all(t, '[^\x00-\x7f]'))) as gram from p),
     z as (select doc_id, code, sum(ws[k]::bigint) as n from g join m using (script, gram) join codes using (script) group by all),
     y as (select doc_id, list_sort(list({{'n': n, 'code': code}}), 'DESC') as l from z group by 1),
