@@ -28,7 +28,7 @@ ALPHA = 0.4
 #: n-grams of two words or more that occur less often count as unseen.
 LEAST = 2
 #: Bytes of text in a batch, and n-grams in a partition of the counts, on average.
-BATCH_BYTES, PART_GRAMS = 8 << 20, 4 << 20
+BATCH_BYTES, PART_GRAMS = 12 << 20, 4 << 20
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
