@@ -75,19 +75,28 @@ def _abbreviated(bare: Column, model: Model) -> Column:
     return among(word, model.abbreviations) | among(F.regexp_extract(word, r"-([^-]*)\z", 1), model.abbreviations)
 
 
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once a row."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _ends(token: Column, following: Column, model: Model) -> Column:
     """Whether a sentence ends between two tokens."""
-    bare, after = _stripped(token), _stripped(following)
-    begins = after.rlike(r"\A\p{Lu}") & among(_word(following), model.small)
-    goes_on = after.rlike(r"\A\p{Ll}")
-    return (
-        F.when(bare.rlike(rf"[{MARKS}{WIDE_MARKS}]\z"), True)
-        .when(~bare.endswith("."), False)
-        .when(bare.rlike(r"\A\p{L}\.\z"), begins | ~after.rlike(r"\A[\p{Lu}\p{Ll}]"))  # an initial
-        .when(bare.endswith("..") | _abbreviated(bare, model), begins)
-        .when(bare.rlike(r"\A[+-]?[0-9][0-9.,]*\.\z"), ~goes_on)
-        .otherwise(True)
-    )
+
+    def by_point(bare: Column, after: Column) -> Column:
+        begins = after.rlike(r"\A\p{Lu}") & among(_word(following), model.small)
+        return (
+            F.when(bare.rlike(r"\A\p{L}\.\z"), begins | ~after.rlike(r"\A[\p{Lu}\p{Ll}]"))  # an initial
+            .when(bare.endswith("..") | _abbreviated(bare, model), begins)
+            .when(bare.rlike(r"\A[+-]?[0-9][0-9.,]*\.\z"), ~after.rlike(r"\A\p{Ll}"))
+            .otherwise(True)
+        )
+
+    def ends(bare: Column) -> Column:
+        marked = bare.rlike(rf"[{MARKS}{WIDE_MARKS}]\z")
+        return F.when(marked, True).when(~bare.endswith("."), False).otherwise(_once(_stripped(following), lambda after: by_point(bare, after)))
+
+    return _once(_stripped(token), ends)
 
 
 def count_sentences(v: Column, model: Model = DEFAULT) -> Column:
@@ -100,7 +109,7 @@ def count_sentences(v: Column, model: Model = DEFAULT) -> Column:
         inner = F.size(F.filter(places, lambda i: _ends(F.get(tokens, i), F.get(tokens, i + 1), model)))
         return F.when(n == 0, 0).when(n == 1, 1).otherwise(inner + 1)
 
-    return F.get(F.transform(F.array(_tokens(v)), count), 0).cast("long")
+    return _once(_tokens(v), count).cast("long")
 
 
 # --- fitting
