@@ -66,7 +66,7 @@ def _word(token: Column) -> Column:
 
 def _tokens(v: Column) -> Column:
     spaced = F.regexp_replace(v, rf"([{WIDE_MARKS}]+{CLOSERS}*)", "$1 ")
-    return F.filter(F.split(spaced, SPACE + "+"), lambda t: t != "")
+    return F.array_remove(F.split(spaced, SPACE + "+"), "")
 
 
 def _abbreviated(bare: Column, model: Model) -> Column:
@@ -115,6 +115,20 @@ def count_sentences(v: Column, model: Model = DEFAULT) -> Column:
 # --- fitting
 
 
+def _counted(tokens: DataFrame) -> DataFrame:
+    """Different rows and their number n, so that patterns are tried once for equal tokens."""
+    return tokens.groupBy(*tokens.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sum_if(condition: str) -> Column:
+    return F.sum(F.expr(f"case when {condition} then n else 0 end"))
+
+
+def _late(count: str, condition: Column) -> Column:
+    """A condition that names a count too, or Spark would try it on every token before they are counted."""
+    return F.when(F.col(count) > 0, condition)
+
+
 def _pairs(texts: DataFrame, text: str) -> DataFrame:
     """token, before: every token and the one before it, null for a text's first."""
     tokens = texts.select(_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
@@ -128,17 +142,17 @@ def abbreviation_scores(texts: DataFrame, text: str = "text") -> DataFrame:
     a point behind. score is its log-likelihood ratio times exp(-letters) times
     (points within + 1) times letters to the power of -without.
     """
-    token = _stripped(F.col("token"))
-    pointed = token.endswith(".") & ~token.endswith("..")
-    words = _pairs(texts, text).select(F.lower(F.regexp_replace(token, r"[.,;:!?]+\z", "")).alias("word"), pointed.alias("pointed")).where("word <> ''")
-    counts = words.groupBy("word").agg(F.count_if("pointed").alias("with_point"), F.count_if(~F.col("pointed")).alias("without"))
+    tokens = _counted(texts.select(F.explode(_tokens(F.coalesce(F.col(text), F.lit("")))).alias("token")))
+    token = F.col("token")
+    words = tokens.select(_stripped(token).alias("token"), "n").select(F.lower(F.regexp_replace(token, r"[.,;:!?]+\z", "")).alias("word"), (token.endswith(".") & ~token.endswith("..")).alias("pointed"), "n")
+    counts = words.where(_late("n", F.col("word") != "")).groupBy("word").agg(_sum_if("pointed").alias("with_point"), _sum_if("not pointed").alias("without"))
     all_ = counts.agg(F.sum("with_point").alias("points"), F.sum(F.col("with_point") + F.col("without")).alias("tokens"))  # a row
     letters, inner = F.length(F.replace("word", F.lit("."), F.lit(""))), F.length("word") - F.length(F.replace("word", F.lit("."), F.lit("")))
     share = F.col("points") / F.col("tokens")
     likelihood = lambda p: F.col("with_point") * F.log(p) + F.when(F.col("without") > 0, F.col("without") * F.log(1 - p)).otherwise(0.0)
     ratio = -2 * (likelihood(share) - likelihood(F.lit(OFTEN)))
     score = ratio * F.exp(-letters) * (inner + 1) * F.pow(letters.cast("double"), -F.col("without").cast("double"))
-    scored = counts.where("with_point > 0").where(F.col("word").rlike(r"\A\p{L}[\p{L}.]*\z")).join(F.broadcast(all_))
+    scored = counts.where(_late("with_point", F.col("word").rlike(r"\A\p{L}[\p{L}.]*\z"))).join(F.broadcast(all_))
     return scored.select("word", "with_point", "without", score.alias("score"))
 
 
