@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .language import applied
+
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 #: What may stand behind a mark, and before a word.
 CLOSERS, OPENERS = r"""["'”’»)\]}*」』）]""", r"""["'“‘«(\[{*「『（]"""
@@ -51,7 +53,8 @@ DEFAULT = Model()
 
 
 def among(x: Column, words: tuple[str, ...]) -> Column:
-    return F.array_contains(F.expr("array(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")"), x) if words else F.lit(False)
+    """Whether ``x`` is one of ``words``, by one look-up however many they are."""
+    return applied(x, "w", "w in (" + ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words) + ")") if words else F.lit(False)
 
 
 def _stripped(token: Column) -> Column:

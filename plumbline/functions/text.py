@@ -74,7 +74,10 @@ def count_words(v: Column) -> Column:
 
 def count_capital_words(v: Column) -> Column:
     """Tokens in capitals."""
-    return F.size(F.filter(treebank_tokens(v), is_upper)).cast("long")
+    # Rules for tokens look no further than a word and the white space next to it, so words without a capital letter are left out.
+    capital = rf"(?=({SPACE}[^\s\x1c-\x1f\x85\p{{Z}}\p{{IsUppercase}}]*+\p{{IsUppercase}}{SOLID}*+{SPACE}))"
+    words = F.regexp_extract_all(F.concat(F.lit(" "), v, F.lit(" ")), F.lit(capital), F.lit(1))
+    return F.size(F.filter(treebank_tokens(F.array_join(words, "")), is_upper)).cast("long")
 
 
 # Words before a point that ends no sentence, words after which it does before an opener alone, openers, and ends of addresses.

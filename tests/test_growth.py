@@ -29,3 +29,19 @@ def test_abbreviations_read_a_corpus_once(spark, data):
     texts = spark.createDataFrame([("Dr. A saw dr. B (Dr.) ... etc. 'etc.' x",), (None,), ("",)], "text string")
     got = {r.word: (r.with_point, r.without) for r in N.abbreviation_scores(texts).collect()}
     assert got == {"dr": (3, 0), "etc": (2, 0)}
+
+
+def test_capital_words_leave_small_ones_out(spark):
+    odd = ["", " \n", "a b c", "DON'T a 'TIS\n'TIS x'S X's CANNOT cannot", "A.B. C.) d　É! É,1 \U0001d400. ǅ GONna", "WE'LL\tN'T ''Q'' (A)--B...C 'S ", None]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i int, t string")
+    whole = F.size(F.filter(K.treebank_tokens(F.col("t")), X.is_upper)).cast("long")
+    assert [r.n for r in rows.select("i", X.count_capital_words(F.col("t")).alias("n")).orderBy("i").collect()] == [r.n for r in rows.select("i", whole.alias("n")).orderBy("i").collect()]
+    plan = rows.select(X.count_capital_words(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan  # the rules see words with capital letters alone
+
+
+def test_abbreviations_are_looked_up(spark):
+    words = tuple(f"w{i}" for i in range(2_000)) + ("it's", "a\\b")
+    rows = spark.createDataFrame([("w1999",), ("w",), ("it's",), ("a\\b",), (None,)], "t string").select(N.among(F.col("t"), words).alias("ok"))
+    assert [r.ok for r in rows.collect()] == [True, False, True, True, None]
+    assert "INSET" in rows._jdf.queryExecution().optimizedPlan().toString()  # a set, not a search through an array
