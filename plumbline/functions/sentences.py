@@ -132,12 +132,6 @@ def _late(count: str, condition: Column) -> Column:
     return F.when(F.col(count) > 0, condition)
 
 
-def _pairs(texts: DataFrame, text: str) -> DataFrame:
-    """token, before: every token and the one before it, null for a text's first."""
-    tokens = texts.select(_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    return tokens.select(F.explode(F.transform("t", lambda x, i: F.struct(x.alias("token"), F.when(i > 0, F.get("t", i - 1)).alias("before"))))).select("col.token", "col.before")
-
-
 def abbreviation_scores(texts: DataFrame, text: str = "text") -> DataFrame:
     """word, with_point, without, score: words of letters that stand before a point somewhere.
 
@@ -161,9 +155,12 @@ def abbreviation_scores(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def small_words(texts: DataFrame, text: str = "text") -> DataFrame:
     """word, small, capital: how often words of letters are written small, and with a capital inside a sentence."""
-    rows = _pairs(texts, text).select(_stripped(F.col("token")).alias("token"), F.coalesce(~F.col("before").rlike(rf"[.{MARKS}{WIDE_MARKS}:]{CLOSERS}*\z") & ~F.col("token").rlike(rf"\A{OPENERS}"), F.lit(False)).alias("inside"))
-    rows = rows.select(_word(F.col("token")).alias("word"), F.col("token").rlike(r"\A\p{Ll}").alias("small"), (F.col("inside") & F.col("token").rlike(r"\A\p{Lu}")).alias("capital"))
-    return rows.where(F.col("word").rlike(r"\A\p{L}+\z")).groupBy("word").agg(F.count_if("small").alias("small"), F.count_if("capital").alias("capital"))
+    tokens = texts.select(_tokens(F.coalesce(F.col(text), F.lit(""))).alias("token"))
+    pairs = tokens.select(F.inline(F.arrays_zip("token", F.concat(F.array(F.lit(None).cast("string")), "token").alias("before")))).where("token is not null")
+    starts = F.coalesce(F.col("before").rlike(rf"[.{MARKS}{WIDE_MARKS}:]{CLOSERS}*\z"), F.lit(True))
+    rows = _counted(pairs.select("token", starts.alias("starts"))).select(_stripped(F.col("token")).alias("token"), (~F.col("starts") & ~F.col("token").rlike(rf"\A{OPENERS}")).alias("inside"), "n")
+    rows = rows.select(_word(F.col("token")).alias("word"), F.col("token").rlike(r"\A\p{Ll}").alias("small"), (F.col("inside") & F.col("token").rlike(r"\A\p{Lu}")).alias("capital"), "n")
+    return rows.where(_late("n", F.col("word").rlike(r"\A\p{L}+\z"))).groupBy("word").agg(_sum_if("small").alias("small"), _sum_if("capital").alias("capital"))
 
 
 def fit(texts: DataFrame, text: str = "text", most: int = 20_000) -> Model:

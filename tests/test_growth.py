@@ -31,6 +31,15 @@ def test_abbreviations_read_a_corpus_once(spark, data):
     assert got == {"dr": (3, 0), "etc": (2, 0)}
 
 
+def test_small_words_are_told_after_counting(spark, data):
+    found = steps(queries()["sentence_small_words"](spark, data))
+    assert sum(x.startswith("FileScan") for x in found) == 1
+    assert not any(r"\p{Ll}" in x or "lower(" in x or r"\p{L}+" in x for x in below_counting(found))
+    texts = spark.createDataFrame([(" The end. The Word word: The (The \"the\" The ",), (None,), (" \n",), ("One",)], "text string")
+    got = {r.word: (r.small, r.capital) for r in N.small_words(texts).collect()}
+    assert got == {"the": (1, 1), "end": (1, 0), "word": (1, 1), "one": (0, 0)}
+
+
 def test_capital_words_leave_small_ones_out(spark):
     odd = ["", " \n", "a b c", "DON'T a 'TIS\n'TIS x'S X's CANNOT cannot", "A.B. C.) d　É! É,1 \U0001d400. ǅ GONna", "WE'LL\tN'T ''Q'' (A)--B...C 'S ", None]
     rows = spark.createDataFrame(list(enumerate(odd)), "i int, t string")
