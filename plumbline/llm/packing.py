@@ -17,6 +17,8 @@ from .tokens import encoder, text_runs, tokenizer_path
 SEQUENCE = 2048
 GROUP_DOCS = 4096
 END_ID = 1
+#: Pieces of texts whose ids a Python worker holds, each about 250 bytes. Fewer take more time, but idle workers keep them beside the next stages of a pipeline.
+HELD = 150_000
 
 
 class CapacityTree:
@@ -57,11 +59,11 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def _pieces(path: str, kind: str, sequence: int, end_id: int, with_ids: bool):
+def _pieces(path: str, kind: str, sequence: int, end_id: int, with_ids: bool, held: int):
     """Rows of (doc_id, start, length, ids_crc32, doc_tokens, ids) for each document's pieces."""
 
     def run(batches):
-        coder = encoder(path, kind, 150_000)  # fewer than elsewhere: idle workers keep them beside the next stages
+        coder = encoder(path, kind, held)
         for batch in batches:
             all_ids, all_texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
             for i, j in text_runs(all_texts):
@@ -89,7 +91,7 @@ def _pack(sequence: int):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, kind: str = "word", sequence: int = SEQUENCE, end_id: int = END_ID, group_docs: int = GROUP_DOCS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, kind: str = "word", sequence: int = SEQUENCE, end_id: int = END_ID, group_docs: int = GROUP_DOCS, with_ids: bool = False, held: int = HELD) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, packed little-endian) of each piece.
 
     A document's ids end with ``end_id``. It is cut every ``sequence`` ids; its
@@ -100,7 +102,8 @@ def pack(docs: DataFrame, path: str | None = None, kind: str = "word", sequence:
 
     A null or empty text has the end id alone. A null doc_id stays null, its
     pieces are packed like others. Repeated rows are packed each. An empty
-    table gives no rows. Other columns, of any name, are ignored.
+    table gives no rows. Other columns, of any name, are ignored. ``held`` bounds
+    the pieces a worker holds ids of; rows don't depend on it.
     """
     spark = docs.sparkSession
     limit_batches(spark)
@@ -109,7 +112,7 @@ def pack(docs: DataFrame, path: str | None = None, kind: str = "word", sequence:
     groups = max(1, -(-docs.count() // group_docs))
     cols = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     tail = ", ids binary" if with_ids else ""
-    pieces = docs.mapInArrow(_pieces(path, kind, sequence, end_id, with_ids), f"{cols}, salt long, ids binary")
+    pieces = docs.mapInArrow(_pieces(path, kind, sequence, end_id, with_ids, held), f"{cols}, salt long, ids binary")
     if not with_ids:
         pieces = pieces.drop("ids")
     pieces = pieces.withColumn("group", F.floor(F.rand(7) * groups).cast("long"))

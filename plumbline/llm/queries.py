@@ -29,7 +29,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), held=1_000_000)  # no later stage needs the memory
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,11 @@ def test_packing(docs):
     assert sum(2048 - v for v in used.values()) < 0.03 * sum(used.values())
 
 
+def test_packing_held(docs):
+    few, many = ({tuple(r) for r in packing.pack(docs, held=n).collect()} for n in (50, 1_000_000))
+    assert few and few == many
+
+
 def test_packing_odd(odd, spark):
     check_packing(odd, 64)
     check_packing(with_marks(spark), 64)
